@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, predict
 
@@ -30,7 +37,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_minhash_near_dedup, op6_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op6_benchmark_decontamination)}
 SQL: dict[str, str] = {}
 
 SQL["op6_benchmark_decontamination"] = r"""
