@@ -68,13 +68,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class RunHash:
-    """Hashes of any runs ``[start, end)`` of a byte array."""
+    """Hashes of any runs ``[start, end)`` of a byte array, or of an array of 64-bit values."""
 
     def __init__(self, buf: np.ndarray):
         up, self.down = powers(len(buf))
         self.sums = np.zeros(len(buf) + 1, dtype=U64)
+        values = BYTE_VALUE[buf] if buf.dtype == np.uint8 else buf
         with np.errstate(over="ignore"):
-            np.cumsum(BYTE_VALUE[buf] * up[: len(buf)], dtype=U64, out=self.sums[1:])
+            np.cumsum(values * up[: len(buf)], dtype=U64, out=self.sums[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
