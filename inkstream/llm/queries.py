@@ -43,6 +43,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeated_strings, report
+
+    return report(remove_repeated_strings(_table(spark, sf_dir, "documents")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -51,7 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op6_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op6_benchmark_decontamination, op8_suffix_array_dedup, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
 
 SQL["op6_benchmark_decontamination"] = r"""
