@@ -9,9 +9,10 @@ place where that one error may be, and such a pair meets under at least one
 key.  Sets of similarity 0.75 exceed that distance with a chance of about
 1e-5.  What meets is confirmed on the full sets; nothing is capped.
 
-Two rounds keep the work linear in large groups of copies: first every class
-is confirmed against the first class of the keys that it shares most, and only
-keys whose classes are still in different components then yield pairs.
+No step makes a row per pair.  Within a key, and then within a cluster of
+classes whose signatures are close, a task walks from class to class and
+compares only with those not reached yet; it returns a spanning forest.  A key
+or cluster of more than a block of classes is dealt over pairs of blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buffers as B
@@ -30,6 +31,9 @@ from .store import Scratch
 U64 = np.uint64
 SYMBOLS = 64
 CHUNK = 4
+#: Classes of a key, or of a cluster, that one task compares; more are dealt over pairs of blocks of this size.
+KEY_BLOCK = 4096
+CLUSTER_BLOCK = 512
 MAX_DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
 _ODD = B.stream(7, SYMBOLS) | U64(1)
 _PLACE = B.stream(11, 8)
@@ -130,31 +134,117 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), data.cast(pa.binary())], names=["node", "shingles"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs ``a, b`` whose whole sets are similar enough."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole groups with group bounds; the first ``keys`` columns name a group."""
+    held: list[pa.RecordBatch] = []
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        for c in table.columns[:keys]:
+            v = c.to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.concatenate((np.flatnonzero(np.concatenate(([True], new[1:]))), [table.num_rows]))
+
     for batch in batches:
-        out = np.zeros(batch.num_rows, dtype=bool)
-        left, right = batch.column(2), batch.column(3)
-        for i in range(batch.num_rows):
-            x, y = np.frombuffer(left[i].as_buffer(), dtype=U64), np.frombuffer(right[i].as_buffer(), dtype=U64)
-            both = np.concatenate((x, y))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            out[i] = 100 * common >= 75 * (len(both) - common)
-        yield batch.select([0, 1]).filter(pa.array(out))
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        same = len(held) > 1 and all(held[0].column(k)[0] == batch.column(k)[batch.num_rows - 1] for k in range(keys))
+        if same:
+            continue
+        table = pa.Table.from_batches(held)
+        at = bounds(table)
+        held = table.slice(int(at[-2])).combine_chunks().to_batches()
+        if len(at) > 2:
+            yield table.slice(0, int(at[-2])).combine_chunks(), at[:-1]
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, bounds(table)
+
+
+def forest(n: int, near) -> np.ndarray:
+    """For each of ``n`` items the first item of its component; ``near(i, rest)`` tells which of ``rest`` link with i."""
+    root = np.arange(n)
+    rest = np.arange(1, n)
+    first, stack = 0, [0]
+    while len(rest):
+        if not stack:
+            first, rest = int(rest[0]), rest[1:]
+            stack = [first]
+            continue
+        hit = near(stack.pop(), rest)
+        if hit.any():
+            root[rest[hit]] = first
+            stack.extend(rest[hit].tolist())
+            rest = rest[~hit]
+    return root
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs ``a, b`` whose signatures differ in at most ``MAX_DISTANCE`` values."""
-    for batch in batches:
-        for a in range(0, batch.num_rows, 16384):
-            part = batch.slice(a, 16384)
-            apart = (_sig_matrix(part.column(2)) != _sig_matrix(part.column(3))).sum(axis=1)
-            yield part.select([0, 1]).filter(pa.array(apart <= MAX_DISTANCE))
+    """Spanning forests of the pairs of a key whose signatures are within ``MAX_DISTANCE``."""
+    for table, at in whole_groups(batches, 3):
+        node = table.column("node").to_numpy()
+        size = table.column("n").to_numpy()
+        sig = _sig_matrix(table.column("sig"))
+        begin = np.repeat(at[:-1], np.diff(at))
+        fits = 100 * np.minimum(size, size[begin]) >= 75 * np.maximum(size, size[begin])
+        linked = fits & ((sig != sig[begin]).sum(axis=1) <= MAX_DISTANCE)
+        root = np.where(linked, begin, -1)
+        for g in np.flatnonzero(np.add.reduceat(~linked, at[:-1]) > 0) if len(at) > 1 else []:
+            lo, hi = at[g], at[g + 1]
+            own, n = sig[lo:hi], size[lo:hi]
+
+            def near(i, rest):
+                ok = 100 * np.minimum(n[rest], n[i]) >= 75 * np.maximum(n[rest], n[i])
+                ok[ok] = (own[rest[ok]] != own[i]).sum(axis=1) <= MAX_DISTANCE
+                return ok
+
+            root[lo:hi] = lo + forest(hi - lo, near)
+        out = root != np.arange(len(root))
+        yield pa.RecordBatch.from_arrays([pa.array(node[root[out]]), pa.array(node[out])], names=["a", "b"])
 
 
-def _sizes_allow(a: Column, b: Column) -> Column:
-    return F.lit(100) * F.least(a, b) >= F.lit(75) * F.greatest(a, b)
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of the links of a cluster, by whole sets."""
+    for table, at in whole_groups(batches, 3):
+        node = table.column("node").to_numpy()
+        column = table.column("shingles")
+        ends_a, ends_b = [], []
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+            sets = [np.frombuffer(column[i].as_buffer(), dtype=U64) for i in range(lo, hi)]
+            size = np.array([len(x) for x in sets])
+            flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            bound = np.concatenate(([0], np.cumsum(size)))
+            mark = np.zeros(int(flat.max()) + 1, dtype=bool)
+
+            def near(i, rest):
+                ok = 100 * np.minimum(size[rest], size[i]) >= 75 * np.maximum(size[rest], size[i])
+                some = rest[ok]
+                if len(some):
+                    mine = flat[bound[i] : bound[i + 1]]
+                    mark[mine] = True
+                    theirs = np.concatenate([flat[bound[j] : bound[j + 1]] for j in some])
+                    starts = np.concatenate(([0], np.cumsum(size[some])[:-1]))
+                    common = np.add.reduceat(mark[theirs].astype(np.int64), starts)
+                    mark[mine] = False
+                    ok[ok] = 100 * common >= 75 * (size[some] + size[i] - common)
+                return ok
+
+            root = lo + forest(hi - lo, near)
+            out = np.flatnonzero(root != np.arange(lo, hi))
+            ends_a.append(node[root[out]])
+            ends_b.append(node[lo + out])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ends_a)), pa.array(np.concatenate(ends_b))], names=["a", "b"])
+
+
+def _blocks(rows: DataFrame, group: str, count: str, block: int) -> DataFrame:
+    """Adds ``i, j``: groups of at most ``block`` rows are one; of larger ones each pair of blocks is a group."""
+    n = F.ceil(F.col(count) / F.lit(block))
+    own = F.pmod(F.xxhash64("node", F.lit("block")), n)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    dealt = rows.withColumn("_pair", F.explode(F.when(F.col(count) <= block, F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(pairs)))
+    dealt = dealt.withColumns({"i": F.col("_pair.i"), "j": F.col("_pair.j")}).drop("_pair", count)
+    return dealt.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,36 +266,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = disk.keep(classes)
     nodes = classes.select("node", "sig")
     keys = nodes.mapInArrow(_index_keys, "key long, node long")
-    leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
-    shared = disk.keep(keys.join(leaders.select("key", "leader"), "key"))
+    several = keys.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1")
+    shared = keys.join(several, "key").join(classes.select("node", "n", "sig"), "node").select("key", "node", "n", "sig", "met")
+    shared = _blocks(shared, "key", "met", KEY_BLOCK).select("key", "i", "j", "node", "n", "sig")
+    close = disk.keep(shared.mapInArrow(_close, "a long, b long").distinct())
+    clusters = disk.keep(components(close, disk))
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    met = shared.select("node").distinct()
-    sets = disk.keep(texts.join(met, "node", "left_semi").mapInArrow(_sets_of, "node long, shingles binary"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long").distinct()
-
-    votes = shared.filter("node > leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("most"), F.min("leader").alias("least"))
-    stars = best.select(F.explode(F.array_distinct(F.array("most", "least"))).alias("a"), F.col("node").alias("b"))
-    links = disk.keep(confirmed(stars))
+    sets = texts.join(clusters.select("node"), "node", "left_semi").mapInArrow(_sets_of, "node long, shingles binary")
+    sizes = clusters.groupBy("component").agg(F.count("*").alias("met"))
+    members = clusters.join(sizes, "component").withColumnRenamed("component", "cluster").join(sets, "node")
+    members = _blocks(members, "cluster", "met", CLUSTER_BLOCK).select("cluster", "i", "j", "node", "shingles")
+    links = disk.keep(members.mapInArrow(_confirm, "a long, b long").distinct())
     groups = disk.keep(components(links, disk))
 
-    labelled = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    apart = labelled.join(open_keys, "key").join(classes.select("node", "n"), "node")
-    left = apart.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = apart.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    pairs = left.join(right, "key").filter("a < b and ca != cb").filter(_sizes_allow(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    sig = classes.select("node", "sig")
-    pairs = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    pairs = pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_close, "a long, b long")
-    links = links.unionByName(confirmed(pairs))
-    groups = disk.keep(components(disk.keep(links), disk))
-
     member = prints.select("doc_id", "n_shingles", "d1", "d2")
     named = member.join(classes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(groups, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node", "doc_id"))
