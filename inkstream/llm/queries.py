@@ -49,6 +49,12 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(remove_repeated_strings(_table(spark, sf_dir, "documents")))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vptree import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -57,7 +63,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op6_benchmark_decontamination, op8_suffix_array_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op6_benchmark_decontamination, op8_suffix_array_dedup, op9_nearest_neighbours, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
 
 SQL["op6_benchmark_decontamination"] = r"""
