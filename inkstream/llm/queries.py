@@ -37,6 +37,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .warc import derive, responses
+
+    made = derive(responses(_table(spark, sf_dir, "pages")))
+    page = F.col("headers")["WARC-Page-Id"].cast("long").alias("page_id")
+    return made.select(page, "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", F.col("block").cast("string").alias("content"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination, report
 
@@ -63,7 +73,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op6_benchmark_decontamination, op8_suffix_array_dedup, op9_nearest_neighbours, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op5_warc_derivatives, op6_benchmark_decontamination, op8_suffix_array_dedup, op9_nearest_neighbours, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
 
 SQL["op6_benchmark_decontamination"] = r"""
