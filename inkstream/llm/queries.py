@@ -53,6 +53,13 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report(contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import fit, report, scan
+
+    docs = _table(spark, sf_dir, "documents")
+    return report(scan(docs, fit(docs)))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeated_strings, report
 
@@ -73,7 +80,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op5_warc_derivatives, op6_benchmark_decontamination, op8_suffix_array_dedup, op9_nearest_neighbours, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op5_warc_derivatives, op6_benchmark_decontamination, op7_licence_scan, op8_suffix_array_dedup, op9_nearest_neighbours, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
 
 SQL["op6_benchmark_decontamination"] = r"""
