@@ -30,7 +30,7 @@ def text_blocks(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     lines = lines.withColumn("level", level)
     body = F.col("plain") & F.col("level").isNull()
     starts = F.col("level").isNotNull() | (body & ~F.coalesce(F.lag(body).over(w), F.lit(False)))
-    lines = lines.filter("true").withColumns({"body": body, "starts": starts})
+    lines = lines.withColumns({"body": body, "starts": starts})
     lines = lines.withColumn("unit", F.sum(F.col("starts").cast("int")).over(w)).filter(F.col("body") | F.col("level").isNotNull())
     parts = lines.groupBy(key, "unit").agg(F.max("level").alias("level"), F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x["t"]), " ")
