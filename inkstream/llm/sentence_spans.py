@@ -46,18 +46,28 @@ def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return words, starts, bounds, np.searchsorted(bounds, first, side="left")
 
 
+def spans_of(words: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first sentence, end and hash of every span, and whether its row has it before."""
+    at = np.arange(len(bounds) - 1)
+    row = np.searchsorted(rows, at, side="right") - 1
+    to = np.searchsorted(bounds, bounds[:-1] + SPAN_WORDS, side="left")
+    to = np.maximum(to, at + 2)
+    ok = to <= rows[row + 1]
+    at, to, row = at[ok], to[ok], row[ok]
+    h = B.RunHash(words)(bounds[at], bounds[to])
+    order = np.lexsort((h, row))
+    again = np.zeros(len(at), dtype=bool)
+    again[order[1:]] = (row[order][1:] == row[order][:-1]) & (h[order][1:] == h[order][:-1])
+    return row, at, to, h, again
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first occurrence in its text of every span; later ones are repeats without asking others."""
     for batch in batches:
         for a, b, buf, offs in B.pieces(batch.column(1)):
             words, _, bounds, rows = sentences(buf, offs)
-            n = len(bounds) - 1
-            at = np.arange(n)
-            row = np.searchsorted(rows, at, side="right") - 1
-            to = np.searchsorted(bounds, bounds[:-1] + SPAN_WORDS, side="left")
-            to = np.maximum(to, at + 2)
-            ok = to <= rows[row + 1]
-            at, to, row = at[ok], to[ok], row[ok]
-            h = B.RunHash(words)(bounds[at], bounds[to])
+            row, at, to, h, again = spans_of(words, bounds, rows)
+            row, at, to, h = (x[~again] for x in (row, at, to, h))
             ids = batch.column(0).slice(a, b - a).take(pa.array(row))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array((at - rows[row]).astype(np.int32)), pa.array((to - at).astype(np.int32))], names=["span", "doc", "at", "n"])
 
@@ -65,7 +75,9 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, cuts`` for each document that holds a non-first repeat; cuts are (first sentence, sentences).
 
-    The occurrences of a span are counted before the shuffle as far as they
+    A text sends each of its spans once: what it holds again is a repeat
+    whatever others hold, and is found when the text is cut.  The occurrences
+    of a span are counted before the shuffle as far as they
     meet in one task, and a span that a third of all documents hold is one
     row of the small side of a join whose large side Spark splits.
     """
@@ -77,27 +89,33 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return again.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
 
 
-def _cutter(text: int, columns: list[str], report: bool):
+def _cutter(ident: int, text: int, columns: list[str], report: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             width = len(columns)
             column, cuts = batch.column(text), batch.column(width)
             total, gone, kept = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for a, b, buf, offs in B.pieces(column):
-                _, starts, bounds, rows = sentences(buf, offs)
+                words, starts, bounds, rows = sentences(buf, offs)
+                row, at, to, _, again = spans_of(words, bounds, rows)
+                within: dict[int, list[tuple[int, int]]] = {}
+                for r, s, e in zip(row[again].tolist(), at[again].tolist(), to[again].tolist()):
+                    within.setdefault(r, []).append((s - int(rows[r]), e - s))
                 for i in range(b - a):
                     lo, n = int(rows[i]), int(rows[i + 1] - rows[i])
                     total[a + i] = n
-                    own = cuts[a + i].as_py()
+                    own = [(c["at"], c["n"]) for c in cuts[a + i].as_py() or ()]
+                    if batch.column(ident)[a + i].is_valid:
+                        own += within.get(i, [])
                     if not column[a + i].is_valid:
                         kept.append(None)
                         continue
                     raw = buf[offs[i] : offs[i + 1]]
                     if own:
                         cover = np.zeros(n + 1, dtype=np.int64)
-                        for c in own:
-                            cover[min(c["at"], n)] += 1
-                            cover[min(c["at"] + c["n"], n)] -= 1
+                        for at_i, n_i in own:
+                            cover[min(at_i, n)] += 1
+                            cover[min(at_i + n_i, n)] -= 1
                         drop = np.cumsum(cover)[:-1] > 0
                         gone[a + i] = drop.sum()
                         edges = np.concatenate((starts[bounds[lo : lo + n]] - offs[i], [len(raw)]))
@@ -132,7 +150,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     joined = narrow.join(repeated(docs, id_col, text_col).withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "text", "cuts")
     kind = narrow.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(_cutter(1, ["doc_id", "text"], True), f"doc_id {kind}, n_sentences long, n_removed long, text string")
+    return joined.mapInArrow(_cutter(0, 1, ["doc_id", "text"], True), f"doc_id {kind}, n_sentences long, n_removed long, text string")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,4 +160,4 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = repeated(docs, id_col, text_col).withColumnRenamed("doc", "_doc").withColumnRenamed("cuts", "_cuts")
     joined = docs.join(found, F.col(id_col) == F.col("_doc"), "left").drop("_doc").select(*[F.col(f"`{c}`") for c in docs.columns], "_cuts")
-    return joined.mapInArrow(_cutter(docs.columns.index(text_col), docs.columns, False), docs.schema)
+    return joined.mapInArrow(_cutter(docs.columns.index(id_col), docs.columns.index(text_col), docs.columns, False), docs.schema)
