@@ -62,7 +62,7 @@ def plan_segments(kept: DataFrame, chapters: DataFrame, mode: str = "duration",
         F.min_by(F.struct("block_id", "chapter_id", "heading"), "ord").alias("first"),
         F.max_by("block_id", "ord").alias("last_block"),
         F.count("*").alias("n_blocks"),
-        F.round(F.sum("seconds")).cast("long").alias("estimated_duration"),
+        F.round(F.round(F.sum("seconds"), 6)).cast("long").alias("estimated_duration"),
         F.sum("words").alias("word_count"),
         F.countDistinct("chapter_id").alias("n_chapters"),
     )

@@ -143,7 +143,7 @@ f AS (
 starts AS (SELECT DISTINCT book_id, cut FROM f),
 placed AS (SELECT m.*, s.cut, dense_rank() OVER (PARTITION BY m.book_id ORDER BY s.cut) - 1 AS idx FROM m ASOF JOIN starts s ON m.book_id = s.book_id AND m.i >= s.cut),
 segs AS (SELECT book_id, idx, first(block_id ORDER BY i) AS first_block, last(block_id ORDER BY i) AS last_block, first(chapter ORDER BY i) AS chapter_id, first(h ORDER BY i) AS h, first(t ORDER BY i) AS t, count(*) AS n_blocks,
-  CAST(round(sum(seconds ORDER BY i)) AS BIGINT) AS estimated_duration, CAST(sum(words) AS BIGINT) AS word_count, count(DISTINCT chapter) AS n_chapters FROM placed GROUP BY 1, 2)
+  CAST(round(round(sum(seconds ORDER BY i), 6)) AS BIGINT) AS estimated_duration, CAST(sum(words) AS BIGINT) AS word_count, count(DISTINCT chapter) AS n_chapters FROM placed GROUP BY 1, 2)
 SELECT segs.book_id, CAST(idx AS INT) AS idx, CASE WHEN h AND t <> '' THEN t ELSE title || ' (part ' || row_number() OVER (PARTITION BY segs.book_id, segs.chapter_id ORDER BY idx) || ')' END AS title,
 first_block, last_block, n_blocks, estimated_duration, word_count, n_chapters FROM segs JOIN chapters USING (book_id, chapter_id)"""
 
