@@ -2,7 +2,7 @@
 
 Words are runs of bytes that are no ASCII white space.  A sentence ends after
 a word that ends in ``. ! ? ; :``, before a line break, or, so that text
-without punctuation has sentences too, after a word whose hash is 0 modulo 16;
+without punctuation has sentences too, after a word whose hash is 0 modulo 8;
 the rule looks at nothing but the word and what follows it, so a passage has
 the same inner sentences wherever it stands.  A span starts at each sentence
 and runs over the fewest sentences, two or more, that hold ``SPAN_WORDS``
@@ -38,7 +38,7 @@ def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     lines = np.concatenate(([0], np.cumsum(_BREAK[low]))) if len(low) else np.zeros(1, dtype=np.int64)
     last = np.zeros(len(words), dtype=bool)
     if len(words):
-        last = _END[low[ends - 1]] | ((words >> U64(40)) % U64(16) == 0)
+        last = _END[low[ends - 1]] | ((words >> U64(40)) % U64(8) == 0)
         last[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
         row_ends = first[1:][np.diff(first) > 0] - 1
         last[row_ends] = True
@@ -66,14 +66,14 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, buf, offs in B.pieces(batch.column(1)):
             words, _, bounds, rows = sentences(buf, offs)
-            row, at, to, h, again = spans_of(words, bounds, rows)
-            row, at, to, h = (x[~again] for x in (row, at, to, h))
+            row, at, _, h, again = spans_of(words, bounds, rows)
+            row, at, h = row[~again], at[~again], h[~again]
             ids = batch.column(0).slice(a, b - a).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array((at - rows[row]).astype(np.int32)), pa.array((to - at).astype(np.int32))], names=["span", "doc", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array((at - rows[row]).astype(np.int32))], names=["span", "doc", "at"])
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, cuts`` for each document that holds a non-first repeat; cuts are (first sentence, sentences).
+    """``doc, cuts`` for each document that holds a non-first repeat; cuts are the first sentences of spans.
 
     A text sends each of its spans once: what it holds again is a repeat
     whatever others hold, and is found when the text is cut.  The occurrences
@@ -83,10 +83,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     narrow = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc"].dataType.simpleString()
-    spans = narrow.mapInArrow(_spans, f"span long, doc {kind}, at int, n int")
+    spans = narrow.mapInArrow(_spans, f"span long, doc {kind}, at int")
     least = spans.groupBy("span").agg(F.count("*").alias("times"), F.min(F.struct("doc", "at")).alias("first")).filter("times > 1").select("span", "first")
     again = spans.join(least, "span").filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    return again.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("cuts"))
+    return again.groupBy("doc").agg(F.collect_list("at").alias("cuts"))
 
 
 def _cutter(ident: int, text: int, columns: list[str], report: bool):
@@ -98,13 +98,13 @@ def _cutter(ident: int, text: int, columns: list[str], report: bool):
             for a, b, buf, offs in B.pieces(column):
                 words, starts, bounds, rows = sentences(buf, offs)
                 row, at, to, _, again = spans_of(words, bounds, rows)
-                within: dict[int, list[tuple[int, int]]] = {}
-                for r, s, e in zip(row[again].tolist(), at[again].tolist(), to[again].tolist()):
-                    within.setdefault(r, []).append((s - int(rows[r]), e - s))
+                within: dict[int, list[int]] = {}
+                for r, s in zip(row[again].tolist(), at[again].tolist()):
+                    within.setdefault(r, []).append(s)
                 for i in range(b - a):
                     lo, n = int(rows[i]), int(rows[i + 1] - rows[i])
                     total[a + i] = n
-                    own = [(c["at"], c["n"]) for c in cuts[a + i].as_py() or ()]
+                    own = [lo + c for c in cuts[a + i].as_py() or ()]
                     if batch.column(ident)[a + i].is_valid:
                         own += within.get(i, [])
                     if not column[a + i].is_valid:
@@ -113,9 +113,11 @@ def _cutter(ident: int, text: int, columns: list[str], report: bool):
                     raw = buf[offs[i] : offs[i + 1]]
                     if own:
                         cover = np.zeros(n + 1, dtype=np.int64)
-                        for at_i, n_i in own:
-                            cover[min(at_i, n)] += 1
-                            cover[min(at_i + n_i, n)] -= 1
+                        # a repeated id with another text may not have the span
+                        k = np.minimum(np.searchsorted(at, own), max(len(at) - 1, 0))
+                        k = k[(at[k] == own) & (row[k] == i)] if len(at) else k[:0]
+                        np.add.at(cover, at[k] - lo, 1)
+                        np.add.at(cover, to[k] - lo, -1)
                         drop = np.cumsum(cover)[:-1] > 0
                         gone[a + i] = drop.sum()
                         edges = np.concatenate((starts[bounds[lo : lo + n]] - offs[i], [len(raw)]))
