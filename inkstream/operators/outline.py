@@ -112,3 +112,75 @@ def section_of_block(kept: DataFrame, found: DataFrame) -> DataFrame:
     rows = kept.join(s, ["book_id", "block_id"], "left").withColumn("_start", F.when(F.col("_title").isNotNull() | (F.row_number().over(book) == 1), F.struct("block_id", F.coalesce("_title", F.lit("")).alias("title"))))
     upto = book.rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_s", F.last("_start", ignorenulls=True).over(upto)).withColumns({"section_block": F.col("_s.block_id"), "section_title": F.col("_s.title")}).drop("_title", "_start", "_s")
+
+
+def runs(kept: DataFrame, found: DataFrame) -> DataFrame:
+    """Blocks with ``run``: sections in order, where headings at a section's end open the next run that has a body."""
+    book = Window.partitionBy("book_id").orderBy("ord")
+    rows = section_of_block(kept, found)
+    rows = rows.withColumn("_g", F.sum((F.col("block_id") == F.col("section_block")).cast("int")).over(book))
+    ahead = book.rowsBetween(0, Window.unboundedFollowing)
+    body = F.first(F.when(F.col("kind") != "heading", F.col("_g")), ignorenulls=True).over(ahead)
+    return rows.withColumn("run", F.coalesce(body, F.lit(2**31 - 1))).drop("_g")
+
+
+def _packing(target: float, most: float):
+    start = F.struct(F.lit(0.0).alias("open"), F.lit(0).alias("n"), F.lit(0).alias("seg"), F.array().cast("array<struct<run:int,seg:int,split:boolean>>").alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        over = r["seconds"] > most
+        close = (s["n"] > 0) & ((s["open"] + r["seconds"] > most) | (s["open"] >= target))
+        seg = s["seg"] + close.cast("int")
+        alone = over & (close | (s["n"] == 0))
+        open_s, n = F.when(close, 0.0).otherwise(s["open"]), F.when(close, 0).otherwise(s["n"])
+        return F.struct(
+            F.when(alone, 0.0).otherwise(open_s + r["seconds"]).alias("open"),
+            F.when(alone, 0).otherwise(n + 1).alias("n"),
+            (seg + alone.cast("int")).alias("seg"),
+            F.concat(s["out"], F.array(F.struct(r["run"].cast("int").alias("run"), seg.alias("seg"), alone.alias("split")))).alias("out"),
+        )
+
+    return start, step
+
+
+def smart_segments(kept: DataFrame, chapters: DataFrame, found: DataFrame, target: float = 900, most: float = 1500, wpm: int = 150) -> DataFrame:
+    """Segments of whole sections: ``book_id, idx, title, first_block, last_block, n_blocks, estimated_duration, word_count``.
+
+    Sections are packed up to the target and never beyond the limit; one that
+    exceeds the limit alone is split by duration, and its later parts are
+    numbered.  A segment is named after its first title-like section, else
+    its first named one, else its chapter.
+    """
+    from .segment import measured, segment_of_block
+
+    rows = measured(runs(kept, found), wpm)
+    sums = rows.groupBy("book_id", "run").agg(F.round(F.sum("seconds"), 6).alias("seconds"))
+    start, step = _packing(target, most)
+    books = sums.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("run", "seconds"))).alias("r"))
+    packed = books.select("book_id", F.inline(F.aggregate("r", start, step)["out"]))
+    rows = rows.join(packed, ["book_id", "run"])
+    large = rows.filter("split").withColumn("book_id", F.struct("book_id", "seg"))
+    parts = segment_of_block(large, "duration", target, most, wpm).select(F.col("book_id.book_id").alias("book_id"), "block_id", F.col("idx").alias("part"))
+    rows = rows.join(parts, ["book_id", "block_id"], "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    rows = rows.join(chapters.select("book_id", "chapter_id", F.col("title").alias("_chapter")), ["book_id", "chapter_id"], "left")
+    rows = rows.withColumn("_named", F.when(F.col("block_id") == F.col("section_block"), F.nullif(trim(F.col("section_title")), F.lit(""))))
+    # the headings of a book open its runs, so the first heading stands in for a section without a name
+    name = F.coalesce("_named", F.when(F.col("kind") == "heading", F.nullif(trim(F.col("text")), F.lit(""))))
+    got = rows.groupBy("book_id", "seg", "part").agg(
+        F.min_by("block_id", "ord").alias("first_block"),
+        F.max_by("block_id", "ord").alias("last_block"),
+        F.count("*").alias("n_blocks"),
+        F.round(F.round(F.sum("seconds"), 6)).cast("long").alias("estimated_duration"),
+        F.sum("words").alias("word_count"),
+        F.min_by("_chapter", "ord").alias("_chapter"),
+        F.max("split").alias("_split"),
+        F.array_sort(F.collect_list(F.when(name.isNotNull(), F.struct("ord", name.alias("name"))))).alias("_names"),
+    )
+    names = F.transform("_names", lambda x: x["name"])
+    title = F.coalesce(F.try_element_at(F.filter(names, title_like), F.lit(1)), F.try_element_at(names, F.lit(1)), F.nullif(trim(F.col("_chapter")), F.lit("")), F.lit("Segment"))
+    whole = Window.partitionBy("book_id", "seg").orderBy("part")
+    later = F.col("_split") & (F.col("part") > 0) & (F.size("_names") == 0)
+    first = F.first(title).over(whole)
+    titled = F.when(later, F.concat(first, F.lit(" (part "), F.col("part") + 1, F.lit(")"))).otherwise(title)
+    idx = F.row_number().over(Window.partitionBy("book_id").orderBy("seg", "part")) - 1
+    return got.select("book_id", idx.alias("idx"), F.substring(one_line(titled), 1, 120).alias("title"), "first_block", "last_block", "n_blocks", "estimated_duration", "word_count")

@@ -138,3 +138,10 @@ def json_replies(spark, d):
 def chapter_review(spark, d):
     b = D.blocks(spark, d).select("book_id", "block_id", "chapter_id")
     return b.join(_decisions(spark, d), ["book_id", "block_id"]).groupBy("book_id", "chapter_id").agg(F.count("*").alias("blocks"), F.count_if("keep").alias("kept"), F.round(F.avg("confidence"), 9).alias("confidence"))
+
+
+@query()
+def smart_segments(spark, d):
+    kept, chapters = _kept(spark, d)
+    units = O.outline(kept, chapters)
+    return O.smart_segments(O.without_skipped(kept, O.skipped(units)), chapters, O.sections(units))

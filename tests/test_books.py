@@ -132,3 +132,16 @@ def test_contents_page_is_skipped(spark):
     assert O.without_skipped(b.filter("ord <= 4"), O.skipped(units)).count() == 4
     named = {r.block_id: r.section_block for r in O.section_of_block(b, O.sections(units)).collect()}
     assert named["1:1"] == "1:0" and named["2:1"] == "2:0"
+
+
+def test_smart_segments(spark):
+    b, c = book(spark, [("One", None, [("heading", "Chapter 1")] + [UNIT] * 4 + [("heading", "Chapter 2")]), ("Two", None, [("heading", "Deeper")] + [UNIT] * 3 + [("heading", "Chapter 3")] + [UNIT] * 12), ("End", None, [("heading", "Coda")])])
+    found = b.filter("kind = 'heading'").select("book_id", F.col("block_id").alias("start_block"), F.col("text").alias("title"))
+    runs = {}
+    for r in O.runs(b, found).orderBy("ord").collect():
+        runs.setdefault(r.run, []).append(r.block_id)
+    assert [v[0] for v in runs.values()] == ["0:0", "0:5", "1:4", "2:0"] and runs[max(runs)] == ["2:0"]
+    got = O.smart_segments(b, c, found, target=60, most=80).orderBy("idx").collect()
+    assert sum(r.n_blocks for r in got) == b.count()
+    assert [r.first_block for r in got][:2] == ["0:0", "1:4"] and got[0].title == "Chapter 1" and got[1].title == "Chapter 3"
+    assert got[2].title == "Chapter 3 (part 2)" and all(r.estimated_duration <= 81 for r in got)
