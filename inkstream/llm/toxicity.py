@@ -25,8 +25,8 @@ from .split import at_most, held_out
 
 #: Labelled rows of each label that are learned from, at most; chosen by hash of the id.
 LEARN_ROWS = 6000
-#: A term needs this many toxic documents, and this share of its evidence on the toxic side.
-SUPPORT = 8
+#: A term needs so many toxic documents (a seventh of few, SUPPORT of many), and this share of its evidence on the toxic side.
+SUPPORT, LEAST_SUPPORT, SUPPORT_SHARE = 8, 4, 1 / 7
 PRECISION = 0.85
 #: Terms of fewer letters must be spelled exactly.
 FUZZY_FROM = 5
@@ -220,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sums = sums.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
     size = {t: max(1, min(n, learn_rows)) for t, n in counts.items()}
     share = size[1] / size.get(0, 1)
-    able = sums.filter(F.col("pos") >= SUPPORT).withColumn("precision", F.col("pos") / (F.col("pos") + F.col("neg") * share + 0.5)).filter(F.col("precision") >= PRECISION)
+    need = max(LEAST_SUPPORT, min(SUPPORT, size[1] * 2 / 3 * SUPPORT_SHARE))
+    able = sums.filter(F.col("pos") >= need).withColumn("precision", F.col("pos") / (F.col("pos") + F.col("neg") * share + 0.5)).filter(F.col("precision") >= PRECISION)
     # a bounded report: the terms with most support
     best = able.orderBy(F.desc("pos"), "term").limit(4000).collect()
     lexicon = {r["term"]: float(np.log((r["pos"] + 0.5) / (size[1] + 1)) - np.log((r["neg"] + 0.5) / (size.get(0, 1) + 1))) for r in best}
