@@ -40,3 +40,11 @@ def test_query_without_sql_gives_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_views(spark):
+    from inkstream import sql
+
+    sql.register(spark, DIR, ["decision_summary", "segment_progress"])
+    row = spark.sql("SELECT sum(s.kept + s.dropped) AS n, (SELECT count(*) FROM blocks) AS m FROM decision_summary s").first()
+    assert row.n == row.m and spark.sql("SELECT max(progress) FROM segment_progress").first()[0] <= 100
