@@ -13,12 +13,13 @@ HEADING_RATIO, HEADING_CHARS, GAP_RATIO, LEADING, INDENT, FONT_CHANGE, LEVELS =
 PAGE_NUMBER = r"(?i)^[\s\-–—\[\](){}|·•.]*(?:pages?\s+|p\.\s*)?(\d{1,4}|(?=[a-z])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))[\s\-–—\[\](){}|·•.]*$"
 
 
-def lines(items: DataFrame, page: str = "page") -> DataFrame:
+def lines(items: DataFrame, page: str | list[str] = "page") -> DataFrame:
     """``page, line, text, left, right, y, font_size`` from items with ``text, x, y, width, font_size``.
 
     Items go down the page; one that lies within a part of its line's font of
     the line's first item joins it, and the tolerance grows with larger fonts.
     """
+    page = [page] if isinstance(page, str) else page
     ok = items.filter((trim(F.col("text")) != "") & (F.col("font_size") > 0))
     item = F.struct((-F.col("y")).alias("down"), "x", "width", "font_size", "text")
     start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0.0).alias("tol"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("of"))
@@ -29,19 +30,19 @@ def lines(items: DataFrame, page: str = "page") -> DataFrame:
         tol = F.when(same, F.greatest(s["tol"], i["font_size"] * BASELINE)).otherwise(F.greatest(F.lit(1.0), i["font_size"] * BASELINE))
         return F.struct(F.when(same, s["at"]).otherwise(i["down"]).alias("at"), tol.alias("tol"), n.alias("n"), F.concat(s["of"], F.array(n)).alias("of"))
 
-    pages = ok.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("i"))
-    placed = pages.select(page, F.explode(F.arrays_zip("i", F.aggregate("i", start, step)["of"].alias("of"))).alias("z")).select(page, F.col("z.of").alias("line"), "z.i.*")
-    across = Window.partitionBy(page, "line").orderBy("x", "down")
+    pages = ok.groupBy(*page).agg(F.array_sort(F.collect_list(item)).alias("i"))
+    placed = pages.select(*page, F.explode(F.arrays_zip("i", F.aggregate("i", start, step)["of"].alias("of"))).alias("z")).select(*page, F.col("z.of").alias("line"), "z.i.*")
+    across = Window.partitionBy(*page, "line").orderBy("x", "down")
     reach = F.max(F.col("x") + F.col("width")).over(across.rowsBetween(Window.unboundedPreceding, -1))
     before = F.lag("text").over(across)
     gap = before.rlike(r"\s$") | F.col("text").rlike(r"^\s") | (F.col("x") - reach > F.col("font_size") * WORD_GAP)
     placed = placed.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "text")).withColumn("nth", F.row_number().over(across))
     size = F.round("font_size", 1)
-    weights = placed.groupBy(page, "line", size.alias("size")).agg(F.sum(F.length(trim(F.col("text")))).alias("w"), F.min("nth").alias("seen"))
-    fonts = weights.groupBy(page, "line").agg(F.max_by("size", F.struct("w", -F.col("seen"))).alias("font_size"))
-    got = placed.groupBy(page, "line").agg(F.array_sort(F.collect_list(F.struct("nth", "piece"))).alias("p"), F.min("x").alias("left"), F.max(F.col("x") + F.col("width")).alias("right"), F.min_by(-F.col("down"), "nth").alias("y"))
+    weights = placed.groupBy(*page, "line", size.alias("size")).agg(F.sum(F.length(trim(F.col("text")))).alias("w"), F.min("nth").alias("seen"))
+    fonts = weights.groupBy(*page, "line").agg(F.max_by("size", F.struct("w", -F.col("seen"))).alias("font_size"))
+    got = placed.groupBy(*page, "line").agg(F.array_sort(F.collect_list(F.struct("nth", "piece"))).alias("p"), F.min("x").alias("left"), F.max(F.col("x") + F.col("width")).alias("right"), F.min_by(-F.col("down"), "nth").alias("y"))
     text = trim(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["piece"]), ""), r"\s+", " "))
-    return got.join(fonts, [page, "line"]).select(page, "line", text.alias("text"), "left", "right", "y", "font_size")
+    return got.join(fonts, [*page, "line"]).select(*page, "line", text.alias("text"), "left", "right", "y", "font_size")
 
 
 def margin_key(c: Column) -> Column:
