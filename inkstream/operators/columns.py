@@ -43,7 +43,7 @@ def reading_order(placed: DataFrame, page: str = "page", ties: tuple[str, ...] =
     rows = placed.join(gutter(placed, page), page, "left")
     across = F.coalesce((F.col("left") < F.col("gutter_end")) & (F.col("right") > F.col("gutter_start")), F.lit(False))
     part = F.when(F.col("gutter_start").isNull() | across, 0).when(F.col("right") <= F.col("gutter_start"), 1).otherwise(2)
-    down = [F.desc("y"), F.col("left"), *map(F.col, ties)]
+    down = [F.desc("y"), F.col("left"), F.col("right"), *map(F.col, ties)]
     rows = rows.withColumns({"_part": part, "_band": F.sum(across.cast("int")).over(Window.partitionBy(page).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0))})
     pos = F.row_number().over(Window.partitionBy(page).orderBy("_band", "_part", *down)) - 1
     return rows.withColumn("pos", pos).drop("_band", "_part", "gutter_start", "gutter_end")
