@@ -140,10 +140,10 @@ def resumable_work(spark, d):
     return K.resumable(s).select("book_id", F.array_join("items", ",").alias("items"))
 
 
-@query(f"WITH {_SEGMENTS} SELECT book_id, idx FROM segments WHERE state NOT IN ('queued', 'rendering') AND idx % 2 = 1")
+@query(f"WITH {_SEGMENTS} SELECT book_id, idx FROM segments WHERE state NOT IN ('queued', 'rendering') AND seconds > 30000")
 def render_targets(spark, d):
     s = D.segments(spark, d)
-    wanted = s.filter("idx % 2 = 1").select("book_id", "idx")
+    wanted = s.filter("seconds > 30000").select("book_id", "idx")
     return K.to_render(s, wanted.unionAll(wanted)).select("book_id", "idx")
 
 
@@ -203,17 +203,17 @@ def duration_drift(spark, d):
     return K.drift(chunks, whole.withColumn("duration", F.col("duration") + F.col("doc_id") % 3 * 0.25), "doc_id").select("doc_id", F.round("drift", 6).alias("drift"), "flagged")
 
 
-@query("""SELECT o_orderkey, coalesce(p_size >= 25 AND p_size % 4 <> 0, FALSE) AS hit FROM orders LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_partkey % 2 = 0) ON o_custkey = p_partkey""")
+@query("""SELECT o_orderkey, coalesce(p_size >= 25 AND p_size % 4 <> 0, FALSE) AS hit FROM orders LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_brand <> 'Brand#1') ON o_custkey = p_partkey""")
 def cache_lookups(spark, d):
     items = F.when(F.col("p_size") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name"))
-    cache = D.table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("expires_at"), items.alias("items"))
+    cache = D.table(spark, d, "part").filter("p_brand <> 'Brand#1'").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("expires_at"), items.alias("items"))
     return S.cache_hits(_orders(spark, d, "o_orderkey", F.col("o_custkey").alias("k")), cache, "k", F.lit(24)).select("o_orderkey", "hit")
 
 
-@query("""SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_custkey % 10 <> 3 UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_custkey % 10 <> 3""")
+@query("""SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) UNION ALL SELECT 'customer', count(*) FROM customer WHERE c_acctbal >= 0""")
 def cascade_counts(spark, d):
     c = D.table(spark, d, "customer").withColumnRenamed("c_custkey", "book_id")
-    left = S.cascade_delete({"orders": D.table(spark, d, "orders").withColumnRenamed("o_custkey", "book_id"), "customer": c}, c.filter("book_id % 10 = 3").select("book_id"), "book_id")
+    left = S.cascade_delete({"orders": D.table(spark, d, "orders").withColumnRenamed("o_custkey", "book_id"), "customer": c}, c.filter("c_acctbal < 0").select("book_id"), "book_id")
     counts = [rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, rows in left.items()]
     return counts[0].unionByName(counts[1])
 
@@ -224,24 +224,24 @@ def pages_per_book(spark, d):
     return L.run_summary(pages, pages.withColumns({"error": F.lit(None).cast("string"), "confidence": F.lit(0.5)}), "book_id").select("book_id", "total")
 
 
-@query("""WITH r AS (SELECT l_orderkey AS page, bool_or(l_linenumber % 2 = 0 AND l_quantity < 25) AS done FROM lineitem GROUP BY 1) SELECT page FROM r WHERE NOT done""")
+@query("""WITH r AS (SELECT l_orderkey AS page, bool_or(l_returnflag <> 'N' AND l_quantity < 25) AS done FROM lineitem GROUP BY 1) SELECT page FROM r WHERE NOT done""")
 def pages_to_read(spark, d):
-    rows = D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), "l_linenumber", "l_quantity")
-    results = rows.filter("l_linenumber % 2 = 0").select("page", F.when(F.col("l_quantity") >= 25, "timeout").alias("error"))
+    rows = D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), "l_returnflag", "l_quantity")
+    results = rows.filter("l_returnflag <> 'N'").select("page", F.when(F.col("l_quantity") >= 25, "timeout").alias("error"))
     return L.to_read(rows.select("page").distinct(), results)
 
 
-@query("""SELECT o_orderkey AS state FROM orders WHERE o_custkey % 3 = 0 AND o_orderdate > TIMESTAMP '1995-01-01'""")
+@query("""SELECT o_orderkey AS state FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate > TIMESTAMP '1995-01-01'""")
 def consumed_states(spark, d):
     states = _orders(spark, d, F.col("o_orderkey").alias("state"), F.col("o_orderdate").alias("expires_at"))
-    wanted = D.table(spark, d, "orders").filter("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("state"))
+    wanted = D.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("state"))
     return K.consumed(states, wanted, F.to_timestamp(F.lit("1995-01-01")))[0].select("state")
 
 
 @query("""SELECT coalesce(a.c_custkey, b.s_suppkey) AS channel_id, coalesce(s_name, c_name) AS title, CASE WHEN s_suppkey % 2 = 1 THEN 't' || s_suppkey WHEN c_custkey IS NOT NULL THEN 'old' END AS refresh_token, CASE WHEN s_suppkey IS NULL THEN 'e' END AS error
-FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN supplier b ON c_custkey = s_suppkey""")
+FROM (SELECT * FROM customer WHERE c_acctbal > 0) a FULL JOIN supplier b ON c_custkey = s_suppkey""")
 def connected_channels(spark, d):
-    old = D.table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("channel_id"), F.col("c_name").alias("title"), F.lit("old").alias("refresh_token"), F.lit("s").alias("scopes"), F.lit(True).alias("auto_upload"), F.lit("e").alias("error"))
+    old = D.table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("channel_id"), F.col("c_name").alias("title"), F.lit("old").alias("refresh_token"), F.lit("s").alias("scopes"), F.lit(True).alias("auto_upload"), F.lit("e").alias("error"))
     token = F.when(F.col("s_suppkey") % 2 == 1, F.concat(F.lit("t"), "s_suppkey")).otherwise("")
     new = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("channel_id"), F.col("s_name").alias("title"), token.alias("refresh_token"), F.lit("").alias("scopes"))
     return K.connected_channels(old, new).select("channel_id", "title", "refresh_token", "error")

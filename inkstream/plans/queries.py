@@ -290,7 +290,7 @@ def loop_to_fill(spark, d):
     return M.loop_to_fill(_items(spark, d), "term", "p_partkey", "seconds", 400.0).select("term", "p_partkey", "loop", "at")
 
 
-_SEGMENTS = "segments AS (SELECT l_orderkey AS book_id, l_linenumber AS idx, CASE WHEN l_quantity <= 5 THEN 'queued' WHEN l_quantity >= 48 THEN 'bogus' WHEN l_returnflag = 'N' THEN 'complete' WHEN l_returnflag = 'A' THEN 'failed' ELSE 'rendering' END AS state, l_partkey AS task_id FROM lineitem WHERE l_orderkey % 10 < 3)"
+_SEGMENTS = "segments AS (SELECT l_orderkey AS book_id, l_linenumber AS idx, CASE WHEN l_quantity <= 5 THEN 'queued' WHEN l_quantity >= 48 THEN 'bogus' WHEN l_returnflag = 'N' THEN 'complete' WHEN l_returnflag = 'A' THEN 'failed' ELSE 'rendering' END AS state, l_partkey AS task_id, l_extendedprice AS seconds FROM lineitem)"
 
 
 @query(f"""WITH {_SEGMENTS}, p AS (SELECT book_id, count(*) AS total, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'queued') AS queued, count(*) FILTER (state = 'rendering') AS rendering, count(*) FILTER (state = 'complete') AS complete, count(*) FILTER (state = 'failed') AS failed FROM segments GROUP BY 1)
