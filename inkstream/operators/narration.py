@@ -156,3 +156,12 @@ def correct_cues(cues: DataFrame, scripts: DataFrame, key: str, script: str = "s
             yield pd.DataFrame(rows, columns=[key, "idx", "start", "end", "text"])
 
     return lines.join(said, key, "left").mapInPandas(run, f"{key} {kind}, idx int, start double, end double, text string")
+
+
+def chunk_cues(cues: DataFrame, scripts: DataFrame, key: str, script: str = "script", duration: str = "duration") -> DataFrame:
+    """``key, idx, start, end, text``: aligned cues where a script has any, else its lines in proportion to the duration."""
+    from .cues import proportional
+
+    found = aligned(cues, scripts, key, script)
+    rest = scripts.join(found.select(key).distinct(), key, "left_anti")
+    return found.unionByName(proportional(rest, key, script, duration).withColumnRenamed("content", "text"))

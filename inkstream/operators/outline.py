@@ -184,3 +184,13 @@ def smart_segments(kept: DataFrame, chapters: DataFrame, found: DataFrame, targe
     titled = F.when(later, F.concat(first, F.lit(" (part "), F.col("part") + 1, F.lit(")"))).otherwise(title)
     idx = F.row_number().over(Window.partitionBy("book_id").orderBy("seg", "part")) - 1
     return got.select("book_id", idx.alias("idx"), F.substring(one_line(titled), 1, 120).alias("title"), "first_block", "last_block", "n_blocks", "estimated_duration", "word_count")
+
+
+def overlapping(units: DataFrame, size: int = 100, overlap: int = 8, key: str = "book_id") -> DataFrame:
+    """Adds ``chunk``: units ``idx`` from 0 in chunks that share ``overlap`` units; no chunk holds shared units alone."""
+    step = size - overlap
+    n = F.count("*").over(Window.partitionBy(key))
+    last = F.greatest(F.ceil((n - size) / step), F.lit(0))
+    first = F.greatest(F.ceil((F.col("idx") - size + 1) / step), F.lit(0))
+    chunks = units.withColumn("_last", last)
+    return chunks.withColumn("chunk", F.explode(F.sequence(first, F.least(F.floor(F.col("idx") / step), F.col("_last"))))).drop("_last")

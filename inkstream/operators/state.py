@@ -98,3 +98,13 @@ def monotone(events: DataFrame, key: str, order: list[str], value: str) -> DataF
     """Events that exceed every earlier value of their key."""
     before = F.max(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     return events.withColumn("_b", before).filter(F.col("_b").isNull() | (F.col(value) > F.col("_b"))).drop("_b")
+
+
+def cache_ages(entries: DataFrame, group: str, now: Column, keep: Column) -> DataFrame:
+    """``n, bytes, expired, freed, oldest, newest`` per group of entries with ``bytes, made_at``.
+
+    Entries as old as ``keep`` (an interval) are expired; those made after now are not trusted, and count as expired.
+    """
+    old = (F.col("made_at") <= now - keep) | (F.col("made_at") > now)
+    size = F.coalesce("bytes", F.lit(0))
+    return entries.groupBy(group).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.count_if(old).alias("expired"), F.coalesce(F.sum(F.when(old, size)), F.lit(0)).alias("freed"), F.min("made_at").alias("oldest"), F.max("made_at").alias("newest"))

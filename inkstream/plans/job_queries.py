@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import replies as R
@@ -10,9 +11,12 @@ from ..functions import transcripts as X
 from ..operators import columns as Y
 from ..operators import layout as L
 from ..operators import links as K
+from ..operators import narration as N
+from ..operators import outline as O
+from ..operators import scans as Z
 from ..operators import state as S
 from . import domain as D
-from .queries import _DECISIONS, _SEGMENTS, _TRIM, query
+from .queries import _CUES, _DECISIONS, _SEGMENTS, _TRIM, _cues, query
 
 
 def _page_spans(spark, d):
@@ -245,3 +249,59 @@ def connected_channels(spark, d):
     token = F.when(F.col("s_suppkey") % 2 == 1, F.concat(F.lit("t"), "s_suppkey")).otherwise("")
     new = D.table(spark, d, "supplier").select(F.col("s_suppkey").alias("channel_id"), F.col("s_name").alias("title"), token.alias("refresh_token"), F.lit("").alias("scopes"))
     return K.connected_channels(old, new).select("channel_id", "title", "refresh_token", "error")
+
+
+def _page_texts(spark, d):
+    text = F.regexp_replace("text", r"\. ", ".\n\n")
+    return D.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 50).alias("book_id"), (F.col("doc_id") % 50 + 1).alias("page"), text.alias("text"), (F.col("doc_id") % 7 / 7.0).alias("confidence"))
+
+
+_PARAGRAPHS = rf"""pages_ AS (SELECT doc_id // 50 AS book_id, doc_id % 50 + 1 AS page, regexp_split_to_array(regexp_replace(text, '\. ', '.' || chr(10) || chr(10), 'g'), '\n\s*\n') AS p, (doc_id % 7) / 7.0::DOUBLE AS confidence FROM documents WHERE text IS NOT NULL),
+parts AS (SELECT book_id, page, confidence, unnest(range(len(q))) AS nth, unnest(q) AS part FROM (SELECT *, list_filter(p, lambda x: {_trimmed("x")} <> '') AS q FROM pages_)),
+tied AS (SELECT *, coalesce(nth = 0 AND NOT {_matches(_trimmed("lag(part) OVER w"), Z.CLOSED)} AND {_matches(_trimmed("part"), Z.RUNS_ON)}, FALSE) AS more FROM parts WINDOW w AS (PARTITION BY book_id ORDER BY page, nth)),
+runs AS (SELECT *, sum(CASE WHEN more THEN 0 ELSE 1 END) OVER (PARTITION BY book_id ORDER BY page, nth) - 1 AS pos FROM tied),
+whole AS (SELECT book_id, CAST(pos AS INT) AS pos, min(page) AS page, min(confidence) AS confidence, string_agg(array_to_string(list_filter(list_transform(string_split(part, chr(10)), lambda x: {_trimmed("x")}), lambda x: x <> ''), chr(10)), chr(10) ORDER BY page, nth) AS t FROM runs GROUP BY 1, 2),
+paragraphs AS (SELECT book_id, pos, page, replace(regexp_replace(regexp_replace(t, '(\p{{L}}{{2}})[-‐\x{{00AD}}]\n(\p{{Ll}})', '\1\2', 'g'), '(\S[-‐\x{{00AD}}])\n', '\1', 'g'), chr(10), ' ') AS text, confidence FROM whole)"""
+
+
+@query(f"WITH {_PARAGRAPHS} SELECT * FROM paragraphs")
+def recognised_paragraphs(spark, d):
+    return Z.recognised_paragraphs(_page_texts(spark, d))
+
+
+@query(
+    f"""WITH {_PARAGRAPHS}, b AS (SELECT *, CASE WHEN page % 7 = 1 AND length(text) < 60 AND book_id % 3 > 0 THEN CAST(page % 2 + 1 AS INT) END AS level FROM paragraphs),
+l AS (SELECT *, min(level) OVER (PARTITION BY book_id) AS top, (page - 1) // 10 AS band FROM b),
+s AS (SELECT *, CASE WHEN top IS NULL THEN coalesce(band <> lag(band) OVER w, TRUE) ELSE coalesce(level = top, FALSE) END AS begins, row_number() OVER w AS nth FROM l WINDOW w AS (PARTITION BY book_id ORDER BY pos)),
+c AS (SELECT *, sum(CASE WHEN begins OR nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY pos) - 1 AS n FROM s)
+SELECT book_id, pos, 'ch-' || n AS chapter_id, n || ':' || (row_number() OVER (PARTITION BY book_id, n ORDER BY pos) - 1) AS block_id,
+  first(CASE WHEN top IS NULL THEN 'Pages ' || (band * 10 + 1) || '-' || (band * 10 + 10) WHEN begins THEN text ELSE 'Untitled' END) OVER (PARTITION BY book_id, n ORDER BY pos) AS chapter_title FROM c"""
+)
+def page_chapters(spark, d):
+    p = Z.recognised_paragraphs(_page_texts(spark, d))
+    head = (F.col("page") % 7 == 1) & (F.length("text") < 60) & (F.col("book_id") % 3 > 0)
+    blocks = p.withColumns({"kind": F.when(head, "heading").otherwise("paragraph"), "level": F.when(head, (F.col("page") % 2 + 1).cast("int"))})
+    counts = p.select("book_id", F.lit(50).alias("page_count")).distinct()
+    return Z.page_chapters(blocks, counts, "Untitled").select("book_id", "pos", "chapter_id", "block_id", "chapter_title")
+
+
+@query("""WITH u AS (SELECT o_custkey AS book_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT book_id, o_orderkey, k AS chunk FROM u, range(1000) r(k) WHERE idx BETWEEN k * 3 AND k * 3 + 4 AND (k = 0 OR k * 3 + 2 < n)""")
+def outline_chunks(spark, d):
+    u = _orders(spark, d, F.col("o_custkey").alias("book_id"), "o_orderkey").withColumn("idx", F.row_number().over(Window.partitionBy("book_id").orderBy("o_orderkey")) - 1)
+    return O.overlapping(u, 5, 2).select("book_id", "o_orderkey", "chunk")
+
+
+@query(f"""WITH {_CUES} SELECT doc_id, idx, round(start, 6) AS start, round(fin, 6) AS "end" FROM cues""")
+def chunk_cues(spark, d):
+    """Half of the recordings come with a voice's cues, the others fall back on their lines' lengths."""
+    scripts = D.table(spark, d, "documents").select("doc_id", F.col("text").alias("script"), (F.length("text") / F.lit(15.0)).alias("duration"))
+    cues = _cues(spark, d).withColumnRenamed("idx", "seq").withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise("?"))
+    return N.chunk_cues(cues, scripts, "doc_id").select("doc_id", "idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query("""SELECT event_type, count(*) AS n, CAST(sum(octet_length(encode(props))) AS BIGINT) AS bytes, count(*) FILTER (old) AS expired, CAST(coalesce(sum(octet_length(encode(props))) FILTER (old), 0) AS BIGINT) AS freed FROM (SELECT *, ts <= TIMESTAMP '2024-01-15' - INTERVAL 5 DAY OR ts > TIMESTAMP '2024-01-15' AS old FROM events) GROUP BY 1""")
+def cache_ages(spark, d):
+    e = D.table(spark, d, "events").select("event_type", F.octet_length("props").alias("bytes"), F.col("ts").alias("made_at"))
+    got = S.cache_ages(e, "event_type", F.to_timestamp(F.lit("2024-01-15")), F.make_dt_interval(F.lit(5)))
+    return got.select("event_type", "n", "bytes", "expired", "freed")

@@ -2,6 +2,8 @@ import pytest
 
 from inkstream.functions import transcripts as X
 from inkstream.operators import columns as C
+from inkstream.operators import outline as O
+from inkstream.operators import scans as Z
 
 CLEAN = "THE HARBOUR\n\nOne: The Pier\n\nThe tide came in at four.\n47"
 
@@ -84,3 +86,53 @@ def test_columns_on_shared_baselines_stay_apart(spark):
     assert got == [wide, *[f"left line number {n} xxxx" for n in range(6)], *[f"right line number {n} xxxx" for n in range(6)]]
     few = [r.text for r in C.page_lines(items(spark, side("left", 50, 3) + side("right", 320, 3))).orderBy("pos").collect()]
     assert few == [f"left line number {n} xxxx right line number {n} xxxx" for n in range(3)]
+
+
+@pytest.mark.parametrize(
+    ("pages", "want"),
+    [
+        (["The harbour\nwas quiet.\n\nShe counted\ntwice."], [(1, "The harbour was quiet."), (1, "She counted twice.")]),
+        (["one.\n\n\n\nTwo\n \nthree"], [(1, "one."), (1, "Two"), (1, "three")]),
+        (["the light-\nhouse and an Anglo-\nSaxon well-known face"], [(1, "the lighthouse and an Anglo-Saxon well-known face")]),
+        (["", "  \n\n \t", None], []),
+        (["one.\r\n\r\nTwo"], [(1, "one."), (1, "Two")]),
+        (["It was the best, it was", "the worst of times."], [(1, "It was the best, it was the worst of times.")]),
+        (["they reached the light-", "house at dusk."], [(1, "they reached the lighthouse at dusk.")]),
+        (["The chapter ended.", "a new one"], [(1, "The chapter ended."), (2, "a new one")]),
+        (["it runs on", "and ends.\n\nthen more"], [(1, "it runs on and ends."), (2, "then more")]),
+        (["it runs on", "   ", "and ends."], [(1, "it runs on and ends.")]),
+        (['"I will not," she said.', "the room"], [(1, '"I will not," she said.'), (2, "the room")]),
+        (["he muttered about", '"nothing at all"'], [(1, 'he muttered about "nothing at all"')]),
+        (["he muttered about", '"Nothing at all"'], [(1, "he muttered about"), (2, '"Nothing at all"')]),
+    ],
+)
+def test_recognised_paragraphs(spark, pages, want):
+    rows = spark.createDataFrame([(1, n + 1, t, 0.9 - n / 10) for n, t in enumerate(pages)], "book_id int, page int, text string, confidence double")
+    got = Z.recognised_paragraphs(rows).orderBy("pos").collect()
+    assert [(r.page, r.text) for r in got] == want
+    if len(want) == 1 and len(pages) == 2:
+        assert got[0].confidence == pytest.approx(0.8)
+
+
+def chapters(spark, rows, count):
+    blocks = spark.createDataFrame([(1, n, *r) for n, r in enumerate(rows)], "book_id int, pos int, kind string, level int, text string, page int")
+    got = Z.page_chapters(blocks, spark.createDataFrame([(1, count)], "book_id int, page_count int"), "A Book").orderBy("pos").collect()
+    assert [r.ord for r in got] == list(range(len(rows)))
+    return [(r.block_id, r.chapter_title) for r in got]
+
+
+def test_chapters_of_pages(spark):
+    prose = [("paragraph", None, f"p{n}", n) for n in range(1, 26)]
+    got = chapters(spark, prose, 25)
+    assert got[0] == ("0:0", "Pages 1-10") and got[10] == ("1:0", "Pages 11-20") and got[24] == ("2:4", "Pages 21-25")
+    assert chapters(spark, [("paragraph", None, "x", 21)], 21) == [("0:0", "Page 21")]
+    headed = [("paragraph", None, "front", 1), ("heading", 2, "One", 1), ("heading", 3, "deep", 2), ("heading", 2, "Two", 40)]
+    assert chapters(spark, headed, 40) == [("0:0", "A Book"), ("1:0", "One"), ("1:1", "One"), ("2:0", "Two")]
+    assert chapters(spark, [], 0) == []
+
+
+@pytest.mark.parametrize(("n", "want"), [(0, []), (5, [(0, 0, 4)]), (6, [(0, 0, 4), (1, 3, 5)]), (8, [(0, 0, 4), (1, 3, 7)]), (9, [(0, 0, 4), (1, 3, 7), (2, 6, 8)])])
+def test_overlapping_chunks(spark, n, want):
+    units = spark.createDataFrame([(1, k) for k in range(n)], "book_id int, idx int")
+    got = O.overlapping(units, 5, 2).groupBy("chunk").agg({"idx": "min", "*": "count"}).orderBy("chunk").collect()
+    assert [(r["chunk"], r["min(idx)"], r["min(idx)"] + r["count(1)"] - 1) for r in got] == want
