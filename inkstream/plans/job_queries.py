@@ -144,7 +144,7 @@ def resumable_work(spark, d):
     return K.resumable(s).select("book_id", F.array_join("items", ",").alias("items"))
 
 
-@query(f"WITH {_SEGMENTS} SELECT book_id, idx FROM segments WHERE state NOT IN ('queued', 'rendering') AND seconds > 30000")
+@query(f"WITH {_SEGMENTS} SELECT book_id, idx FROM segments WHERE state NOT IN ('queued', 'rendering') AND (book_id, idx) IN (SELECT (book_id, idx) FROM segments WHERE seconds > 30000)")
 def render_targets(spark, d):
     s = D.segments(spark, d)
     wanted = s.filter("seconds > 30000").select("book_id", "idx")
