@@ -2,9 +2,10 @@
 
 The lexicon is learned from labelled rows: whole words, and word beginnings
 that stand for their inflections.  Its trie, with up to one error for longer
-terms, is a nondeterministic automaton; its states are joined on demand into a
-deterministic one whose steps are remembered, so most words leave it after two
-or three letters.  A match weighs less in a window of quotation marks and
+whole words, is a nondeterministic automaton; its states are joined on demand
+into a deterministic one whose steps are remembered, so most words leave it
+after two or three letters.  Digits inside words are read as letters, and a
+spelling that clean rows use is no misspelling.  A match weighs less in a window of quotation marks and
 reporting words, and a logistic regression over the document's matches gives
 the score.
 """
@@ -34,7 +35,11 @@ PREFIXES = range(4, 9)
 #: Words on either side that count as a match's context.
 CONTEXT = 6
 QUOTED = 0.4
-WORD = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters, and the digits before, between and behind them.
+WORD = re.compile(r"(?<!\d)\d*+[^\W\d_][^\W_]*+")
+#: The letters that digits stand for.
+DIGITS = str.maketrans("01345789", "oieastbg")
 #: Marks and words that report another's speech.
 QUOTE_MARKS = re.compile("[\"“”„«»]")
 REPORTING = frozenset("said says quote quoted quotes called term word wrote writes sagte schrieb zitat dijo cita escribió dit écrit citation".split())
@@ -52,6 +57,7 @@ class Lexicon:
     _content: list[frozenset] = field(default_factory=list)
     _steps: list[dict[str, int]] = field(default_factory=list)
     _accept: list[tuple[str, int] | None] = field(default_factory=list)
+    _begin: list[str | None] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         for term in sorted(self.terms):
@@ -75,6 +81,8 @@ class Lexicon:
             self._steps.append({})
             found = [(errors, -self.terms[t], t) for node, errors in key for t, _, most in self._ends[node] if errors <= most]
             self._accept.append((min(found)[2], min(found)[0]) if found else None)
+            begins = [(-self.terms[t], t) for node, errors in key if not errors for t, begins, _ in self._ends[node] if begins]
+            self._begin.append(min(begins)[1] if begins else None)
         return self._states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -96,23 +104,38 @@ class Lexicon:
             state = self._step(state, c) if to is None else to
             if state < 0:
                 return begun
-            hit = self._accept[state]
-            if hit and hit[1] == 0 and hit[0].endswith("*"):
-                begun = hit
+            if self._begin[state]:
+                begun = self._begin[state], 0
         hit = self._accept[state]
-        return hit if hit and not hit[0].endswith("*") else begun
+        return hit if hit and not (begun and hit[1]) else begun
+
+
+def readings(word: str) -> list[str]:
+    """A word; one with digits as the letters they stand for, and without them."""
+    return [word] if LETTERS.fullmatch(word) else [word.translate(DIGITS), *LETTERS.findall(word)]
 
 
 @dataclass
 class Finder:
-    """Matches of a lexicon in texts, with the words seen so far remembered up to a bound."""
+    """Matches of a lexicon in texts, with the words seen so far remembered up to a bound.
+
+    ``spared`` are spellings that are no misspellings of a term; ``inexact``
+    are the weights of misspelled terms where they differ.
+    """
 
     lexicon: Lexicon
+    spared: frozenset[str] = frozenset()
+    inexact: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[str, int]] = {}
 
+    def match(self, word: str) -> tuple[str, int] | None:
+        """The best match of a word's readings."""
+        found = [hit for r in readings(word) if (hit := self.lexicon.match(r)) and not (hit[1] and r in self.spared)]
+        return min(found, key=lambda hit: (hit[1], -self.lexicon.terms[hit[0]], hit[0]), default=None)
+
     def matches(self, text: str) -> tuple[int, list[tuple[str, int, bool]]]:
         """Number of words, and term, errors and whether quoted of each match."""
         low = text.lower()
@@ -120,7 +143,7 @@ class Finder:
         distinct = set(words)
         for w in distinct - self.clean:
             if w not in self.hits:
-                hit = self.lexicon.match(w)
+                hit = self.match(w)
                 if hit:
                     self.hits[w] = hit
                 else:
@@ -141,9 +164,17 @@ class Finder:
         return len(words), found
 
     def features(self, text: str | None) -> list[float]:
+        return self._numbers(*self.matches(text or ""))
+
+    def both(self, text: str | None) -> list[list[float]]:
+        """The features of a text and, if it has terms that may be misspelled, of its copy in which they all are."""
         n, found = self.matches(text or "")
+        near = [(t, 1, q) for t, e, q in found if e or not t.endswith("*") and len(t) >= FUZZY_FROM]
+        return [self._numbers(n, found)] + ([self._numbers(n, near)] if any(not e for _, e, _ in found) and near else [])
+
+    def _numbers(self, n: int, found: list[tuple[str, int, bool]]) -> list[float]:
         exact = [self.lexicon.terms[t] * (QUOTED if q else 1.0) for t, e, q in found if not e]
-        near = [self.lexicon.terms[t] * (QUOTED if q else 1.0) for t, e, q in found if e]
+        near = [self.inexact.get(t, self.lexicon.terms[t]) * (QUOTED if q else 1.0) for t, e, q in found if e]
         return [
             max(exact, default=0.0),
             min(sum(exact), 40.0) / 10,
@@ -159,6 +190,8 @@ class Model:
     lexicon: dict[str, float]
     weights: np.ndarray
     bias: float
+    spared: frozenset[str] = frozenset()
+    inexact: dict[str, float] = field(default_factory=dict)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-(features @ self.weights + self.bias)))
@@ -168,7 +201,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-            words = set(WORD.findall((text.as_py() or "").lower()))
+            words = {r for w in set(WORD.findall((text.as_py() or "").lower())) for r in readings(w)}
             counts[toxic].update({w for w in words if len(w) > 2})
             counts[toxic].update({w[:k] + "*" for w in words for k in PREFIXES if len(w) > k})
     for toxic, c in counts.items():
@@ -178,12 +211,30 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(part, type=pa.string()), pa.array([toxic] * len(part), type=pa.int32()), pa.array([c[t] for t in part], type=pa.int64())], names=["term", "toxic", "n"])
 
 
-def _features(lexicon):
+def _spellings(lexicon):
+    """The distinct words of each row that a term meets with an error, and the term."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(Lexicon(lexicon))
+        automaton = Lexicon(lexicon)
         for batch in batches:
-            rows = [finder.features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(rows, type=pa.list_(pa.float64()))], names=["toxic", "x"])
+            found = []
+            for text, toxic, later in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                own = {r for w in set(WORD.findall((text.as_py() or "").lower())) for r in readings(w)}
+                found += [(w, hit[0], toxic, later) for w in own if (hit := automaton.match(w)) and hit[1]]
+            columns = zip(*found) if found else [()] * 4
+            kinds = pa.string(), pa.string(), pa.int32(), pa.bool_()
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["word", "term", "toxic", "later"])
+
+    return run
+
+
+def _features(lexicon, spared, inexact):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(Lexicon(lexicon), spared, inexact)
+        for batch in batches:
+            rows = [finder.both(t.as_py()) for t in batch.column(0)]
+            toxic = [label for label, own in zip(batch.column(1).to_pylist(), rows) for _ in own]
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, type=pa.int32()), pa.array([x for own in rows for x in own], type=pa.list_(pa.float64()))], names=["toxic", "x"])
 
     return run
 
@@ -225,21 +276,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # a bounded report: the terms with most support
     best = able.orderBy(F.desc("pos"), "term").limit(4000).collect()
     lexicon = {r["term"]: float(np.log((r["pos"] + 0.5) / (size[1] + 1)) - np.log((r["neg"] + 0.5) / (size.get(0, 1) + 1))) for r in best}
-    lexicon = _prune(lexicon)
-    got = rows.filter("later").select("text", "toxic").mapInArrow(_features(lexicon), "toxic int, x array<double>").toPandas()
+    seen = {r["term"]: (r["pos"], r["neg"]) for r in best}
+    lexicon = _prune(lexicon, seen)
+    near = rows.select("text", "toxic", "later").mapInArrow(_spellings(lexicon), "word string, term string, toxic int, later boolean")
+    # words of the bounded sample that lie beside a term
+    beside = near.groupBy("word", "term", "later").agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).filter("neg > 0").collect()
+    times = Counter()
+    for r in beside:
+        times[r["term"], r["word"]] += r["neg"]
+    # words seen once tell how often words not seen yet lie beside a term, which then says less when it is misspelled
+    clean = Counter(term for (term, _), n in times.items() if n == 1)
+    inexact = {t: max(0.0, min(lexicon[t], lexicon[t] + float(np.log(seen[t][1] + 0.5) - np.log(n + 0.5)))) for t, n in clean.items()}
+    # the weights see neighbours in clean rows that were not asked which words to spare
+    early = _spared([r for r in beside if not r["later"]], share)
+    got = rows.filter("later").select("text", "toxic").mapInArrow(_features(lexicon, early, inexact), "toxic int, x array<double>").toPandas()
+    spared = early | _spared(beside, share)
     if not len(got) or got["toxic"].nunique() < 2:
-        return Model(lexicon, np.array([0.8, 0, 0, 0.2, 0, 0]), -2.0)
+        return Model(lexicon, np.array([0.8, 0, 0, 0.2, 0, 0]), -2.0, spared, inexact)
     w, bias = regression(np.array(got["x"].tolist()), got["toxic"].to_numpy(dtype=float))
-    return Model(lexicon, w, bias)
+    return Model(lexicon, w, bias, spared, inexact)
 
 
-def _prune(lexicon: dict[str, float]) -> dict[str, float]:
-    """Leaves out what a shorter beginning already says with nearly the same weight."""
+def _spared(rows: list, share: float) -> frozenset[str]:
+    """Spellings beside a term that clean rows have too often to be misspellings."""
+    pos, neg = Counter(), Counter()
+    for r in rows:
+        pos[r["word"]] += r["pos"]
+        neg[r["word"]] += r["neg"]
+    return frozenset(w for w in neg if pos[w] / (pos[w] + neg[w] * share) < PRECISION)
+
+
+def _prune(lexicon: dict[str, float], counts: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Leaves out beginnings that stand for no more than one word or a longer beginning, and what a shorter one already says.
+
+    Whole words that may have an error all stay: a beginning has none.
+    """
     kept: dict[str, float] = {}
+    more = {(word[:k], n) for term, n in counts.items() for word in [term.rstrip("*")] for k in PREFIXES if k <= len(word) - term.endswith("*")}
     for term in sorted(lexicon, key=lambda t: (len(t.rstrip("*")), t)):
-        word = term.rstrip("*")
-        shorter = [kept[word[:k] + "*"] for k in PREFIXES if k <= len(word) - (term[-1:] == "*") and word[:k] + "*" in kept]
-        if not shorter or max(shorter) < lexicon[term] - 0.7:
+        begins, word = term.endswith("*"), term.rstrip("*")
+        if begins and (word, counts[term]) in more:
+            continue
+        shorter = [kept[word[:k] + "*"] for k in PREFIXES if k <= len(word) - begins and word[:k] + "*" in kept]
+        if not begins and len(word) >= FUZZY_FROM or not shorter or max(shorter) < lexicon[term] - 0.7:
             kept[term] = lexicon[term]
     return kept
 
@@ -247,7 +326,7 @@ def _prune(lexicon: dict[str, float]) -> dict[str, float]:
 def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        finder = Finder(Lexicon(m.lexicon))
+        finder = Finder(Lexicon(m.lexicon), m.spared, m.inexact)
         for batch in batches:
             if not batch.num_rows:
                 continue

@@ -97,6 +97,42 @@ def test_automaton_equals_edit_distance():
             assert hit is None, (w, hit)
 
 
+MISSPELLED = [lambda t: t[1:], lambda t: t[0] + t, lambda t: "x" + t[1:], lambda t: t[:2] + t[3:], lambda t: t[:3] + "q" + t[3:], lambda t: t[:-1]]
+
+
+def test_every_toxic_term_may_be_misspelled(spark):
+    bad = ["grumpoid", "snarlface", "yuckhead", "mockster", "idjot"]
+    rng = random.Random(4)
+    rows, labels = [], []
+    for k in range(1200):
+        words = K.prose(k, 4).split()
+        if k % 3 == 0:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        elif k % 3 == 1:
+            words.insert(3, rng.choice(["ockster", "mockery", "snarling"]))  # clean words beside a term or with its beginning
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 3 == 0)))
+    model = toxicity.fit(K.docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(bad) <= set(model.lexicon) and "ockster" in model.spared
+    finder = toxicity.Finder(toxicity.Lexicon(model.lexicon), model.spared, model.inexact)
+    score = lambda text: float(model.score(np.array([finder.features(text)]))[0])
+    for k, term in enumerate(bad):
+        for j, wrong in enumerate(MISSPELLED):
+            words = K.prose(5000 + k, 4).split()
+            for at, t in ((2, term), (9, bad[(k + 1) % 5]), (16, bad[(k + 2) % 5])):
+                words.insert(at, MISSPELLED[(j + 1) % 6](t) if wrong(t) in model.spared else wrong(t))
+            assert score(" ".join(words)) >= 0.5, (term, j)
+    for clean in ("ockster", "snarling", "grumpy", "mockery yucca"):
+        assert score(K.prose(6000, 4) + " " + clean) < 0.5
+    assert finder.match("1djot") == finder.match("idj0t") == ("idjot", 0) and finder.match("idjot7")[0] == "idjot" and finder.match("2024") is None
+
+
+def test_a_beginning_beside_its_word_still_stands_for_inflections():
+    lexicon = toxicity.Lexicon({"grump": 3.0, "grump*": 2.0})
+    assert lexicon.match("grumpish") == ("grump*", 0) and lexicon.match("grumpy") == ("grump*", 0) and lexicon.match("rump") == ("grump", 1)
+
+
 def test_toxicity_learns_terms_and_scores_held_out_rows(spark):
     bad = ["grumpoid", "snarlface", "yuckhead"]
     rng = random.Random(1)
