@@ -1,10 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
-Words are runs of bytes that are no ASCII white space.  A sentence ends after
-a word that ends in ``. ! ? ; :``, before a line break, or, so that text
-without punctuation has sentences too, after a word whose hash is 0 modulo 8;
-the rule looks at nothing but the word and what follows it, so a passage has
-the same inner sentences wherever it stands.  A span starts at each sentence
+Words are runs of bytes that are no ASCII white space, and single characters
+of scripts that are written without spaces.  A sentence ends after a word that
+ends in ``. ! ? ; :`` or an ideographic stop, and before a line break; where
+``WINDOW`` words in a row have no such end, it ends after the one with the
+least hash, the last of equals.  So every ``WINDOW`` words hold an end, and
+which words of a passage are ends depends on fewer than ``WINDOW`` words
+around them: a passage of 50 words has a span that is the same wherever it
+stands, whatever its words.  A span starts at each sentence
 and runs over the fewest sentences, two or more, that hold ``SPAN_WORDS``
 words.  Spans meet by a 64-bit hash of their small-lettered words.  Every
 occurrence but the first by (doc_id, position) loses its sentences.
@@ -23,25 +26,67 @@ from . import buffers as B
 
 U64 = np.uint64
 SPAN_WORDS = 16
+WINDOW = 8
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?;:")] = True
+_WIDE_END = np.array(sorted(int.from_bytes(c.encode(), "big") for c in "。！？；：｡．"))
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 11, 12, 13]] = True
 
 
+def _unspaced(low: np.ndarray) -> np.ndarray:
+    """Where characters begin that are words of their own: Thai, Lao, Tibetan, Burmese, Khmer, Chinese and Japanese ones and wide forms."""
+    lead = np.flatnonzero(low[:-2] >= 0xE0) if len(low) > 2 else np.zeros(0, dtype=np.int64)
+    a, b = low[lead], low[lead + 1]
+    own = (a == 0xE0) & (b >= 0xB8) | (a == 0xE1) & ((b <= 0x81) | (b == 0x9E) | (b == 0x9F)) | (a == 0xE2) & (b >= 0xBA) | (a > 0xE2) & (a < 0xEA)
+    own |= (a == 0xEF) & ((b >= 0xA4) & (b <= 0xAB) | (b >= 0xBC) & (b <= 0xBE)) | (a == 0xF0) & (b >= 0xA0) & (b <= 0xB3)
+    return lead[own]
+
+
+def _split(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts words before and after each character that is a word of its own."""
+    lead = _unspaced(low)
+    if not len(lead):
+        return starts, ends
+    new = np.unique(np.concatenate((starts, lead, lead + np.where(low[lead] >= 0xF0, 4, 3))))
+    run = np.searchsorted(starts, new, side="right") - 1
+    inside = (run >= 0) & (new < ends[run])
+    new, run = new[inside], run[inside]
+    return new, np.minimum(np.concatenate((new[1:], [len(low)])), ends[run])
+
+
+def _least(words: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The word with the least hash, the last of equals, of each ``WINDOW`` words that hold no end; rows end in ends."""
+    windows = len(words) - WINDOW + 1
+    if windows < 1:
+        return np.zeros(0, dtype=np.int64)
+    ended = np.concatenate(([0], np.cumsum(last)))
+    at = np.flatnonzero(ended[WINDOW:] == ended[:-WINDOW])
+    best, place = words[at], at.copy()
+    for d in range(1, WINDOW):
+        own = words[at + d]
+        less = own <= best
+        best[less], place[less] = own[less], at[less] + d
+    return place
+
+
 def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, byte starts of words, each sentence's first word with the end as last, and sentence bounds of rows."""
     low = B.LOWER[buf]
-    starts, ends = B.runs(low, offs, B.SPACED)
+    starts, ends = _split(low, *B.runs(low, offs, B.SPACED))
     words = B.RunHash(low)(starts, ends)
     first = B.counts_in(starts, offs)
     lines = np.concatenate(([0], np.cumsum(_BREAK[low]))) if len(low) else np.zeros(1, dtype=np.int64)
     last = np.zeros(len(words), dtype=bool)
     if len(words):
-        last = _END[low[ends - 1]] | ((words >> U64(40)) % U64(8) == 0)
+        last = _END[low[ends - 1]]
+        wide = np.flatnonzero((low[ends - 1] >= 0x80) & (ends - starts >= 3))
+        tail = ends[wide, None] + np.arange(-3, 0)
+        last[wide] = np.isin(low[tail].astype(np.int64) @ np.array([1 << 16, 1 << 8, 1]), _WIDE_END)
         last[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
         row_ends = first[1:][np.diff(first) > 0] - 1
         last[row_ends] = True
+        last[_least(words, last)] = True
     bounds = np.concatenate(([0], np.flatnonzero(last) + 1))
     return words, starts, bounds, np.searchsorted(bounds, first, side="left")
 

@@ -191,3 +191,44 @@ def test_suffix_array_equals_sorting(letters):
         assert lyndon.suffix_array(np.array(t)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
     for t in ([1] * 40 + [0], [1, 2] * 20 + [0], [2, 1] * 20 + [0], [1] * 30 + [2, 0]):
         assert lyndon.suffix_array(np.array(t)).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def span_words(texts):
+    """The words of each text's spans, and its sentences."""
+    import pyarrow as pa
+
+    from inkstream.llm import buffers as B
+
+    buf, offs = B.text_arrays(pa.array(texts, type=pa.large_string()))
+    words, _, bounds, rows = sentence_spans.sentences(buf, offs)
+    row, at, to, h, _ = sentence_spans.spans_of(words, bounds, rows)
+    return [set(h[row == r].tolist()) for r in range(len(texts))], [np.diff(bounds[rows[r] : rows[r + 1] + 1]) for r in range(len(texts))]
+
+
+@pytest.mark.parametrize("distinct", [1, 2, 3, 10, 40, 5000])
+def test_every_passage_of_51_stop_free_words_has_a_span_in_common(distinct):
+    rng = random.Random(distinct)
+    word = lambda: f"w{rng.randrange(distinct)}x"
+    texts = []
+    for _ in range(2000):
+        passage = [word() for _ in range(51)]
+        for _ in range(2):
+            texts.append(" ".join([f"u{rng.random()}" for _ in range(rng.randrange(20))] + passage + rng.choice(["", "\n"]).split(" ") + [f"v{rng.random()}" for _ in range(rng.randrange(20))]))
+    spans, sizes = span_words(texts)
+    assert all(a & b for a, b in zip(spans[::2], spans[1::2]))
+    assert max(int(s.max()) for s in sizes) <= sentence_spans.WINDOW
+
+
+def test_text_without_spaces_repeats(spark):
+    rng = random.Random(7)
+    for first, size in ((0x4E00, 2000), (0x0E01, 40), (0x3041, 80)):
+        letters = lambda n: "".join(chr(first + rng.randrange(size)) for _ in range(n))
+        passages = [letters(60) for _ in range(200)]
+        spans, _ = span_words([t for p in passages for t in (letters(30) + p + letters(9), "abc " + letters(5) + p + letters(40))])
+        assert all(a & b for a, b in zip(spans[::2], spans[1::2]))
+    passage = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(60))
+    rows = [(1, "前文" + passage + "後文。"), (2, "別" + passage + "了")]
+    got = {r.doc_id: r for r in sentence_spans.remove_repeats(K.docs(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and len(got[2].text) < 40
+    _, sizes = span_words(["山。水！火"])
+    assert sizes[0].tolist() == [2, 2, 1]
