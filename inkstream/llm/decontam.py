@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import buffers as B
@@ -196,28 +197,37 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     The benchmark is measured first.  While its text fits in ``block_bytes``
     it is one block; a larger one is dealt by hash into more blocks, each of
-    them a further scan whose spans and items are merged per row.
+    them a further scan whose spans and items are merged per text.
     """
     n, items = _collect(_item_rows(benchmark, item_col, item_text_col), block_bytes)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if n == 1:
+        return _block(narrow, items, window)
+    found = _by_text(narrow.withColumn("doc_id", _digest("text")), items, n, window)
+    return narrow.select("doc_id", _digest("text").alias("digest")).join(found.withColumnRenamed("doc_id", "digest"), "digest").drop("digest")
+
+
+def _digest(text_col: str) -> Column:
+    """Names a row by its text; a null text has no words, as an empty one."""
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"), 256))
+
+
+def _block(narrow: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """A scan of ``doc_id, text`` for one block of items."""
+    rows = [(r["item"], r["text"]) for r in items.collect()]  # at most about block_bytes of text
     schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    return narrow.mapInArrow(_scanner(*_patterns(rows, window)), schema)
 
-    def block(k: int) -> DataFrame:
-        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        rows = [(r["item"], r["text"]) for r in own.collect()]  # at most about block_bytes of text
-        return narrow.mapInArrow(_scanner(*_patterns(rows, window)), schema)
 
-    if n == 1:
-        return block(0)
-    parts = block(0)
-    for k in range(1, n):
-        parts = parts.unionByName(block(k))
-    return merge_blocks(parts)
+def _by_text(named: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
+    """What ``n`` blocks find in each distinct text; ``doc_id`` is the text's digest."""
+    parts = [_block(named, items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k), window) for k in range(n)]
+    return merge_blocks(reduce(DataFrame.unionByName, parts))
 
 
 def merge_blocks(parts: DataFrame) -> DataFrame:
-    """Joins what several blocks found; a document that is repeated counts once here."""
-    spread = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    """Joins what several blocks found in rows of one name; what is found alike in copies is held once."""
+    spread = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
     def add(acc, x):
         last = F.try_element_at(acc, F.lit(-1))
@@ -239,12 +249,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of ``docs`` that are not contaminated, with all their columns.
 
     One block of items needs no join: the scan itself passes rows on.  With
-    more blocks a document's hits are merged first and joined back by id.
+    more blocks a text's hits are merged first and joined back by its digest.
     """
     n, items = _collect(_item_rows(benchmark, item_col, item_text_col), block_bytes)
     if n == 1:
         rows = [(r["item"], r["text"]) for r in items.collect()]
         return docs.mapInArrow(_cleaner(*_patterns(rows, WINDOW), docs.columns.index(text_col)), docs.schema)
-    found = contamination(docs, benchmark, id_col, text_col, item_col, item_text_col, WINDOW, block_bytes)
-    gone = report(found).filter("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    narrow = docs.select(_digest(text_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    gone = report(_by_text(narrow, items, n, WINDOW)).filter("contaminated").select(F.col("doc_id").alias("_gone"))
+    return docs.withColumn("_digest", _digest(text_col)).join(gone, F.col("_digest") == F.col("_gone"), "left_anti").drop("_digest")

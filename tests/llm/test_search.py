@@ -64,6 +64,17 @@ def test_contaminated_rows_go(spark):
     assert decontam.contamination(K.docs(spark, []), items).count() == 0
 
 
+def test_repeated_and_null_ids_in_several_blocks(spark):
+    rows = contaminated_docs() + [(3, "cedar delta fjord"), (40, K.prose(77, 5)), (None, "x cedar delta fjord y"), (None, K.prose(51, 2)), (None, None), (41, "x cedar delta fjord y")]
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = sorted(brute_hits(rows, ITEMS), key=str)
+    for block in (1 << 20, 60):
+        got = [tuple(r) for r in decontam.report(decontam.contamination(K.docs(spark, rows), items, block_bytes=block)).collect()]
+        assert sorted(got, key=str) == want
+        kept = decontam.drop_contaminated(K.docs(spark, rows), items, block_bytes=block)
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r in want if not r[5]) and kept.columns == K.docs(spark, []).columns
+
+
 def test_search_finds_every_occurrence():
     rng = random.Random(2)
     for m in (1, 2, 3, 5, 13):
