@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import buffers as B
 from .store import Scratch
 
 TOKENS = 1024
@@ -39,11 +40,12 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Texts to ids for a tokenizer file, without special tokens.
+    """Texts to ids for a tokenizer file, as ``tokenizers`` gives them with ``add_special_tokens=False``.
 
-    A byte-level BPE whose ids follow the order of its merges, with the usual
-    word pattern, gives the same ids through ``tiktoken``, several times
-    faster; every other file goes through ``tokenizers``.
+    Nothing is added around a text; an added token that a text spells out is
+    its one id.  A byte-level BPE whose ids follow the order of its merges,
+    with the usual word pattern, gives the same ids through ``tiktoken``,
+    several times faster; every other file goes through ``tokenizers``.
     """
     if path not in _encoders:
         with open(path, encoding="utf-8") as f:
@@ -56,7 +58,6 @@ def _general(path: str) -> Callable[[list[str]], list[list[int]]]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -68,14 +69,18 @@ def _fast(spec: dict) -> Callable[[list[str]], list[list[int]]] | None:
     merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
     if any(a >= b for a, b in zip(merged, merged[1:])):
         return None
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = spec.get("added_tokens", [])
+    special = {t["content"]: t["id"] for t in added}
+    # added tokens that take in spaces around them, need word ends or begin alike are left to the general way
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added) or any(a != b and a.startswith(b) for a in special for b in special):
+        return None
     ranks = {bytes(letters[c] for c in word): i for word, i in vocab.items() if word not in special}
     import tiktoken
 
     # the word pattern of byte-level pre-tokenizers, a fixed value
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    coder = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [coder.encode_ordinary(t) for t in texts]
+    coder = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return lambda texts: [coder.encode(t, allowed_special="all") for t in texts]
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -88,8 +93,8 @@ def _piecer(path: str, most: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a, b, _, _ in B.pieces(batch.column(1)):
+                part = batch.slice(a, b - a)
                 rows, kept = [], []
                 for i, ids in enumerate(encode([t or "" for t in part.column(1).to_pylist()])):
                     flat = np.array([*ids, end], dtype="<u4")
@@ -111,6 +116,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``, of every document.
 
     A null text is empty and gives one piece that holds the end id alone.
+    Texts are encoded about a megabyte at a time; a longer one alone, whole,
+    for ids do not end at any cut.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
@@ -164,12 +171,13 @@ def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int | None = None,
 
     ``documents`` and ``attention`` bound the pieces of a sequence and the sum
     of their squared lengths; left out, tokens alone bind.  Repeated rows are
-    packed one by one; an empty table gives an empty one.
+    packed one by one and dealt over all shards like others; an empty table
+    gives an empty one.
     """
     disk = Scratch(pieces.sparkSession)
     pieces = disk.keep(pieces)
     shards = max(1, -(-pieces.count() // shard_pieces))
     capacity = (float(tokens), float(documents or tokens), float(attention or tokens**2))
-    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "length"), F.lit(shards)))
+    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema] + ["sequence_id long", "offset long"])
     return keyed.groupBy("shard").applyInPandas(_packer(capacity), schema)

@@ -111,10 +111,9 @@ def test_best_fit_respects_every_capacity():
 def test_packing_covers_all_ids(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
-    rows = K.corpus() + [(60, K.prose(60, 400)), (61, "  tabs\tand\n\nlines  <|endoftext|> 12345 it's naïve 東京 😀")]
+    rows = K.corpus() + [(60, K.prose(60, 400)), (61, "  tabs\tand\n\nlines  <|endoftext|> 12345 it's naïve 東京 😀"), (62, "a<|endoftext|>b<|endoftext|><|endoftext|>  <|endoftext"), (63, "<|endoftext|>")]
     got = packing.pack(packing.token_pieces(K.docs(spark, rows), path, keep_ids=True), shard_pieces=20).collect()
     t = tokenizers.Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = sorted((str(i), [*t.encode(x or "", add_special_tokens=False).ids, 2]) for i, x in rows)
     by = {}
     for r in sorted(got, key=lambda r: (str(r.doc_id), r.piece)):
@@ -131,6 +130,33 @@ def test_packing_covers_all_ids(spark):
     assert packing.pack(packing.token_pieces(K.docs(spark, []), path)).count() == 0
 
 
+def test_packing_under_document_and_attention_bounds(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rows = K.corpus() + [(None, None)] * 200 + [(70 + k, K.prose(70 + k, 20 + 9 * k)) for k in range(12)]
+    pieces = packing.token_pieces(K.docs(spark, rows), path)
+    got = packing.pack(pieces, documents=5, attention=1_100_000.0, shard_pieces=64).collect()
+    assert len(got) == pieces.count()
+    places, shards = {}, set()
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        if r.doc_id is None and r.length == 1:
+            shards.add(r.sequence_id >> 32)
+    for p in places.values():
+        p.sort()
+        assert len(p) <= 5 and sum(n for _, n in p) <= 1024 and sum(n * n for _, n in p) <= 1_100_000
+        assert [s for s, _ in p] == list(np.cumsum([0] + [n for _, n in p])[:-1])
+    assert max(map(len, places.values())) == 5 and len(shards) > 1
+    # plain best fit: no piece fits a sequence that was open before its own
+    lengths = np.array(sorted((r.length for r in got), reverse=True))
+    bins, _ = packing.best_fit(lengths, (1024.0, 5.0, 1_100_000.0))
+    left = {}
+    for n, b in zip(lengths.tolist(), bins.tolist()):
+        if b not in left:
+            assert not any(t >= n and d >= 1 and a >= n * n for t, d, a in left.values())
+        t, d, a = left.get(b, (1024, 5, 1_100_000))
+        left[b] = (t - n, d - 1, a - n * n)
+
+
 def test_other_tokenizer_files_use_their_own_library():
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
     assert packing._fast(__import__("json").load(open(path, encoding="utf-8"))) is None
