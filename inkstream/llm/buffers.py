@@ -67,25 +67,61 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+#: A long array's prefix sums start again after so many elements, so powers of the base are held for that many alone.
+STRETCH = 1 << 21
+
+
 class RunHash:
     """Hashes of any runs ``[start, end)`` of a byte array, or of an array of 64-bit values."""
 
     def __init__(self, buf: np.ndarray):
-        up, self.down = powers(len(buf))
-        self.sums = np.zeros(len(buf) + 1, dtype=U64)
-        values = BYTE_VALUE[buf] if buf.dtype == np.uint8 else buf
+        step = min(len(buf), STRETCH)
+        self.up, self.down = powers(step)
+        self.sums = np.zeros(len(buf) + max(1, -(-len(buf) // STRETCH)), dtype=U64)
+        at = 0
         with np.errstate(over="ignore"):
-            np.cumsum(values * up[: len(buf)], dtype=U64, out=self.sums[1:])
+            for a in range(0, len(buf), STRETCH):
+                part = buf[a : a + STRETCH]
+                values = BYTE_VALUE[part] if part.dtype == np.uint8 else part
+                np.cumsum(values * self.up[: len(part)], dtype=U64, out=self.sums[at + 1 : at + 1 + len(part)])
+                at += STRETCH + 1
+        self.one = len(buf) <= STRETCH
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (self.sums[end] - self.sums[start]) * self.down[start]
+            if self.one:
+                return (self.sums[end] - self.sums[start]) * self.down[start]
+            first, last = start // STRETCH, np.maximum(end - 1, start) // STRETCH
+            own = start - first * STRETCH
+            base = first * (STRETCH + 1)
+            out = (self.sums[base + np.minimum(end - first * STRETCH, STRETCH)] - self.sums[base + own]) * self.down[own]
+            far, whole = U64(1), self.up[STRETCH]
+            over = np.flatnonzero(last > first)
+            part = first[over] + 1
+            while len(over):
+                till = np.minimum(end[over] - part * STRETCH, STRETCH)
+                out[over] += self.sums[part * (STRETCH + 1) + till] * self.up[STRETCH - own[over]] * far
+                far = far * whole
+                going = last[over] > part
+                over, part = over[going], part[going] + 1
+            return out
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix(self.raw(start, end) + (end - start).astype(U64))
 
 
+def unused(columns: list[str], *wanted: str) -> list[str]:
+    """Names for further columns that no column of a table has, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and int64 row offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,66 +2,134 @@
 
 Patterns are the windows of consecutive words of the benchmark's items.  The
 tables hold, for the hash of each block of two words, how far a search may
-move on; where it may not move, the suffix-hash bucket names the patterns to
-compare.  All texts of a batch are searched in step: a text is cut into lanes
-of end positions and every lane moves by its own shift, so most words are
-never looked at.
+move on; where it may not move, the suffix-hash bucket, ordered by a hash of
+the whole window, names the patterns to compare, and their words are compared
+byte by byte.  All texts of a batch are searched in step: a text is cut into
+lanes of end positions and every lane moves by its own shift, so most words
+are never looked at.
+
+A block of items is about its text in words, hashes and places: some five
+times its bytes.  Each block is one more step of the same scan, which carries
+what it found from block to block in the row itself, so rows are answered one
+by one at any size of the benchmark, without a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import buffers as B
+from .store import Scratch
 
 U64 = np.uint64
 WINDOW = 13
 #: A text is contaminated if it has hit words and they are one in so many or more.
 RATIO = 20
-#: Items go to executors in blocks of at most this many bytes of text; each block is one more scan.
-BLOCK_BYTES = 32 << 20
+#: Items go to executors in blocks of about this many bytes of text.
+BLOCK_BYTES = 8 << 20
+#: Blocks that one pass over the documents holds; after so many, what was found is written and read again.
+PASS_BLOCKS = 4
 _LANE = 256
-_TABLE_BITS = 18
+_TABLE_BITS = range(12, 25)
 _A, _C = (int(x) | 1 for x in B.stream(41, 2))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPANS_SQL = "array<struct<start:long,end:long>>"
 
 
-def _blocks(before: np.ndarray | None, last: np.ndarray) -> np.ndarray:
+def _pairs(before: np.ndarray | None, last: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return B.mix(last * U64(_A) + (before * U64(_C) if before is not None else U64(0)))
 
 
+@dataclass
+class Words:
+    """The words of some texts: small-lettered bytes, places, hashes, and the bounds of texts."""
+
+    low: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, buf: np.ndarray, offs: np.ndarray) -> Words:
+        low = B.LOWER[buf]
+        starts, ends = B.runs(low, offs, B.ALNUM)
+        return cls(low, starts, ends, B.RunHash(low)(starts, ends), B.counts_in(starts, offs))
+
+    @classmethod
+    def of_column(cls, column: pa.Array) -> Words:
+        """All texts of a column at once; hashes are made piece by piece."""
+        parts, at, n = [], 0, 0
+        for _, _, buf, offs in B.pieces(column):
+            w = cls.of(buf, offs)
+            parts.append((w.low, w.starts + at, w.ends + at, w.hashes, w.first[1:] + n))
+            at, n = at + len(buf), n + len(w.starts)
+        if not parts:
+            none = np.zeros(0, dtype=np.int64)
+            return cls(np.zeros(0, np.uint8), none, none, np.zeros(0, dtype=U64), np.zeros(1, dtype=np.int64))
+        low, starts, ends, hashes, first = (np.concatenate(x) for x in zip(*parts))
+        return cls(low, starts, ends, hashes, np.concatenate(([0], first)))
+
+
+def same_words(x: Words, i: np.ndarray, y: Words, j: np.ndarray) -> np.ndarray:
+    """Whether words ``i`` of one and ``j`` of the other are the same bytes."""
+    size = x.ends[i] - x.starts[i]
+    same = size == y.ends[j] - y.starts[j]
+    for a in range(0, len(i), 1 << 16):
+        own = np.flatnonzero(same[a : a + (1 << 16)]) + a
+        if not len(own):
+            continue
+        n = size[own]
+        begin = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(begin, n)
+        differ = x.low[np.repeat(x.starts[i[own]], n) + step] != y.low[np.repeat(y.starts[j[own]], n) + step]
+        same[own] = ~np.logical_or.reduceat(differ, begin)
+    return same
+
+
 @dataclass
 class Tables:
-    """Search tables for patterns of one length."""
+    """Search tables for the distinct windows of one length of a block's items."""
 
     length: int
     shift: np.ndarray
-    suffix: np.ndarray  # sorted suffix-block hashes
-    words: np.ndarray  # patterns in that order, a row of word hashes each
-    items: list[list[str]]  # the items of each pattern
+    suffix: np.ndarray  # hash of each window's last two words, sorted
+    whole: np.ndarray  # hash of each window, sorted among those of one suffix
+    at: np.ndarray  # where in the items' words the window stands
+    bound: np.ndarray  # the items of each window
+    item: np.ndarray
 
     @classmethod
-    def build(cls, patterns: dict[tuple[int, ...], set[str]]) -> Tables:
-        keys = list(patterns)
-        words = np.array(keys, dtype=U64).reshape(len(keys), -1)
-        m = words.shape[1]
+    def build(cls, words: np.ndarray, at: np.ndarray, item: np.ndarray, m: int) -> Tables:
+        """``at`` are the first words of windows of ``m`` words, ``item`` the item that each belongs to."""
         block = min(2, m)
-        shift = np.full(1 << _TABLE_BITS, m - block + 1, dtype=np.int64)
-        for j in range(block - 1, m):
-            h = _blocks(words[:, j - 1] if block == 2 else None, words[:, j])
-            np.minimum.at(shift, (h & U64(len(shift) - 1)).astype(np.int64), m - 1 - j)
-        order = np.argsort(h, kind="stable")
-        return cls(m, shift, h[order], words[order], [sorted(patterns[keys[i]]) for i in order])
+        hashes = B.RunHash(words)(at, at + m)
+        again = B.RunHash(B.mix(words))(at, at + m)  # distinct windows are told apart by 128 bits
+        suffix = _pairs(words[at + m - 2] if block == 2 else None, words[at + m - 1])
+        order = np.lexsort((item, again, hashes, suffix))
+        at, item, hashes, again, suffix = (x[order] for x in (at, item, hashes, again, suffix))
+        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (again[1:] != again[:-1]) | (suffix[1:] != suffix[:-1])))
+        held = new.copy()
+        held[1:] |= item[1:] != item[:-1]
+        bound = np.concatenate((np.cumsum(held)[new] - 1, [held.sum()]))
+        bits = int(np.clip(np.ceil(np.log2(8 * len(at))), _TABLE_BITS[0], _TABLE_BITS[-1]))
+        shift = np.full(1 << bits, m - block + 1, dtype=np.uint8 if m < 256 else np.int32)
+        first = at[new]
+        for j in range(block - 1, m):  # smaller shifts last
+            h = _pairs(words[first + j - 1] if block == 2 else None, words[first + j])
+            shift[(h & U64(len(shift) - 1)).astype(np.int64)] = m - 1 - j
+        return cls(m, shift, suffix[new], hashes[new], first.astype(np.int32), bound.astype(np.int32), item[held].astype(np.int32))
 
     def search(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start positions and pattern numbers of all occurrences; ``first`` bounds the texts' words."""
+        """Start positions and window numbers of all candidates of equal hashes; ``first`` bounds the texts' words."""
         m = self.length
         begin, stop = first[:-1] + m - 1, first[1:]
         lanes = np.maximum(-(-(stop - begin) // _LANE), 0)
@@ -71,119 +139,141 @@ class Tables:
         end = np.minimum(at + _LANE, stop[text])
         found = []
         while len(at):
-            h = _blocks(words[at - 1] if m > 1 else None, words[at])
-            step = self.shift[(h & U64(len(self.shift) - 1)).astype(np.int64)]
+            h = _pairs(words[at - 1] if m > 1 else None, words[at])
+            step = self.shift[(h & U64(len(self.shift) - 1)).astype(np.int64)].astype(np.int64)
             stay = step == 0
             if stay.any():
                 found.append((at[stay], h[stay]))
             at = at + np.maximum(step, 1)
             going = at < end
             at, end = at[going], end[going]
+        none = np.zeros(0, dtype=np.int64)
         if not found:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            return none, none
         ends, h = (np.concatenate(x) for x in zip(*found))
         lo, hi = np.searchsorted(self.suffix, h, "left"), np.searchsorted(self.suffix, h, "right")
-        n = hi - lo
-        starts = np.repeat(ends - m + 1, n)
-        pattern = np.arange(len(starts)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        same = np.ones(len(starts), dtype=bool)
-        for j in range(m):
-            same[same] = words[starts[same] + j] == self.words[pattern[same], j]
-        return starts[same], pattern[same]
+        ends, lo, hi = (x[lo < hi] for x in (ends, lo, hi))
+        if not len(ends):
+            return none, none
+        starts = ends - m + 1
+        whole = B.RunHash(words)(starts, ends + 1)
+        # first window of the bucket whose hash is not less
+        a, b = lo, hi
+        while (a < b).any():
+            mid = (a + b) // 2
+            less = (a < b) & (self.whole[np.minimum(mid, len(self.whole) - 1)] < whole)
+            a, b = np.where(less, mid + 1, a), np.where(less, b, np.minimum(b, mid))
+        got = [(none, none)]
+        while len(a):
+            ok = a < hi
+            ok[ok] = self.whole[a[ok]] == whole[ok]
+            starts, a, hi, whole = starts[ok], a[ok], hi[ok], whole[ok]
+            got.append((starts, a))
+            a = a + 1
+        return np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
 
 
-def _words(column: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    for a, b, buf, offs in B.pieces(column):
-        low = B.LOWER[buf]
-        starts, ends = B.runs(low, offs, B.ALNUM)
-        yield a, b, low.tobytes(), starts, ends, B.RunHash(low)(starts, ends), B.counts_in(starts, offs)
-
-
-def _patterns(rows: list[tuple[str, str]], window: int) -> tuple[list[Tables], dict[int, bytes]]:
-    """Tables by pattern length, and the spelling behind every word hash of a pattern."""
-    by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
-    spelling: dict[int, bytes] = {}
-    for a, b, low, starts, ends, words, first in _words(pa.array([t for _, t in rows], type=pa.large_string())):
-        for s, e, h in zip(starts.tolist(), ends.tolist(), words.tolist()):
-            if spelling.setdefault(h, low[s:e]) != low[s:e]:
-                raise ValueError("two words of the benchmark have one hash")
-        for r in range(a, b):
-            own = words[first[r - a] : first[r - a + 1]].tolist()
-            m = min(window, len(own))
-            for i in range(len(own) - m + 1 if m else 0):
-                by_length.setdefault(m, {}).setdefault(tuple(own[i : i + m]), set()).add(rows[r][0])
-    return [Tables.build(p) for p in by_length.values()], spelling
-
-
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+@dataclass
+class Block:
+    """A block of items ready to be searched for."""
 
+    ids: np.ndarray
+    words: Words
+    tables: list[Tables]
 
-def _examine(column: pa.Array, tables: list[Tables], spelling: dict[int, bytes]) -> Iterator[tuple[int, int, np.ndarray, list, list]]:
-    """For rows ``[a, b)``: numbers of words, spans of hit words, ids of items."""
-    for a, b, low, starts, ends, words, first in _words(column):
-        cover = np.zeros(len(words) + 1, dtype=np.int64)
-        items: list[set[str]] = [set() for _ in range(b - a)]
-        for t in tables:
-            at, pattern = t.search(words, first)
+    @classmethod
+    def build(cls, rows: list[tuple[str, str]], window: int) -> Block:
+        names, item = np.unique(np.array([i for i, _ in rows], dtype=object), return_inverse=True) if rows else (np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64))
+        words = Words.of_column(pa.array([t for _, t in rows], type=pa.large_string()))
+        size = np.diff(words.first)
+        length = np.minimum(size, window)
+        tables = []
+        for m in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == m)
+            n = size[own] - m + 1
+            at = np.repeat(words.first[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            tables.append(Tables.build(words.hashes, at, np.repeat(item[own], n), m))
+        return cls(names, words, tables)
+
+    def find(self, text: Words) -> tuple[np.ndarray, list[set[str]]]:
+        """Which words lie in an occurrence of a window, and the items found in each text."""
+        cover = np.zeros(len(text.starts) + 1, dtype=np.int64)
+        items: list[set[str]] = [set() for _ in range(len(text.first) - 1)]
+        for t in self.tables:
+            at, window = t.search(text.hashes, text.first)
             if not len(at):
                 continue
-            # a hash names its word only where the spelling agrees
-            hit = np.unique((at[:, None] + np.arange(t.length)).ravel())
-            wrong = [i for i in hit.tolist() if low[starts[i] : ends[i]] != spelling[int(words[i])]]
-            if wrong:
-                bad = np.isin(at[:, None] + np.arange(t.length), wrong).any(axis=1)
-                at, pattern = at[~bad], pattern[~bad]
+            step = np.arange(t.length)
+            ok = same_words(text, (at[:, None] + step).ravel(), self.words, (t.at[window][:, None] + step).ravel()).reshape(-1, t.length).all(axis=1)
+            at, window = at[ok], window[ok]
             np.add.at(cover, at, 1)
             np.add.at(cover, at + t.length, -1)
-            for row, p in zip((np.searchsorted(first, at, "right") - 1).tolist(), pattern.tolist()):
-                items[row].update(t.items[p])
-        inside = np.cumsum(cover)[:-1] > 0
-        # windows never cross texts, so runs are cut where texts meet
-        edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-        spans: list[list[dict]] = [[] for _ in range(b - a)]
-        for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-            r = int(np.searchsorted(first, s, "right")) - 1
-            while s < e:
-                to = min(e, int(first[r + 1]))
-                if to > s:
-                    spans[r].append({"start": s - int(first[r]), "end": to - int(first[r])})
-                s, r = to, r + 1
-        yield a, b, np.diff(first), spans, items
-
-
-def _scanner(tables: list[Tables], spelling: dict[int, bytes]):
+            row = np.searchsorted(text.first, at, "right") - 1
+            for r, k in np.unique(np.stack([row, window], axis=1), axis=0).tolist():
+                items[r].update(self.ids[t.item[t.bound[k] : t.bound[k + 1]]])
+        return np.cumsum(cover)[:-1] > 0, items
+
+
+def spans_in(inside: np.ndarray, first: np.ndarray) -> list[list[dict]]:
+    """The maximal runs of hit words of each text."""
+    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
+    spans: list[list[dict]] = [[] for _ in range(len(first) - 1)]
+    for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        r = int(np.searchsorted(first, s, "right")) - 1
+        while s < e:  # runs are cut where texts meet
+            to = min(e, int(first[r + 1]))
+            if to > s:
+                spans[r].append({"start": s - int(first[r]), "end": to - int(first[r])})
+            s, r = to, r + 1
+    return spans
+
+
+def _scanner(shared, text: int):
+    """Adds what a block finds to the last three columns: number of words, spans and items."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block = shared.value
         for batch in batches:
-            for a, b, n, spans, items in _examine(batch.column(1), tables, spelling):
+            names, width = batch.schema.names, batch.num_columns - 3
+            for a, b, buf, offs in B.pieces(batch.column(text)):
+                words = Words.of(buf, offs)
+                inside, items = block.find(words)
+                spans, found = batch.column(width + 1).slice(a, b - a), batch.column(width + 2).slice(a, b - a)
+                for r in np.flatnonzero(pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False) > 0).tolist():
+                    for x in spans[r].as_py():
+                        inside[words.first[r] + x["start"] : words.first[r] + x["end"]] = True
+                    items[r].update(found[r].as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array(spans, type=_SPANS), pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    [*(c.slice(a, b - a) for c in batch.columns[:width]), pa.array(np.diff(words.first)), pa.array(spans_in(inside, words.first), type=_SPANS), pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))],
+                    names=names,
                 )
 
     return scan
 
 
-def _cleaner(tables: list[Tables], spelling: dict[int, bytes], text: int):
-    """Passes whole rows on unless their text is contaminated."""
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, n, spans, _ in _examine(batch.column(text), tables, spelling):
-                hit = [sum(x["end"] - x["start"] for x in own) for own in spans]
-                stays = [h == 0 or RATIO * h < w for h, w in zip(hit, n.tolist())]
-                yield batch.slice(a, b - a).filter(pa.array(stays))
-
-    return clean
+def _scan(docs: DataFrame, text: int, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_bytes: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with three further columns, and their names: number of words, spans of hit words, sorted ids of items."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).dropna()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
+    new = B.unused(docs.columns, "n_words", "spans", "items")
+    out = docs.select("*", F.lit(0).cast("long").alias(new[0]), F.array().cast(_SPANS_SQL).alias(new[1]), F.array().cast("array<string>").alias(new[2]))
+    context, disk = docs.sparkSession.sparkContext, Scratch(docs.sparkSession)
+    for k in range(blocks):
+        if k and k % PASS_BLOCKS == 0:
+            out = disk.keep(out)
+        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+        rows = [(r["item"], r["text"]) for r in part.collect()]  # about half of block_bytes of text
+        out = out.mapInArrow(_scanner(context.broadcast(Block.build(rows, window)), text), out.schema)
+    return out, new
 
 
-def _collect(items: DataFrame, block_bytes: int) -> tuple[int, DataFrame]:
-    """The number of blocks that the items' text needs, after measuring it."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return (1 if total <= block_bytes else -(-2 * total // block_bytes)), items
+def _hits(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-def _item_rows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna()
+def _contaminated(hits: Column, words: Column) -> Column:
+    return (hits > 0) & (RATIO * hits >= words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -192,69 +282,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``spans`` are the maximal runs of hit words (word numbers, end excluded),
     ``items`` the sorted ids, as strings, of items with an occurring window.
     Null and wordless texts have no words, spans or items; items without an
-    id or a word are no patterns; repeated rows are answered one by one; an
-    empty benchmark hits nothing and empty documents give an empty table.
-
-    The benchmark is measured first.  While its text fits in ``block_bytes``
-    it is one block; a larger one is dealt by hash into more blocks, each of
-    them a further scan whose spans and items are merged per text.
+    id or a word are no patterns; repeated rows and rows without an id are
+    answered one by one; an empty benchmark hits nothing and empty documents
+    give an empty table.  Texts are searched about a megabyte at a time, a
+    longer one alone at some 60 times its bytes.
+
+    The benchmark is measured first and dealt by hash into blocks of about
+    half of ``block_bytes``, or one block if it is no larger than that; only
+    one block's text at a time passes through the driver.
     """
-    n, items = _collect(_item_rows(benchmark, item_col, item_text_col), block_bytes)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if n == 1:
-        return _block(narrow, items, window)
-    found = _by_text(narrow.withColumn("doc_id", _digest("text")), items, n, window)
-    return narrow.select("doc_id", _digest("text").alias("digest")).join(found.withColumnRenamed("doc_id", "digest"), "digest").drop("digest")
-
-
-def _digest(text_col: str) -> Column:
-    """Names a row by its text; a null text has no words, as an empty one."""
-    return F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary"), 256))
-
-
-def _block(narrow: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """A scan of ``doc_id, text`` for one block of items."""
-    rows = [(r["item"], r["text"]) for r in items.collect()]  # at most about block_bytes of text
-    schema = f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    return narrow.mapInArrow(_scanner(*_patterns(rows, window)), schema)
-
-
-def _by_text(named: DataFrame, items: DataFrame, n: int, window: int) -> DataFrame:
-    """What ``n`` blocks find in each distinct text; ``doc_id`` is the text's digest."""
-    parts = [_block(named, items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k), window) for k in range(n)]
-    return merge_blocks(reduce(DataFrame.unionByName, parts))
-
-
-def merge_blocks(parts: DataFrame) -> DataFrame:
-    """Joins what several blocks found in rows of one name; what is found alike in copies is held once."""
-    spread = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-
-    def add(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & (last["end"] >= x["start"]), joined).otherwise(F.concat(acc, F.array(x)))
-
-    empty = F.array().cast("array<struct<start:long,end:long>>")
-    return spread.select("doc_id", "n_words", F.aggregate(F.array_sort("s"), empty, add).alias("spans"), "items")
+    found, (words, spans, items) = _scan(narrow, 1, benchmark, item_col, item_text_col, window, block_bytes)
+    return found.select("doc_id", F.col(words).alias("n_words"), F.col(spans).alias("spans"), F.col(items).alias("items"))
 
 
 def report(found: DataFrame) -> DataFrame:
     """The contract's digest columns of :func:`contamination`."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (RATIO * F.col("n_hit") >= F.col("n_words")))
+    out = found.select("doc_id", "n_words", _hits("spans").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns.
-
-    One block of items needs no join: the scan itself passes rows on.  With
-    more blocks a text's hits are merged first and joined back by its digest.
-    """
-    n, items = _collect(_item_rows(benchmark, item_col, item_text_col), block_bytes)
-    if n == 1:
-        rows = [(r["item"], r["text"]) for r in items.collect()]
-        return docs.mapInArrow(_cleaner(*_patterns(rows, WINDOW), docs.columns.index(text_col)), docs.schema)
-    narrow = docs.select(_digest(text_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    gone = report(_by_text(narrow, items, n, WINDOW)).filter("contaminated").select(F.col("doc_id").alias("_gone"))
-    return docs.withColumn("_digest", _digest(text_col)).join(gone, F.col("_digest") == F.col("_gone"), "left_anti").drop("_digest")
+    """The rows of ``docs`` that are not contaminated, with all their columns; ids play no part."""
+    found, (words, spans, _) = _scan(docs, docs.columns.index(text_col), benchmark, item_col, item_text_col, WINDOW, block_bytes)
+    return found.filter(~_contaminated(_hits(spans), F.col(words))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -45,7 +45,7 @@ def contaminated_docs():
     return rows
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
+@pytest.mark.parametrize("block", [1 << 20, 150])
 def test_contamination_equals_brute_force(spark, block):
     rows = [r for r in contaminated_docs() if r[0] != 3] + [(3, "cedar delta fjord")]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -68,7 +68,7 @@ def test_repeated_and_null_ids_in_several_blocks(spark):
     rows = contaminated_docs() + [(3, "cedar delta fjord"), (40, K.prose(77, 5)), (None, "x cedar delta fjord y"), (None, K.prose(51, 2)), (None, None), (41, "x cedar delta fjord y")]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = sorted(brute_hits(rows, ITEMS), key=str)
-    for block in (1 << 20, 60):
+    for block in (1 << 20, 150):
         got = [tuple(r) for r in decontam.report(decontam.contamination(K.docs(spark, rows), items, block_bytes=block)).collect()]
         assert sorted(got, key=str) == want
         kept = decontam.drop_contaminated(K.docs(spark, rows), items, block_bytes=block)
@@ -78,14 +78,36 @@ def test_repeated_and_null_ids_in_several_blocks(spark):
 def test_search_finds_every_occurrence():
     rng = random.Random(2)
     for m in (1, 2, 3, 5, 13):
-        patterns = {tuple(rng.randint(1, 4) for _ in range(m)): {str(k)} for k in range(20)}
-        tables = decontam.Tables.build(patterns)
-        text = np.array([rng.randint(1, 4) for _ in range(3000)], dtype=np.uint64)
-        first = np.array([0, 700, 700, 705, 3000])
-        at, p = tables.search(text, first)
-        got = sorted((int(a), tuple(tables.words[k].tolist())) for a, k in zip(at, p))
-        want = sorted((s, q) for q in patterns for lo, hi in zip(first, first[1:]) for s in range(lo, hi - m + 1) if tuple(text[s : s + m].tolist()) == q)
-        assert got == want
+        items = [(f"i{k:02d}", " ".join(rng.choice("abcd") for _ in range(m + k % 3))) for k in range(20)]
+        block = decontam.Block.build(items, m)
+        texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (700, 0, 5, 2295)]
+        words = decontam.Words.of_column(decontam.pa.array(texts, type=decontam.pa.large_string()))
+        inside, found = block.find(words)
+        for r, text in enumerate(texts):
+            w, hit, ids = text.split(), set(), set()
+            for name, t in items:
+                for p in {tuple(t.split()[k : k + m]) for k in range(len(t.split()) - m + 1)}:
+                    at = [s for s in range(len(w) - m + 1) if tuple(w[s : s + m]) == p]
+                    hit.update(x for s in at for x in range(s, s + m))
+                    ids |= {name} if at else set()
+            assert set(np.flatnonzero(inside[words.first[r] : words.first[r + 1]]).tolist()) == hit and found[r] == ids
+
+
+def test_words_of_one_hash_are_compared():
+    text = decontam.Words.of_column(decontam.pa.array(["one two three"], type=decontam.pa.large_string()))
+    block = decontam.Block.build([("x", "one two four")], 3)
+    block.words.hashes[2] = text.hashes[2]
+    block.tables = [decontam.Tables.build(block.words.hashes, np.array([0]), np.array([0]), 3)]
+    assert len(block.tables[0].search(text.hashes, text.first)[0]) == 1
+    inside, found = block.find(text)
+    assert not inside.any() and found == [set()]
+
+
+def test_one_very_long_text_is_searched_whole(spark):
+    long = "Cedar delta. " + "lorem ipsum " * 300_000 + K.prose(51, 2)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    row = decontam.report(decontam.contamination(K.docs(spark, [(1, long)]), items)).first()
+    assert row.n_words == 600_002 + len(words_of(K.prose(51, 2))) and row.n_items == 1 and not row.contaminated
 
 
 def test_cut_covers_a_document():
