@@ -8,7 +8,7 @@ byte by byte.  All texts of a batch are searched in step: a text is cut into
 lanes of end positions and every lane moves by its own shift, so most words
 are never looked at.
 
-A block of items is about its text in words, hashes and places: some five
+A block of items is about its text in words, hashes and places: some ten
 times its bytes.  Each block is one more step of the same scan, which carries
 what it found from block to block in the row itself, so rows are answered one
 by one at any size of the benchmark, without a join.
@@ -193,7 +193,10 @@ class Block:
             n = size[own] - m + 1
             at = np.repeat(words.first[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             tables.append(Tables.build(words.hashes, at, np.repeat(item[own], n), m))
-        return cls(names, words, tables)
+        # what is sent along needs the words' places and bytes only
+        small = words.low.size < 1 << 31
+        slim = Words(words.low, *(x.astype(np.int32 if small else np.int64) for x in (words.starts, words.ends)), np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
+        return cls(names, slim, tables)
 
     def find(self, text: Words) -> tuple[np.ndarray, list[set[str]]]:
         """Which words lie in an occurrence of a window, and the items found in each text."""
