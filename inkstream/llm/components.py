@@ -2,68 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch
 
 
-def _star(large: bool):
-    """From links sorted by ``a, b``: a node's neighbours point to the least of them and itself.
-
-    The large star moves the larger neighbours, the small star the smaller
-    ones and the node itself.  A node's links are streamed: only its least
-    neighbour and its last link are held from one batch to the next.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, least, last = None, None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            new = np.concatenate(([node is None or a[0] != node], a[1:] != a[:-1]))
-            first = np.flatnonzero(new)
-            m = np.empty(len(a), dtype=np.int64)
-            begin = np.cumsum(new) - 1
-            m[begin >= 0] = np.minimum(a, b)[first][begin[begin >= 0]]
-            m[begin < 0] = least if least is not None else 0
-            again = np.concatenate(([not new[0] and b[0] == last], (~new[1:]) & (b[1:] == b[:-1])))
-            node, least, last = a[-1], m[-1], b[-1]
-            if large:
-                move = (b > a) & ~again
-                out_a, out_b = b[move], m[move]
-            else:
-                move = (b != m) & ~again
-                out_a, out_b = np.concatenate((b[move], a[new])), np.concatenate((m[move], m[new]))
-            differ = out_a != out_b
-            yield pa.RecordBatch.from_arrays([pa.array(out_a[differ]), pa.array(out_b[differ])], names=["a", "b"])
-
-    return run
+def _large_star(edges: DataFrame, disk: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Every larger neighbour of a node points to the least of the node and its neighbours."""
+    both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    least = disk.keep(both.groupBy("a").agg(F.min("b").alias("m")))
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")), least
 
 
-def _step(edges: DataFrame) -> DataFrame:
-    """A large star, then a small star: one exchange each."""
-    kind = "a long, b long"
-    both = edges.select(F.inline(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
-    edges = both.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_star(True), kind)
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return down.repartition("a").sortWithinPartitions("a", "b").mapInArrow(_star(False), kind)
+def _small_star(down: DataFrame, disk: Scratch) -> tuple[DataFrame, DataFrame]:
+    """From links that lead down: a node and its smaller neighbours point to the least of them."""
+    least = disk.keep(down.groupBy("a").agg(F.min("b").alias("m")))
+    moved = down.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))), least
 
 
 def components(links: DataFrame, disk: Scratch) -> DataFrame:
     """``node, component`` for every node of the links ``a, b``; a component's name is its least node.
 
-    Each step is written to the shared folder, so an executor that is lost
-    costs one step; the driver sees one fingerprint of the links per step.
+    A node's least neighbour is found by an aggregate that combines before the
+    shuffle and is written, so the links of a node that a third of them meet
+    are the large side of a plain join, which Spark splits.  Each step is
+    written to the shared folder, so an executor that is lost costs one step;
+    the driver sees one fingerprint of the links per step.
     """
     edges, before = links.filter("a != b"), None
     while True:
-        after = disk.keep(_step(edges).distinct())
+        large, least = _large_star(edges, disk)
+        down = disk.keep(large)
+        disk.drop(least)
+        small, least = _small_star(down, disk)
+        after = disk.keep(small.distinct())
+        disk.drop(least)
+        disk.drop(down)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before is not None:
             disk.drop(edges)

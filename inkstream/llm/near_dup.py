@@ -80,7 +80,7 @@ def signatures(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, buf, offs in B.pieces(batch.column(1)):
+        for a, b, buf, offs in B.pieces(batch.column(2)):
             flat, bounds = shingle_sets(buf, offs)
             sizes = np.diff(bounds)
             full = sizes > 0
@@ -94,15 +94,20 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             data = np.concatenate(([0], np.cumsum(full * (SYMBOLS * 2)))).astype(np.int32)
             sig = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(data), pa.py_buffer(np.ascontiguousarray(sigs))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), sig],
-                names=["doc_id", "n_shingles", "d1", "d2", "sig"],
+                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(digests[0].view(np.int64)), pa.array(digests[1].view(np.int64)), sig],
+                names=["doc_id", "same", "n_shingles", "d1", "d2", "sig"],
             )
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Set size, 128-bit set digest and signature of every row."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    """Hash of the text, set size, 128-bit set digest and signature of every row."""
+    return _rows(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, same long, n_shingles long, d1 long, d2 long, sig binary")
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, same, text``: a hash of the text tells rows of one id apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
 
 
 def _sig_matrix(column: pa.Array) -> np.ndarray:
@@ -127,7 +132,11 @@ def _index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each node once; rows that repeat an id and a text meet in one task."""
+    done: set[int] = set()
     for batch in batches:
+        new = [n not in done and not done.add(n) for n in batch.column(0).to_pylist()]
+        batch = batch.filter(pa.array(new, type=pa.bool_()))
         for a, b, buf, offs in B.pieces(batch.column(1)):
             flat, bounds = shingle_sets(buf, offs)
             data = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(bounds * 8), pa.py_buffer(np.ascontiguousarray(flat))])
@@ -254,39 +263,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every row is returned; rows that repeat a ``doc_id`` each get what their
     own text's class gets.  A null ``doc_id`` has a null component and is
     kept.  An empty table gives an empty result; other columns are ignored.
+    A very long text is worked on alone, at some 60 times its bytes.
     """
-    spark = docs.sparkSession
-    disk = Scratch(spark)
+    return _judged(docs, id_col, text_col).drop("same")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """:func:`near_duplicates` with the hash of each row's text."""
+    disk = Scratch(docs.sparkSession)
     prints = disk.keep(fingerprints(docs, id_col, text_col))
     classes = (
         prints.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("d1", "d2")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+        .agg(F.min(F.struct("doc_id", "same")).alias("one"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     )
-    classes = disk.keep(classes)
-    nodes = classes.select("node", "sig")
-    keys = nodes.mapInArrow(_index_keys, "key long, node long")
-    several = keys.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1")
+    # a class is a set of shingles, so its name is its own: written with the table, it stays the same
+    classes = disk.keep(classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "one", "n", "sig"))
+    keys = classes.select("node", "sig").mapInArrow(_index_keys, "key long, node long")
+    # small sides are written first, so that Spark may split the large side of a join where a key is hot
+    several = disk.keep(keys.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1"))
     shared = keys.join(several, "key").join(classes.select("node", "n", "sig"), "node").select("key", "node", "n", "sig", "met")
     shared = _blocks(shared, "key", "met", KEY_BLOCK).select("key", "i", "j", "node", "n", "sig")
     close = disk.keep(shared.mapInArrow(_close, "a long, b long").distinct())
     clusters = disk.keep(components(close, disk))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    sets = texts.join(clusters.select("node"), "node", "left_semi").mapInArrow(_sets_of, "node long, shingles binary")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("met"))
+    # the text of each class that is in a cluster: the one its first row has
+    linked = classes.join(clusters.select("node"), "node").select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.same").alias("same"))
+    sets = _rows(docs, id_col, text_col).join(linked, ["doc_id", "same"]).select("node", "text").mapInArrow(_sets_of, "node long, shingles binary")
+    sizes = disk.keep(clusters.groupBy("component").agg(F.count("*").alias("met")))
     members = clusters.join(sizes, "component").withColumnRenamed("component", "cluster").join(sets, "node")
     members = _blocks(members, "cluster", "met", CLUSTER_BLOCK).select("cluster", "i", "j", "node", "shingles")
     links = disk.keep(members.mapInArrow(_confirm, "a long, b long").distinct())
     groups = disk.keep(components(links, disk))
 
-    member = prints.select("doc_id", "n_shingles", "d1", "d2")
-    named = member.join(classes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(groups, "node", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "node", "doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # a group is named by the smallest id that has one of its classes
+    least = classes.select("node", F.col("one.doc_id").alias("least"))
+    grouped = groups.join(least, "node")
+    smallest = disk.keep(grouped.groupBy("component").agg(F.min("least").alias("smallest")))
+    named = grouped.join(smallest, "component").select("node", "smallest")
+    of_class = disk.keep(classes.select("d1", "d2", "node").join(least, "node").join(named, "node", "left").select("d1", "d2", F.coalesce("smallest", "least").alias("smallest")))
+    member = prints.select("doc_id", "same", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
+    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("smallest", "doc_id"))
+    return member.select("doc_id", "n_shingles", component.alias("component_id"), "same").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stays: the smallest id of each component."""
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay: of each component those with its smallest id.
+
+    A row goes by its id and its own text, so another text under the id of a
+    copy stays; rows without an id stay.
+    """
+    ident, same, own = B.unused(docs.columns, "gone_id", "gone_text", "own_text")
+    gone = _judged(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(ident), F.col("same").alias(same)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.col(f"`{text_col}`").cast("string")))
+    return marked.join(gone, (F.col(f"`{id_col}`").cast("long") == F.col(ident)) & (F.col(own) == F.col(same)), "left_anti").drop(own)

@@ -60,6 +60,16 @@ def test_near_duplicates_of_nothing(spark):
     assert kept.columns == K.docs(spark, []).columns
 
 
+def test_texts_under_one_id_are_told_apart(spark):
+    a, b, c = K.prose(31, 6), K.prose(32, 6), K.prose(33, 6)
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b), (2, c), (5, None), (None, a), (9, c + " tail")]
+    got = sorted(((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_dup.near_duplicates(K.docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, True, 1, True), (5, True, 1, False), (5, True, 5, True), (5, True, 5, True), (7, True, 5, False), (2, True, 2, True), (5, False, 5, True), (None, True, None, True), (9, True, 2, False)], key=str)
+    docs = K.docs(spark, rows).withColumnsRenamed({"lang": "gone_id", "source": "gone_text", "span": "own_text", "node": "_gone"})
+    kept = near_dup.drop_near_duplicates(docs)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (5, b), (2, c), (5, None), (None, a)], key=str) and kept.columns == docs.columns
+
+
 def test_signature_keys_meet_within_the_distance():
     rng = np.random.default_rng(3)
     import pyarrow as pa
