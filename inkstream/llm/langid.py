@@ -25,9 +25,13 @@ from .split import at_most, held_out
 LEARN_ROWS = 3000
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 15
-#: Difference of the two best languages' scores below which a text is ambiguous.
-MARGIN = 0.2
+#: A text is ambiguous if the two best languages' scores differ by less, or if the bits in which their codewords
+#: differ hold less than this part of the evidence that a text of one language gives.
+MARGIN = 0.25
 UNKNOWN = "und"
+#: Languages that are learned, at most: those of most rows.
+LANGUAGES = 256
+_STRETCH = 1 << 18
 
 # small ASCII letters and all bytes of longer letters stay; the rest is a gap
 _FOLD = B.LOWER.copy()
@@ -42,10 +46,8 @@ def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     two = ((x * 0x9E3779B1 + p1 * 0x85EBCA77) * np.uint32(0x2C1B3C6D)) >> np.uint32(17)
     three = ((x * 0x9E3779B1 + p1 * 0x85EBCA77 + p2 * 0xC2B2AE3D + np.uint32(12345)) * np.uint32(0x297A2D39)) >> np.uint32(17)
     good = ~((x == 32) & (p1 == 32))
-    starts = offs[:-1][offs[:-1] < len(buf)]
-    good[starts] = False
-    after = starts + 1
-    good[after[after < len(buf)]] = False
+    for starts in (offs[:-1], offs[:-1] + 1):
+        good[starts[(starts >= 0) & (starts < len(buf))]] = False
     return two.astype(np.int64), three.astype(np.int64), good
 
 
@@ -55,25 +57,43 @@ class Model:
     code: np.ndarray  # languages x bits, +1 and -1
     weights: np.ndarray  # buckets x bits
     trust: np.ndarray  # bits
-
-    def margins(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Rows x bits."""
-        two, three, good = _grams(buf, offs)
-        sums = np.zeros((len(buf) + 1, self.weights.shape[1]), dtype=np.float64)
-        np.cumsum((self.weights[two] + self.weights[three]) * good[:, None], axis=0, out=sums[1:])
-        n = np.concatenate(([0], np.cumsum(good)))
-        rows = sums[offs[1:]] - sums[offs[:-1]]
-        return rows / np.sqrt(1.0 + (n[offs[1:]] - n[offs[:-1]]))[:, None]
-
-    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best language, its score, and the lead over the second."""
-        loss = np.logaddexp(0.0, -margins[:, None, :] * self.code[None]) @ self.trust
+    apart: np.ndarray  # bits: the least evidence per n-gram that a learned language gives
+
+    def margins(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows x bits, and the rows' numbers of n-grams; bytes are summed a stretch at a time, so a long text takes little more than a short one."""
+        rows = np.zeros((len(offs) - 1, self.weights.shape[1]))
+        n = np.zeros(len(offs) - 1)
+        for a in range(0, len(buf), _STRETCH):
+            b = min(a + _STRETCH, len(buf))
+            back = min(a, 2)  # the two bytes before belong to the first n-grams
+            two, three, good = (x[back:] for x in _grams(buf[a - back : b], offs - a + back))
+            lo, hi = int(np.searchsorted(offs, a, "right")) - 1, int(np.searchsorted(offs, b, "left"))
+            at = np.clip(offs[lo : hi + 1], a, b) - a
+            sums = np.zeros((b - a + 1, rows.shape[1]))
+            np.cumsum((self.weights[two] + self.weights[three]) * good[:, None], axis=0, out=sums[1:])
+            count = np.concatenate(([0], np.cumsum(good)))
+            rows[lo:hi] += sums[at[1:]] - sums[at[:-1]]
+            n[lo:hi] += count[at[1:]] - count[at[:-1]]
+        return rows / np.sqrt(1.0 + n)[:, None], n
+
+    def decode(self, margins: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language, its score, and its lead over the second: the lesser of scores and evidence."""
+        step = max(1, (1 << 20) // self.code.size)
+        loss = np.concatenate([np.logaddexp(0.0, -margins[a : a + step, None, :] * self.code[None]) @ self.trust for a in range(0, max(1, len(margins)), step)])
         best = loss.argmin(axis=1)
         odds = np.exp(loss.min(axis=1, keepdims=True) - loss)
         share = odds / odds.sum(axis=1, keepdims=True)
-        score = share[np.arange(len(best)), best]
-        second = np.sort(share, axis=1)[:, -2] if share.shape[1] > 1 else np.zeros(len(best))
-        return best, score, score - second
+        rows = np.arange(len(best))
+        score = share[rows, best]
+        if share.shape[1] < 2:
+            return best, score, score
+        others = share.copy()
+        others[rows, best] = -1.0
+        second = others.argmax(axis=1)
+        differ = self.code[best] != self.code[second]
+        evidence = (margins * self.code[best] * differ).sum(axis=1) / np.sqrt(1.0 + grams)
+        usual = (self.apart * differ).sum(axis=1)
+        return best, score, np.minimum(score - share[rows, second], evidence / np.maximum(usual, 1e-9))
 
 
 def codewords(n: int) -> np.ndarray:
@@ -112,33 +132,35 @@ def _counter(languages: list[str]):
     return count
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_rows: int = LEARN_ROWS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_rows: int = LEARN_ROWS, languages: int = LANGUAGES) -> Model:
     """Learns from ``text`` and non-null ``lang`` of rows that are not held out.
 
+    At most about ``learn_rows`` rows of each of the ``languages`` languages
+    with most rows are learned from.
     N-gram counts of whole texts are summed on the executors; the driver gets
     one number per language and bucket.
     """
     rows = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sample, counts = at_most(rows, "id", learn_rows, "lang")
+    sample, counts = at_most(rows, "id", learn_rows, "lang", languages)
     languages = sorted(counts, key=lambda x: (-counts[x], x))
     code = codewords(len(languages))
     if not languages:
-        return Model([], code, np.zeros((BUCKETS, 1), np.float32), np.ones(1))
+        return Model([], code, np.zeros((BUCKETS, 1), np.float32), np.ones(1), np.ones(1))
     sums = sample.select("text", "lang").mapInArrow(_counter(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.zeros((len(languages), BUCKETS))
     got = sums.toPandas()
     table[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     share = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
-    weights, trust = [], []
+    weights, apart = [], []
     for bit in code.T:
         yes, no = share[bit > 0], share[bit < 0]
         w = np.log(yes.mean(axis=0)) - np.log(no.mean(axis=0)) if len(no) and len(yes) else np.zeros(BUCKETS)
         weights.append(w)
         # how far the two sides' own n-grams lie apart, as a reliability
-        apart = min([np.abs(x @ w) for x in share], default=0.0) if len(no) and len(yes) else 1.0
-        trust.append(0.05 + apart)
-    trust = np.array(trust)
-    return Model(languages, code, np.array(weights, dtype=np.float32).T.copy(), trust / trust.mean())
+        apart.append(min([np.abs(x @ w) for x in share], default=0.0) if len(no) and len(yes) else 1.0)
+    trust = 0.05 + np.array(apart)
+    # an n-gram is a bigram and a trigram, so its evidence is twice a bucket's mean
+    return Model(languages, code, np.array(weights, dtype=np.float32).T.copy(), trust / trust.mean(), 2 * np.array(apart))
 
 
 def _identifier(model, text: int, wanted: bool):
@@ -150,7 +172,7 @@ def _identifier(model, text: int, wanted: bool):
             for a, b, buf, offs in B.pieces(column, 1 << 19):
                 ok = letter[a:b]
                 if m.languages:
-                    best, score, lead = m.decode(m.margins(buf, offs))
+                    best, score, lead = m.decode(*m.margins(buf, offs))
                     names = np.array(m.languages, dtype=object)[best]
                 else:
                     ok, names, score, lead = np.zeros(b - a, bool), np.empty(b - a, object), np.zeros(b - a), np.zeros(b - a)
@@ -169,7 +191,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Null texts and texts without a letter are ``und`` with score 0.  Ties go
     to the language with more rows.  Rows that repeat are answered one by
-    one; if nothing could be learned, everything is ``und``.
+    one; if nothing could be learned, everything is ``und``.  Texts of any
+    length are read whole, a stretch at a time.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x bits numbers
