@@ -9,8 +9,10 @@ which words of a passage are ends depends on fewer than ``WINDOW`` words
 around them: a passage of 50 words has a span that is the same wherever it
 stands, whatever its words.  A span starts at each sentence
 and runs over the fewest sentences, two or more, that hold ``SPAN_WORDS``
-words.  Spans meet by a 64-bit hash of their small-lettered words.  Every
-occurrence but the first by (doc_id, position) loses its sentences.
+words.  Spans meet by a 64-bit hash of their small-lettered words, and an
+occurrence loses its sentences only where a second one agrees with the first
+occurrence's.  Every occurrence but the first by (doc_id, position) loses its
+sentences.
 """
 
 from __future__ import annotations
@@ -106,32 +108,39 @@ def spans_of(words: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[n
     return row, at, to, h, again
 
 
+def checks_of(words: np.ndarray, bounds: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The second hash of spans."""
+    return B.RunHash(B.mix(words))(bounds[at], bounds[to])
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first occurrence in its text of every span; later ones are repeats without asking others."""
     for batch in batches:
         for a, b, buf, offs in B.pieces(batch.column(1)):
             words, _, bounds, rows = sentences(buf, offs)
-            row, at, _, h, again = spans_of(words, bounds, rows)
-            row, at, h = row[~again], at[~again], h[~again]
+            row, at, to, h, again = spans_of(words, bounds, rows)
+            row, at, to, h = (x[~again] for x in (row, at, to, h))
             ids = batch.column(0).slice(a, b - a).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array((at - rows[row]).astype(np.int32))], names=["span", "doc", "at"])
+            check = checks_of(words, bounds, at, to)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array((at - rows[row]).astype(np.int32)), pa.array(check.view(np.int64))], names=["span", "doc", "at", "check"])
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, cuts`` for each document that holds a non-first repeat; cuts are the first sentences of spans.
+    """``doc, cuts`` for each document that holds a non-first repeat.
 
-    A text sends each of its spans once: what it holds again is a repeat
-    whatever others hold, and is found when the text is cut.  The occurrences
-    of a span are counted before the shuffle as far as they
+    A cut is the first sentence of a span and the second hash of the span's
+    first occurrence.  A text sends each of its spans once: what it holds
+    again is a repeat whatever others hold, and is found when the text is cut.
+    The occurrences of a span are counted before the shuffle as far as they
     meet in one task, and a span that a third of all documents hold is one
     row of the small side of a join whose large side Spark splits.
     """
     narrow = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc"].dataType.simpleString()
-    spans = narrow.mapInArrow(_spans, f"span long, doc {kind}, at int")
-    least = spans.groupBy("span").agg(F.count("*").alias("times"), F.min(F.struct("doc", "at")).alias("first")).filter("times > 1").select("span", "first")
-    again = spans.join(least, "span").filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    return again.groupBy("doc").agg(F.collect_list("at").alias("cuts"))
+    spans = narrow.mapInArrow(_spans, f"span long, doc {kind}, at int, check long")
+    least = spans.groupBy("span").agg(F.count("*").alias("times"), F.min(F.struct("doc", "at", "check")).alias("first")).filter("times > 1").select("span", "first")
+    again = spans.select("span", "doc", "at").join(least, "span").filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
+    return again.groupBy("doc").agg(F.collect_list(F.struct("at", F.col("first.check").alias("check"))).alias("cuts"))
 
 
 def _cutter(ident: int, text: int, columns: list[str], report: bool):
@@ -139,28 +148,32 @@ def _cutter(ident: int, text: int, columns: list[str], report: bool):
         for batch in batches:
             width = len(columns)
             column, cuts = batch.column(text), batch.column(width)
+            places, first_checks = (cuts.values.field(k).to_numpy() for k in (0, 1))
+            held = cuts.offsets.to_numpy()
+            known = cuts.is_valid().to_numpy(zero_copy_only=False)
             total, gone, kept = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), []
             for a, b, buf, offs in B.pieces(column):
                 words, starts, bounds, rows = sentences(buf, offs)
                 row, at, to, _, again = spans_of(words, bounds, rows)
+                check = checks_of(words, bounds, at, to).view(np.int64)
                 within: dict[int, list[int]] = {}
-                for r, s in zip(row[again].tolist(), at[again].tolist()):
+                for r, s in zip(row[again].tolist(), np.flatnonzero(again).tolist()):
                     within.setdefault(r, []).append(s)
                 for i in range(b - a):
                     lo, n = int(rows[i]), int(rows[i + 1] - rows[i])
                     total[a + i] = n
-                    own = [lo + c for c in cuts[a + i].as_py() or ()]
+                    mine = slice(held[a + i], held[a + i + 1] if known[a + i] else held[a + i])
+                    # a repeated id with another text may not have the span, nor need a span of equal hash be the same
+                    k = np.minimum(np.searchsorted(at, lo + places[mine]), max(len(at) - 1, 0))
+                    k = k[(at[k] == lo + places[mine]) & (row[k] == i) & (check[k] == first_checks[mine])] if len(at) else k[:0]
                     if batch.column(ident)[a + i].is_valid:
-                        own += within.get(i, [])
+                        k = np.concatenate((k, within.get(i, []))).astype(np.int64)
                     if not column[a + i].is_valid:
                         kept.append(None)
                         continue
                     raw = buf[offs[i] : offs[i + 1]]
-                    if own:
+                    if len(k):
                         cover = np.zeros(n + 1, dtype=np.int64)
-                        # a repeated id with another text may not have the span
-                        k = np.minimum(np.searchsorted(at, own), max(len(at) - 1, 0))
-                        k = k[(at[k] == own) & (row[k] == i)] if len(at) else k[:0]
                         np.add.at(cover, at[k] - lo, 1)
                         np.add.at(cover, to[k] - lo, -1)
                         drop = np.cumsum(cover)[:-1] > 0
@@ -192,7 +205,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts stay null; empty and short texts have no spans and stay.  Rows
     without an id take no part and stay as they are.  Rows that repeat a
     ``doc_id`` with the same text are one occurrence, so none loses to the
-    other.  An empty table gives an empty one; other columns are ignored.
+    other.  An empty table gives an empty one; other columns are ignored.  A
+    very long text is worked on alone, at some 60 times its bytes.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     joined = narrow.join(repeated(docs, id_col, text_col).withColumnRenamed("doc", "doc_id"), "doc_id", "left").select("doc_id", "text", "cuts")
@@ -205,6 +219,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     An integer column ``n_chars`` is set again where a text was shortened.
     """
-    found = repeated(docs, id_col, text_col).withColumnRenamed("doc", "_doc").withColumnRenamed("cuts", "_cuts")
-    joined = docs.join(found, F.col(id_col) == F.col("_doc"), "left").drop("_doc").select(*[F.col(f"`{c}`") for c in docs.columns], "_cuts")
+    doc, cuts = B.unused(docs.columns, "cut_doc", "cuts")
+    found = repeated(docs, id_col, text_col).withColumnsRenamed({"doc": doc, "cuts": cuts})
+    joined = docs.join(found, F.col(f"`{id_col}`") == F.col(doc), "left").select(*[F.col(f"`{c}`") for c in docs.columns], cuts)
     return joined.mapInArrow(_cutter(docs.columns.index(id_col), docs.columns.index(text_col), docs.columns, False), docs.schema)

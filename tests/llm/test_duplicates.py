@@ -149,6 +149,47 @@ def test_cut_repeats_keeps_columns_and_sets_lengths(spark):
     got = sentence_spans.cut_repeats(K.docs(spark, rows)).collect()
     assert all(r.n_chars == len(r.text or "") for r in got)
     assert sentence_spans.cut_repeats(K.docs(spark, [])).count() == 0
+    clash = K.docs(spark, rows).withColumnsRenamed({"lang": "cut_doc", "source": "cuts", "node": "_doc", "span": "_cuts"})
+    again = sentence_spans.cut_repeats(clash)
+    assert again.columns == clash.columns and sorted(str(r.text) for r in again.collect()) == sorted(str(r.text) for r in got)
+
+
+def plain_sentences(text):
+    """Ends of sentences by reading word by word: stops, line breaks, and in eight words with neither the least hash, the last of equals."""
+    import pyarrow as pa
+
+    from inkstream.llm import buffers as B
+
+    parts = [(m.group().lower(), "\n" in text[m.end() : (text.find(n, m.end()) if (n := next(iter(text[m.end() :].split()), "")) else len(text))]) for m in re.finditer(r"\S+", text)]
+    last = [w[-1] in ".!?;:" or newline or k == len(parts) - 1 for k, (w, newline) in enumerate(parts)]
+    buf, offs = B.text_arrays(pa.array([w for w, _ in parts], type=pa.large_string()))
+    h = B.RunHash(buf)(offs[:-1], offs[1:]).tolist()
+    extra = {min(range(k, k + 8), key=lambda j: (h[j], -j)) for k in range(len(parts) - 7) if not any(last[k : k + 8])}
+    return [k + 1 for k in range(len(parts)) if last[k] or k in extra]
+
+
+def test_sentences_end_as_a_reader_finds_them():
+    import pyarrow as pa
+
+    from inkstream.llm import buffers as B
+
+    rng = random.Random(12)
+    for seed in range(60):
+        text = " ".join(K.sentence(rng, rng.randint(2, 30)) if rng.random() < 0.7 else " ".join(rng.choice(K.WORDS) for _ in range(rng.randint(5, 40))) + rng.choice(["\n", "; ", "\n\n", "! "]) for _ in range(6)).strip()
+        buf, offs = B.text_arrays(pa.array([text], type=pa.large_string()))
+        _, _, bounds, _ = sentence_spans.sentences(buf, offs)
+        assert bounds[1:].tolist() == plain_sentences(text)
+
+
+def test_spans_of_one_hash_are_told_apart(spark):
+    """A cut whose second hash is another span's removes nothing."""
+    import pyarrow as pa
+
+    text = K.prose(2, 9)
+    cuts = pa.array([[{"at": 0, "check": 1}], None], type=pa.list_(pa.struct([("at", pa.int32()), ("check", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text]), cuts], names=["doc_id", "text", "cuts"])
+    out = next(sentence_spans._cutter(0, 1, ["doc_id", "text"], True)(iter([batch])))
+    assert out.column("n_removed").to_pylist() == [0, 0] and out.column("text").to_pylist() == [text, text]
 
 
 def brute_bytes(rows, length=suffix_dedup.LENGTH):
