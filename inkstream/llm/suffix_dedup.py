@@ -8,6 +8,12 @@ row with a count.  The segments of an anchor are read as blocks of 16 bytes
 counted from the anchor; the suffix array of their blocks (see ``lyndon``)
 brings suffixes together that share all whole blocks of a window, and those
 windows are compared byte by byte.
+
+An anchor at the edge of a passage that very many texts hold has another
+segment in each of them.  Anchors of more than ``HOT_SEGMENTS`` distinct
+segments reach no suffix array: each of their windows is a row, named by a
+128-bit BLAKE2 digest of its bytes and its place from the anchor, and rows of
+one name are counted by an aggregate that combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ WHOLE = (LENGTH - BLOCK + 1) // BLOCK
 _POS_BITS = 24
 #: A text is searched for anchors in parts of so many windows.
 _PART = 1 << 22
+#: Distinct segments of an anchor that one suffix array takes.
+HOT_SEGMENTS = 4096
 #: Blocks whose suffixes are sorted at once.
 _SORT_BLOCKS = 40_000
 
@@ -180,18 +188,24 @@ def repeats(segments: list[bytes], back: np.ndarray, group: np.ndarray) -> list[
     return found
 
 
+def _digests(segment: bytes, back: int) -> list[bytes]:
+    """Names of a segment's windows: their bytes and their place from the anchor."""
+    return [hashlib.blake2b(segment[i : i + LENGTH], digest_size=16, salt=(back - i).to_bytes(8, "little", signed=True)).digest() for i in range(len(segment) - LENGTH + 1)]
+
+
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Covered byte ranges of each distinct segment, as starts and ends within it."""
+    """Covered byte ranges of each distinct segment, as starts and ends within it; of hot anchors the names of windows."""
     kind = pa.list_(pa.int32())
-    for table, at in whole_groups(batches, 1):
+    for table, at in whole_groups(batches, 2):
         count, back = table.column("m").to_numpy(), table.column("back").to_numpy().astype(np.int64)
+        hot = table.column("hot").to_numpy(zero_copy_only=False)
         text = table.column("segment").combine_chunks() if isinstance(table.column("segment"), pa.ChunkedArray) else table.column("segment")
         segments = text.to_pylist()
         window: list[np.ndarray] = [np.ones(max(len(x) - LENGTH + 1, 0), dtype=bool) for x in segments]
         group = np.repeat(np.arange(len(at) - 1), np.diff(at))
         # a group of one segment, or of copied segments only, has nothing to compare
         single = np.add.reduceat(count == 1, at[:-1])
-        todo = np.flatnonzero((np.diff(at) > 1) & (single > 0))
+        todo = np.flatnonzero((np.diff(at) > 1) & (single > 0) & ~hot[at[:-1]])
         held: list[int] = []
         blocks = 0
         for k, g in enumerate(todo):
@@ -205,16 +219,34 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, blocks = [], 0
         for g in np.flatnonzero((np.diff(at) == 1) & (count[at[:-1]] == 1)):
             window[at[g]][:] = False
+        for i in np.flatnonzero(hot):
+            window[i][:] = False
         starts, ends = [], []
         for hit in window:
             edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
             starts.append(np.flatnonzero(edge == 1))
             ends.append(np.flatnonzero(edge == -1) + LENGTH - 1)
-        some = pa.array([len(x) > 0 for x in starts])
-        out = pa.RecordBatch.from_arrays([pa.array(table.column("h").to_numpy()), pa.array(table.column("s").to_numpy()), pa.array(starts, type=kind), pa.array(ends, type=kind)], names=["h", "s", "starts", "ends"])
+        keys = [_digests(segments[i], int(back[i])) if hot[i] else None for i in range(len(segments))]
+        some = pa.array([len(x) > 0 or k is not None for x, k in zip(starts, keys)])
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(table.column("h").to_numpy()), pa.array(table.column("s").to_numpy()), pa.array(count), pa.array(starts, type=kind), pa.array(ends, type=kind), pa.array(keys, type=pa.list_(pa.binary()))],
+            names=["h", "s", "m", "starts", "ends", "keys"],
+        )
         yield out.filter(some)
 
 
+def _covered(distinct: DataFrame, hot: DataFrame, disk: Scratch) -> DataFrame:
+    """``h, s, starts, ends`` of the distinct segments ``h, s, m, back, segment`` that hold repeats."""
+    marked = distinct.join(hot.select("h", F.lit(True).alias("hot")), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = marked.select("h", F.when(F.col("hot"), F.col("s")).otherwise(0).alias("sub"), "s", "m", "back", "segment", "hot").repartition("h", "sub").sortWithinPartitions("h", "sub", "s")
+    found = disk.keep(dealt.mapInArrow(_match, "h long, s long, m long, starts array<int>, ends array<int>, keys array<binary>"))
+    windows = found.select("h", "s", "m", F.posexplode("keys").alias("at", "key"))
+    twice = disk.keep(windows.groupBy("h", "key").agg(F.sum("m").alias("m")).filter("m > 1").select("h", "key"))
+    late = windows.join(twice, ["h", "key"]).groupBy("h", "s").agg(F.collect_list("at").alias("starts"))
+    late = late.withColumn("ends", F.transform("starts", lambda x: x + LENGTH))
+    return found.filter("keys is null").select("h", "s", "starts", "ends").unionByName(late)
+
+
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed spans and what is kept, from a text, its copies and its covered ranges."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -246,6 +278,7 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows are texts of their own even where they repeat a ``doc_id``: the
     copies of a text of ``LENGTH`` bytes or more all lose all of it.  Texts
     are named by 128 bits of their md5, so null and repeated ids do no harm.
+    A very long text is searched for anchors in parts of 4 MB.
     """
     disk = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -256,7 +289,8 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     found = rows.select("c1", "c2", "text").filter(F.octet_length("text") >= LENGTH).mapInArrow(_find, "h long, c1 long, c2 long, spot long")
     occurrence = F.struct("c1", "c2", "spot")
-    twice = found.groupBy("h").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).filter("a != b").select("h")
+    # small sides are written first, so that Spark may split the large side of a join where an anchor is hot
+    twice = disk.keep(found.groupBy("h").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("b")).filter("a != b").select("h"))
     spots = found.join(twice, "h").groupBy("c1", "c2").agg(F.collect_set(F.struct("h", "spot")).alias("spots"))
     spots = spots.join(copies, ["c1", "c2"])
     read = rows.withColumn("one", F.col("doc_id").cast("long")).drop("doc_id")
@@ -265,9 +299,10 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     # (c1, c2, first) once, should a row repeat its id and its text
     places = segments.select("h", "s", "c1", "c2", "first").distinct()
-    several = places.groupBy("h", "s").agg(F.count("*").alias("m"))
+    several = disk.keep(places.groupBy("h", "s").agg(F.count("*").alias("m")))
     distinct = segments.groupBy("h", "s").agg(F.first("back").alias("back"), F.first("segment").alias("segment")).join(several, ["h", "s"]).select("h", "s", "m", "back", "segment")
-    covered = distinct.repartition("h").sortWithinPartitions("h", "s").mapInArrow(_match, "h long, s long, starts array<int>, ends array<int>")
+    hot = disk.keep(several.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SEGMENTS))
+    covered = _covered(distinct, hot, disk)
     parts = places.join(covered, ["h", "s"]).groupBy("c1", "c2").agg(F.collect_list(F.struct("first", "starts", "ends")).alias("parts"))
     info = disk.keep(copies.filter("m > 1").select("c1", "c2", "m").join(parts, ["c1", "c2"], "full_outer"))
     out = rows.join(info, ["c1", "c2"], "left").select("doc_id", "text", "m", "parts")

@@ -215,6 +215,15 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.remove_repeated_strings(K.docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 3])
+def test_hot_anchors_are_counted_window_by_window(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", most)
+    passage = K.prose(77, 8)
+    rows = [(k, K.prose(100 + k, 2) + passage + K.prose(200 + k, 2)) for k in range(9)] + [(20, passage), (21, passage[50:400]), (22, K.prose(5, 9)), (23, K.prose(5, 9)), (24, "a" * 450), (25, "b" + "a" * 230), (None, passage[:260] + "z")]
+    got = [tuple(r) for r in suffix_dedup.report(suffix_dedup.remove_repeated_strings(K.docs(spark, rows))).collect()]
+    assert sorted(got, key=str) == sorted(brute_bytes(rows), key=str)
+
+
 def test_suffix_dedup_of_runs_and_periods(spark):
     rows = [(1, "a" * 450), (2, "b" + "a" * 230 + "c"), (3, "ab" * 150), (4, "x" * 199), (5, "x" * 200), (6, "abc" * 66 + "abd" * 70), (7, "y" * 199 + "z")]
     got = [tuple(r) for r in suffix_dedup.report(suffix_dedup.remove_repeated_strings(K.docs(spark, rows))).collect()]
