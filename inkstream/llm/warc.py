@@ -9,12 +9,14 @@ WARC file; ``read_warc`` reads such files, plain or compressed.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +34,8 @@ _TOKENS = re.compile(rf"<!--.*?(?:-->|\Z)|<({_SKIP})\b[^>]*>.*?(?:</\1\s*>|\Z)|<
 _HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+#: Codecs of the language itself that no page means: fixed values.
+_NO_CHARSETS = frozenset("punycode idna undefined unicode_escape unicode-escape raw_unicode_escape raw-unicode-escape mbcs oem".split())
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 
 
@@ -51,34 +55,80 @@ def plain_text(page: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
-def payload_of(block: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and body of an HTTP response."""
+def payload_of(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """Header fields, in their order and as often as they stand there, and body of an HTTP response as sent."""
     head, gap, body = block.partition(b"\r\n\r\n")
     if not gap:
-        return {}, block
-    fields = {}
+        return [], block
+    fields = []
     for line in head.decode("latin-1").split("\r\n")[1:]:
         key, colon, value = line.partition(":")
         if colon:
-            fields.setdefault(key.strip().lower(), value.strip())
+            fields.append((key.strip().lower(), value.strip()))
+        elif fields and line[:1] in " \t":  # a folded line goes on
+            fields[-1] = fields[-1][0], f"{fields[-1][1]} {line.strip()}".strip()
     return fields, body
 
 
-def _charset(fields: dict[str, str], body: bytes) -> str:
-    found = _CHARSET.search(fields.get("content-type", "").encode()) or _CHARSET.search(body[:2048])
-    name = found[1].decode() if found else "utf-8"
+def _unchunked(body: bytes) -> bytes:
+    """A chunked body put together; one that is not chunked, as crawlers often store it, as it is."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        try:
+            size = int(body[at:end].split(b";")[0].strip() or b"-", 16) if end >= 0 else -1
+        except ValueError:
+            size = -1
+        if size < 0:
+            return b"".join(parts) if parts else body
+        if size == 0:
+            return b"".join(parts)
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _inflated(body: bytes, coding: str) -> bytes:
+    """A compressed body read as far as it goes; one that is not compressed as it is."""
+    kinds = {"gzip": [31], "x-gzip": [31], "deflate": [15, -15]}.get(coding, [])
+    for window in kinds:
+        reader, out = zlib.decompressobj(window), b""
+        try:
+            for a in range(0, len(body), 1 << 16):
+                out += reader.decompress(body[a : a + (1 << 16)])
+        except zlib.error:
+            if not out:
+                continue
+        return out
+    return body
+
+
+def content_of(fields: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without transfer and content codings; an unknown coding stays."""
+    for name in ("transfer-encoding", "content-encoding"):
+        for coding in reversed([c.strip().lower() for k, v in fields if k == name for c in v.split(",")]):
+            body = _unchunked(body) if coding == "chunked" else _inflated(body, coding)
+    return body
+
+
+def decoded(fields: list[tuple[str, str]], body: bytes) -> tuple[str, str]:
+    """The character set that was used, and the text: UTF-8 where the declared one is unknown or is none for texts."""
+    kind = next((v for k, v in fields if k == "content-type"), "")
+    found = _CHARSET.search(kind.encode()) or _CHARSET.search(body[:2048])
+    name = found[1].decode().lower() if found else "utf-8"
     try:
-        "".encode(name)
-    except LookupError:
-        return "utf-8"
-    return name
+        if codecs.lookup(name).name in _NO_CHARSETS:
+            raise LookupError(name)
+        text = body.decode(name, "replace")
+        text.encode("utf-8")
+        return name, text
+    except (LookupError, ValueError):
+        return "utf-8", body.decode("utf-8", "replace")
 
 
 def derivatives(record: dict) -> list[dict]:
     """The metadata and the conversion record of a response record."""
     fields, body = payload_of(record["block"] or b"")
-    charset = _charset(fields, body)
-    page = body.decode(charset, "replace")
+    charset, page = decoded(fields, content_of(fields, body))
     title = _TITLE.search(page)
     lang = _LANG.search(page)
     links = [html.unescape(next(g for g in m if g) if any(m) else "") for m in _HREF.findall(page)]
@@ -88,7 +138,7 @@ def derivatives(record: dict) -> list[dict]:
     if lang:
         lines.append(("language", lang[1]))
     # the source's own headers are kept under its names
-    lines += [(f"http-{k}", v) for k, v in sorted(fields.items())]
+    lines += [(f"http-{k}", v) for k, v in fields]
     lines += [("source-payload-digest", record["payload_digest"] or ""), ("source-block-digest", record["block_digest"] or "")]
     lines += [("outlink", x) for x in links]
     shared = {
@@ -120,14 +170,18 @@ def _respond(date: str):
                 for page, url, text in zip(*(c.to_pylist() for c in batch.slice(a, 256).columns)):
                     body = (text or "").encode()
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
-                    rows.append({"warc_type": "response", "record_id": name_of("response", page, url), "target_uri": url, "date": date, "refers_to": None, "refers_to_target_uri": None, "refers_to_date": None, "content_type": "application/http; msgtype=response", "block_digest": digest(block), "payload_digest": digest(body), "headers": {"WARC-Page-Id": str(page)}, "block": block})
+                    rows.append({"warc_type": "response", "record_id": name_of("response", page, url, date, digest(body)), "target_uri": url, "date": date, "refers_to": None, "refers_to_target_uri": None, "refers_to_date": None, "content_type": "application/http; msgtype=response", "block_digest": digest(block), "payload_digest": digest(body), "headers": {"WARC-Page-Id": str(page)}, "block": block})
                 yield _batch(rows)
 
     return run
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Response records of fetched pages; a null page is an empty body, a null address has no target."""
+    """Response records of fetched pages; a null page is an empty body, a null address has no target.
+
+    A record's id depends on page id, address, date and content, so two
+    captures of one address have two ids and equal rows have one.
+    """
     return pages.select(F.col(id_col).cast("string"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_respond(date), RECORD)
 
 
@@ -144,8 +198,10 @@ def derive(records: DataFrame) -> DataFrame:
     """Two records for each response among ``records``; other types are passed by.
 
     Both name the response in ``refers_to`` and keep its target, date, HTTP
-    headers and digests.  Repeated responses give repeated derivatives with
-    equal ids; an empty table gives an empty one.
+    headers and digests.  Chunks and compression of the body are undone, an
+    unknown or unfit character set is read as UTF-8, and bytes that do not
+    decode become replacement characters.  Repeated responses give repeated
+    derivatives with equal ids; an empty table gives an empty one.
     """
     return records.filter("warc_type = 'response'").select(*_COLUMNS).mapInArrow(_derive, RECORD)
 
@@ -164,26 +220,42 @@ def to_bytes(record: dict) -> bytes:
     return "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+_BACK = {name.lower(): c for c, name in _NAMES.items()}
+
+
+def _head(lines: list[bytes]) -> tuple[dict, int]:
+    """A record without its block, and the block's size; header bytes that are no UTF-8 are read as Latin-1."""
+    record = dict.fromkeys(_COLUMNS) | {"headers": {}}
+    size = 0
+    for raw in lines:
+        try:
+            line = raw.decode()
+        except UnicodeDecodeError:
+            line = raw.decode("latin-1")
+        key, _, value = line.partition(":")
+        key, value = key.strip(), value.strip()
+        if key.lower() == "content-length":
+            size = int(value) if value.isdecimal() else 0
+        elif key.lower() in _BACK:
+            record[_BACK[key.lower()]] = value
+        elif key:  # a repeated field keeps all its values
+            before = record["headers"].get(key)
+            record["headers"][key] = value if before is None else f"{before}, {value}"
+    return record, size
+
+
 def parse(data: bytes) -> Iterator[dict]:
     """Records of a file's bytes, plain or of gzip members."""
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    back = {name.lower(): c for c, name in _NAMES.items()}
     while line := stream.readline():
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no record begins with {line[:40]!r}")
-        record = dict.fromkeys(_COLUMNS) | {"headers": {}}
-        size = 0
-        while (line := stream.readline().decode().rstrip("\r\n")) != "":
-            key, _, value = line.partition(":")
-            key, value = key.strip(), value.strip()
-            if key.lower() == "content-length":
-                size = int(value)
-            elif key.lower() in back:
-                record[back[key.lower()]] = value
-            else:
-                record["headers"][key] = value
+        lines = []
+        while (line := stream.readline().rstrip(b"\r\n")) != b"":
+            lines.append(line)
+        record, size = _head(lines)
         record["block"] = stream.read(size)
         yield record
 
@@ -200,19 +272,57 @@ def encode(records: DataFrame) -> DataFrame:
     return records.select(*_COLUMNS).mapInArrow(_encode, "record_id string, member binary")
 
 
-def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: What lies between records, and begins the next one.
+_BETWEEN = "\r\n\r\nWARC/"
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from the pieces between separators; a block that holds the separator itself is put together by its length."""
+    rows: list[dict] = []
+    size, held, want, parts, joint = 0, None, 0, [], b""
+
+    def done(record: dict, block: bytes, full: bool) -> None:
+        record["block"] = block
+        if not full:
+            record["headers"].setdefault("WARC-Truncated", "length")
+        rows.append(record)
+
     for batch in batches:
         for cell in batch.column(0):
-            rows: list[dict] = []
-            for record in parse(cell.as_buffer().to_pybytes()):
-                rows.append(record)
-                if len(rows) == 256:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
+            piece = cell.as_buffer().to_pybytes()
+            if held is not None:
+                parts += [joint, piece]
+                size += len(piece) + len(joint)
+                joint = _BETWEEN.encode()
+            else:
+                head, gap, block = piece.partition(b"\r\n\r\n")
+                lines = head.split(b"\r\n")
+                if not lines[0].strip().removeprefix(b"WARC/").startswith((b"1.", b"0.")):
+                    continue
+                held, want = _head(lines[1:])
+                parts, size = [block], len(block)
+                # a block that begins as a record does leaves the blank line behind its header to the separator
+                joint = _BETWEEN.encode() if gap else b"WARC/"
+            if size >= want:
+                done(held, b"".join(parts)[:want], True)
+                held = None
+            if len(rows) >= 64:
                 yield _batch(rows)
+                rows = []
+    if held is not None:
+        done(held, b"".join(parts), False)
+    if rows:
+        yield _batch(rows)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, a task per file."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse_files, RECORD)
+    """Records of WARC files, read as a stream of records by Spark's text reader.
+
+    No file is held whole: plain files are split over tasks like any text, and
+    files ending in ``.gz`` are read by one task each, member after member.
+    A record that the file breaks off keeps what is there with a field
+    ``WARC-Truncated``; so does one whose block holds another WARC record at
+    the very place where a plain file is split.
+    """
+    lines = spark.read.text(path, lineSep=_BETWEEN).select(F.col("value").cast("binary"))
+    return lines.mapInArrow(_records, RECORD)

@@ -260,6 +260,64 @@ def test_warc_derivatives_round_trip(spark, tmp_path):
     assert warc.derive(source.filter("false")).count() == 0
 
 
+def crawled(body, *fields, head=b"HTTP/1.1 200 OK"):
+    block = head + b"".join(b"\r\n" + f for f in fields) + b"\r\n\r\n" + body
+    record = dict.fromkeys(warc._COLUMNS) | {"warc_type": "response", "record_id": warc.name_of("r", body, *fields), "headers": {}, "block": block, "block_digest": warc.digest(block), "payload_digest": warc.digest(body)}
+    made = {r["warc_type"]: bytes(r["block"]).decode() for r in warc.derivatives(record)}
+    return made["metadata"], made["conversion"]
+
+
+@pytest.mark.parametrize("charset", ["undefined", "idna", "punycode", "rot13", "hex", "base64", "unicode_escape", "no-such", "utf-7", "mbcs", "raw_unicode_escape"])
+def test_charsets_that_are_none_do_not_end_the_job(charset):
+    meta, text = crawled("<p>été \\ud800 x</p>".encode(), b"Content-Type: text/html; charset=" + charset.encode())
+    assert "t" in text and f"charset={charset}" in meta
+
+
+def test_codings_and_repeated_headers_of_real_responses():
+    page = "<p>Grüße aus Köln</p>" * 50
+    deflated = __import__("zlib").compress(page.encode())
+    chunks = lambda b: b"".join(b"%x;ext=1\r\n" % len(b[i : i + 300]) + b[i : i + 300] + b"\r\n" for i in range(0, len(b), 300)) + b"0\r\n\r\n"
+    plain = crawled(page.encode())[1]
+    assert plain.count("Grüße aus Köln") == 50
+    for body, fields in [
+        (gzip.compress(page.encode()), [b"Content-Encoding: gzip"]),
+        (chunks(page.encode()), [b"Transfer-Encoding: chunked"]),
+        (chunks(gzip.compress(page.encode())), [b"Transfer-Encoding: chunked", b"Content-Encoding: gzip"]),
+        (deflated, [b"content-encoding: DEFLATE"]),
+        (deflated[2:-4], [b"content-encoding: deflate"]),
+        (page.encode(), [b"Transfer-Encoding: chunked", b"Content-Encoding: gzip"]),
+        (page.encode("latin-1"), [b"Content-Type: text/html; charset=ISO-8859-1"]),
+    ]:
+        assert crawled(body, *fields)[1] == plain
+    assert plain.startswith(crawled(gzip.compress(page.encode())[:40], b"Content-Encoding: gzip")[1])
+    meta, _ = crawled(b"x", b"Set-Cookie: a=1", b"Set-Cookie: b=2", b"X-Odd: \xff\xfe", b"X-Long: one", b"  two")
+    assert [x for x in meta.split("\r\n") if x.startswith("http-")] == ["http-set-cookie: a=1", "http-set-cookie: b=2", "http-x-odd: ÿþ", "http-x-long: one two"]
+    assert crawled(b"no headers at all", head=b"")[1].endswith("no headers at all")
+
+
+def test_captures_of_one_address_have_ids_of_their_own(spark):
+    df = spark.createDataFrame([(1, "http://a/", "x"), (1, "http://a/", "y"), (1, "http://a/", "x")], "page_id long, url string, html string")
+    assert len({r.record_id for r in warc.responses(df).collect()}) == 2
+
+
+def test_files_are_read_record_by_record(spark, tmp_path):
+    inner = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    records = [
+        b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 0\r\n\r\n\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: response\r\nX-Odd: \xff\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 4\r\n\r\n\xff\xfe\r\n\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(inner) + inner + b"\r\n\r\n",
+        b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 9\r\n\r\nshort",
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "c.warc").write_bytes(b"")
+    got = sorted(warc.read_warc(spark, str(tmp_path)).collect(), key=lambda r: r.warc_type)
+    assert [r.warc_type for r in got] == ["metadata", "metadata", "resource", "resource", "response", "response", "warcinfo", "warcinfo"]
+    assert [bytes(r.block) for r in got] == [b"short"] * 2 + [inner] * 2 + [b"\xff\xfe\r\n"] * 2 + [b""] * 2
+    assert got[0].headers == {"WARC-Truncated": "length"} and got[4].headers == {"X-Odd": "ÿ", "WARC-Concurrent-To": "<a>, <b>"}
+    assert [bytes(r["block"]) for r in warc.parse(b"".join(records))] == [b"", b"\xff\xfe\r\n", inner, b"short"]
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     clean = [(100 + k, K.prose(700 + k, 12)) for k in range(15)]
     shared = K.prose(90, 9)
