@@ -1,11 +1,14 @@
 """Licence scans: a trained paragraph classifier whose findings templates confirm.
 
-A paragraph is a line; a longer one is read in overlapping windows.  Features
-are hashed word unigrams and bigrams.  A multinomial logistic regression over
-licence families and an unknown class is fitted on variations of the templates
-against paragraphs of the corpus; a temperature fitted on paragraphs kept back
-calibrates its probabilities.  A finding stands if its probability is high
-enough and its words overlap a template of its family.
+A paragraph is what stands between blank lines.  It is read line by line and
+in overlapping windows of several widths, so a notice is found where lines
+wrap it and where prose surrounds it.  Features are hashed word unigrams and
+bigrams.  A multinomial logistic regression over licence families and an
+unknown class is fitted on variations and windows of the templates against
+units of the corpus; a temperature calibrates its probabilities on notices
+whose template was held out and on units that were kept back.  A finding
+stands if its probability is high enough and its words overlap a template of
+its family; of findings that share words the one with most of a template wins.
 """
 
 from __future__ import annotations
@@ -22,59 +25,82 @@ from . import buffers as B
 
 U64 = np.uint64
 BUCKETS = 1 << 14
+#: Lines are read in windows of so many words, half of one apart; paragraphs in all of these widths.
 WINDOW_WORDS = 64
-STRIDE_WORDS = 32
-#: Documents of the corpus whose paragraphs teach the unknown class, at most; chosen by hash of the id.
+WIDTHS = (8, 16, 32, 64)
+#: Documents of the corpus whose units teach the unknown class, about so many; chosen by hash of the id.
 LEARN_DOCS = 400
-LEARN_PARAGRAPHS = 6000
+#: Units of these documents that are learned from, at most; chosen by hash of id and place.
+LEARN_UNITS = 2500
 PROBABILITY = 0.5
 #: Shared bigrams over the smaller side's that confirm a finding.
 OVERLAP = 0.6
 UNKNOWN = "unknown"
 
-#: Short notices and opening sentences of public licences: fixed values.
-TEMPLATES: dict[str, list[str]] = {
+#: Notices and opening sentences of public licences: fixed values.
+NOTICES: dict[str, list[str]] = {
     "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "This project is distributed under the terms of the MIT license.",
     ],
     "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "Released under the Apache 2.0 license.",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "BSD": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Licensed under the BSD 3-Clause License.",
-        "Released under the BSD 2-Clause License.",
-        "Use of this source code is governed by a BSD-style license.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2.",
-        "This work is licensed under the GNU General Public License, version 2.",
-        "Licensed under the GPLv2.",
     ],
     "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3.",
-        "Licensed under the GPLv3.",
     ],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "You can redistribute it under the terms of the GNU Lesser General Public License, version 2.1 or later."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the AGPLv3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, Version 2.0."],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights; this work is dedicated to the public domain under CC0."],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You can redistribute it under the terms of the GNU Lesser General Public License, version 2.1 or later.",
+        "This library is licensed under the GNU Lesser General Public License.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "CC-BY": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC0": ["To the extent possible under law, the author has waived all copyright and related rights; this work is dedicated to the public domain under CC0."],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without permission."],
 }
+#: How licences are called in prose, and phrases that name them: fixed values.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 license"],
+    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD license"],
+    "ISC": ["ISC License"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GPLv3"],
+    "LGPL": ["GNU Lesser General Public License", "LGPL"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPLv3"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0"],
+    "CC-BY": ["CC BY 4.0"],
+    "CC-BY-SA": ["CC BY-SA 4.0"],
+    "CC-BY-NC": ["CC BY-NC 4.0"],
+    "CC0": ["CC0 1.0"],
+}
+PHRASES = ["Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "distributed under the terms of the {}", "available under the {}"]
+#: The first templates of a family are those that name it.
+TEMPLATES = {f: [p.format(n) for n in NAMES.get(f, []) for p in PHRASES] + own for f, own in NOTICES.items()}
 
 
 def paragraphs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes; first and last word of each unit, its row, and its number among the row's units."""
+    """Word hashes; first and last word of each unit in their order, its row, and the number of its paragraph in the row."""
     low = B.LOWER[buf]
     starts, ends = B.runs(low, offs, B.ALNUM)
     words = B.RunHash(low)(starts, ends)
@@ -84,15 +110,28 @@ def paragraphs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return words, none, none, none, none
     lines = np.concatenate(([0], np.cumsum(low == 10)))
     row = B.owners(first)
-    new = np.ones(len(words), dtype=bool)
-    new[1:] = (lines[starts[1:]] > lines[starts[:-1]]) | (row[1:] != row[:-1])
-    begin = np.flatnonzero(new)
-    end = np.concatenate((begin[1:], [len(words)]))
-    windows = np.maximum(1, -(-(end - begin - WINDOW_WORDS) // STRIDE_WORDS) + 1)
-    at = np.repeat(begin, windows) + (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE_WORDS
-    to = np.minimum(at + WINDOW_WORDS, np.repeat(end, windows))
+    gap = np.zeros(len(words), dtype=np.int64)  # line ends before each word
+    gap[1:] = lines[starts[1:]] - lines[ends[:-1]]
+    gap[np.concatenate(([True], row[1:] != row[:-1]))] = 2
+    whole = np.flatnonzero(gap >= 2)
+    at, to = _windows(np.flatnonzero(gap >= 1), len(words), WINDOW_WORDS, 1)
+    for width in WIDTHS:
+        a, b = _windows(whole, len(words), width, width // 2)
+        at, to = np.concatenate((at, a)), np.concatenate((to, b))
+    at, to = np.divmod(np.unique(at * (len(words) + 1) + to), len(words) + 1)
     own = row[at]
-    return words, at, to, own, np.arange(len(at)) - np.searchsorted(own, own, side="left")
+    nth = np.searchsorted(whole, at, side="right") - 1
+    return words, at, to, own, nth - np.searchsorted(whole, first[own], side="left")
+
+
+def _windows(begin: np.ndarray, n: int, width: int, more: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of runs of words that begin at ``begin`` and hold ``more`` words or more, half a width apart."""
+    end = np.concatenate((begin[1:], [n]))
+    begin, end = begin[end - begin >= more], end[end - begin >= more]
+    step = width // 2
+    count = np.maximum(1, -(-(end - begin - width) // step) + 1)
+    at = np.repeat(begin, count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
+    return at, np.minimum(at + width, np.repeat(end, count))
 
 
 def _buckets(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +150,7 @@ def _bigrams(words: np.ndarray) -> set[int]:
 
 
 def _words_of(text: str) -> np.ndarray:
-    return paragraphs(*B.text_arrays(pa.array([text.replace("\n", " ")], type=pa.large_string())))[0]
+    return paragraphs(*B.text_arrays(pa.array([text], type=pa.large_string())))[0]
 
 
 @dataclass
@@ -122,21 +161,29 @@ class Model:
     templates: list[list[set[int]]]
 
     def logits(self, words: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-        one, two = _buckets(words)
-        sums = np.zeros((2, len(words) + 1, len(self.families)))
-        np.cumsum(self.weights[one], axis=0, out=sums[0, 1:])
-        np.cumsum(self.weights[two], axis=0, out=sums[1, 1:])
-        total = sums[0, to] - sums[0, at] + sums[1, to] - sums[1, np.minimum(at + 1, to)]
-        return total / np.sqrt(2.0 * (to - at) - 1)[:, None] + self.weights[-1]
+        """Units, ordered by their first word, x families; some thousand units at a time."""
+        out = np.empty((len(at), len(self.families)))
+        for k in range(0, len(at), 1 << 14):
+            a, b = at[k : k + (1 << 14)], to[k : k + (1 << 14)]
+            lo, hi = int(a.min()), int(b.max())
+            one, two = _buckets(words[lo:hi])
+            sums = np.zeros((2, hi - lo + 1, len(self.families)))
+            np.cumsum(self.weights[one], axis=0, out=sums[0, 1:])
+            np.cumsum(self.weights[two], axis=0, out=sums[1, 1:])
+            a, b = a - lo, b - lo
+            total = sums[0, b] - sums[0, a] + sums[1, b] - sums[1, np.minimum(a + 1, b)]
+            out[k : k + len(a)] = total / np.sqrt(2.0 * (b - a) - 1)[:, None] + self.weights[-1]
+        return out
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def overlap(self, family: int, words: np.ndarray) -> float:
+    def overlap(self, family: int, words: np.ndarray) -> tuple[float, int]:
+        """The largest share of bigrams that a template has in common with the words, and how many those are."""
         own = _bigrams(words)
-        return max(len(own & t) / min(len(own), len(t)) for t in self.templates[family])
+        return max((len(own & t) / min(len(own), len(t)), len(own & t)) for t in self.templates[family])
 
 
 def _features(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +198,7 @@ def _features(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
 
 
-def _train(units: list[np.ndarray], label: np.ndarray, classes: int, steps: int = 150) -> np.ndarray:
+def _train(units: list[np.ndarray], label: np.ndarray, classes: int, steps: int = 60) -> np.ndarray:
     rows, cols, values = _features(units)
     y = np.eye(classes)[label]
     share = np.sqrt(len(label) / np.maximum(np.bincount(label, minlength=classes), 1))[label]
@@ -175,7 +222,20 @@ def _train(units: list[np.ndarray], label: np.ndarray, classes: int, steps: int
     return out
 
 
-def variations(words: np.ndarray, seed: int, n: int = 12) -> list[np.ndarray]:
+def _teaching(group: list[np.ndarray], seed: int) -> list[np.ndarray]:
+    """What a family's templates teach: each with variations, inside foreign words, and its own windows."""
+    out = []
+    for k, words in enumerate(group):
+        out += variations(words, seed + k)
+        around = B.stream(seed + 50 + k, 2 * WINDOW_WORDS)
+        out += [np.concatenate((around[:n], words, around[n : 2 * n])) for n in (4, 12) if len(words) + 2 * n <= WINDOW_WORDS]
+        for width in WIDTHS:
+            at, to = _windows(np.zeros(1, dtype=np.int64), len(words), width, width + 1)
+            out += [words[a:b] for a, b in zip(at.tolist(), to.tolist())]
+    return out
+
+
+def variations(words: np.ndarray, seed: int, n: int = 8) -> list[np.ndarray]:
     """A notice as it stands, and with words left out and foreign words around it, by fixed draws."""
     draws = B.stream(seed, n * (len(words) + 8))
     out = [words]
@@ -187,48 +247,67 @@ def variations(words: np.ndarray, seed: int, n: int = 12) -> list[np.ndarray]:
     return [x for x in out if len(x)]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_docs: int = LEARN_DOCS) -> Model:
-    """Fits the classifier; paragraphs of at most about ``learn_docs`` documents reach the driver."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units of each text, with their place."""
+    for batch in batches:
+        for a, b, buf, offs in B.pieces(batch.column(1), 1 << 19):
+            words, at, to, row, _ = paragraphs(buf, offs)
+            ids = batch.column(0).slice(a, b - a).take(pa.array(row))
+            cells = [words[x:y].view(np.int64) for x, y in zip(at.tolist(), to.tolist())]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at - at[np.searchsorted(row, row, "left")]), pa.array(cells, type=pa.list_(pa.int64()))], names=["id", "place", "words"])
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_docs: int = LEARN_DOCS, learn_units: int = LEARN_UNITS) -> Model:
+    """Fits the classifier.
+
+    At most ``learn_units`` units of about ``learn_docs`` documents reach the
+    driver, as hashes of words; which ones depends on ids, places and words
+    alone, whatever the layout of the table.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     total = max(1, rows.count())
     least = int((1 << 30) * min(1.0, learn_docs / total))
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("licence")), F.lit(1 << 30)) < least)
-    lines = sample.select(F.explode(F.split("text", "\n")).alias("line")).filter("length(line) between 8 and 600")
-    taken = [r[0] for r in lines.select("line").limit(LEARN_PARAGRAPHS).collect()]  # a bounded sample to learn from
+    units = sample.mapInArrow(_units, f"id {rows.schema['id'].dataType.simpleString()}, place long, words array<long>")
+    taken = units.select(F.xxhash64("id", "place", "words").alias("h"), "words").orderBy("h", "words").limit(learn_units).select("words").collect()
 
     families = [*TEMPLATES, UNKNOWN]
+    none = len(families) - 1
     notices = [[_words_of(t) for t in group] for group in TEMPLATES.values()]
     model = Model(families, np.zeros((BUCKETS + 1, len(families)), np.float32), 1.0, [[_bigrams(w) for w in group] for group in notices])
-    units, label = [], []
-    for f, group in enumerate(notices):
-        for k, words in enumerate(group):
-            made = variations(words, 100 * f + k)
-            units += made
-            label += [f] * len(made)
-    other = [w for w in (_words_of(t) for t in taken) if len(w)]
+    other = [np.array(r[0], dtype=np.int64).view(U64) for r in taken]
+    # units of the sample that are notices themselves teach nothing about the unknown class
+    known = set().union(*(t for group in model.templates for t in group))
+    other = [w for w in other if len(_bigrams(w) & known) < 0.3 * (len(w) + 1)]
     if not other:
         other = [B.stream(9000 + k, 12) for k in range(50)]
-    # lines of the sample that are notices themselves teach nothing about the unknown class
-    other = [w for w in other if max(model.overlap(f, w) for f in range(len(notices))) < 0.5]
-    units += other
-    label += [len(families) - 1] * len(other)
-    label = np.array(label)
-    back = np.arange(len(label)) % 5 == 0
-    model.weights = _train([u for u, b in zip(units, back) if not b], label[~back], len(families))
-    held = [u for u, b in zip(units, back) if b]
-    bounds = np.concatenate(([0], np.cumsum([len(u) for u in held])))
-    logits = model.logits(np.concatenate(held), bounds[:-1], bounds[1:])
+
+    def learn(groups: list[list[np.ndarray]], rest: list[np.ndarray]) -> np.ndarray:
+        made = [_teaching(group, 100 * f) for f, group in enumerate(groups)]
+        label = np.concatenate([np.full(len(m), f) for f, m in enumerate(made)] + [np.full(len(rest), none)])
+        return _train([u for m in made for u in m] + rest, label, len(families))
+
+    # notices of every third template, and every third unit, are asked of a model that never saw them
+    model.weights = learn([[w for k, w in enumerate(g) if k % 3 != 1 or len(g) == 1] for g in notices], [w for k, w in enumerate(other) if k % 3 != 1])
+    held = [(f, u) for f, g in enumerate(notices) for k, w in enumerate(g) if k % 3 == 1 for u in (w[: WINDOW_WORDS], *variations(w, 7000 + 10 * f + k, 3)[1:])]
+    held += [(none, w) for k, w in enumerate(other) if k % 3 == 1][: 4 * len(held)]
+    bounds = np.concatenate(([0], np.cumsum([len(u) for _, u in held])))
+    logits, label = model.logits(np.concatenate([u for _, u in held]), bounds[:-1], bounds[1:]), np.array([f for f, _ in held])
 
     def loss(t: float) -> float:
         z = logits / t
-        return float((np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) + z.max(axis=1) - z[np.arange(len(z)), label[back]]).mean())
+        return float((np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) + z.max(axis=1) - z[np.arange(len(z)), label]).mean())
 
-    model.temperature = min((0.25 * 1.25**k for k in range(16)), key=loss)
+    model.temperature = min((0.25 * 1.25**k for k in range(20)), key=loss)
+    model.weights = learn(notices, other)
     return model
 
 
+_FINDING = [("family", pa.string()), ("paragraph", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64()), ("overlap", pa.float64()), ("confirmed", pa.bool_())]
+
+
 def _scanner(shared):
-    kind = pa.list_(pa.struct([("family", pa.string()), ("unit", pa.int32()), ("probability", pa.float64()), ("overlap", pa.float64()), ("confirmed", pa.bool_())]))
+    kind = pa.list_(pa.struct(_FINDING))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
@@ -237,14 +316,26 @@ def _scanner(shared):
             for a, b, buf, offs in B.pieces(batch.column(1), 1 << 19):
                 words, at, to, row, nth = paragraphs(buf, offs)
                 found: list[list[dict]] = [[] for _ in range(b - a)]
+                n = np.zeros(b - a, dtype=np.int64)
                 if len(at):
+                    np.maximum.at(n, row, nth + 1)
+                    begin = np.searchsorted(row, np.arange(b - a), "left")
                     p = model.probabilities(model.logits(words, at, to))
                     best = p.argmax(axis=1)
-                    for u in np.flatnonzero((best != none) & (p.max(axis=1) >= PROBABILITY)):
-                        near = model.overlap(int(best[u]), words[at[u] : to[u]])
-                        found[row[u]].append({"family": model.families[best[u]], "unit": int(nth[u]), "probability": float(p[u, best[u]]), "overlap": near, "confirmed": near >= OVERLAP})
-                n = np.bincount(row, minlength=b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(found, type=kind)], names=["doc_id", "n_paragraphs", "findings"])
+                    likely = []
+                    for u in np.flatnonzero((best != none) & (p.max(axis=1) >= PROBABILITY)).tolist():
+                        near, common = model.overlap(int(best[u]), words[at[u] : to[u]])
+                        likely.append((near < OVERLAP, -common, -float(p[u, best[u]]), u, near))
+                    taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                    for weak, _, minus, u, near in sorted(likely):
+                        own = taken.setdefault((int(row[u]), int(nth[u])), [])
+                        if all(to[u] <= x or y <= at[u] for x, y in own):
+                            own.append((at[u], to[u]))
+                            base = at[begin[row[u]]]
+                            found[row[u]].append({"family": model.families[best[u]], "paragraph": int(nth[u]), "start": int(at[u] - base), "end": int(to[u] - base), "probability": -minus, "overlap": near, "confirmed": not weak})
+                for own in found:
+                    own.sort(key=lambda x: x["start"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(found, type=kind)], names=["doc_id", "n_paragraphs", "findings"])
 
     return scan
 
@@ -252,14 +343,16 @@ def _scanner(shared):
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_paragraphs, findings`` for every row.
 
-    A finding has the family, the paragraph's number, the probability, the
-    overlap with the family's nearest template and whether that confirms it.
-    Null and wordless texts have no paragraphs; rows that repeat are answered
-    one by one; an empty table gives an empty one.
+    A finding has the family, the paragraph's number, its first and last word
+    in the text (end excluded), the probability, the overlap with the family's
+    nearest template and whether that confirms it; findings of a paragraph
+    share no word.  Null and wordless texts have no paragraphs; rows that
+    repeat are answered one by one; an empty table gives an empty one.  A very
+    long text is read whole, its units some thousand at a time.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x families numbers
-    found = "array<struct<family:string,unit:int,probability:double,overlap:double,confirmed:boolean>>"
+    found = "array<struct<family:string,paragraph:int,start:long,end:long,probability:double,overlap:double,confirmed:boolean>>"
     return narrow.mapInArrow(_scanner(shared), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_paragraphs long, findings {found}")
 
 

@@ -210,13 +210,46 @@ def test_licences_are_found_and_confirmed(spark):
     assert licences.scan(docs.filter("false"), licences.fit(docs.filter("false"))).count() == 0
 
 
+GPL3 = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+
+
+def test_licences_in_wrapped_lines_and_inside_prose(spark):
+    learn = K.docs(spark, [(k, K.prose(k, 12) + "\n" + K.prose(k + 500, 6)) for k in range(60)])
+    model = licences.fit(learn)
+    inside = [("MIT", "distributed under the terms of the MIT license"), ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("GPL-2.0", "released under the GNU General Public License, version 2"), ("MPL-2.0", "available under the Mozilla Public License, Version 2.0"), ("CC-BY-SA", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License")]
+    rows, want = [(1, GPL3), (2, K.prose(3, 9) + "\n\n" + GPL3 + "\n" + K.prose(5, 9)), (3, "see " + licences.NOTICES["ISC"][0])], {1: "GPL-3.0", 2: "GPL-3.0", 3: "ISC"}
+    for f, (family, notice) in enumerate(inside):
+        for k, n in enumerate((10, 20, 30, 50)):
+            i = 100 + 10 * f + k
+            around = K.prose(i, n).split()
+            rows.append((i, " ".join([*around[:n], notice, *around[n : 2 * n]])))
+            want[i] = family
+    got = {r.doc_id: r.licences for r in licences.report(licences.scan(K.docs(spark, rows), model)).collect()}
+    assert got == want
+    again = licences.fit(learn.repartition(7).orderBy(F.rand(3)))
+    assert np.array_equal(again.weights, model.weights) and again.temperature == model.temperature
+
+
 def test_paragraph_windows_cover_every_word():
     text = " ".join(f"w{k}" for k in range(300)) + "\nshort line\n\n" + "x"
     from inkstream.llm import buffers as B
 
     words, at, to, row, nth = licences.paragraphs(*B.text_arrays(pa.array([text, "", "y z"], type=pa.large_string())))
-    covered = np.zeros(len(words), dtype=bool)
-    for a, b in zip(at, to):
-        assert b - a <= licences.WINDOW_WORDS
-        covered[a:b] = True
-    assert covered.all() and row.tolist()[-1] == 2 and nth[0] == 0 and nth[-1] == 0
+    for width in licences.WIDTHS:
+        covered = np.zeros(len(words), dtype=bool)
+        for a, b in zip(at, to):
+            assert b - a <= licences.WINDOW_WORDS
+            if b - a <= width:
+                covered[a:b] = True
+        assert covered.all()
+    assert row.tolist()[-1] == 2 and nth[0] == 0 and nth[-1] == 0 and set(nth[row == 0].tolist()) == {0, 1}
+    assert any(b - a == 2 and a == 300 for a, b in zip(at, to))  # a line of its own
