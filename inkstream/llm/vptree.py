@@ -7,8 +7,11 @@ at the median distance from a vantage point.  A query leaves out a side that
 the triangle inequality rules out; the query's radius is multiplied by
 ``factor`` for that test, so 1 is exact and less looks at less.
 
-All queries of a block walk the tree together: a node holds the numbers of the
-queries that reach it, and a leaf is one matrix product.
+A task holds a shard's rows, builds its tree once and lets the queries pass by
+batch after batch.  All queries of a batch walk the tree together: a node holds
+the numbers of the queries that reach it, and a leaf is one matrix product.
+What the shards find is cut to the best of each query before and after the
+shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import Scratch
@@ -26,13 +29,15 @@ K = 20
 #: Part of the radius that must be reached before a side is left out; 1 is exact.
 FACTOR = 0.85
 LEAF = 96
-#: Rows of a shard, and queries of a block, at most in expectation.
+#: Rows of a shard, in expectation, and queries that one task lets pass a tree.
 SHARD_ROWS = 8192
-BLOCK_QUERIES = 8192
+BLOCK_QUERIES = 65536
+#: Partitions that shards are dealt over, at most.
+MOST_TASKS = 10_000
 
 
 def usable(vectors: pa.Array) -> np.ndarray:
-    """Rows that are not null or zero and hold no null or non-finite component; all have the first such row's length."""
+    """Rows that are not null or zero and hold no null or non-finite component."""
     ok = np.zeros(len(vectors), dtype=bool)
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     size = np.array([n or 0 for n in vectors.value_lengths().to_pylist()])
@@ -138,49 +143,61 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(norm), pa.array(size.astype(np.int32))], names=["id", "v", "norm", "dim"])
 
 
-def _searcher(k: int, factor: float, top: float):
-    def search(table):
-        query = table.column("query").to_numpy()
-        ids = table.column("id").to_numpy()
-        flat = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        vectors = flat.reshape(len(ids), -1)
-        names, asked = ids[query], vectors[query]
-        found = Nearest(len(names), k)
-        if len(names) and (~query).any():
-            Tree(ids[~query], vectors[~query], top, k).search(asked, names, top, found, factor)
-        r, j = np.nonzero(found.score > -np.inf)
-        return pa.table({"query_id": names[r], "vec_id": found.ids[r, j], "score": found.score[r, j]})
+def _searcher(k: int, factor: float):
+    """From rows sorted by shard, its points before its queries: each query's best of the shard."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, points, tree, top = None, [], None, 0.0
+        for batch in batches:
+            keys = np.stack([c.to_numpy() for c in batch.columns[:3]] + [batch.column(3).to_numpy(zero_copy_only=False)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if group != tuple(keys[a, :3]):
+                    group, points, tree, top = tuple(keys[a, :3]), [], None, float(batch.column(6)[a].as_py())
+                ids = batch.column(4).slice(a, b - a).to_numpy()
+                vectors = batch.column(5).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                if not keys[a, 3]:
+                    points.append((ids, vectors))
+                    continue
+                if tree is None and points:
+                    tree = Tree(*(np.concatenate(x) for x in zip(*points)), top, k)
+                    points = []
+                if tree is None:
+                    continue
+                found = Nearest(b - a, k)
+                tree.search(vectors, ids, top, found, factor)
+                r, j = np.nonzero(found.score > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(found.ids[r, j]), pa.array(found.score[r, j])], names=["query_id", "vec_id", "score"])
 
     return search
 
 
-def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` rows of largest inner product.
 
     ``is_query`` is a condition on the id column.  Vectors that are null, zero
-    or hold a null or non-finite component take no part, nor do null ids and
-    vectors of another length than most rows have.  A query is never its own
-    candidate.  Ties go to the smaller id; repeated rows are one candidate per
-    row.  Rows are dealt by hash into shards and queries into blocks; a task
-    takes one shard and one block, and a query's results of all shards are
-    merged by its id.
+    or hold a null or non-finite component take no part, nor do null ids.  A
+    product needs two vectors of one length, so a query's candidates are the
+    rows of its own length.  A query is never its own candidate.  Ties go to
+    the smaller id; repeated rows are one candidate per row, and a query that
+    repeats gets its answer once (one id with several vectors: the best of all
+    of them).  Rows are dealt by hash into shards; every
+    query asks every shard of its length.
     """
     disk = Scratch(vectors.sparkSession)
     narrow = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-    rows = disk.keep(narrow.mapInArrow(_checked, "id long, v array<double>, norm double, dim int"))
-    common = rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim = common["dim"] if common else 0
-    rows = rows.filter(F.col("dim") == dim)
-    seen = rows.withColumn("query", is_query(F.col("id"))).agg(F.count("*"), F.count(F.when(F.col("query"), 1)), F.max("norm")).first()
-    shards = max(1, -(-seen[0] // shard_rows))
-    blocks = max(1, -(-seen[1] // BLOCK_QUERIES))
-    top = float(seen[2] or 1.0)
-    shard = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards))
-    block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    points = rows.select("id", "v", F.lit(False).alias("query"), shard.alias("shard"), every(blocks).alias("block"))
-    asked = rows.filter(is_query(F.col("id"))).select("id", "v", F.lit(True).alias("query"), every(shards).alias("shard"), block.alias("block"))
-    found = points.unionByName(asked).groupBy("shard", "block").applyInArrow(_searcher(k, factor, top), "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))), 1, k).alias("best"))
-    out = merged.select("query_id", F.posexplode("best"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.v").alias("vec_id"), (-F.col("col.s")).alias("score"))
+    rows = disk.keep(narrow.mapInArrow(_checked, "id long, v array<double>, norm double, dim int")).withColumn("query", is_query(F.col("id")))
+    lengths = rows.groupBy("dim").agg(F.max("norm").alias("top"), F.ceil(F.count("*") / shard_rows).alias("shards"), F.greatest(F.ceil(F.count_if("query") / block_queries), F.lit(1)).alias("blocks"))
+    lengths = disk.keep(lengths)
+    groups = lengths.agg(F.sum(F.col("shards") * F.col("blocks"))).first()[0] or 1
+    known = rows.join(lengths, "dim")
+    shard, block = (F.pmod(F.xxhash64("id", F.lit(name)), F.col(f"{name}s")) for name in ("shard", "block"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    points = known.select("dim", shard.alias("shard"), every("blocks").alias("block"), F.lit(False).alias("query"), "id", "v", "top")
+    asked = known.filter("query").dropDuplicates(["id", "v"]).select("dim", every("shards").alias("shard"), block.alias("block"), F.lit(True).alias("query"), "id", "v", "top")
+    dealt = points.unionByName(asked).repartition(min(3 * groups, MOST_TASKS), "dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "query", "id")
+    found = dealt.mapInArrow(_searcher(k, factor), "query_id long, vec_id long, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
