@@ -125,8 +125,11 @@ def merge_decisions(structural: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def summary(decisions: DataFrame) -> DataFrame:
-    """``rule, kept, dropped``, most dropped first."""
-    return decisions.groupBy("rule").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped")).orderBy(F.desc("dropped"), F.desc("kept"), "rule")
+    """``rule, kept, dropped``, most dropped first; decisions with a ``reason`` give each rule's first by book and place."""
+    counts = [F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped")]
+    if "reason" in decisions.columns:
+        counts.append(F.min_by("reason", F.struct("book_id", "ord")).alias("reason"))
+    return decisions.groupBy("rule").agg(*counts).orderBy(F.desc("dropped"), F.desc("kept"), "rule")
 
 
 def kept(blocks: DataFrame, decisions: DataFrame) -> DataFrame:

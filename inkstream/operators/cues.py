@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.publish import ass_dialogue, ass_head
 from ..functions.text import caption_lines, has_punctuation, srt_time, trim
 
 
@@ -45,6 +46,13 @@ def to_srt(cues: DataFrame, key: str, text: str = "content") -> DataFrame:
     return ordered.select(key, F.array_join(F.transform("c", lambda c, i: F.concat(i + 1, c["body"])), "\n").alias("srt"))
 
 
+def to_ass(cues: DataFrame, key: str, width: int, height: int, text: str = "content", **style) -> DataFrame:
+    """One styled subtitle document per key: cues by time, those without text left out."""
+    line = ass_dialogue(F.col("start"), F.col("end"), F.col(text))
+    ordered = cues.select(key, F.struct("idx", line.alias("body")).alias("c")).filter("c.body is not null").groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return ordered.select(key, F.concat(ass_head(width, height, **style), F.array_join(F.transform("c", lambda c: c["body"]), "\n"), F.lit("\n")).alias("ass"))
+
+
 def word_captions(words: DataFrame, key: str) -> DataFrame:
     """Words with ``seq, start, end, word`` into captions that end with punctuation."""
     w = Window.partitionBy(key).orderBy("seq")

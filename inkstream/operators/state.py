@@ -83,10 +83,60 @@ def publish_slots(items: DataFrame, key: str, order: list[str], cursor: Column,
 
 
 def cache_hits(requests: DataFrame, cache: DataFrame, key: str, now: Column) -> DataFrame:
-    """Requests with ``hit``: an entry that has not expired and holds something."""
-    c = cache.select(key, "expires_at", F.size("items").alias("_n"))
+    """Requests with ``hit``: an entry that has not expired and holds something.
+
+    Where requests have an ``aspect`` and entries' items ``width`` and
+    ``height``, every item must fit it: one that does not makes the whole
+    entry stale, for else its few fitting items would be used again and again.
+    """
+    shaped = "aspect" in requests.columns
+    c = cache.select(key, "expires_at", F.col("items").alias("_i"))
     joined = requests.join(c, key, "left")
-    return joined.withColumn("hit", F.coalesce((F.col("expires_at") > now) & (F.col("_n") > 0), F.lit(False))).drop("_n", "expires_at")
+    fresh = (F.col("expires_at") > now) & (F.size("_i") > 0)
+    if shaped:
+        fits = lambda x: F.when(F.col("aspect") == "portrait", x["height"] > x["width"]).when(F.col("aspect") == "landscape", x["width"] > x["height"]).otherwise(F.lit(True))
+        fresh = fresh & F.forall("_i", lambda x: F.coalesce(fits(x), F.lit(False)))
+    return joined.withColumn("hit", F.coalesce(fresh, F.lit(False))).drop("_i", "expires_at")
+
+
+def cached_items(requests: DataFrame, cache: DataFrame, key: str, now: Column) -> DataFrame:
+    """The items of the entries that are hits, under the term as the request spells it."""
+    hits = cache_hits(requests, cache, key, now).filter("hit").drop("hit")
+    return hits.join(cache.select(key, F.explode("items").alias("item")), key).withColumn("item", F.col("item").withField("term", F.col("term")))
+
+
+def searches(requests: DataFrame, cache: DataFrame, key: str, now: Column) -> DataFrame:
+    """The keys to search for once each, however many requests wait for them."""
+    return cache_hits(requests, cache, key, now).filter("not hit").groupBy(key).agg(F.count("*").alias("waiting"))
+
+
+def synced(books: DataFrame, progress_rows: DataFrame, key: str = "book_id") -> DataFrame:
+    """Books with the state of their segments, but for states that speak of the book itself; without segments a book is ready."""
+    p = progress_rows.select(key, F.col("state").alias("_derived"))
+    own = F.col("state").isin("extracting", "ocr_pending", "ocr", "failed")
+    return books.join(p, key, "left").withColumn("state", F.when(own, F.col("state")).otherwise(F.coalesce("_derived", F.lit("ready")))).drop("_derived")
+
+
+def with_progress(books: DataFrame, segments: DataFrame, key: str = "book_id") -> DataFrame:
+    """Books with counts and percentage of their segments, zero where there are none."""
+    p = progress(segments, key).withColumnRenamed("state", "derived_state")
+    counts = [c for c in p.columns if c not in (key, "derived_state")]
+    return books.join(p, key, "left").fillna(0, counts).fillna("ready", ["derived_state"])
+
+
+def throttled(events: DataFrame, key: str, at: str, value: str, interval: float = 1.0, jump: float = 0.02) -> DataFrame:
+    """Progress events that are passed on: greater than the last one passed on, and late enough after it, far enough above it, or complete.
+
+    Which event was the last depends on all before, so a key's events are folded in order; ``at`` is in seconds.
+    """
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(-1.0).alias("v"), F.array().cast("array<struct<at:double,value:double>>").alias("out"))
+
+    def step(s: Column, e: Column) -> Column:
+        due = (e["value"] > s["v"]) & ((e["at"] - s["t"] >= interval) | (e["value"] - s["v"] >= jump) | (e["value"] >= 1))
+        return F.when(due, F.struct(e["at"].alias("t"), e["value"].alias("v"), F.concat(s["out"], F.array(e)).alias("out"))).otherwise(s)
+
+    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("at"), F.col(value).cast("double").alias("value")))).alias("e"))
+    return rows.select(key, F.inline(F.aggregate("e", zero, step)["out"]))
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: str = "10 minutes") -> DataFrame:
@@ -108,3 +158,14 @@ def cache_ages(entries: DataFrame, group: str, now: Column, keep: Column) -> Dat
     old = (F.col("made_at") <= now - keep) | (F.col("made_at") > now)
     size = F.coalesce("bytes", F.lit(0))
     return entries.groupBy(group).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.count_if(old).alias("expired"), F.coalesce(F.sum(F.when(old, size)), F.lit(0)).alias("freed"), F.min("made_at").alias("oldest"), F.max("made_at").alias("newest"))
+
+
+def cleaned(entries: DataFrame, group: str, now: Column, keep: Column) -> DataFrame:
+    """``candidates, deleted, freed, failed`` of a clean-up: expired files that may be removed, and those that may not.
+
+    Entries have ``name, bytes, made_at, linked``; only plain cache files are removed, links and strange names fail one by one.
+    """
+    old = (F.col("made_at") <= now - keep) | (F.col("made_at") > now)
+    ok = F.coalesce(F.col("name").rlike(r"^[A-Za-z0-9._-]+\.mp4$") & ~F.col("linked"), F.lit(False))
+    size = F.coalesce("bytes", F.lit(0))
+    return entries.filter(old).groupBy(group).agg(F.count("*").alias("candidates"), F.count_if(ok).alias("deleted"), F.coalesce(F.sum(F.when(ok, size)), F.lit(0)).alias("freed"), F.count_if(~ok).alias("failed"))

@@ -142,8 +142,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, n = [], 0
             try:
                 chapters = book(cell.as_buffer().to_pybytes())
-            except Unreadable:
-                continue
+            except Unreadable as why:  # told in a row of its own, so no file goes unseen
+                rows.append((path, None, None, None, None, None, None, "unreadable", None, str(why)))
+                chapters = []
             for k, (cid, _, title, mark, blocks) in enumerate(chapters):
                 for j, (kind, depth, text) in enumerate(blocks):
                     rows.append((path, cid, k, title, mark, f"{k}:{j}", n, kind, depth, text))
@@ -153,7 +154,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of all books under a path, a task per file; archives that cannot be read give no rows."""
+    """Blocks of all books under a path, a task per file; an archive that cannot be read gives one row of kind ``unreadable`` with the reason."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read, SCHEMA)
 
 
@@ -163,3 +164,22 @@ def book_files(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", book_format(F.col("content"), F.col("path")).alias("format"), "length")
+
+
+def read_books(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of all books under a path, each read as what its first bytes or its name say: ``path, chapter_id, title, block_id, ord, kind, level, text``.
+
+    Page images have no text of their own: a PDF gives one row of kind ``unreadable``.
+    """
+    from .plain import book_format, text_blocks, text_chapters
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content").withColumn("format", book_format(F.col("content"), F.col("path")))
+    wanted = ["path", "chapter_id", "title", "block_id", "ord", "kind", "level", "text"]
+    epub = files.filter("format = 'epub'").select("path", "content").mapInArrow(_read, SCHEMA)
+    epub = epub.select(*wanted)
+    stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "")
+    plain = text_blocks(files.filter("format = 'text'").select("path", F.col("content").cast("string").alias("text")), "path")
+    plain = text_chapters(plain, "path", stem).select(*wanted)
+    none = F.lit(None)
+    pdf = files.filter("format = 'pdf'").select("path", *[none.cast("string").alias(c) for c in wanted[1:4]], none.cast("int").alias("ord"), F.lit("unreadable").alias("kind"), none.cast("int").alias("level"), F.lit("a PDF is read page by page").alias("text"))
+    return epub.unionByName(plain).unionByName(pdf)

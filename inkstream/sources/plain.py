@@ -38,6 +38,35 @@ def text_blocks(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return parts.select(key, (F.col("unit") - 1).cast("int").alias("pos"), F.when(F.col("level").isNotNull(), "heading").otherwise("paragraph").alias("kind"), "level", clean.alias("text"))
 
 
+def text_chapters(blocks: DataFrame, key: str, fallback: Column) -> DataFrame:
+    """Blocks of :func:`text_blocks` in chapters: ``key, chapter_id, title, chapter_level, block_id, ord`` and the block.
+
+    The shallowest level of heading that a book has begins its chapters; what
+    stands before the first is a chapter named ``fallback``.
+    """
+    book = Window.partitionBy(key)
+    w = book.orderBy("pos")
+    begins = F.coalesce((F.col("kind") == "heading") & (F.col("level") == F.col("_top")), F.lit(False))
+    rows = blocks.withColumn("_title", fallback).withColumn("_top", F.min(F.when(F.col("kind") == "heading", F.col("level"))).over(book)).withColumn("_begins", begins)
+    early = F.first("_begins").over(w)  # whether the book begins with a chapter
+    nth = F.sum(F.col("_begins").cast("int")).over(w) - F.when(early, 1).otherwise(0)
+    rows = rows.withColumns({"chapter": nth, "ord": F.row_number().over(w) - 1})
+    inner = Window.partitionBy(key, "chapter").orderBy("pos")
+    first = F.first(F.struct("_begins", "text", "level")).over(inner)
+    rows = rows.withColumns({"_f": first, "_n": F.row_number().over(inner) - 1})
+    return rows.select(
+        key,
+        F.concat(F.lit("ch-"), "chapter").alias("chapter_id"),
+        F.when(F.col("_f._begins"), F.col("_f.text")).otherwise(F.col("_title")).alias("title"),
+        F.when(F.col("_f._begins"), F.col("_f.level")).otherwise(1).alias("chapter_level"),
+        F.concat("chapter", F.lit(":"), "_n").alias("block_id"),
+        "ord",
+        "kind",
+        "level",
+        "text",
+    )
+
+
 def parse_srt(files: DataFrame, key: str, text: str = "srt") -> DataFrame:
     """``key, idx, start, end, text``: a timing line begins a cue even without a blank line; cues without text keep their number and go."""
     timing = r"(\d+:\d+:\d+[,.]\d+)\s*-->\s*(\d+:\d+:\d+[,.]\d+)"
