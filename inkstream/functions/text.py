@@ -33,12 +33,10 @@ def has_punctuation(c: Column) -> Column:
 def spoken_seconds(c: Column, wpm: int = BASE_WPM) -> Column:
     """Narration time: each script has its own rate, and sentences their pauses."""
     t = trim(c)
-    cjk = F.length(F.regexp_replace(t, r"[^\x{4E00}-\x{9FFF}]", ""))
-    words = F.size(F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9]+"), F.lit(0)))
-    latin = F.length(F.regexp_replace(t, r"[^A-Za-z0-9]", ""))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
-    others = F.greatest(letters - cjk - latin, F.lit(0))
-    pauses = F.greatest(F.size(caption_lines(t)) - 1, F.lit(0))
+    cjk = F.regexp_count(t, F.lit(r"[\x{4E00}-\x{9FFF}]"))
+    words = F.regexp_count(t, F.lit(r"[A-Za-z0-9]+"))
+    others = F.regexp_count(t, F.lit(r"[\p{L}\p{N}&&[^A-Za-z0-9\x{4E00}-\x{9FFF}]]"))
+    pauses = F.greatest(F.size(F.filter(F.split(t, BOUNDARY), lambda x: x.rlike(r"(?U)\S"))) - 1, F.lit(0))
     seconds = cjk / F.lit(CJK_RATE) + words / F.lit(LATIN_RATE) + others / F.lit(OTHER_RATE) + pauses * F.lit(PAUSE)
     return F.when(t == "", F.lit(0.0)).otherwise(seconds * F.lit(BASE_WPM / (wpm if wpm > 0 else BASE_WPM)))
 

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, places, running_totals
 from ..functions.publish import ass_dialogue, ass_head
 from ..functions.text import caption_lines, has_punctuation, srt_time, trim
 
 
 def proportional(texts: DataFrame, key: str, text: str, duration: str) -> DataFrame:
-    """``key, idx, start, end, content``: lines share the duration by their lengths; the last ends exactly with it."""
-    lines = F.when(F.size(caption_lines(F.col(text))) > 0, caption_lines(F.col(text))).otherwise(F.array(trim(F.col(text))))
-    rows = texts.filter(trim(F.col(text)) != "").select(F.col(key), F.greatest(F.col(duration), F.lit(0.001)).alias("_d"), F.posexplode(lines).alias("pos", "content"))
-    w = Window.partitionBy(key).orderBy("pos")
-    total, upto = F.sum(F.length("content")).over(Window.partitionBy(key)), F.sum(F.length("content")).over(w)
-    end = F.when(F.lead("pos").over(w).isNull(), F.col("_d")).otherwise(F.col("_d") * upto / total)
-    timed = rows.withColumn("end", end)
-    return timed.select(key, (F.col("pos") + 1).alias("idx"), F.coalesce(F.lag("end").over(w), F.lit(0.0)).alias("start"), "end", "content")
+    """``key, idx, start, end, content``: lines share the duration by their lengths; the last ends exactly with it.
+
+    A text's times are computed within its row, so nothing is shuffled.
+    """
+    lines = let(caption_lines(F.col(text)), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(trim(F.col(text)))))
+    rows = texts.filter(trim(F.col(text)) != "").select(F.col(key), F.greatest(F.col(duration), F.lit(0.001)).alias("_d"), lines.alias("_l"))
+
+    def ends(upto: Column) -> Column:
+        return F.transform(upto, lambda u, i: F.when(i == F.size(upto) - 1, F.col("_d")).otherwise(F.col("_d") * u / F.element_at(upto, -1)))
+
+    def cues(l: Column) -> Column:
+        till = let(running_totals(F.transform(l, lambda x: F.length(x).cast("long"))), ends)
+        one = lambda e: F.transform(l, lambda x, i: F.struct((i + 1).alias("idx"), F.coalesce(F.get(e, i - 1), F.lit(0.0)).alias("start"), F.get(e, i).alias("end"), x.alias("content")))
+        return let(till, one)
+
+    return rows.select(key, F.inline(let(F.col("_l"), cues)))
 
 
 def offset(chunks: DataFrame, cues: DataFrame, key: str) -> DataFrame:
@@ -53,10 +62,23 @@ def to_ass(cues: DataFrame, key: str, width: int, height: int, text: str = "cont
     return ordered.select(key, F.concat(ass_head(width, height, **style), F.array_join(F.transform("c", lambda c: c["body"]), "\n"), F.lit("\n")).alias("ass"))
 
 
+def captions_in(words: Column) -> Column:
+    """A row's words ``start, end, word`` as captions ``caption, start, end, text`` that end with punctuation."""
+
+    def cut(w: Column) -> Column:
+        last = F.filter(places(w), lambda i: (i == F.size(w) - 1) | has_punctuation(F.get(w, i)["word"]))
+
+        def captions(ends: Column) -> Column:
+            begin = lambda k: F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+            text = lambda e, k: F.array_join(F.transform(F.slice(w, begin(k) + 1, e - begin(k) + 1), lambda x: x["word"]), " ")
+            return F.transform(ends, lambda e, k: F.struct(k.cast("long").alias("caption"), F.get(w, begin(k))["start"].alias("start"), F.get(w, e)["end"].alias("end"), text(e, k).alias("text")))
+
+        return let(last, captions)
+
+    return let(words, cut)
+
+
 def word_captions(words: DataFrame, key: str) -> DataFrame:
     """Words with ``seq, start, end, word`` into captions that end with punctuation."""
-    w = Window.partitionBy(key).orderBy("seq")
-    ended = F.coalesce(F.lag(has_punctuation(F.col("word")).cast("int")).over(w), F.lit(0))
-    part = words.withColumn("_e", ended).withColumn("caption", F.sum("_e").over(w))
-    got = part.groupBy(key, "caption").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("seq", "word"))).alias("w"))
-    return got.select(key, "caption", "start", "end", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))
+    held = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "word"))).alias("w"))
+    return held.select(key, F.inline(captions_in(F.transform("w", lambda x: x.dropFields("seq")))))

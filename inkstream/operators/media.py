@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import counted
+
 
 def fits_aspect(width: Column, height: Column, aspect: str) -> Column:
     """Portrait, landscape or square; unknown sizes fit nothing but square, which keeps all."""
@@ -70,8 +72,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def rerank(vectors: DataFrame, subject: DataFrame) -> DataFrame:
-    """``vec_id, score``: every row against the one subject vector, which is a single row by construction."""
-    return vectors.join(F.broadcast(subject.limit(1)), how="left").withColumn("score", cosine(F.col("embedding"), F.col("subject")))
+    """``vec_id, score``: every row against the subject vector, the one row of ``subject``; more than one is an error."""
+    return vectors.withColumn("subject", subject.select("subject").scalar()).withColumn("score", cosine(F.col("embedding"), F.col("subject")))
 
 
 def search_results(replies: DataFrame, provider: str, width: int, height: int, least: float) -> DataFrame:
@@ -106,10 +108,9 @@ def search_results(replies: DataFrame, provider: str, width: int, height: int, l
     return rows.select("provider", "term", F.col("v.id").alias("asset"), F.col("v.urls.mp4_download").alias("url"), F.col("v.duration").alias("duration"), F.col("v.max_width").alias("width"), F.col("v.max_height").alias("height"))
 
 
-def term_counts(texts: DataFrame, key: str, text: str, stop: list[str], least: int = 4) -> DataFrame:
-    """``key, word, n, rank``: words by count, then alphabet; a key's words are counted before they are ranked."""
-    words = F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}']+"))
-    w = F.regexp_replace(F.col("w"), r"^'+|'+$", "")
-    rows = texts.select(key, words.alias("w")).select(key, w.alias("word")).filter((F.length("word") >= least) & ~F.col("word").isin(stop))
-    counts = rows.groupBy(key, "word").agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word")))
+def term_counts(texts: DataFrame, key: str, text: str, stop: list[str], least: int = 4, most: int | None = None) -> DataFrame:
+    """``key, word, n, rank``: a text's words by count, then alphabet, the first ``most`` of them; counted within the row."""
+    parts = F.transform(F.split(F.lower(F.col(text)), r"[^\p{L}']+"), lambda w: F.regexp_replace(w, r"^'+|'+$", ""))
+    ranked = counted(F.filter(parts, lambda w: (F.length(w) >= least) & ~w.isin(stop)))
+    rows = texts.select(key, F.posexplode(ranked if most is None else F.slice(ranked, 1, most)).alias("pos", "r"))
+    return rows.select(key, "r.word", "r.n", (F.col("pos") + 1).alias("rank"))

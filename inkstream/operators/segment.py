@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import spoken_seconds, trim, word_count
 
 PREFERRED = 0.6
@@ -45,33 +46,51 @@ def _cuts(mode: str, target: float, most: float):
     return zero, step
 
 
+def _folded(kept: DataFrame, mode: str, target: float, most: float, wpm: int) -> DataFrame:
+    """``book_id, b, cuts``: a book's measured blocks in order, with the text of headings alone, and where segments after the first begin."""
+    heading = F.col("kind") == "heading"
+    block = F.struct("ord", "block_id", "chapter_id", "seconds", "words", heading.alias("heading"), F.when(heading, trim(F.col("text"))).alias("head"))
+    books = measured(kept, wpm).select("book_id", block.alias("b")).groupBy("book_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    zero, step = _cuts(mode, target, most)
+    return books.select("book_id", "b", F.aggregate("b", zero, step)["cuts"].alias("cuts"))
+
+
+def _parts(cuts: Column, blocks: Column) -> Column:
+    """A book's blocks, an array for each segment."""
+    bounds = F.array_distinct(F.concat(F.array(F.lit(0)), cuts, F.array(F.size(blocks))))
+    return let(bounds, lambda at: F.transform(F.slice(at, 2, F.size(at)), lambda to, k: F.slice(blocks, F.get(at, k) + 1, to - F.get(at, k))))
+
+
 def segment_of_block(kept: DataFrame, mode: str = "duration", target: float = 900, most: float = 1500, wpm: int = 150) -> DataFrame:
     """``book_id, block_id, idx`` and the block's measures: the segment of every kept block."""
-    rows = measured(kept, wpm).select("book_id", F.struct("ord", "block_id", "chapter_id", "seconds", "words", (F.col("kind") == "heading").alias("heading")).alias("b"))
-    zero, step = _cuts(mode, target, most)
-    books = rows.groupBy("book_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
-    folded = books.select("book_id", "b", F.aggregate("b", zero, step)["cuts"].alias("cuts"))
-    out = folded.select("book_id", "cuts", F.posexplode("b").alias("i", "b"))
-    return out.select("book_id", "b.*", F.size(F.filter("cuts", lambda c: c <= F.col("i"))).alias("idx"))
+    parts = _folded(kept, mode, target, most, wpm).select("book_id", F.posexplode(_parts(F.col("cuts"), F.col("b"))).alias("idx", "part"))
+    return parts.select("book_id", "idx", F.inline("part")).drop("head")
 
 
 def plan_segments(kept: DataFrame, chapters: DataFrame, mode: str = "duration", target: float = 900, most: float = 1500, wpm: int = 150) -> DataFrame:
-    """Segments with title, duration, words and chapters; a title is the first heading or the chapter with a part number."""
-    rows = segment_of_block(kept, mode, target, most, wpm)
-    segs = rows.groupBy("book_id", "idx").agg(
-        F.min_by(F.struct("block_id", "chapter_id", "heading"), "ord").alias("first"),
-        F.max_by("block_id", "ord").alias("last_block"),
-        F.count("*").alias("n_blocks"),
-        F.round(F.round(F.sum("seconds"), 6)).cast("long").alias("estimated_duration"),
-        F.sum("words").alias("word_count"),
-        F.countDistinct("chapter_id").alias("n_chapters"),
+    """Segments with title, duration, words and chapters; a title is the first heading or the chapter with a part number.
+
+    Sums are taken over the arrays of a book's row; only segments leave it.
+    """
+    parts = _folded(kept, mode, target, most, wpm).select("book_id", F.posexplode(_parts(F.col("cuts"), F.col("b"))).alias("idx", "part"))
+    total = lambda name, zero: F.aggregate("part", zero, lambda s, x: s + x[name])
+    first, last = F.get("part", 0), F.element_at("part", -1)
+    segs = parts.select(
+        "book_id",
+        "idx",
+        first["block_id"].alias("first_block"),
+        first["chapter_id"].alias("chapter_id"),
+        first["head"].alias("head"),
+        last["block_id"].alias("last_block"),
+        F.size("part").cast("long").alias("n_blocks"),
+        F.round(F.round(total("seconds", F.lit(0.0)), 6)).cast("long").alias("estimated_duration"),
+        total("words", F.lit(0).cast("long")).alias("word_count"),
+        F.size(F.array_distinct(F.transform("part", lambda x: x["chapter_id"]))).cast("long").alias("n_chapters"),
     )
-    texts = kept.select("book_id", F.col("block_id").alias("first_block"), trim(F.col("text")).alias("head_text"))
-    part = Window.partitionBy("book_id", "first.chapter_id").orderBy("idx")
-    segs = segs.withColumn("part", F.row_number().over(part)).withColumn("first_block", F.col("first.block_id")).withColumn("chapter_id", F.col("first.chapter_id"))
-    named = segs.join(chapters.select("book_id", "chapter_id", "title"), ["book_id", "chapter_id"], "left").join(texts, ["book_id", "first_block"], "left")
+    segs = segs.withColumn("part", F.row_number().over(Window.partitionBy("book_id", "chapter_id").orderBy("idx")))
+    named = segs.join(chapters.select("book_id", "chapter_id", "title"), ["book_id", "chapter_id"], "left")
     default = F.concat(F.coalesce(F.nullif(trim(F.col("title")), F.lit("")), F.lit("Segment")), F.lit(" (part "), F.col("part"), F.lit(")"))
-    return named.select("book_id", "idx", F.when(F.col("first.heading") & (F.col("head_text") != ""), F.col("head_text")).otherwise(default).alias("title"), "first_block", "last_block", "n_blocks", "estimated_duration", "word_count", "n_chapters")
+    return named.select("book_id", "idx", F.coalesce(F.nullif("head", F.lit("")), default).alias("title"), "first_block", "last_block", "n_blocks", "estimated_duration", "word_count", "n_chapters")
 
 
 def short_chunks(kept: DataFrame, chapters: DataFrame, target: int = 900, most: int = 1400) -> DataFrame:

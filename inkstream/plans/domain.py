@@ -19,13 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blocks(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     """``book_id, chapter_id, block_id, ord, kind, level, text``: one per line that is not blank; a short first line is a heading.
 
     Documents are dealt by book once, before they become lines; windows, folds
-    and counts by book find their rows in place.
+    and counts by book find their rows in place.  Work on lines alone asks for
+    them as they lie, not ``dealt``.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(F.floor(F.col("doc_id") / CHAPTERS))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if dealt:
+        docs = docs.repartition(F.floor(F.col("doc_id") / CHAPTERS))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter(trim(F.col("text")) != "")
     nth = F.col("doc_id") % CHAPTERS
     heading = (F.col("pos") == 0) & (F.length("text") <= 60)

@@ -108,7 +108,7 @@ def kept_blocks(spark, d):
 
 @query(f"WITH {_BLOCKS} SELECT book_id, block_id, ord % 10 = 0 AS edited, md5(CASE WHEN ord % 10 = 0 THEN '* ' || text ELSE text END) AS text_md5 FROM blocks")
 def apply_edits(spark, d):
-    b = D.blocks(spark, d)
+    b = D.blocks(spark, d, dealt=False)
     return C.apply_edits(b, D.edits(b)).select("book_id", "block_id", "edited", F.md5("text").alias("text_md5"))
 
 
@@ -121,7 +121,7 @@ def review_blocks(spark, d):
 
 @query(f"WITH {_BLOCKS} SELECT book_id, block_id, round({_SECONDS.format(_TRIM.format('text'))}, 6) AS seconds, {_WORDS.format(_TRIM.format('text'))} AS words FROM blocks")
 def spoken_seconds(spark, d):
-    return D.blocks(spark, d).select("book_id", "block_id", F.round(T.spoken_seconds(F.col("text")), 6).alias("seconds"), T.word_count(F.col("text")).alias("words"))
+    return D.blocks(spark, d, dealt=False).select("book_id", "block_id", F.round(T.spoken_seconds(F.col("text")), 6).alias("seconds"), T.word_count(F.col("text")).alias("words"))
 
 
 @query(f"WITH x AS (SELECT doc_id, {_PARTS.format('text')} AS p FROM documents) SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS lines_md5 FROM x")
@@ -226,8 +226,9 @@ e AS (SELECT *, coalesce(lag(CASE WHEN regexp_matches(word, '[?,.、;:!…？，
 p AS (SELECT *, CAST(sum(ended) OVER (PARTITION BY doc_id ORDER BY seq) AS BIGINT) AS caption FROM e)
 SELECT doc_id, caption, min(seq) * 0.5::DOUBLE AS start, (max(seq) + 1) * 0.5::DOUBLE AS "end", md5(string_agg(word, ' ' ORDER BY seq)) AS text_md5 FROM p GROUP BY 1, 2""")
 def word_captions(spark, d):
-    words = D.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("seq", "word")).withColumns({"start": F.col("seq") * F.lit(0.5), "end": (F.col("seq") + 1) * F.lit(0.5)})
-    return Q.word_captions(words, "doc_id").withColumn("text_md5", F.md5("text")).drop("text")
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct((i * F.lit(0.5)).alias("start"), ((i + 1) * F.lit(0.5)).alias("end"), w.alias("word")))
+    rows = D.table(spark, d, "documents").select("doc_id", F.inline(Q.captions_in(words)))
+    return rows.withColumn("text_md5", F.md5("text")).drop("text")
 
 
 STOP = ["that", "this", "with", "from", "they", "have", "were", "will", "which", "their"]
@@ -237,7 +238,7 @@ STOP = ["that", "this", "with", "from", "they", "have", "were", "will", "which",
 c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND word NOT IN ({", ".join(f"'{w}'" for w in STOP)}) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) SELECT doc_id, word, n, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8""")
 def keyword_topk(spark, d):
-    return M.term_counts(D.table(spark, d, "documents"), "doc_id", "text", STOP).filter("rank <= 8")
+    return M.term_counts(D.table(spark, d, "documents"), "doc_id", "text", STOP, most=8)
 
 
 @query("""WITH s AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings)
