@@ -10,10 +10,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _attached: weakref.WeakSet = weakref.WeakSet()
+#: Bytes of an Arrow batch where the session has Spark's own default: a task holds several of them, inside and outside the JVM.
+BATCH_BYTES = "8m"
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Ships this package's modules to the executors of a session, once per Spark application."""
+    """Ships this package's modules to the executors of a session, once per Spark application, and bounds Arrow batches by bytes."""
+    if spark.conf.get(_BATCH, None) == _DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if context not in _attached:
         package = os.path.dirname(os.path.abspath(__file__))
