@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import caption_lines, trim
+from ..functions.text import caption_lines, script_lines, similarity, trim
 
 #: Ends of sentences and of clauses, and what may close after them.
 ENDS = {0: ".!?。！？…", 1: ",;:，；：、"}
@@ -103,59 +102,42 @@ def aligned(cues: DataFrame, scripts: DataFrame, key: str, script: str = "script
     return hit.join(first, [key, "_from"]).select(key, (F.col("idx") + 1).alias("idx"), "start", "end", trim(F.col("text")).alias("text"))
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left = i
-        above, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left = min(left + 1, row[j] + 1, above + (x != y))
-            above, row[j] = row[j], left
-    return row[-1]
-
-
-def _likeness(a: str, b: str) -> float:
-    a, b = a.lower(), b.lower()
-    return 1.0 if not a and not b else 1 - _distance(a, b) / max(len(a), len(b))
-
-
-def corrected(lines: list[str], cues: list[tuple[float, float, str]]) -> list[tuple[float, float, str]]:
-    """The script's lines with times: a cue takes in the following ones while that makes it more like its line."""
-    out, at = [], 0
-    for line in lines:
-        if at >= len(cues):
-            out.append((0.0, 0.0, line))
-            continue
-        start, end, heard = cues[at]
-        at += 1
-        if heard.strip() != line.strip():
-            heard, best = heard.strip(), _likeness(line, heard.strip())
-            while at < len(cues):
-                longer = f"{heard} {cues[at][2].strip()}"
-                score = _likeness(line, longer)
-                if score <= best:
-                    break
-                heard, best, end = longer, score, cues[at][1]
-                at += 1
-        out.append((start, end, line.strip()))
-    return out
+def _timed_lines(lines: Column, cues: Column) -> Column:
+    """Start and end of each of the script's lines that got cues: a line takes in the next cue while that makes it more alike."""
+    times = F.array().cast("array<struct<start:double,end:double>>")
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("open"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit("").alias("heard"), F.lit(0.0).alias("best"), times.alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        said = trim(c["content"])
+        done = F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+        def begin(at: Column, out: Column) -> Column:
+            return F.struct(at.alias("at"), F.lit(True).alias("open"), c["start"].alias("start"), c["end"].alias("end"), said.alias("heard"), similarity(F.get(lines, at), said).alias("best"), out.alias("out"))
+
+        line, longer = F.get(lines, s["at"]), F.concat(s["heard"], F.lit(" "), said)
+        score = similarity(line, longer)
+        grown = F.struct(s["at"].alias("at"), F.lit(True).alias("open"), s["start"].alias("start"), c["end"].alias("end"), longer.alias("heard"), score.alias("best"), s["out"].alias("out"))
+        closed = F.struct((s["at"] + 1).alias("at"), F.lit(False).alias("open"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.lit("").alias("heard"), F.lit(0.0).alias("best"), done.alias("out"))
+        goes_on = s["open"] & (s["heard"] != trim(line)) & (score > s["best"])
+        more = s["at"] + 1 < F.size(lines)
+        return F.when(s["at"] >= F.size(lines), s).when(~s["open"], begin(s["at"], s["out"])).when(goes_on, grown).when(more, begin(s["at"] + 1, done)).otherwise(closed)
+
+    def finish(s: Column) -> Column:
+        return F.when(s["open"], F.concat(s["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(s["out"])
+
+    return F.aggregate(cues, zero, step, finish)
 
 
 def correct_cues(cues: DataFrame, scripts: DataFrame, key: str, script: str = "script") -> DataFrame:
-    """``key, idx, start, end, text``: per document, the script's wording on the transcript's times."""
-    lines = scripts.select(key, caption_lines(F.col(script)).alias("lines"))
-    said = cues.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "content"))).alias("cues"))
-    kind = scripts.schema[key].dataType.simpleString()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for k, own, heard in zip(part[key], part["lines"], part["cues"]):
-                timed = [] if heard is None else [(c["start"], c["end"], c["content"]) for c in heard]
-                rows += [(k, i + 1, *x) for i, x in enumerate(corrected(list(own), timed))]
-            yield pd.DataFrame(rows, columns=[key, "idx", "start", "end", "text"])
-
-    return lines.join(said, key, "left").mapInPandas(run, f"{key} {kind}, idx int, start double, end double, text string")
+    """``key, idx, start, end, text``: per document, the script's wording on the transcript's times.
+
+    The script loses its marks first; a line without a cue is at 0.  The fold runs over numbers and one line at a time.
+    """
+    lines = scripts.select(key, caption_lines(script_lines(F.col(script))).alias("lines"))
+    said = cues.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "content"))).alias("cues"))
+    timed = lines.join(said, key, "left").withColumn("t", _timed_lines(F.col("lines"), F.col("cues")))  # null without cues
+    at = lambda i, name: F.coalesce(F.get("t", i)[name], F.lit(0.0)).alias(name)
+    return timed.select(key, F.inline(F.transform("lines", lambda x, i: F.struct((i + 1).alias("idx"), at(i, "start"), at(i, "end"), trim(x).alias("text")))))
 
 
 def chunk_cues(cues: DataFrame, scripts: DataFrame, key: str, script: str = "script", duration: str = "duration") -> DataFrame:

@@ -117,3 +117,52 @@ def test_recognition(spark):
     assert (s.total, s.done, s.failed, s.attempted) == (4, 3, 1, 4) and s.confidence == pytest.approx(1.1 / 3)
     why = spark.createDataFrame([("x" * 80, 0.9, True), ("x", 0.9, True), ("", 0.9, True), ("x" * 80, 0.1, True), ("", 0.1, False)], "t string, c double, v boolean").select(L.escalation(F.col("t"), F.col("c"), F.col("v")).alias("w"))
     assert [x.w for x in why.collect()] == ["confident", "implausibly_short", "no_text_recognised", "low_confidence", "no_vision_provider"]
+
+
+def likeness(a, b):
+    a, b = a.lower(), b.lower()
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j - 1] + 1, row[j] + 1, above + (x != y))
+    return 1.0 if not a and not b else 1 - row[-1] / max(len(a), len(b))
+
+
+def plain_correction(lines, cues):
+    out, at = [], 0
+    for line in lines:
+        if at >= len(cues):
+            out.append((0.0, 0.0, line))
+            continue
+        start, end, heard = cues[at]
+        at += 1
+        best = likeness(line, heard)
+        while heard != line and at < len(cues) and likeness(line, f"{heard} {cues[at][2]}") > best:
+            heard, end = f"{heard} {cues[at][2]}", cues[at][1]
+            best, at = likeness(line, heard), at + 1
+        out.append((start, end, line))
+    return out
+
+
+def test_correction_equals_reading_line_by_line(spark):
+    import random
+
+    rng = random.Random(8)
+    words = "harbour lantern meadow orchard quarry river stone timber".split()
+    scripts, cues, want = [], [], []
+    for d in range(40):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 7))]
+        heard = []
+        for line in lines:
+            w = line.split()
+            k = rng.randint(0, len(w))
+            for part in ([w[:k], w[k:]] if rng.random() < 0.6 else [w]):
+                text = " ".join(rng.choice([x, x, x, x[:-1], x + "s"]) for x in part)
+                if text and rng.random() < 0.9:
+                    heard.append((float(len(heard)), len(heard) + 0.5, text))
+        scripts.append((d, ". ".join(lines)))
+        cues += [(d, i, *c) for i, c in enumerate(heard)]
+        want += [(d, i + 1, *x) for i, x in enumerate(plain_correction(lines, heard))]
+    got = N.correct_cues(spark.createDataFrame(cues, "d int, seq int, start double, end double, content string"), spark.createDataFrame(scripts, "d int, script string"), "d")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
