@@ -54,6 +54,24 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Every so many-th place, with this rest, is a block that its book declares to be of a kind.
+DECLARED = [(17, 3, "footnote"), (19, 4, "toc_entry"), (23, 5, "running_head"), (29, 6, "page_number"), (31, 7, "front_matter"), (37, 8, "back_matter")]
+
+
+def declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks with declared kinds and chapters with every landmark; three chapters of a book are about its author, in whole or in part."""
+    nth, pos = F.floor(F.col("ord") / 1000000), F.col("ord") % 1000000
+    about = nth.isin(4, 6) & (pos == 0)
+    kind = F.when(nth.isin(4, 6) & pos.isin(0, 5), "heading")
+    for every, rest, name in DECLARED:
+        kind = kind.when((F.col("kind") != "heading") & (F.col("ord") % every == rest), name)
+    level = F.when(about, 1).when((nth == 4) & (pos == 5), 1).when((nth == 6) & (pos == 5), 2).otherwise(F.col("level"))
+    rows = blocks(spark, sf_dir).withColumns({"kind": kind.otherwise(F.col("kind")), "level": level, "text": F.when(about, "About the Author").otherwise(F.col("text"))})
+    marked = F.when(F.col("chapter_id") == "ch-1", "toc").when(F.col("chapter_id") == "ch-2", "frontmatter").otherwise(F.col("landmark"))
+    title = F.when(F.col("chapter_id") == "ch-3", "About the Translators").otherwise(F.col("title"))
+    return rows, chapters(spark, sf_dir).withColumns({"landmark": marked, "title": title})
+
+
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewer decisions: a labelled document's first line stays if its quality is good and it is not toxic."""
     nth = F.col("doc_id") % CHAPTERS

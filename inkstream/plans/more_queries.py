@@ -112,7 +112,7 @@ def escalation_reasons(spark, d):
     return t.select("doc_id", L.escalation(F.col("text"), (F.col("doc_id") % 100) / 100.0, F.col("doc_id") % 10 != 0).alias("reason"))
 
 
-@query()
+@query("""SELECT p_type AS term, CAST(p_partkey AS VARCHAR) AS asset, CAST(p_size AS DOUBLE) AS duration, 'https://v.example/' || p_partkey AS url FROM part WHERE p_size % 3 = 2 AND p_size >= 5""")
 def search_selection(spark, d):
     files = F.array(F.struct(F.concat(F.lit("https://v.example/"), F.col("p_partkey").cast("string"), F.lit("?k=1")).alias("link"), (F.col("p_size") % 3 * 540).alias("width"), F.lit(1920).alias("height")))
     p = D.table(spark, d, "part").select(F.lit("pexels").alias("provider"), F.col("p_type").alias("term"), F.struct(F.col("p_partkey").alias("id"), F.col("p_size").alias("duration"), files.alias("video_files")).alias("v"))

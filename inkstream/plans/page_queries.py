@@ -342,3 +342,27 @@ def text_chapters(spark, d):
     blocks = D.blocks(spark, d).select("book_id", (F.row_number().over(w) - 1).alias("pos"), "kind", "level", "text")
     got = plain.text_chapters(blocks, "book_id", F.concat(F.lit("book "), "book_id"))
     return got.select("book_id", F.col("ord").cast("int").alias("ord"), "chapter_id", "block_id", "title")
+
+
+# blocks of every declared kind, chapters with every landmark, and chapters about the author
+_KIND = "CASE WHEN doc_id % 50 IN (4, 6) AND (pos = 0 OR pos = 5) THEN 'heading' " + " ".join(f"WHEN kind <> 'heading' AND ord % {m} = {r} THEN '{k}'" for m, r, k in D.DECLARED) + " ELSE kind END"
+_DECLARED = _BLOCKS.replace("blocks AS (", "raw AS (").replace("'paragraph' END AS kind, text FROM", "'paragraph' END AS kind, text, pos, doc_id FROM") + rf""",
+shaped AS (SELECT * REPLACE ({_KIND} AS kind, CASE WHEN doc_id % 50 IN (4, 6) AND pos = 0 THEN 'About the Author' ELSE text END AS text) FROM raw),
+about AS (SELECT book_id, block_id FROM (SELECT *, doc_id % 50 AS c, min(CASE WHEN pos = 0 THEN 0 END) OVER w AS has, min(CASE WHEN pos = 5 THEN 5 END) OVER w AS shut FROM shaped WINDOW w AS (PARTITION BY book_id, chapter_id)) WHERE c = 3 OR (c = 6 AND has = 0) OR (c = 4 AND has = 0 AND pos < coalesce(shut, 1000000000))),
+blocks AS (SELECT s.*, a.book_id IS NOT NULL AS about FROM shaped s LEFT JOIN about a ON s.book_id = a.book_id AND s.block_id = a.block_id)""" + _DECISIONS[len(_BLOCKS):]
+_DECLARED = _DECLARED.replace("count(CASE WHEN kind <> 'heading' AND (", "count(CASE WHEN kind = 'page_number' OR kind <> 'heading' AND (").replace("AS pages, count(CASE WHEN ", "AS pages, count(CASE WHEN kind = 'toc_entry' OR ")
+_DECLARED = _DECLARED.replace("WHEN k.chapter_id = 'ch-0' THEN", "WHEN k.chapter_id = 'ch-1' THEN 'landmark_toc' WHEN k.chapter_id = 'ch-0' THEN").replace(
+    "THEN 'landmark_back_matter'\n",
+    "THEN 'landmark_back_matter'\n  WHEN k.chapter_id = 'ch-2' THEN 'landmark_weak' WHEN kind = 'front_matter' THEN 'landmark_declared' WHEN kind = 'back_matter' THEN 'back_declared' WHEN kind = 'footnote' THEN 'footnote_block' WHEN kind = 'page_number' THEN 'page_declared' WHEN kind = 'running_head' THEN 'head_declared' WHEN kind = 'toc_entry' THEN 'toc_declared' WHEN about THEN 'about_the_author'\n",
+)
+
+
+@query(
+    f"""WITH {_DECLARED} SELECT book_id, block_id, r = 'default_keep' AS keep, CASE r WHEN 'landmark_weak' THEN 'landmark_front_matter' WHEN 'landmark_declared' THEN 'landmark_front_matter' WHEN 'back_declared' THEN 'landmark_back_matter' WHEN 'page_declared' THEN 'page_number' WHEN 'head_declared' THEN 'repeated_running_head'
+ WHEN 'toc_declared' THEN 'toc_entry_shape' ELSE replace(r, '_roman', '') END AS rule, CAST(CASE WHEN r = 'landmark_weak' THEN 0.6 WHEN r LIKE '%declared' OR r = 'footnote_block' THEN 0.95 WHEN r = 'about_the_author' THEN 0.85 WHEN r = 'landmark_toc' THEN 0.98 WHEN r = 'landmark_front_matter' THEN 0.98 WHEN r = 'landmark_back_matter' THEN 0.95
+ WHEN r IN ('toc_chapter_shape', 'repeated_running_head') THEN 0.8 WHEN r IN ('copyright_notice', 'page_number') THEN 0.85 WHEN r = 'toc_entry_shape' THEN 0.75 WHEN r = 'page_number_roman' THEN 0.65 WHEN r = 'boilerplate_repeat' THEN 0.7 ELSE 1 END AS DOUBLE) AS confidence FROM decisions"""
+)
+def classify_declared(spark, d):
+    from ..operators import classify as C
+
+    return C.classify(*D.declared(spark, d)).select("book_id", "block_id", "keep", "rule", "confidence")

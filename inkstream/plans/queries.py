@@ -338,7 +338,10 @@ def hashtags(spark, d):
     return D.table(spark, d, "conversations").select("conv_id", "turn", F.array_join(T.hashtags(F.col("text"), 5), " ").alias("tags"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[,;\n]+'), lambda x: trim(substr(regexp_replace(regexp_replace(regexp_replace(x, '^#+', ''), '[\s\x{00A0}]+', ' ', 'g'), '^ +| +$', '', 'g'), 1, 100))) AS p FROM documents),
+f AS (SELECT doc_id, list_reduce(list_prepend({'out': CAST([] AS VARCHAR[]), 'used': 0::BIGINT, 'x': ''}, list_transform(p, lambda x: {'out': CAST([] AS VARCHAR[]), 'used': 0::BIGINT, 'x': x})),
+  lambda s, e: CASE WHEN e.x <> '' AND NOT list_contains(list_transform(s.out, lambda y: lower(y)), lower(e.x)) AND s.used + length(e.x) <= 500 AND len(s.out) < 15 THEN {'out': list_append(s.out, e.x), 'used': s.used + length(e.x) + 1, 'x': ''} ELSE s END) AS f FROM p)
+SELECT doc_id, array_to_string(f.out, '|') AS tags FROM f""")
 def tags_budget_skip(spark, d):
     return D.table(spark, d, "documents").select("doc_id", F.array_join(T.tags_skipping(F.col("text"), 15), "|").alias("tags"))
 
