@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ass_escape, ass_time, clamp, trim
+from .text import ass_escape, ass_time, clamp, fnv1a, trim
 
 TITLE_CHARS, DESCRIPTION_CHARS, TAGS, TAG_CHARS, ALL_TAGS_CHARS = 100, 5000, 12, 100, 500
 EXCERPT_CHARS, PASSAGE_CHARS = 4000, 7000
@@ -225,3 +225,33 @@ def ass_head(width: int, height: int, font: str = "Arial", size: int = 60, colou
     line = F.concat_ws(",", F.lit(style), F.lit(font), F.lit(str(size)), fore, fore, edge, ass_colour(F.lit("#000000")), F.lit(f"0,0,0,0,100,100,0,0,1,{outline},0,{ALIGNMENT.get(position, 5)},{side},{side},{foot},1"))
     top = f"[Script Info]\nScriptType: v4.00+\nWrapStyle: 0\nScaledBorderAndShadow: yes\nYCbCr Matrix: None\nPlayResX: {width}\nPlayResY: {height}\n\n[V4+ Styles]\nFormat: {STYLE_FIELDS}\nStyle: "
     return F.concat(F.lit(top), line, F.lit(f"\n\n[Events]\nFormat: {EVENT_FIELDS}\n"))
+
+
+SPEEDS = (0.5, 2.0)
+
+
+def clip_speed(value: Column, default: float = 1.0) -> Column:
+    """A playable speed: what is none falls back, the rest is held within bounds."""
+    v = value.cast("double")
+    return F.when(v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf")), F.least(F.greatest(v, F.lit(SPEEDS[0])), F.lit(SPEEDS[1]))).otherwise(F.lit(default))
+
+
+def needed_seconds(audio: Column, margin: float = 0.1) -> Column:
+    """How long the picture must last for a recording."""
+    return F.greatest(F.lit(0.0), audio + F.lit(margin))
+
+
+def subtitle_top(position: Column, percent: Column, height: Column, cue: Column) -> Column:
+    """The upper edge of a cue; a place of one's own stays wholly on screen."""
+    own = F.greatest(F.lit(10.0), F.least((height - cue) * (percent / 100), height - cue - 10))
+    return F.when(position == "bottom", height * 0.95 - cue).when(position == "top", height * 0.05).when(position == "custom", own).otherwise((height - cue) / 2)
+
+
+def rotated(keys: Column, use: Column) -> Column:
+    """The key for the ``use``-th call, from 1 on; one key alone serves all."""
+    return F.get(keys, F.when(F.size(keys) > 1, F.pmod(use, F.size(keys))).otherwise(0).cast("int"))
+
+
+def pool_key(terms: Column, source: Column, aspect: Column) -> Column:
+    """What a pool of clips was built from, whatever the order of its terms."""
+    return fnv1a(F.to_json(F.struct(F.array_sort(terms).alias("terms"), source.alias("source"), aspect.alias("aspect")))).cast("string")

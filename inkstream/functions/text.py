@@ -133,9 +133,10 @@ def content_key(*parts: Column) -> Column:
 
 
 def fnv1a(c: Column) -> Column:
-    """32-bit FNV-1a of an ASCII text."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
-    return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)) % F.lit(4294967296))
+    """32-bit FNV-1a over the UTF-16 units of a text."""
+    hexed = F.hex(F.encode(c, "UTF-16BE"))
+    units = F.when(F.length(hexed) > 0, F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(4)), lambda k: F.conv(F.substring(hexed, k, F.lit(4)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)) % F.lit(4294967296))
 
 
 def strip_fence(c: Column) -> Column:
@@ -179,6 +180,34 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}._-]+", "_"), r"^[._]+|[._]+$", "")
 
 
+#: Device names that no file may have.
+DEVICES = ["CON", "PRN", "AUX", "NUL", *[f"{d}{k}" for d in ("COM", "LPT") for k in range(1, 10)]]
+MUSIC = ["mp3", "m4a", "aac", "wav", "flac", "ogg", "opus", "wma"]
+
+
+def output_name(c: Column, fallback: str = "untitled", most: int = 120) -> Column:
+    """A title as the name of a folder: what no file system takes goes, device names get the fallback in front."""
+    clean = trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[/\\]+", " "), r"(?U)\s+", " "))
+    clean = F.regexp_replace(F.regexp_replace(clean, r"[<>:\"/\\|?*\x00-\x1f]", ""), r"^[. ]+|[. ]+$", "")
+    clean = F.when(clean == "", F.lit(fallback)).otherwise(clean)
+    clean = F.when(F.upper(F.substring_index(clean, ".", 1)).isin(DEVICES), F.concat(F.lit(f"{fallback} "), clean)).otherwise(clean)
+    cut = F.regexp_replace(F.substring(clean, 1, most), r"[. ]+$", "")
+    return F.coalesce(F.nullif(F.when(F.length(clean) > most, cut).otherwise(clean), F.lit("")), F.lit(fallback))
+
+
+def music_name(c: Column) -> Column:
+    """The bare name of an uploaded piece of music; null where it is no safe name of a known format."""
+    name = trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\", "/"), "^.*/", ""))
+    device = F.upper(F.regexp_replace(F.substring_index(name, ".", 1), r"[ .]+$", "")).isin(DEVICES)
+    wrong = (F.length(name) > 255) | name.rlike(r"[<>:\"|?*\x00-\x1f]") | F.startswith(F.lower(name), F.lit(".bgm-upload-")) | device
+    return F.when(~wrong & F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)).isin(MUSIC), name)
+
+
+def silent_seconds(c: Column) -> Column:
+    """How long a text is shown when nobody reads it: as long as reading takes, and three seconds at least."""
+    return F.greatest(F.lit(3.0), spoken_seconds(F.coalesce(c, F.lit(""))))
+
+
 def before_first(c: Column, mark: str = ":") -> Column:
     return F.substring_index(c, mark, 1)
 

@@ -136,3 +136,46 @@ def admitted(queue: DataFrame, running: int = 5, waiting: int = 100) -> DataFram
     """``status`` of tasks that arrive while none ends: the first run, the next wait, the rest are refused."""
     n = F.row_number().over(Window.partitionBy("queue").orderBy("arrived", "task_id"))
     return queue.withColumn("status", F.when(n <= running, "running").when(n <= running + waiting, "queued").otherwise("rejected"))
+
+
+def all_present(wanted: DataFrame, known: DataFrame, key: str, item: str) -> DataFrame:
+    """``key, items, whole`` of the known ones among each key's wanted items, and whether none is missing."""
+    w = wanted.filter(F.coalesce(F.col(item).cast("string"), F.lit("")) != "").select(key, item).distinct()
+    k = known.select(item).distinct().withColumn("_known", F.lit(True))
+    found = w.join(k, item, "left")
+    return found.groupBy(key).agg(F.count_if(F.col("_known").isNotNull()).alias("items"), F.bool_and(F.col("_known").isNotNull()).alias("whole"))
+
+
+def uploadable(tasks: DataFrame) -> DataFrame:
+    """``task_id, files, refusal`` for an upload by hand: complete, none in flight or done, a file there, and the chosen one if one is named."""
+    files = F.filter("videos", lambda v: F.coalesce(v, F.lit("")) != "")
+    chosen = F.when(F.col("video_index").isNull(), files).when(F.get(files, F.col("video_index")).isNotNull(), F.array(F.get(files, F.col("video_index")))).otherwise(F.array().cast("array<string>"))
+    why = (
+        F.when(F.col("state") != "complete", "not finished")
+        .when(F.coalesce("upload_state", F.lit("")).isin("pending", "processing"), "in progress")
+        .when(~not_uploaded(F.col("uploads")), "already uploaded")
+        .when(F.size(files) == 0, "no file")
+        .when(F.size(chosen) == 0, "no such file")
+    )
+    return tasks.select("task_id", F.when(why.isNull(), chosen).alias("files"), why.alias("refusal"))
+
+
+def admitted_materials(materials: DataFrame, probes: DataFrame, root: str, images: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
+    """Local materials that may be used, with their path: inside ``root``, probed, large enough; an image is replaced by its clip."""
+    from ..functions.replies import large_enough
+
+    path = F.when(F.startswith("url", F.lit("/")), F.col("url")).otherwise(F.concat(F.lit(f"{root}/"), "url"))
+    inside = F.startswith(path, F.lit(f"{root}/")) & ~path.rlike(r"(^|/)\.\.(/|$)")
+    rows = materials.filter(F.coalesce("url", F.lit("")) != "").withColumn("path", path).filter(inside)
+    rows = rows.join(probes.select("path", "width", "height"), "path").filter(large_enough(F.col("width"), F.col("height")))
+    image = F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).isin(*images)
+    return rows.withColumn("path", F.when(image, F.concat("path", F.lit(".mp4"))).otherwise(F.col("path"))).drop("width", "height")
+
+
+def recent_lines(jobs: DataFrame, logs: DataFrame, key: str, most_jobs: int = 4, most_lines: int = 12, most: int = 25) -> DataFrame:
+    """``key, idx, seq, line``: the last lines of a key's first jobs in work, and of these the last in all."""
+    active = jobs.filter(F.col("state").isin("queued", "rendering")).withColumn("_j", F.row_number().over(Window.partitionBy(key).orderBy("idx"))).filter(F.col("_j") <= most_jobs)
+    last = logs.withColumn("_l", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("seq")))).filter(F.col("_l") <= most_lines)
+    rows = active.select(key, "idx", "task_id").join(last, "task_id")
+    back = Window.partitionBy(key).orderBy(F.desc("idx"), F.desc("seq"))
+    return rows.withColumn("_b", F.row_number().over(back)).filter(F.col("_b") <= most).select(key, "idx", "seq", "line")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import publish as P
 from ..functions import text as T
 from ..operators import cues as Q
-from ..operators import narration as N
+from ..operators import links as K
 from ..operators import review as V
 from ..operators import state as S
 from ..sources import plain
 from . import domain as D
-from .queries import _BLOCKS, _CHAPTERS, _DECISIONS, _PARTS, _SEGMENTS, _TIME, _TRIM, _decisions, query
+from .queries import _BLOCKS, _DECISIONS, _PARTS, _SECONDS, _SEGMENTS, _TIME, _TRIM, _decisions, query
 
 _ONE = r"trim(regexp_replace({0}, '[\s\x{{00A0}}]+', ' ', 'g'))"
 
@@ -366,3 +366,78 @@ def classify_declared(spark, d):
     from ..operators import classify as C
 
     return C.classify(*D.declared(spark, d)).select("book_id", "block_id", "keep", "rule", "confidence")
+
+
+@query("""SELECT conv_id, turn, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(left(text, 60), ''), lambda x: ord(x)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS hash FROM conversations WHERE length(text) > 0""")
+def text_hashes(spark, d):
+    return D.table(spark, d, "conversations").filter("length(text) > 0").select("conv_id", "turn", T.fnv1a(F.substring("text", 1, 60)).alias("hash"))
+
+
+@query("""WITH k AS (SELECT p_partkey, '{"terms":["' || least(p_name, p_type) || '","' || greatest(p_name, p_type) || '"],"source":"' || p_brand || '","aspect":"9:16"}' AS k FROM part)
+SELECT p_partkey, CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS VARCHAR) AS pool FROM k""")
+def clip_pools(spark, d):
+    return D.table(spark, d, "part").select("p_partkey", P.pool_key(F.array("p_type", "p_name"), F.col("p_brand"), F.lit("9:16")).alias("pool"))
+
+
+@query(r"""WITH n AS (SELECT page_id, ['con', 'LPT1.tar.gz', ' ..a/b\c: "d"?. ', '   ', 'Chapter <1> | part*'][page_id % 6 + 1] AS fixed, url FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'untitled con' WHEN 1 THEN 'untitled LPT1.tar.gz' WHEN 2 THEN 'a b c d' WHEN 3 THEN 'untitled' WHEN 4 THEN 'Chapter 1  part' ELSE trim(regexp_replace(regexp_replace(regexp_replace(url, '[/\\]+', ' ', 'g'), '\s+', ' ', 'g'), '[<>:"|?*]', '', 'g'), ' .') END AS folder,
+CASE page_id % 6 WHEN 5 THEN 'song.MP3' END AS music FROM n""")
+def safe_names(spark, d):
+    fixed = F.get(F.array(*map(F.lit, ["con", "LPT1.tar.gz", ' ..a/b\\c: "d"?. ', "   ", "Chapter <1> | part*"])), (F.col("page_id") % 6).cast("int"))
+    music = F.get(F.array(*map(F.lit, ["", "con.mp3", "a?.mp3", "x.txt", ".bgm-upload-1.mp3", "C:\\dir\\song.MP3"])), (F.col("page_id") % 6).cast("int"))
+    return D.table(spark, d, "pages").select("page_id", T.output_name(F.coalesce(fixed, "url")).alias("folder"), T.music_name(music).alias("music"))
+
+
+@query(rf"SELECT conv_id, turn, round(greatest(3.0::DOUBLE, {_SECONDS.format(_TRIM.format('left(text, 40)'))}), 6) AS seconds FROM conversations")
+def silent_durations(spark, d):
+    return D.table(spark, d, "conversations").select("conv_id", "turn", F.round(T.silent_seconds(F.substring("text", 1, 40)), 6).alias("seconds"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 1.0 ELSE least(greatest(l_discount * 40, 0.5), 2.0) END::DOUBLE AS speed, round(l_quantity + 0.1, 6) AS seconds,
+round(CASE l_linenumber % 4 WHEN 0 THEN 1080 * 0.95 - l_quantity WHEN 1 THEN 1080 * 0.05 WHEN 2 THEN greatest(10, least((1080 - l_quantity) * (l_linenumber * 20 / 100.0), 1080 - l_quantity - 10)) ELSE (1080 - l_quantity) / 2 END, 6)::DOUBLE AS top,
+['a', 'b', 'c'][l_linenumber % 3 + 1] AS key FROM lineitem""")
+def render_numbers(spark, d):
+    place = F.get(F.array(*map(F.lit, ["bottom", "top", "custom", "center"])), (F.col("l_linenumber") % 4).cast("int"))
+    top = P.subtitle_top(place, F.col("l_linenumber") * 20.0, F.lit(1080.0), F.col("l_quantity"))
+    keys = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    return D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", P.clip_speed(F.col("l_discount") * 40).alias("speed"), F.round(P.needed_seconds(F.col("l_quantity")), 6).alias("seconds"), F.round(top, 6).alias("top"), P.rotated(keys, F.col("l_linenumber")).alias("key"))
+
+
+@query("""SELECT o_custkey AS k, count(DISTINCT o_orderkey) FILTER (o_orderkey % 5 <> 0) AS items, bool_and(o_orderkey % 5 <> 0) AS whole FROM orders GROUP BY 1""")
+def channels_present(spark, d):
+    o = D.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("item"))
+    return K.all_present(o, o.filter("item % 5 <> 0"), "k", "item")
+
+
+@query("""WITH t AS (SELECT p_partkey AS id, p_size % 5 AS s, p_partkey % 4 AS n, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 3 END AS i FROM part),
+r AS (SELECT *, CASE WHEN s = 0 THEN 'not finished' WHEN s = 1 THEN 'in progress' WHEN s = 2 THEN 'already uploaded' WHEN n = 0 THEN 'no file' WHEN i IS NOT NULL AND i >= n THEN 'no such file' END AS refusal FROM t)
+SELECT id AS task_id, CASE WHEN refusal IS NULL THEN CASE WHEN i IS NULL THEN array_to_string([('v' || k) for k in range(n)], ',') ELSE 'v' || i END END AS files, refusal FROM r""")
+def uploads_by_hand(spark, d):
+    n = (F.col("p_partkey") % 4).cast("int")
+    videos = F.slice(F.array(F.lit("v0"), F.lit("v1"), F.lit("v2")), F.lit(1), n)
+    done = F.array(F.struct(F.lit(True).alias("success"), F.when(F.col("p_size") % 5 == 2, "x").otherwise("").alias("video_id")))
+    state = F.when(F.col("p_size") % 5 == 0, "processing").otherwise("complete")
+    flight = F.when(F.col("p_size") % 5 == 1, "pending")
+    index = F.when(F.col("p_partkey") % 3 != 0, (F.col("p_partkey") % 3).cast("int"))
+    t = D.table(spark, d, "part").select(F.col("p_partkey").alias("task_id"), state.alias("state"), flight.alias("upload_state"), done.alias("uploads"), videos.alias("videos"), index.alias("video_index"))
+    return K.uploadable(t).withColumn("files", F.array_join("files", ","))
+
+
+@query("""WITH m AS (SELECT p_partkey, ['a.mp4', '/store/b.jpg', '../c.mp4', '/etc/d.mp4', '', 'sub/e.PNG'][p_size % 6 + 1] AS url FROM part), q AS (SELECT *, CASE WHEN url LIKE '/%' THEN url ELSE '/store/' || url END AS path FROM m WHERE url <> ''),
+s AS (SELECT '/store/a.mp4' AS path UNION ALL SELECT '/store/b.jpg' UNION ALL SELECT '/store/sub/e.PNG')
+SELECT p_partkey, CASE WHEN path LIKE '%.mp4' THEN path ELSE path || '.mp4' END AS path FROM q JOIN s USING (path)""")
+def local_materials(spark, d):
+    url = F.get(F.array(*map(F.lit, ["a.mp4", "/store/b.jpg", "../c.mp4", "/etc/d.mp4", "", "sub/e.PNG"])), (F.col("p_size") % 6).cast("int"))
+    sizes = [("/store/a.mp4", 1920, 1080), ("/store/b.jpg", 480, 471), ("/store/../c.mp4", 900, 900), ("/etc/d.mp4", 900, 900), ("/store/sub/e.PNG", 470, 480), ("/store/small.mp4", 100, 100)]
+    probes = spark.createDataFrame(sizes, "path string, width int, height int")
+    return K.admitted_materials(D.table(spark, d, "part").select("p_partkey", url.alias("url")), probes, "/store").select("p_partkey", "path")
+
+
+@query("""WITH j AS (SELECT l_orderkey AS k, l_linenumber AS idx, l_orderkey * 10 + l_linenumber AS task_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS j FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 20)), g AS (SELECT s AS seq, s % 3 AS m FROM range(20) r(s)),
+l AS (SELECT k, idx, seq, task_id || ':' || seq AS line, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) AS b FROM j, g WHERE j <= 4 AND m <> idx % 3),
+f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY idx DESC, seq DESC) AS r FROM l WHERE b <= 12) SELECT k, CAST(idx AS INT) AS idx, seq, line FROM f WHERE r <= 25""")
+def recent_log_lines(spark, d):
+    jobs = D.table(spark, d, "lineitem").filter("l_quantity > 20").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("idx")).distinct().withColumns({"task_id": F.col("k") * 10 + F.col("idx"), "state": F.lit("rendering")})
+    logs = jobs.select("task_id", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("seq")).filter("seq % 3 <> idx % 3")
+    logs = logs.select("task_id", "seq", F.concat("task_id", F.lit(":"), "seq").alias("line"))
+    return K.recent_lines(jobs, logs, "k").withColumn("idx", F.col("idx").cast("int"))
