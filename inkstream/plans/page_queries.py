@@ -441,3 +441,22 @@ def recent_log_lines(spark, d):
     logs = jobs.select("task_id", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("seq")).filter("seq % 3 <> idx % 3")
     logs = logs.select("task_id", "seq", F.concat("task_id", F.lit(":"), "seq").alias("line"))
     return K.recent_lines(jobs, logs, "k").withColumn("idx", F.col("idx").cast("int"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_suppkey % 50 AS book_id, l_orderkey AS page FROM lineitem), r AS (SELECT *, page % 3 <> 0 AS tried, page % 7 = 0 AS bad, (page % 10) / 10.0::DOUBLE AS c FROM p),
+g AS (SELECT book_id, count(*) AS total, count(*) FILTER (tried AND NOT bad) AS done, count(*) FILTER (tried AND bad) AS failed, coalesce(avg(c) FILTER (tried AND NOT bad), 0) AS confidence FROM r GROUP BY 1)
+SELECT book_id, total, done, failed, done + failed AS attempted, round(confidence, 9) AS confidence FROM g""")
+def recognition_runs(spark, d):
+    from ..operators import layout as L
+
+    pages = D.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("book_id"), F.col("l_orderkey").alias("page")).distinct()
+    results = pages.filter("page % 3 <> 0").withColumns({"error": F.when(F.col("page") % 7 == 0, "timeout"), "confidence": F.col("page") % 10 / 10})
+    return L.run_summary(pages, results, "book_id").withColumn("confidence", F.round("confidence", 9))
+
+
+@query("""WITH o AS (SELECT o_custkey AS key, o_orderdate AS ts, o_orderpriority AS payload, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority) AS before FROM orders),
+c AS (SELECT * FROM o WHERE before IS NULL OR before <> payload) SELECT key, ts, payload, row_number() OVER (PARTITION BY key ORDER BY ts, payload) AS change FROM c""")
+def changed_states(spark, d):
+    from ..streaming import feeds
+
+    return feeds.changes_so_far(D.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderpriority").alias("payload")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -37,6 +37,13 @@ def changes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Changes(), outputStructType="key long, ts timestamp, payload string, change long", outputMode="Append", timeMode="None")
 
 
+def changes_so_far(rows: DataFrame) -> DataFrame:
+    """What :func:`changes` has emitted once all of a table's rows have come, in one batch."""
+    w = Window.partitionBy("key").orderBy("ts", "payload")
+    fresh = rows.withColumn("_before", F.lag("payload").over(w)).filter(F.col("_before").isNull() | (F.col("_before") != F.col("payload"))).drop("_before")
+    return fresh.select("key", "ts", "payload", F.row_number().over(w).cast("long").alias("change"))
+
+
 def progress_feed(rows: DataFrame, key: str = "book_id") -> DataFrame:
     """Running counts per key for update mode."""
     return rows.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("state") == "complete").alias("complete"), F.count_if(F.col("state") == "failed").alias("failed"))

@@ -79,6 +79,8 @@ def test_change_feed_equals_its_batch_twin(spark, tmp_path):
             last[key] = payload
             want.append((key, ts, payload))
     assert sorted((r.key, r.ts, r.payload) for r in got.collect()) == sorted(want)
+    batch = feeds.changes_so_far(spark.read.parquet(f"{tmp_path}/e"))
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, got.collect()))
 
 
 def test_roll_ups_on_a_stream(spark, tmp_path):
