@@ -16,9 +16,8 @@ from . import domain as D
 from .queries import _CHAPTERS, _CUES, _DECISIONS, _SECONDS, _TRIM, _cues, _decisions, _kept, query
 
 _LINE = r"trim(regexp_replace({0}, '[\s\x{{00A0}}]+', ' ', 'g'))"
-_TITLE = r"""(t <> '' AND length(t) <= 80 AND len(string_split(t, ' ')) <= 14 AND (regexp_matches(t, '(?i)^(book|part|act|scene|chapter|canto|volume|prologue|epilogue|preface|introduction|foreword|afterword|appendix|acknowledgements?)\b')
-  OR regexp_matches(t, '(?i)^book\s+(the\s+)?([a-z]+|[IVXLCDM]+|\d+)\b') OR ((regexp_matches(t, '^[IVXLCDM]{1,8}([.)]|$)(\s+\S|$)') OR regexp_matches(t, '(?i)^(chapter\s+)?\d{1,3}(([.)])(\s+\S|$)|$)')) AND len(string_split(t, ' ')) <= 12)
-  OR (length(regexp_replace(t, '[^A-Za-z\x{00C0}-\x{024F}]', '', 'g')) >= 3 AND len(string_split(t, ' ')) <= 8 AND t = upper(t) AND regexp_matches(t, '[A-Z]'))))"""
+_TITLE = rf"""(t <> '' AND length(t) <= 80 AND len(string_split(t, ' ')) <= 14 AND (regexp_matches(t, '{O.NAMED}') OR regexp_matches(t, '{O.BOOK_PART}') OR ((regexp_matches(t, '{O.ROMAN}') OR regexp_matches(t, '{O.NUMBERED}')) AND len(string_split(t, ' ')) <= 12)
+  OR (length(regexp_replace(t, '[^A-Za-z\x{{00C0}}-\x{{024F}}]', '', 'g')) >= 3 AND len(string_split(t, ' ')) <= 8 AND t = upper(t) AND regexp_matches(t, '[A-Z]'))))"""
 _UNITS = rf"""{_DECISIONS}, lined AS (SELECT *, {_LINE.format("text")} AS t, row_number() OVER (PARTITION BY book_id, chapter_id ORDER BY ord) = 1 AS one FROM kept),
 marked AS (SELECT *, kind = 'heading' OR one OR {_TITLE} AS marker, {_TITLE} AS titled, {_SECONDS.format(_TRIM.format("text"))} AS s FROM lined),
 run AS (SELECT *, sum(CASE WHEN marker OR coalesce(prev, TRUE) THEN 1 ELSE 0 END) OVER (PARTITION BY book_id ORDER BY ord) - 1 AS idx FROM (SELECT *, lag(marker) OVER (PARTITION BY book_id ORDER BY ord) AS prev FROM marked)),

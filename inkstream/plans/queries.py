@@ -36,10 +36,9 @@ _BLOCKS = rf"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t
 blocks AS (SELECT doc_id // 50 AS book_id, 'ch-' || (doc_id % 50) AS chapter_id, (doc_id % 50) || ':' || pos AS block_id, (doc_id % 50) * 1000000 + pos AS ord,
   CASE WHEN pos = 0 AND length(text) <= 60 THEN 'heading' ELSE 'paragraph' END AS kind, text FROM lines WHERE {_TRIM.format("text")} <> '')"""
 _KEY = rf"""trim(regexp_replace({_TRIM.format("regexp_replace(lower(text), '[\\s\\x{00A0}]+', ' ', 'g')")}, '[\s.·•]*\d+$', ''))"""
-_NOTICE = r"""(regexp_matches(t, '(?i)\bISBN(?:-1[03])?\b[:\s]*[\dX][\dX\s-]{8,}') OR regexp_matches(t, '(?i)\ball rights reserved\b')
-  OR regexp_matches(t, '(?i)(?:©|\(c\)|\bcopyright\b)[^\n]{0,40}?\b(?:1[5-9]\d{2}|20\d{2})\b') OR regexp_matches(t, '(?i)\b(?:no part of this (?:book|publication|work) may be reproduced|printed (?:and bound )?in the (?:united states|usa|uk|united kingdom)|library of congress cataloging|a cip catalogue record|first published (?:in|by)\b)'))"""
-_TOC = r"""(length(t) <= 90 AND (regexp_matches(t, '(?i)(?:[.·•]\s?){3,}\s*(?:\d{1,4}|[ivxlcdm]{1,7})$') OR regexp_matches(t, '(?i)\S(?:\t+[ \t]*|[ ]{2,})(?:\d{1,4}|[ivxlcdm]{1,7})$')))"""
-_ROMAN = r"(t <> '' AND regexp_matches(t, '(?i)^m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$'))"
+_NOTICE = "(" + " OR ".join(f"regexp_matches(t, '{p}')" for p in (C.ISBN, C.RIGHTS, C.YEAR, C.PUBLISHER)) + ")"
+_TOC = f"(length(t) <= {C.TOC_CHARS} AND (regexp_matches(t, '{C.TOC_LEADER}') OR regexp_matches(t, '{C.TOC_GAP}')))"
+_ROMAN = f"(t <> '' AND regexp_matches(t, '{C.ROMAN}'))"
 _DECISIONS = rf"""{_BLOCKS},
 keyed AS (SELECT *, {_TRIM.format("text")} AS t, {_KEY} AS n FROM blocks),
 heads AS (SELECT book_id, n, count(DISTINCT CASE WHEN length(t) < 60 AND n <> '' THEN chapter_id END) AS heads, count(*) AS times FROM keyed GROUP BY 1, 2),
