@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
-from ..session import attach
+from ..session import attach, spread
 
 CHAPTERS = 50
 
@@ -27,8 +27,7 @@ def blocks(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
     them as they lie, not ``dealt``.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    if dealt:
-        docs = docs.repartition(F.floor(F.col("doc_id") / CHAPTERS))
+    docs = docs.repartition(F.floor(F.col("doc_id") / CHAPTERS)) if dealt else spread(docs)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).filter(trim(F.col("text")) != "")
     nth = F.col("doc_id") % CHAPTERS
     heading = (F.col("pos") == 0) & (F.length("text") <= 60)

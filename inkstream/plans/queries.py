@@ -13,6 +13,7 @@ from ..operators import cues as Q
 from ..operators import media as M
 from ..operators import segment as G
 from ..operators import state as S
+from ..session import spread
 from ..sources import html as H
 from . import domain as D
 
@@ -126,7 +127,7 @@ def spoken_seconds(spark, d):
 @query(f"WITH x AS (SELECT doc_id, {_PARTS.format('text')} AS p FROM documents) SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS lines_md5 FROM x")
 def caption_lines(spark, d):
     p = T.caption_lines(F.col("text"))
-    return D.table(spark, d, "documents").select("doc_id", F.size(p).cast("long").alias("n"), F.md5(F.array_join(p, "|")).alias("lines_md5"))
+    return spread(D.table(spark, d, "documents")).select("doc_id", F.size(p).cast("long").alias("n"), F.md5(F.array_join(p, "|")).alias("lines_md5"))
 
 
 def _fold_sql(mode: str, target: float, most: float) -> str:
@@ -183,7 +184,7 @@ cues AS (SELECT doc_id, CAST(pos + 1 AS INT) AS idx, coalesce(lag(fin) OVER (PAR
 
 
 def _cues(spark, d):
-    docs = D.table(spark, d, "documents").select("doc_id", "text", (F.length("text") / F.lit(15.0)).alias("duration"))
+    docs = spread(D.table(spark, d, "documents")).select("doc_id", "text", (F.length("text") / F.lit(15.0)).alias("duration"))
     return Q.proportional(docs, "doc_id", "text", "duration")
 
 
@@ -226,7 +227,7 @@ p AS (SELECT *, CAST(sum(ended) OVER (PARTITION BY doc_id ORDER BY seq) AS BIGIN
 SELECT doc_id, caption, min(seq) * 0.5::DOUBLE AS start, (max(seq) + 1) * 0.5::DOUBLE AS "end", md5(string_agg(word, ' ' ORDER BY seq)) AS text_md5 FROM p GROUP BY 1, 2""")
 def word_captions(spark, d):
     words = F.transform(F.split("text", " "), lambda w, i: F.struct((i * F.lit(0.5)).alias("start"), ((i + 1) * F.lit(0.5)).alias("end"), w.alias("word")))
-    rows = D.table(spark, d, "documents").select("doc_id", F.inline(Q.captions_in(words)))
+    rows = spread(D.table(spark, d, "documents")).select("doc_id", F.inline(Q.captions_in(words)))
     return rows.withColumn("text_md5", F.md5("text")).drop("text")
 
 
@@ -237,7 +238,7 @@ STOP = ["that", "this", "with", "from", "they", "have", "were", "will", "which",
 c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND word NOT IN ({", ".join(f"'{w}'" for w in STOP)}) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS rank FROM c) SELECT doc_id, word, n, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8""")
 def keyword_topk(spark, d):
-    return M.term_counts(D.table(spark, d, "documents"), "doc_id", "text", STOP, most=8)
+    return M.term_counts(spread(D.table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", STOP, most=8)
 
 
 @query("""WITH s AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings)
@@ -342,7 +343,7 @@ f AS (SELECT doc_id, list_reduce(list_prepend({'out': CAST([] AS VARCHAR[]), 'us
   lambda s, e: CASE WHEN e.x <> '' AND NOT list_contains(list_transform(s.out, lambda y: lower(y)), lower(e.x)) AND s.used + length(e.x) <= 500 AND len(s.out) < 15 THEN {'out': list_append(s.out, e.x), 'used': s.used + length(e.x) + 1, 'x': ''} ELSE s END) AS f FROM p)
 SELECT doc_id, array_to_string(f.out, '|') AS tags FROM f""")
 def tags_budget_skip(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", F.array_join(T.tags_skipping(F.col("text"), 15), "|").alias("tags"))
+    return spread(D.table(spark, d, "documents")).select("doc_id", F.array_join(T.tags_skipping(F.col("text"), 15), "|").alias("tags"))
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, string_split(text, ' ') AS p FROM conversations), u AS (SELECT conv_id, turn, p, unnest(range(1, len(p) + 1)) AS i FROM t),
@@ -396,7 +397,7 @@ def replace_group(spark, d):
 
 @query()
 def html_blocks(spark, d):
-    return H.html_blocks(D.table(spark, d, "pages"))
+    return H.html_blocks(spread(D.table(spark, d, "pages")))
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[*#]', '', 'g'), '\[[^\n\]]*\]|\([^\n)]*\)', '', 'g') AS x FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS script FROM t""")

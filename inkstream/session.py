@@ -7,7 +7,7 @@ import tempfile
 import weakref
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _attached: weakref.WeakSet = weakref.WeakSet()
 #: Bytes of an Arrow batch where the session has Spark's own default: a task holds several of them, inside and outside the JVM.
@@ -32,3 +32,9 @@ def attach(spark: SparkSession) -> SparkSession:
         context.addPyFile(archive)
         _attached.add(context)
     return spark
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it lies, or dealt over all cores where it has fewer files than these: a small file is often one row group, so one task."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
