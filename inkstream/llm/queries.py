@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import attach
+from ..session import attach, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(attach(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
