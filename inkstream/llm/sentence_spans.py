@@ -10,8 +10,8 @@ around them: a passage of 50 words has a span that is the same wherever it
 stands, whatever its words.  A span starts at each sentence
 and runs over the fewest sentences, two or more, that hold ``SPAN_WORDS``
 words.  Spans meet by a 64-bit hash of their small-lettered words, and an
-occurrence loses its sentences only where a second one agrees with the first
-occurrence's.  Every occurrence but the first by (doc_id, position) loses its
+occurrence loses its sentences only where 36 bits of a second one agree with
+the first occurrence's.  Every occurrence but the first by (doc_id, position) loses its
 sentences.
 """
 
@@ -32,6 +32,8 @@ WINDOW = 8
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?;:")] = True
 _WIDE_END = np.array(sorted(int.from_bytes(c.encode(), "big") for c in "。！？；：｡．"))
+#: A place in a text and the second hash are one number: sentences above, this many bits of hash below.
+CHECK_BITS = 36
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 11, 12, 13]] = True
 
@@ -109,8 +111,8 @@ def spans_of(words: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[n
 
 
 def checks_of(words: np.ndarray, bounds: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
-    """The second hash of spans."""
-    return B.RunHash(B.mix(words))(bounds[at], bounds[to])
+    """The second hash of spans, as many bits of it as are kept."""
+    return (B.RunHash(B.mix(words))(bounds[at], bounds[to]) >> U64(64 - CHECK_BITS)).astype(np.int64)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +123,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, at, to, h, again = spans_of(words, bounds, rows)
             row, at, to, h = (x[~again] for x in (row, at, to, h))
             ids = batch.column(0).slice(a, b - a).take(pa.array(row))
-            check = checks_of(words, bounds, at, to)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array((at - rows[row]).astype(np.int32)), pa.array(check.view(np.int64))], names=["span", "doc", "at", "check"])
+            spot = (at - rows[row]) << CHECK_BITS | checks_of(words, bounds, at, to)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(spot)], names=["span", "doc", "spot"])
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,10 +139,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     narrow = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["doc"].dataType.simpleString()
-    spans = narrow.mapInArrow(_spans, f"span long, doc {kind}, at int, check long")
-    least = spans.groupBy("span").agg(F.count("*").alias("times"), F.min(F.struct("doc", "at", "check")).alias("first")).filter("times > 1").select("span", "first")
-    again = spans.select("span", "doc", "at").join(least, "span").filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    return again.groupBy("doc").agg(F.collect_list(F.struct("at", F.col("first.check").alias("check"))).alias("cuts"))
+    spans = narrow.mapInArrow(_spans, f"span long, doc {kind}, spot long")
+    place = lambda c: F.shiftright(c, CHECK_BITS).cast("int")
+    least = spans.groupBy("span").agg(F.count("*").alias("times"), F.min(F.struct("doc", "spot")).alias("first")).filter("times > 1").select("span", "first")
+    again = spans.select("span", "doc", place("spot").alias("at")).join(least, "span").filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != place("first.spot")))
+    check = F.col("first.spot").bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
+    return again.groupBy("doc").agg(F.collect_list(F.struct("at", check.alias("check"))).alias("cuts"))
 
 
 def _cutter(ident: int, text: int, columns: list[str], report: bool):
@@ -155,7 +159,7 @@ def _cutter(ident: int, text: int, columns: list[str], report: bool):
             for a, b, buf, offs in B.pieces(column):
                 words, starts, bounds, rows = sentences(buf, offs)
                 row, at, to, _, again = spans_of(words, bounds, rows)
-                check = checks_of(words, bounds, at, to).view(np.int64)
+                check = checks_of(words, bounds, at, to)
                 within: dict[int, list[int]] = {}
                 for r, s in zip(row[again].tolist(), np.flatnonzero(again).tolist()):
                     within.setdefault(r, []).append(s)
