@@ -78,7 +78,10 @@ BOOK = {
 def test_epub(spark, tmp_path):
     (tmp_path / "a.epub").write_bytes(archive(BOOK))
     (tmp_path / "b.epub").write_bytes(b"PK\x03\x04 broken")
-    got = epub.read_epub(spark, str(tmp_path)).orderBy("ord").collect()
+    rows = epub.read_epub(spark, str(tmp_path)).orderBy("ord").collect()
+    told = [r for r in rows if r.kind == "unreadable"]
+    assert [r.path.rsplit("/", 1)[1] for r in told] == ["b.epub"] and told[0].text and told[0].ord is None
+    got = [r for r in rows if r.kind != "unreadable"]
     assert [(r.chapter_id, r.title, r.landmark, r.block_id, r.kind, r.text) for r in got] == [("ch-0", "Beta", "copyright", "0:0", "paragraph", "two"), ("ch-1", "Alpha", None, "1:0", "heading", "Head"), ("ch-1", "Alpha", None, "1:1", "paragraph", "one")]
     assert {r.format for r in epub.book_files(spark, str(tmp_path)).collect()} == {"epub"}
     for bad in ({"../x": "y"}, {"x": "y"}):
