@@ -88,7 +88,18 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op5_warc_derivatives, op6_benchmark_decontamination, op7_licence_scan, op8_suffix_array_dedup, op9_nearest_neighbours, op10_best_fit_packing, op11_tokenizer_alignment)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .manifest import manifest
+
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(hit, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    return manifest(_table(spark, sf_dir, "documents"), altered={"text": tampered})
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op5_warc_derivatives, op6_benchmark_decontamination, op7_licence_scan, op8_suffix_array_dedup, op9_nearest_neighbours, op10_best_fit_packing, op11_tokenizer_alignment, op13_merkle_manifest)}
 SQL: dict[str, str] = {}
 
 SQL["op6_benchmark_decontamination"] = r"""
@@ -132,3 +143,29 @@ k AS (SELECT q.doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM h LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+_TREE = """
+{n}(level, grp, idx, h, n) AS ({base}
+  UNION ALL SELECT level + 1, grp, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 15) // 16 FROM {n} WHERE n > 1 GROUP BY level, grp, idx // 16),
+{n}_side AS (SELECT level, grp, idx, coalesce(string_agg(h, '') OVER (PARTITION BY level, grp, idx // 16 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (PARTITION BY level, grp, idx // 16 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {n} WHERE n > 1)"""
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_CAPS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+#: crc32 has no DuckDB function: ``k`` runs over the id's characters, the inner list over the bits of each.
+SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE c(doc_id, s, k, c) AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), 0, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, s, k + 1, list_reduce(range(8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::BIGINT) ELSE a // 2 END, xor(c, ascii(substr(s, k + 1, 1))::BIGINT)) FROM c WHERE k < length(s)),
+hit AS (SELECT doc_id, xor(c, 4294967295) % 5 = 0 AS hit FROM c WHERE k = length(s)),
+d AS (SELECT doc_id, coalesce('1' || source, '0') AS grp, {_LEAF.format(text="text")} AS leaf, CASE WHEN hit THEN {_LEAF.format(text=f"translate(text, {_CAPS})")} END AS changed FROM documents LEFT JOIN hit USING (doc_id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM d),
+{_TREE.format(n="t", base="SELECT 0, grp, idx, leaf, n FROM p")},
+g AS (SELECT grp, h, level, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+{_TREE.format(n="u", base="SELECT 0, 0, idx, h, n FROM g")},
+f(doc_id, leaf, grp, idx, level, acc, proof) AS (SELECT doc_id, leaf, grp, idx, 0, coalesce(changed, leaf), '' FROM p
+  UNION ALL SELECT f.doc_id, leaf, f.grp, f.idx // 16, f.level + 1, sha256(l || acc || r), proof || l || r FROM f JOIN t_side s ON s.grp = f.grp AND s.level = f.level AND s.idx = f.idx),
+v(doc_id, leaf, grp, subroot, idx, level, acc, proof) AS (SELECT f.doc_id, leaf, f.grp, g.h, g.idx, 0, acc, proof FROM f JOIN g ON g.grp = f.grp AND g.level = f.level
+  UNION ALL SELECT v.doc_id, leaf, v.grp, subroot, v.idx // 16, v.level + 1, sha256(l || acc || r), proof || l || r FROM v JOIN u_side s ON s.level = v.level AND s.idx = v.idx),
+top AS (SELECT level, h FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = top.h AS verified FROM v JOIN top ON v.level = top.level
+"""
