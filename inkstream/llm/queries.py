@@ -88,6 +88,12 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pivots import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -99,7 +105,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"), altered={"text": tampered})
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op5_warc_derivatives, op6_benchmark_decontamination, op7_licence_scan, op8_suffix_array_dedup, op9_nearest_neighbours, op10_best_fit_packing, op11_tokenizer_alignment, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_minhash_near_dedup, op4_substring_dedup, op5_warc_derivatives, op6_benchmark_decontamination, op7_licence_scan, op8_suffix_array_dedup, op9_nearest_neighbours, op10_best_fit_packing, op11_tokenizer_alignment, op12_embedding_near_dedup, op13_merkle_manifest)}
 SQL: dict[str, str] = {}
 
 SQL["op6_benchmark_decontamination"] = r"""
@@ -169,3 +175,14 @@ v(doc_id, leaf, grp, subroot, idx, level, acc, proof) AS (SELECT f.doc_id, leaf,
 top AS (SELECT level, h FROM u WHERE n = 1)
 SELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = top.h AS verified FROM v JOIN top ON v.level = top.level
 """
+
+#: Components by their least member, as in op3; the vectors of the tables are all of one length.
+SQL["op12_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS m FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.m = l.a),
+c AS (SELECT id, min(m) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
