@@ -32,7 +32,7 @@ from .packing import byte_alphabet
 from .store import Scratch
 
 #: Bytes of text that DuckDB aligns at once, and that share a dictionary; a longer text is a slice, or a chunk, of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 CHUNK_BYTES = 16 << 20
 #: Pairs in a dictionary row.
 CELL_PAIRS = 1 << 16
@@ -91,11 +91,17 @@ class Spelling:
 
     def gather(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of the ids one after another, and where each ends."""
+        ends = self.ends(ids)
+        total = int(ends[-1]) if len(ends) else 0
+        narrow = np.int32 if total < 1 << 31 else np.int64
         size = self.size[ids]
-        ends = np.cumsum(size)
-        at = np.repeat(self.at[ids] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        at = np.repeat((self.at[ids] - (ends - size)).astype(narrow), size)
+        at += np.arange(total, dtype=narrow)
         return self.flat[at], ends
 
+    def ends(self, ids: np.ndarray) -> np.ndarray:
+        return np.cumsum(self.size[ids])
+
 
 def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(x) for x in ids], dtype=np.int64)
@@ -103,14 +109,12 @@ def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 ALIGN = """
-CREATE OR REPLACE TEMP TABLE met AS
-  SELECT a.doc, a.id, a.s, a.e, a.e = b.e AS cut, CASE WHEN a.e = b.e AND a.s = b.s THEN b.id END AS twin FROM a ASOF JOIN b ON a.e >= b.e
-  UNION ALL SELECT doc, id, s, e, false, NULL FROM a WHERE e < (SELECT min(e) FROM b);
 CREATE OR REPLACE TEMP TABLE grouped AS
-  SELECT doc, id, s, e, twin, sum(cut::INT) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) - cut::INT AS g FROM met;
+  SELECT doc, id, s, e, twin, (sum(cut) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) - cut)::INT AS g FROM (
+    SELECT a.doc, a.id, a.s, a.e, coalesce(a.e = b.e, false)::INT AS cut, CASE WHEN a.e = b.e AND a.s = b.s THEN b.id END AS twin FROM a ASOF LEFT JOIN b ON a.e >= b.e);
 CREATE OR REPLACE TEMP TABLE wide AS SELECT g, min(doc) AS doc, min(s) AS lo, max(e) AS hi, count(*) AS na FROM grouped WHERE twin IS NULL GROUP BY g;
 CREATE OR REPLACE TEMP TABLE loose AS
-  SELECT w.g, b.id FROM (SELECT id, s, e FROM b WHERE e NOT IN (SELECT e FROM grouped WHERE twin IS NOT NULL)) b JOIN wide w ON b.s >= w.lo AND b.e <= w.hi;
+  SELECT w.g, b.id FROM (SELECT id, s, e FROM b ANTI JOIN (SELECT e FROM grouped WHERE twin IS NOT NULL) t ON b.e = t.e) b JOIN wide w ON b.s >= w.lo AND b.e <= w.hi;
 """
 #: Each group's document and its numbers of A and B tokens, in order of place.
 GROUPS = """
@@ -143,8 +147,7 @@ class Slice:
         n = len(texts)
         own = [t or "" for t in texts]
         (a, na), (b, nb) = _flat(a_encode(own)), _flat(b_encode(own))
-        (a_bytes, a_ends), (b_bytes, b_ends) = _spelling(a_words).gather(a), _spelling(b_words).gather(b)
-        ok = np.array([t != "" for t in own], dtype=bool) & self._same(own, (a_bytes, a_ends, na), (b_bytes, b_ends, nb))
+        ok = np.array([t != "" for t in own], dtype=bool) & self._same(own, _spelling(a_words).ends(a), na, *_spelling(b_words).gather(b), nb)
         # texts that cannot be aligned have no tokens
         self.n_a, self.n_b = np.where(ok, na, 0), np.where(ok, nb, 0)
         a, b = a[np.repeat(ok, na)], b[np.repeat(ok, nb)]
@@ -153,9 +156,9 @@ class Slice:
         if not ok.any():
             return
         for name, ids, count, words in (("a", a, self.n_a, a_words), ("b", b, self.n_b, b_words)):
-            size = _spelling(words).size[ids]
-            e = np.cumsum(size)
-            con.register(f"{name}_arrow", pa.table({"doc": np.repeat(np.arange(n), count), "id": ids, "s": e - size, "e": e}))
+            e = _spelling(words).ends(ids)
+            kind = np.int32 if e[-1] < 1 << 31 else np.int64
+            con.register(f"{name}_arrow", pa.table({"doc": np.repeat(np.arange(n, dtype=np.int32), count), "id": ids, "s": (e - _spelling(words).size[ids]).astype(kind), "e": e.astype(kind)}))
             con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS FROM {name}_arrow")
             con.unregister(f"{name}_arrow")
         for statement in ALIGN.split(";")[:-1]:
@@ -168,15 +171,14 @@ class Slice:
         self.sha = [hashlib.sha256(s).hexdigest() if s else "" for s in self.strings]
 
     @staticmethod
-    def _same(texts: list[str], *sides) -> np.ndarray:
-        """Whether both sides' bytes are a space and the text."""
-        want = [b" " + t.encode() for t in texts]
-        out = np.ones(len(texts), dtype=bool)
-        for data, ends, count in sides:
-            at = np.concatenate(([0], np.cumsum(count)))
-            bound = np.concatenate(([0], ends))[at]
-            for i, w in enumerate(want):
-                out[i] &= data[bound[i] : bound[i + 1]].tobytes() == w
+    def _same(texts: list[str], a_ends: np.ndarray, na: np.ndarray, b_bytes: np.ndarray, b_ends: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """Whether both sides spell a space and the text.  A's tokens divide its bytes, so their number tells; B's are compared."""
+        a_at, b_at = (np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(count)))] for ends, count in ((a_ends, na), (b_ends, nb)))
+        out = np.diff(a_at) == np.diff(b_at)
+        for i, t in enumerate(texts):
+            if out[i]:
+                w = b" " + t.encode()
+                out[i] = a_at[i + 1] - a_at[i] == len(w) and b_bytes[b_at[i] : b_at[i + 1]].tobytes() == w
         return out
 
 
