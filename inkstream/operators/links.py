@@ -172,10 +172,17 @@ def admitted_materials(materials: DataFrame, probes: DataFrame, root: str, image
     return rows.withColumn("path", F.when(image, F.concat("path", F.lit(".mp4"))).otherwise(F.col("path"))).drop("width", "height")
 
 
-def recent_lines(jobs: DataFrame, logs: DataFrame, key: str, most_jobs: int = 4, most_lines: int = 12, most: int = 25) -> DataFrame:
-    """``key, idx, seq, line``: the last lines of a key's first jobs in work, and of these the last in all."""
-    active = jobs.filter(F.col("state").isin("queued", "rendering")).withColumn("_j", F.row_number().over(Window.partitionBy(key).orderBy("idx"))).filter(F.col("_j") <= most_jobs)
+def recent_lines(jobs: DataFrame, logs: DataFrame, key: str, recognition: DataFrame | None = None, most_jobs: int = 4, most_lines: int = 12, most: int = 25) -> DataFrame:
+    """``key, idx, seq, line``: the last lines of a key's first jobs in work that have a task, and of these the last in all.
+
+    ``recognition`` holds ``key, task_id`` of books whose pages are being
+    recognised; their lines come last, as job -1.
+    """
+    work = jobs.filter(F.col("state").isin("queued", "rendering") & (F.coalesce(F.col("task_id").cast("string"), F.lit("")) != ""))
+    first = work.withColumn("_j", F.row_number().over(Window.partitionBy(key).orderBy("idx"))).filter(F.col("_j") <= most_jobs).select(key, "idx", "task_id", "_j")
+    if recognition is not None:
+        first = first.unionByName(recognition.filter("task_id is not null").select(key, F.lit(-1).cast(first.schema["idx"].dataType).alias("idx"), "task_id", F.lit(most_jobs + 1).alias("_j")))
     last = logs.withColumn("_l", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("seq")))).filter(F.col("_l") <= most_lines)
-    rows = active.select(key, "idx", "task_id").join(last, "task_id")
-    back = Window.partitionBy(key).orderBy(F.desc("idx"), F.desc("seq"))
+    rows = first.join(last, "task_id")
+    back = Window.partitionBy(key).orderBy(F.desc("_j"), F.desc("seq"))
     return rows.withColumn("_b", F.row_number().over(back)).filter(F.col("_b") <= most).select(key, "idx", "seq", "line")

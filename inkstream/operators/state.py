@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import Throttle, folded
+
 ACTIVE = ["queued", "rendering"]
 
 
@@ -40,8 +42,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def patch(old: DataFrame, changes: DataFrame, keys: list[str], cleared: str = "cleared") -> DataFrame:
-    """Sets what a change holds; null leaves a column as it is unless its name is in ``cleared``; never adds rows."""
+def whole_percent(value: Column) -> Column:
+    """Progress as it is stored: a whole number from 0 to 100, halves up."""
+    return F.when(value.isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), F.floor(value + F.lit(0.5))))).cast("int")
+
+
+def patch(old: DataFrame, changes: DataFrame, keys: list[str], cleared: str = "cleared", percent: str = "progress") -> DataFrame:
+    """Sets what a change holds; null leaves a column as it is unless its name is in ``cleared``; never adds rows.
+
+    A column named ``percent`` is stored as a whole number from 0 to 100.
+    """
+    if percent in changes.columns:
+        changes = changes.withColumn(percent, whole_percent(F.col(percent)))
     cols = [c for c in old.columns if c not in keys and c in changes.columns]
     c = changes.select(*keys, *[F.col(x).alias(f"_{x}") for x in cols], F.col(cleared).alias("_cleared"))
     joined = old.join(c, keys, "left")
@@ -129,14 +141,8 @@ def throttled(events: DataFrame, key: str, at: str, value: str, interval: float
 
     Which event was the last depends on all before, so a key's events are folded in order; ``at`` is in seconds.
     """
-    zero = F.struct(F.lit(0.0).alias("t"), F.lit(-1.0).alias("v"), F.array().cast("array<struct<at:double,value:double>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        due = (e["value"] > s["v"]) & ((e["at"] - s["t"] >= interval) | (e["value"] - s["v"] >= jump) | (e["value"] >= 1))
-        return F.when(due, F.struct(e["at"].alias("t"), e["value"].alias("v"), F.concat(s["out"], F.array(e)).alias("out"))).otherwise(s)
-
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("at"), F.col(value).cast("double").alias("value")))).alias("e"))
-    return rows.select(key, F.inline(F.aggregate("e", zero, step)["out"]))
+    timed = events.select(key, F.col(at).cast("double").alias("at"), F.col(value).cast("double").alias("value"))
+    return folded(timed, key, ["at", "value"], ["at", "value"], lambda: Throttle(interval, jump), lambda gate, e: [e] if gate.step(*e) else [], "at double, value double")
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap: str = "10 minutes") -> DataFrame:

@@ -433,14 +433,19 @@ def local_materials(spark, d):
     return K.admitted_materials(D.table(spark, d, "part").select("p_partkey", url.alias("url")), probes, "/store").select("p_partkey", "path")
 
 
-@query("""WITH j AS (SELECT l_orderkey AS k, l_linenumber AS idx, l_orderkey * 10 + l_linenumber AS task_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS j FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 20)), g AS (SELECT s AS seq, s % 3 AS m FROM range(20) r(s)),
-l AS (SELECT k, idx, seq, task_id || ':' || seq AS line, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) AS b FROM j, g WHERE j <= 4 AND m <> idx % 3),
-f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY idx DESC, seq DESC) AS r FROM l WHERE b <= 12) SELECT k, CAST(idx AS INT) AS idx, seq, line FROM f WHERE r <= 25""")
+@query("""WITH w AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS idx FROM lineitem WHERE l_quantity > 20), g AS (SELECT s AS seq, s % 3 AS m FROM range(20) r(s)),
+j AS (SELECT k, idx, k * 10 + idx AS task_id, row_number() OVER (PARTITION BY k ORDER BY idx) AS j FROM w WHERE (k + idx) % 4 > 0 UNION ALL SELECT DISTINCT k, -1, k * 10, 5 FROM w WHERE k % 5 = 0),
+l AS (SELECT k, idx, j, seq, task_id || ':' || seq AS line, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) AS b FROM j, g WHERE j <= 5 AND (j <= 4 OR idx < 0) AND m <> idx % 3),
+f AS (SELECT k, idx, seq, line, row_number() OVER (PARTITION BY k ORDER BY j DESC, seq DESC) AS r FROM l WHERE b <= 12) SELECT k, CAST(idx AS INT) AS idx, seq, line FROM f WHERE r <= 25""")
 def recent_log_lines(spark, d):
-    jobs = D.table(spark, d, "lineitem").filter("l_quantity > 20").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("idx")).distinct().withColumns({"task_id": F.col("k") * 10 + F.col("idx"), "state": F.lit("rendering")})
-    logs = jobs.select("task_id", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("seq")).filter("seq % 3 <> idx % 3")
+    """Every fourth job has no task yet, and every fifth book's pages are being recognised."""
+    jobs = D.table(spark, d, "lineitem").filter("l_quantity > 20").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("idx")).distinct()
+    jobs = jobs.withColumns({"task_id": F.when((F.col("k") + F.col("idx")) % 4 > 0, F.col("k") * 10 + F.col("idx")), "state": F.lit("rendering")})
+    recognition = jobs.filter("k % 5 = 0").select("k", (F.col("k") * 10).alias("task_id")).distinct()
+    said = jobs.select("task_id", "idx").filter("task_id is not null").unionByName(recognition.select("task_id", F.lit(-1).alias("idx")))
+    logs = said.select("task_id", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("seq")).filter("seq % 3 <> idx % 3")
     logs = logs.select("task_id", "seq", F.concat("task_id", F.lit(":"), "seq").alias("line"))
-    return K.recent_lines(jobs, logs, "k").withColumn("idx", F.col("idx").cast("int"))
+    return K.recent_lines(jobs, logs, "k", recognition).withColumn("idx", F.col("idx").cast("int"))
 
 
 @query("""WITH p AS (SELECT DISTINCT l_suppkey % 50 AS book_id, l_orderkey AS page FROM lineitem), r AS (SELECT *, page % 3 <> 0 AS tried, page % 7 = 0 AS bad, (page % 10) / 10.0::DOUBLE AS c FROM p),
@@ -452,11 +457,3 @@ def recognition_runs(spark, d):
     pages = D.table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("book_id"), F.col("l_orderkey").alias("page")).distinct()
     results = pages.filter("page % 3 <> 0").withColumns({"error": F.when(F.col("page") % 7 == 0, "timeout"), "confidence": F.col("page") % 10 / 10})
     return L.run_summary(pages, results, "book_id").withColumn("confidence", F.round("confidence", 9))
-
-
-@query("""WITH o AS (SELECT o_custkey AS key, o_orderdate AS ts, o_orderpriority AS payload, lag(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority) AS before FROM orders),
-c AS (SELECT * FROM o WHERE before IS NULL OR before <> payload) SELECT key, ts, payload, row_number() OVER (PARTITION BY key ORDER BY ts, payload) AS change FROM c""")
-def changed_states(spark, d):
-    from ..streaming import feeds
-
-    return feeds.changes_so_far(D.table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderpriority").alias("payload")))

@@ -34,7 +34,23 @@ def attach(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, which all executors see; a temporary folder only where there is none and all is one machine (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="inkstream-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+#: Tables of more bytes than this are never dealt anew: their files have row groups enough for every core.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(table: DataFrame) -> DataFrame:
-    """A table as it lies, or dealt over all cores where it has fewer files than these: a small file is often one row group, so one task."""
+    """A table as it lies, or dealt over all cores where it is small and in fewer files than these: a small file is often one row group, so one task."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    small = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    return table.repartition(cores) if small and len(table.inputFiles()) < cores else table

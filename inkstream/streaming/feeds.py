@@ -2,39 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-
-class _Changes(StatefulProcessor):
-    """Emits a row only if its payload differs from the key's last one."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "payload string, n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        seen, n = (self.last.get() if self.last.exists() else (None, 0))
-        for part in rows:
-            part = part.sort_values(["ts", "payload"], kind="stable")
-            out = []
-            for ts, payload in zip(part["ts"], part["payload"]):
-                if payload != seen:
-                    seen, n = payload, n + 1
-                    out.append((key[0], ts, payload, n))
-            yield pd.DataFrame(out, columns=["key", "ts", "payload", "change"])
-        self.last.update((seen, n))
-
-    def close(self) -> None:
-        pass
-
 
-def changes(rows: DataFrame) -> DataFrame:
-    """``key, ts, payload, change`` from a stream with ``key, ts, payload``; state is one payload per key."""
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Changes(), outputStructType="key long, ts timestamp, payload string, change long", outputMode="Append", timeMode="None")
+from .stateful import changes  # noqa: F401  the stream whose batch twin is here
 
 
 def changes_so_far(rows: DataFrame) -> DataFrame:
