@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim
+from .numbering import numbered
 
 RESUMABLE = ["pending"]
 
@@ -107,7 +108,8 @@ def backlog(sources: dict[str, DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("made_at", "key"))).orderBy("_n", "place").drop("_n")
+    seconds = F.unix_timestamp("made_at") if out.schema["made_at"].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col("made_at")
+    return numbered(out, ["_n", "source"], seconds, ["made_at", "key"]).orderBy("_n", "place").drop("_n")
 
 
 def shorts_of_tasks(tasks: DataFrame, shorts: DataFrame) -> DataFrame:
@@ -133,9 +135,10 @@ def drift(chunks: DataFrame, joined: DataFrame, key: str, most: float = 0.25) ->
 
 
 def admitted(queue: DataFrame, running: int = 5, waiting: int = 100) -> DataFrame:
-    """``status`` of tasks that arrive while none ends: the first run, the next wait, the rest are refused."""
-    n = F.row_number().over(Window.partitionBy("queue").orderBy("arrived", "task_id"))
-    return queue.withColumn("status", F.when(n <= running, "running").when(n <= running + waiting, "queued").otherwise("rejected"))
+    """``status`` of tasks by their place in the order of arrival: the first of a queue run, the next wait, the rest are refused."""
+    seconds = F.unix_timestamp("arrived") if queue.schema["arrived"].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col("arrived")
+    placed = numbered(queue, ["queue"], seconds, ["arrived", "task_id"])
+    return placed.withColumn("status", F.when(F.col("place") <= running, "running").when(F.col("place") <= running + waiting, "queued").otherwise("rejected")).drop("place")
 
 
 def all_present(wanted: DataFrame, known: DataFrame, key: str, item: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import counted
+from .numbering import numbered, preceding
 
 
 def fits_aspect(width: Column, height: Column, aspect: str) -> Column:
@@ -26,15 +27,14 @@ def first_of_each(items: DataFrame, key: str, order: list[str]) -> DataFrame:
 def round_robin(items: DataFrame, group: str, term: str, rank: str) -> DataFrame:
     """A group's items with ``turn``: the first of every term, then the second of every term, and so on."""
     nth = F.row_number().over(Window.partitionBy(group, term).orderBy(rank))
-    rows = items.withColumn("_nth", nth)
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy("_nth", term))).drop("_nth")
+    return numbered(items.withColumn("_nth", nth), [group], F.col("_nth"), ["_nth", term], "turn").drop("_nth")
 
 
 def within_budget(items: DataFrame, group: str, order: str, seconds: str, most: float, budget: Column) -> DataFrame:
     """Items in order while the seconds before them are within the budget; the one that crosses it is included."""
-    used = F.least(F.col(seconds), F.lit(most))
-    before = F.coalesce(F.sum("used").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return items.withColumn("used", used.cast("double")).withColumn("before", before).filter(F.col("before") <= budget)
+    used = F.least(F.col(seconds), F.lit(most)).cast("double")
+    rows = preceding(items.withColumn("used", used), [group], F.col(order), [order], F.col("used"))
+    return rows.withColumn("before", F.col("before").cast("double")).filter(F.col("before") <= budget)
 
 
 def slices(items: DataFrame, seconds: str, longest: float, first_only: bool = False) -> DataFrame:

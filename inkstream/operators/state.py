@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import Throttle, folded
+from .numbering import preceding
 
 ACTIVE = ["queued", "rendering"]
 
@@ -88,10 +89,9 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
 
 
 def publish_slots(items: DataFrame, key: str, order: list[str], cursor: Column, now: Column, lead: int = 60, stagger: int = 3600) -> DataFrame:
-    """Slots from the cursor on, none earlier than ``lead`` seconds from now, ``stagger`` seconds apart."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    """Slots from the cursor on, none earlier than ``lead`` seconds from now, ``stagger`` seconds apart; the first of ``order`` is a number or a time."""
     first = F.greatest(cursor, now + F.lit(lead))
-    return items.withColumn("slot", first + (nth - 1) * F.lit(stagger))
+    return preceding(items, [key], F.col(order[0]), order, name="_nth").withColumn("slot", first + F.col("_nth") * F.lit(stagger)).drop("_nth")
 
 
 def cache_hits(requests: DataFrame, cache: DataFrame, key: str, now: Column) -> DataFrame:
