@@ -76,10 +76,16 @@ class Tree:
         ids, vectors = ids[order], vectors[order]
         distinct, which = np.unique(vectors, axis=0, return_inverse=True)
         which = which.ravel()
-        # of equal vectors only the k+1 smallest ids can be among a query's k nearest
+        # of equal vectors only the k+1 smallest ids can be among a query's k nearest, one of them its own; of rows of one id, k
         by = np.argsort(which, kind="stable")
-        nth = np.arange(len(by)) - np.searchsorted(which[by], which[by], side="left")
-        self.ids, self.point = ids[by[nth <= k]], which[by[nth <= k]]
+        place = np.arange(len(by))
+        fresh = np.concatenate(([True], which[by][1:] != which[by][:-1]))
+        named = fresh | np.concatenate(([True], ids[by][1:] != ids[by][:-1]))
+        seen = np.cumsum(named)
+        nth_id = seen - seen[np.maximum.accumulate(np.where(fresh, place, 0))]
+        nth_row = place - np.maximum.accumulate(np.where(named, place, 0))
+        stays = by[(nth_id <= k) & (nth_row < k)]
+        self.ids, self.point = ids[stays], which[stays]
         self.first = np.searchsorted(self.point, np.arange(len(distinct) + 1))
         self.vectors = distinct
         self.lifted = np.hstack([distinct, np.sqrt(np.maximum(top**2 - (distinct**2).sum(axis=1), 0))[:, None]])
