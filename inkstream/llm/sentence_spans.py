@@ -144,7 +144,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     least = spans.groupBy("span").agg(F.count("*").alias("times"), F.min(F.struct("doc", "spot")).alias("first")).filter("times > 1").select("span", "first")
     again = spans.select("span", "doc", place("spot").alias("at")).join(least, "span").filter((F.col("doc") != F.col("first.doc")) | (F.col("at") != place("first.spot")))
     check = F.col("first.spot").bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
-    return again.groupBy("doc").agg(F.collect_list(F.struct("at", check.alias("check"))).alias("cuts"))
+    # rows that repeat an id send the same cuts, which are held once
+    return again.groupBy("doc").agg(F.collect_set(F.struct("at", check.alias("check"))).alias("cuts"))
 
 
 def _cutter(ident: int, text: int, columns: list[str], report: bool):
@@ -209,7 +210,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts stay null; empty and short texts have no spans and stay.  Rows
     without an id take no part and stay as they are.  Rows that repeat a
     ``doc_id`` with the same text are one occurrence, so none loses to the
-    other.  An empty table gives an empty one; other columns are ignored.  A
+    other; rows of one id with other texts are one document too, and a passage
+    that begins at the same sentence of both stays in both.  An empty table gives an empty one; other columns are ignored.  A
     very long text is worked on alone, at some 60 times its bytes.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
