@@ -14,6 +14,7 @@ import gzip
 import hashlib
 import html
 import io
+import itertools
 import re
 import uuid
 import zlib
@@ -244,22 +245,44 @@ def _head(lines: list[bytes]) -> tuple[dict, int]:
     return record, size
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of a file's bytes, plain or of gzip members."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.strip():
+def records_of(stream: io.BufferedReader) -> Iterator[dict]:
+    """Records of a stream of a file's bytes, by their lengths, whichever line ends their headers have.
+
+    What lies between records and begins none is given as a row of type
+    ``unreadable`` with these bytes, and a record that the file breaks off
+    keeps what is there with a field ``WARC-Truncated``.
+    """
+    junk = b""
+    while True:
+        line = stream.readline(_MOST_JUNK)
+        begins = line.startswith(b"WARC/")
+        if junk and (begins or not line or len(junk) >= _MOST_JUNK):
+            yield dict.fromkeys(_COLUMNS) | {"headers": {}, "warc_type": "unreadable", "block": junk}
+            junk = b""
+        if not line:
+            return
+        if not begins:
+            junk += line if line.strip() or junk else b""
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no record begins with {line[:40]!r}")
         lines = []
-        while (line := stream.readline().rstrip(b"\r\n")) != b"":
-            lines.append(line)
+        while (line := stream.readline()).rstrip(b"\r\n") != b"":
+            lines.append(line.rstrip(b"\r\n"))
         record, size = _head(lines)
         record["block"] = stream.read(size)
+        if len(record["block"]) < size:
+            record["headers"].setdefault("WARC-Truncated", "length")
         yield record
 
 
+#: Bytes of an ``unreadable`` row, about.
+_MOST_JUNK = 1 << 20
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """Records of a file's bytes, plain or of gzip members."""
+    yield from records_of(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)))
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [{**r, "headers": dict(r["headers"] or ())} for r in batch.to_pylist()]
@@ -276,41 +299,40 @@ def encode(records: DataFrame) -> DataFrame:
 _BETWEEN = "\r\n\r\nWARC/"
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records from the pieces between separators; a block that holds the separator itself is put together by its length."""
-    rows: list[dict] = []
-    size, held, want, parts, joint = 0, None, 0, [], b""
+class _Joined(io.RawIOBase):
+    """The bytes of a file, from the pieces between separators."""
 
-    def done(record: dict, block: bytes, full: bool) -> None:
-        record["block"] = block
-        if not full:
-            record["headers"].setdefault("WARC-Truncated", "length")
-        rows.append(record)
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left = pieces, memoryview(b"")
+        self.between = b""
 
-    for batch in batches:
-        for cell in batch.column(0):
-            piece = cell.as_buffer().to_pybytes()
-            if held is not None:
-                parts += [joint, piece]
-                size += len(piece) + len(joint)
-                joint = _BETWEEN.encode()
-            else:
-                head, gap, block = piece.partition(b"\r\n\r\n")
-                lines = head.split(b"\r\n")
-                if not lines[0].strip().removeprefix(b"WARC/").startswith((b"1.", b"0.")):
-                    continue
-                held, want = _head(lines[1:])
-                parts, size = [block], len(block)
-                # a block that begins as a record does leaves the blank line behind its header to the separator
-                joint = _BETWEEN.encode() if gap else b"WARC/"
-            if size >= want:
-                done(held, b"".join(parts)[:want], True)
-                held = None
-            if len(rows) >= 64:
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not len(self.left):
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.left = memoryview(self.between + piece)
+            self.between = _BETWEEN.encode()
+        n = min(len(out), len(self.left))
+        out[:n] = self.left[:n]
+        self.left = self.left[n:]
+        return n
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of files whose pieces follow one another."""
+    cells = ((file, cell.as_buffer().to_pybytes()) for batch in batches for file, cell in zip(batch.column(0).to_pylist(), batch.column(1)))
+    rows, size = [], 0
+    for _, pieces in itertools.groupby(cells, key=lambda c: c[0]):
+        for record in records_of(io.BufferedReader(_Joined(p for _, p in pieces), 1 << 16)):
+            rows.append(record)
+            size += len(record["block"])
+            if len(rows) >= 64 or size >= 4 << 20:
                 yield _batch(rows)
-                rows = []
-    if held is not None:
-        done(held, b"".join(parts), False)
+                rows, size = [], 0
     if rows:
         yield _batch(rows)
 
@@ -318,11 +340,14 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files, read as a stream of records by Spark's text reader.
 
-    No file is held whole: plain files are split over tasks like any text, and
-    files ending in ``.gz`` are read by one task each, member after member.
-    A record that the file breaks off keeps what is there with a field
-    ``WARC-Truncated``; so does one whose block holds another WARC record at
-    the very place where a plain file is split.
+    Files ending in ``.gz`` are read by one task each, member after member.
+    Plain files are split over tasks like any text; their pieces are dealt by
+    file and put in order again, so records are told by their lengths however
+    Spark splits a file and whatever their blocks hold.  No file is held whole:
+    a task lets the pieces pass and holds one record, or one piece of a file
+    without the usual line ends.
     """
-    lines = spark.read.text(path, lineSep=_BETWEEN).select(F.col("value").cast("binary"))
-    return lines.mapInArrow(_records, RECORD)
+    text = spark.read.text(path, lineSep=_BETWEEN).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    zipped = F.col("file").endswith(".gz")
+    plain = text.filter(~zipped).repartition("file").sortWithinPartitions("file", "start", "n")
+    return text.filter(zipped).select("file", "value").mapInArrow(_records, RECORD).unionByName(plain.select("file", "value").mapInArrow(_records, RECORD))
