@@ -52,5 +52,5 @@ SPREAD_BYTES = 256 << 20
 def spread(table: DataFrame) -> DataFrame:
     """A table as it lies, or dealt over all cores where it is small and in fewer files than these: a small file is often one row group, so one task."""
     cores = table.sparkSession.sparkContext.defaultParallelism
-    small = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    small = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
     return table.repartition(cores) if small and len(table.inputFiles()) < cores else table
