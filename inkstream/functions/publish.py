@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ass_escape, ass_time, clamp, fnv1a, trim
+from .text import ass_escape, ass_time, clamp, fnv1a, tags_stopping, trim
 
 TITLE_CHARS, DESCRIPTION_CHARS, TAGS, TAG_CHARS, ALL_TAGS_CHARS = 100, 5000, 12, 100, 500
 EXCERPT_CHARS, PASSAGE_CHARS = 4000, 7000
@@ -72,6 +76,33 @@ def _credit(book: Column, author: Column) -> Column:
     return F.when(author != "", F.concat(quoted, F.lit(" by "), author)).otherwise(quoted)
 
 
+#: Texts of listings are fixed values, as readers see them.
+def upload_title(title: Column, episode: Column) -> Column:
+    """A title of at most 100 characters that ends with its episode: the head is shortened, an episode already there stays."""
+    line = one_line(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)\s*[—–]\s*", " - "))
+    suffix = F.concat(F.lit(" | Episode "), episode.cast("string"))
+    room = F.lit(TITLE_CHARS) - F.length(suffix)
+    head = F.when(F.length(line) <= room, line).otherwise(F.concat(F.rtrim(F.substring(line, F.lit(1), F.greatest(F.lit(1), room - 1))), F.lit("…")))
+    return F.when(line == "", cut_title(F.concat(F.lit("Episode "), episode.cast("string")))).when(line.rlike(r"(?i)(?:^|\s)\|\s*Episode\s+\d+\s*$"), cut_title(line)).otherwise(F.concat(head, suffix))
+
+
+def cut_title(title: Column, fallback: str = "Untitled video") -> Column:
+    """One line of at most 100 characters, the last of them an ellipsis if it was cut."""
+    line = one_line(F.coalesce(title, F.lit("")))
+    line = F.when(line != "", line).otherwise(F.lit(fallback))
+    return F.when(F.length(line) <= TITLE_CHARS, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, TITLE_CHARS - 1)), F.lit("…")))
+
+
+def upload_listing(book: Column, author: Column, chapter: Column, episode: Column) -> Column:
+    """``title, description, tags`` of a segment's upload for which none were written."""
+    line = lambda c, default: F.coalesce(F.nullif(one_line(F.coalesce(c, F.lit(""))), F.lit("")), F.lit(default))
+    book, author, chapter = line(book, "Untitled"), line(author, ""), line(chapter, "Chapter")
+    title = upload_title(F.when(book == chapter, book).otherwise(F.concat(book, F.lit(" - "), chapter)), episode)
+    text = F.concat(chapter, F.lit("\n\nFrom "), _credit(book, author), F.lit(".\n\n#audiobook #books"))
+    named = F.transform(F.array(book, author, chapter, F.lit("audiobook"), F.lit("books")), lambda x: trim(F.regexp_replace(x, "^#", "")))
+    return F.struct(title.alias("title"), F.substring(text, 1, DESCRIPTION_CHARS).alias("description"), tags_stopping(F.filter(named, lambda x: x != "")).alias("tags"))
+
+
 def segment_listing(book: Column, author: Column, chapter: Column, episode: Column) -> Column:
     """``title, description, tags`` of a segment for which none were written; an episode of 1 or more is named."""
     book, author, chapter = _or(book, "Untitled"), _or(author, ""), _or(chapter, "Chapter")
@@ -128,12 +159,33 @@ def manifest_chunks(body: Column, version: int = 1) -> Column:
     return F.when((parsed["version"] == version) & parsed["chunks"].isNotNull(), F.filter(parsed["chunks"], sound))
 
 
+def _literal(value: str) -> tuple[str, str]:
+    try:
+        found = ast.literal_eval(value)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        found = int(value) if value.isdecimal() else value
+        kind = "integer" if isinstance(found, int) else "text"
+    else:
+        kind = next((name for types, name in _KINDS if isinstance(found, types)), "other")
+    if kind == "list":
+        found = sorted(found, key=repr) if isinstance(found, set) else list(found)
+    return kind, json.dumps(found, ensure_ascii=False, separators=(",", ":"), default=repr)
+
+
+_KINDS = [(type(None), "none"), (bool, "boolean"), (int, "integer"), (float, "float"), (str, "string"), ((list, tuple, set), "list"), (dict, "map")]
+
+
 def typed(value: Column) -> Column:
-    """``kind, number, items`` of a stored text: a list, a whole number, or the text itself."""
-    items = F.when(trim(value).rlike(r"^\["), F.from_json(F.replace(value, F.lit("'"), F.lit('"')), "array<string>"))
-    number = F.when(value.rlike(r"^\d+$"), value.try_cast("long"))
-    kind = F.when(items.isNotNull(), "list").when(number.isNotNull(), "integer").otherwise("text")
-    return F.struct(kind.alias("kind"), number.alias("number"), items.alias("items"))
+    """``kind, json`` of a stored text: what literal it is (none, boolean, integer, float, string, list, map) and its value as JSON; else ``text``.
+
+    Tuples and sets are lists, digits with leading zeros a number; null stays null.
+    """
+
+    @F.pandas_udf("kind string, json string")
+    def decode(stored: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if x is None else _literal(x) for x in stored], columns=["kind", "json"])
+
+    return decode(value.cast("string"))
 
 
 def music_wanted(kind: Column, volume: Column) -> Column:

@@ -235,13 +235,6 @@ def manifest_entries(spark, d):
     return D.table(spark, d, "orders").select("o_orderkey", F.when(chunks.isNotNull(), F.size(chunks)).otherwise(-1).alias("sound"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'integer' WHEN 1 THEN 'list' ELSE 'text' END AS kind, CASE WHEN p_size % 3 = 0 THEN CAST(p_partkey AS VARCHAR) END AS number, CASE WHEN p_size % 3 = 1 THEN 'a|' || p_brand END AS items FROM part""")
-def typed_values(spark, d):
-    value = F.when(F.col("p_size") % 3 == 0, F.col("p_partkey").cast("string")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("['a', '"), "p_brand", F.lit("']"))).otherwise(F.col("p_type"))
-    got = D.table(spark, d, "part").select("p_partkey", P.typed(value).alias("t"))
-    return got.select("p_partkey", "t.kind", F.col("t.number").cast("string").alias("number"), F.array_join("t.items", "|").alias("items"))
-
-
 @query("""SELECT p_partkey, p_size % 4 NOT IN (0, 1) AND p_size > 10 AS music, CASE WHEN p_size > 40 THEN 'accept' WHEN p_size % 3 = 0 THEN 'reject' WHEN p_size % 2 = 0 THEN 'reject: recogniser off' ELSE 'recognise' END AS outcome,
 CASE WHEN p_size <= 40 AND p_size % 3 <> 0 AND p_size % 2 <> 0 THEN '2,7,' || (p_size + 10) END AS pages FROM part""")
 def gates(spark, d):

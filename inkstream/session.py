@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import weakref
 import zipfile
 
@@ -45,6 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def written(table: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again, so what it cost is paid once and an executor that is lost costs nothing."""
+    path = f"{shared_folder(table.sparkSession)}/written-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 #: Tables of more bytes than this are never dealt anew: their files have row groups enough for every core.
 SPREAD_BYTES = 256 << 20
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .plans import domain
-from .plans import job_queries, more_queries  # noqa: F401  register further queries
+from .plans import job_queries, more_queries, page_queries, stream_queries, title_queries  # noqa: F401  register further queries
 from .plans import queries
 
 TABLES = ["customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "part", "pages", "region", "supplier", "benchmark", "conversations"]
