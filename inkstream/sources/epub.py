@@ -29,11 +29,11 @@ def safe_entry(name: str) -> bool:
     return not (name.startswith(("/", "\\")) or re.match(r"[A-Za-z]:", name) or ".." in name.replace("\\", "/").split("/"))
 
 
-def entries(data: bytes) -> dict[str, zipfile.ZipInfo]:
-    """Names to entries of an archive within the limits; the first of a name counts."""
+def entries(data) -> dict[str, zipfile.ZipInfo]:
+    """Names to entries of an archive, bytes or an open file, within the limits; the first of a name counts."""
     try:
-        infos = zipfile.ZipFile(io.BytesIO(data)).infolist()
-    except zipfile.BadZipFile as e:
+        infos = zipfile.ZipFile(_opened(data)).infolist()
+    except (zipfile.BadZipFile, ValueError) as e:  # some files refuse places before their start
         raise Unreadable(str(e)) from e
     if len(infos) > MOST_ENTRIES or sum(i.file_size for i in infos) > MOST_BYTES:
         raise Unreadable("too large")
@@ -47,6 +47,10 @@ def entries(data: bytes) -> dict[str, zipfile.ZipInfo]:
     return found
 
 
+def _opened(data):
+    return io.BytesIO(data) if isinstance(data, bytes) else data
+
+
 def resolve(base: str, href: str) -> str:
     """A reference without fragment, decoded, against the folder of the file that holds it."""
     path = unquote(href.split("#", 1)[0])
@@ -69,10 +73,10 @@ def _attr(node: ET.Element, name: str) -> str:
     return next((v for k, v in node.attrib.items() if _local(k) == name), "")
 
 
-def book(data: bytes) -> list[tuple[str, int, str, str | None, list[tuple[str, int | None, str]]]]:
-    """Chapters in spine order: id, level, title, landmark and blocks."""
+def book(data) -> list[tuple[str, int, str, str | None, list[tuple[str, int | None, str]]]]:
+    """Chapters in spine order, of an archive's bytes or an open file: id, level, title, landmark and blocks."""
     names = entries(data)
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(_opened(data)) as z:
         if "META-INF/encryption.xml" in names and b"EncryptedData" in z.read("META-INF/encryption.xml") and b"obfuscation" not in z.read("META-INF/encryption.xml"):
             raise Unreadable("protected")
         try:
