@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 #: Caption boundaries, where a point or comma between digits is none.
 BOUNDARY = r"(?<![0-9])[.,]|[.,](?![0-9])|[?;:!…、？，。；：！،؛؟\n]"
 #: Fixed rates: characters or words spoken per second, and the pause between sentences.
@@ -134,8 +136,9 @@ def content_key(*parts: Column) -> Column:
 
 def fnv1a(c: Column) -> Column:
     """32-bit FNV-1a over the UTF-16 units of a text."""
-    hexed = F.hex(F.encode(c, "UTF-16BE"))
-    units = F.when(F.length(hexed) > 0, F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(4)), lambda k: F.conv(F.substring(hexed, k, F.lit(4)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    unit = lambda data, k: F.conv(F.hex(F.substring(data, k, F.lit(2))), 16, 10).cast("long")
+    read = lambda data: F.when(F.octet_length(data) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(data), F.lit(2)), lambda k: unit(data, k))).otherwise(F.array().cast("array<bigint>"))
+    units = let(F.encode(c, "UTF-16BE"), read)
     return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(16777619)) % F.lit(4294967296))
 
 

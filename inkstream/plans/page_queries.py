@@ -361,9 +361,9 @@ def classify_declared(spark, d):
     return C.classify(*D.declared(spark, d)).select("book_id", "block_id", "keep", "rule", "confidence")
 
 
-@query("""SELECT conv_id, turn, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(left(text, 60), ''), lambda x: ord(x)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS hash FROM conversations WHERE length(text) > 0""")
+@query("""SELECT conv_id, turn, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(text, ''), lambda x: ord(x)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS hash FROM conversations WHERE length(text) > 0""")
 def text_hashes(spark, d):
-    return D.table(spark, d, "conversations").filter("length(text) > 0").select("conv_id", "turn", T.fnv1a(F.substring("text", 1, 60)).alias("hash"))
+    return D.table(spark, d, "conversations").filter("length(text) > 0").select("conv_id", "turn", T.fnv1a(F.col("text")).alias("hash"))
 
 
 @query("""WITH k AS (SELECT p_partkey, '{"terms":["' || least(p_name, p_type) || '","' || greatest(p_name, p_type) || '"],"source":"' || p_brand || '","aspect":"9:16"}' AS k FROM part)
@@ -381,9 +381,9 @@ def safe_names(spark, d):
     return D.table(spark, d, "pages").select("page_id", T.output_name(F.coalesce(fixed, "url")).alias("folder"), T.music_name(music).alias("music"))
 
 
-@query(rf"SELECT conv_id, turn, round(greatest(3.0::DOUBLE, {_SECONDS.format(_TRIM.format('left(text, 40)'))}), 6) AS seconds FROM conversations")
+@query(rf"SELECT conv_id, turn, round(greatest(3.0::DOUBLE, {_SECONDS.format(_TRIM.format("coalesce(text, '')"))}), 6) AS seconds FROM conversations")
 def silent_durations(spark, d):
-    return D.table(spark, d, "conversations").select("conv_id", "turn", F.round(T.silent_seconds(F.substring("text", 1, 40)), 6).alias("seconds"))
+    return D.table(spark, d, "conversations").select("conv_id", "turn", F.round(T.silent_seconds(F.col("text")), 6).alias("seconds"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 1.0 ELSE least(greatest(l_discount * 40, 0.5), 2.0) END::DOUBLE AS speed, round(l_quantity + 0.1, 6) AS seconds,
