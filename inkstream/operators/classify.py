@@ -42,35 +42,48 @@ def page_number_shaped(kind: Column, text: Column) -> Column:
     return (kind == "page_number") | ((kind != "heading") & (text != "") & (text.rlike(DIGITS) | text.rlike(ROMAN)))
 
 
-def author_spans(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
-    """``book_id, block_id`` of blocks about the author.
+def about_author(titled: Column) -> list[tuple[str, Column]]:
+    """Columns, one after another, that end with ``_about``: whether a block is about the author.
 
-    A heading opens a span, a heading as high closes it, and so does the end
-    of the chapter.  Only books that have such a heading or title are folded.
+    A heading opens a span, a heading as high closes it, and so does the end of
+    the chapter; a chapter with such a title is about the author as a whole.
+    All windows are one chapter's, in order.
     """
-    titled = chapters.select("book_id", "chapter_id", F.coalesce(F.col("title").rlike(AUTHOR), F.lit(False)).alias("titled"))
-    rows = blocks.join(titled, ["book_id", "chapter_id"], "left").withColumn("titled", F.coalesce("titled", F.lit(False)))
-    hint = F.col("titled") | ((F.col("kind") == "heading") & F.col("text").rlike(AUTHOR))
-    books = rows.filter(hint).select("book_id").distinct()
-    item = F.struct("ord", "block_id", "chapter_id", "titled", (F.col("kind") == "heading").alias("head"), F.coalesce("level", F.lit(1)).alias("level"), F.col("text").rlike(AUTHOR).alias("about"))
-    start = F.struct(F.lit(None).cast("int").alias("level"), F.lit("").alias("chapter"), F.array().cast("array<string>").alias("ids"))
+    so_far = Window.partitionBy("book_id", "chapter_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    head, about, level = F.col("kind") == "heading", F.col("text").rlike(AUTHOR), F.coalesce("level", F.lit(1))
+    opened = F.last(F.when(head & about, F.struct("ord", level.alias("level"))), ignorenulls=True).over(so_far)
+    closed = F.last(F.when(head & ~about & (level <= F.col("_opened.level")), F.col("ord")), ignorenulls=True).over(so_far)
+    inside = F.col("_opened").isNotNull() & F.coalesce(F.col("_closed") < F.col("_opened.ord"), F.lit(True))
+    return [("_opened", opened), ("_closed", closed), ("_about", F.coalesce(titled, F.lit(False)) | inside)]
 
-    def step(s: Column, b: Column) -> Column:
-        level = F.when(s["chapter"] == b["chapter_id"], s["level"])
-        opens = b["head"] & b["about"]
-        closes = b["head"] & ~b["about"] & level.isNotNull() & (b["level"] <= level)
-        after = F.when(b["titled"], s["level"]).when(opens, b["level"]).when(closes, F.lit(None)).otherwise(level)
-        inside = b["titled"] | opens | (~closes & level.isNotNull())
-        return F.struct(after.cast("int").alias("level"), F.when(b["titled"], s["chapter"]).otherwise(b["chapter_id"]).alias("chapter"), F.when(inside, F.concat(s["ids"], F.array(b["block_id"]))).otherwise(s["ids"]).alias("ids"))
 
-    folded = rows.join(books, "book_id", "left_semi").groupBy("book_id").agg(F.array_sort(F.collect_list(item)).alias("b"))
-    return folded.select("book_id", F.explode(F.aggregate("b", start, step)["ids"]).alias("block_id"))
+def author_spans(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``book_id, block_id`` of blocks about the author."""
+    rows = blocks.join(chapters.select("book_id", "chapter_id", F.col("title").rlike(AUTHOR).alias("_titled")), ["book_id", "chapter_id"], "left")
+    for name, value in about_author(F.col("_titled")):
+        rows = rows.withColumn(name, value)
+    return rows.filter("_about").select("book_id", "block_id")
 
 
 def classify(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
     """One decision per block: ``book_id, block_id, ord, keep, rule, confidence, source``; the first rule that matches wins."""
+    return decided(blocks, chapters).select("book_id", "block_id", "ord", "keep", "rule", "confidence", "source")
+
+
+def kept_blocks(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The blocks that classification keeps, in one pass over them."""
+    return decided(blocks, chapters).filter("keep").select(*blocks.columns)
+
+
+def decided(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The blocks with their decisions beside them: ``keep, rule, confidence, source``.
+
+    All that a rule needs to know of other blocks is counted by windows over a
+    book's blocks, so blocks that are dealt by book stay where they are.
+    """
     text, kind = trim(F.col("text")), F.col("kind")
     norm = repeat_key(F.col("text"))
+    of_chapter = chapters.select("book_id", "chapter_id", F.col("landmark").alias("_mark"), F.col("title").rlike(AUTHOR).alias("_titled"))
     rows = blocks.withColumns({"_t": text, "_n": norm})
     same = Window.partitionBy("book_id", "_n")
     chapter = Window.partitionBy("book_id", "chapter_id")
@@ -78,14 +91,20 @@ def classify(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
         {
             "_heads": F.size(F.collect_set(F.when((F.length("_t") < HEAD_CHARS) & (F.col("_n") != ""), F.col("chapter_id"))).over(same)),
             "_times": F.count("*").over(same),
+        }
+    )
+    for name, value in about_author(F.lit(False)):
+        rows = rows.withColumn(name, value)
+    rows = rows.withColumns(
+        {
             "_pages": F.count_if(page_number_shaped(kind, F.col("_t"))).over(chapter),
             "_toc": F.count_if((kind == "toc_entry") | toc_shaped(F.col("_t"))).over(chapter),
             "_size": F.count("*").over(chapter),
         }
     )
-    about = author_spans(blocks, chapters).withColumn("_about", F.lit(True))
-    rows = rows.join(chapters.select("book_id", "chapter_id", "landmark"), ["book_id", "chapter_id"], "left").join(about, ["book_id", "block_id"], "left")
-    t, n, mark = F.col("_t"), F.col("_n"), F.col("landmark")
+    # chapters come last: before, they would deal the blocks anew
+    rows = rows.join(of_chapter, ["book_id", "chapter_id"], "left").withColumn("_about", F.col("_about") | F.coalesce("_titled", F.lit(False)))
+    t, n, mark = F.col("_t"), F.col("_n"), F.col("_mark")
     body = kind != "heading"
     declared = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     rules = [
@@ -108,7 +127,7 @@ def classify(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
         cond = F.coalesce(cond, F.lit(False))
         rule = F.when(cond, name).otherwise(rule)
         confidence = F.when(cond, F.lit(sure)).otherwise(confidence)
-    return rows.select("book_id", "block_id", "ord", (rule == "default_keep").alias("keep"), rule.alias("rule"), confidence.alias("confidence"), F.lit("structural").alias("source"))
+    return rows.select(*blocks.columns, rule.alias("rule"), confidence.alias("confidence"), F.lit("structural").alias("source")).withColumn("keep", F.col("rule") == "default_keep")
 
 
 def merge_decisions(structural: DataFrame, overrides: DataFrame) -> DataFrame:

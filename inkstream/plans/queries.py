@@ -150,7 +150,7 @@ first_block, last_block, n_blocks, estimated_duration, word_count, n_chapters FR
 
 def _kept(spark, d):
     b, c = D.blocks(spark, d), D.chapters(spark, d)
-    return C.kept(b, C.classify(b, c)), c
+    return C.kept_blocks(b, c), c
 
 
 @query(_fold_sql("duration", 900, 1500))
