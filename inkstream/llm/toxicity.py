@@ -29,8 +29,6 @@ LEARN_ROWS = 6000
 #: A term needs so many toxic documents of the sample, and this share of its evidence on the toxic side.
 SUPPORT = 8
 PRECISION = 0.85
-#: Terms that are learned, at most: those of most toxic documents.
-TERMS = 4000
 #: Terms of fewer letters must be spelled exactly.
 FUZZY_FROM = 5
 PREFIXES = range(4, 9)
@@ -256,14 +254,14 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_rows: int = LEARN_ROWS, most_terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_rows: int = LEARN_ROWS) -> Model:
     """Learns terms and weights from labelled rows that are not held out.
 
     Labels are sampled before they meet the texts: at most about ``learn_rows``
     of each label, so that side of the join is broadcast within a known bound.
-    Terms come from two thirds of the sample, the weights from the rest.  Of
-    more than ``most_terms`` terms those with most toxic documents are taken,
-    of equals the first in order, whatever the layout of the tables.
+    Terms come from two thirds of the sample, the weights from the rest.  All
+    terms with the support are taken, so their number is bounded by the sample
+    alone: each stands in ``SUPPORT`` toxic documents of it.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and id is not null").filter(~held_out("id"))
     sample, counts = at_most(known.groupBy("id").agg(F.max("toxic").alias("toxic")), "id", learn_rows, "toxic")
@@ -276,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     size = {t: max(1, min(n, learn_rows)) for t, n in counts.items()}
     share = size[1] / size.get(0, 1)
     able = sums.filter(F.col("pos") >= SUPPORT).withColumn("precision", F.col("pos") / (F.col("pos") + F.col("neg") * share + 0.5)).filter(F.col("precision") >= PRECISION)
-    best = able.orderBy(F.desc("pos"), "term").limit(most_terms).collect()
+    best = able.orderBy(F.desc("pos"), "term").collect()
     lexicon = {r["term"]: float(np.log((r["pos"] + 0.5) / (size[1] + 1)) - np.log((r["neg"] + 0.5) / (size.get(0, 1) + 1))) for r in best}
     seen = {r["term"]: (r["pos"], r["neg"]) for r in best}
     lexicon = _prune(lexicon, seen)
@@ -347,5 +345,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     text of any length is read whole; its words are held once as a list.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms, and spellings of the sample beside them
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of the sample, and its spellings beside them
     return narrow.mapInArrow(_scorer(shared), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
