@@ -290,7 +290,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_d
     # notices of every third template, and every third unit, are asked of a model that never saw them
     model.weights = learn([[w for k, w in enumerate(g) if k % 3 != 1 or len(g) == 1] for g in notices], [w for k, w in enumerate(other) if k % 3 != 1])
     held = [(f, u) for f, g in enumerate(notices) for k, w in enumerate(g) if k % 3 == 1 for u in (w[: WINDOW_WORDS], *variations(w, 7000 + 10 * f + k, 3)[1:])]
-    held += [(none, w) for k, w in enumerate(other) if k % 3 == 1][: 4 * len(held)]
+    held += [(none, w) for k, w in enumerate(other) if k % 3 == 1]
     bounds = np.concatenate(([0], np.cumsum([len(u) for _, u in held])))
     logits, label = model.logits(np.concatenate([u for _, u in held]), bounds[:-1], bounds[1:]), np.array([f for f, _ in held])
 
