@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buffers as B
-from .split import at_most, held_out
+from .split import held_out
+from .store import Scratch
 
 #: Rows of each language that are learned from, at most; chosen by hash of the id.
 LEARN_ROWS = 3000
@@ -29,9 +30,12 @@ BUCKETS = 1 << 15
 #: differ hold less than this part of the evidence that a text of one language gives.
 MARGIN = 0.25
 UNKNOWN = "und"
-#: Languages that are learned, at most: those of most rows.
-LANGUAGES = 256
+#: Labelled rows that are learned from in all, at most; every language of these rows is learned, however many there are.
+LEARN_TOTAL = 400_000
+#: Languages up to which draws of a code are compared, and that a task counts at once.
+COMPARED, HELD = 1024, 128
 _STRETCH = 1 << 18
+_GRAIN = 1 << 30
 
 # small ASCII letters and all bytes of longer letters stay; the rest is a gap
 _FOLD = B.LOWER.copy()
@@ -78,10 +82,11 @@ class Model:
 
     def decode(self, margins: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language, its score, and its lead over the second: the lesser of scores and evidence."""
-        step = max(1, (1 << 20) // self.code.size)
-        loss = np.concatenate([np.logaddexp(0.0, -margins[a : a + step, None, :] * self.code[None]) @ self.trust for a in range(0, max(1, len(margins)), step)])
-        best = loss.argmin(axis=1)
-        odds = np.exp(loss.min(axis=1, keepdims=True) - loss)
+        # log(1 + exp(-m)) and log(1 + exp(m)) differ by m, so the sum of a codeword's losses falls by half of what its bits agree
+        step = max(1, (1 << 21) // max(1, len(self.code)))
+        gain = np.concatenate([0.5 * (margins[a : a + step] * self.trust) @ self.code.T for a in range(0, max(1, len(margins)), step)])
+        best = gain.argmax(axis=1)
+        odds = np.exp(gain - gain.max(axis=1, keepdims=True))
         share = odds / odds.sum(axis=1, keepdims=True)
         rows = np.arange(len(best))
         score = share[rows, best]
@@ -105,62 +110,136 @@ def codewords(n: int) -> np.ndarray:
         return np.array(columns, dtype=float).T
     bits = int(np.ceil(10 * np.log2(n)))
     best, spread = None, -1
-    for draw in range(64):
+    for draw in range(64 if n <= COMPARED else 1):
         code = np.where(B.stream(1000 + draw, n * bits).reshape(n, bits) >> np.uint64(63), 1.0, -1.0)
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        if n > COMPARED:
+            return code
+        agree = code @ code.T
+        np.fill_diagonal(agree, -np.inf)
+        apart = int(code.shape[1] - agree.max()) // 2
         if apart > spread:
             best, spread = code, apart
     return best
 
 
-def _counter(languages: list[str]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((len(languages), BUCKETS), dtype=np.int64)
-        number = {x: i for i, x in enumerate(languages)}
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams by language and bucket; of more languages than are held at once, those so far are told first."""
+    totals: dict[str, np.ndarray] = {}
+
+    def told() -> pa.RecordBatch:
+        at = [np.flatnonzero(t) for t in totals.values()]
+        lang = pa.array(np.repeat(np.array(list(totals), dtype=object), [len(x) for x in at]), type=pa.string())
+        n = [t[x] for t, x in zip(totals.values(), at)]
+        totals.clear()
+        return pa.RecordBatch.from_arrays([lang, pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(n))], names=["lang", "bucket", "n"])
+
+    for batch in batches:
+        langs = batch.column(1).to_pylist()
+        for a, b, buf, offs in B.pieces(batch.column(0)):
+            two, three, good = _grams(buf, offs)
+            for i in range(b - a):
+                if langs[a + i] not in totals and len(totals) == HELD:
+                    yield told()
+                own = slice(offs[i], offs[i + 1])
+                ok = good[own]
+                mine = totals.setdefault(langs[a + i], np.zeros(BUCKETS, dtype=np.int64))
+                mine += np.bincount(two[own][ok], minlength=BUCKETS) + np.bincount(three[own][ok], minlength=BUCKETS)
+    if totals:
+        yield told()
+
+
+def _sides(shared):
+    """For rows of n-gram counts, each bucket in one task: the languages' shares on either side of each bit."""
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, code, weight = shared.value
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lang = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
+            bucket, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for j in np.unique(bucket).tolist():
+                at = bucket == j
+                agreed = (n[at] * weight[lang[at]]) @ code[lang[at]]  # yes less no
+                every = float((n[at] * weight[lang[at]]).sum())
+                before = own.get(j)
+                own[j] = np.append(agreed, every) + (0 if before is None else before)
+        if own:
+            values = np.stack(list(own.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(own), dtype=np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float64()))], names=["bucket", "sides"])
+
+    return sides
+
+
+def _evidence(shared):
+    """For rows of n-gram counts, each language in one task: the least evidence of a language for each bit."""
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, _, weight, w = shared.value
+        base, least, own = w.sum(axis=0), None, {}
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            for a, b, buf, offs in B.pieces(batch.column(0)):
-                two, three, good = _grams(buf, offs)
-                for i in range(b - a):
-                    own = slice(offs[i], offs[i + 1])
-                    ok = good[own]
-                    totals[number[langs[a + i]]] += np.bincount(two[own][ok], minlength=BUCKETS) + np.bincount(three[own][ok], minlength=BUCKETS)
-        lang, bucket = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(totals[lang, bucket])], names=["lang", "bucket", "n"])
+            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            bucket, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for x in dict.fromkeys(langs.tolist()):
+                at = langs == x
+                own[x] = own.get(x, 0.0) + n[at] @ w[bucket[at]]
+            for x in list(own)[:-1]:  # rows come by language, so only the last may go on
+                found = np.abs(weight[number[x]] * (own.pop(x) + 0.5 * base))
+                least = found if least is None else np.minimum(least, found)
+        for x, v in own.items():
+            found = np.abs(weight[number[x]] * (v + 0.5 * base))
+            least = found if least is None else np.minimum(least, found)
+        if least is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([least.tolist()], pa.list_(pa.float64()))], names=["least"])
 
-    return count
+    return evidence
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_rows: int = LEARN_ROWS, languages: int = LANGUAGES) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_rows: int = LEARN_ROWS, learn_total: int = LEARN_TOTAL) -> Model:
     """Learns from ``text`` and non-null ``lang`` of rows that are not held out.
 
-    At most about ``learn_rows`` rows of each of the ``languages`` languages
-    with most rows are learned from.
-    N-gram counts of whole texts are summed on the executors; the driver gets
-    one number per language and bucket.
+    About ``learn_rows`` rows of each language at most, and ``learn_total`` in
+    all, are learned from, chosen by a hash of the id; languages of fewer rows
+    give all of them.  N-gram counts, the bits' weights and their reliability
+    are summed on the executors; the driver gets the languages, a codeword for
+    each, and a row of numbers for each bucket.
     """
-    rows = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    sample, counts = at_most(rows, "id", learn_rows, "lang", languages)
-    languages = sorted(counts, key=lambda x: (-counts[x], x))
+    spark, disk = docs.sparkSession, Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out("id")).filter("lang is not null and text is not null and id is not null")
+    labelled = disk.keep(rows.select("id", "lang"))
+    sizes = disk.keep(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
+    share = min(1.0, learn_total / (sizes.agg(F.sum(F.least("rows", F.lit(learn_rows)))).first()[0] or 1))
+    bound = (F.lit(float(_GRAIN)) * F.least(F.lit(1.0), F.lit(float(learn_rows)) / F.col("rows")) * share).cast("long")
+    chosen = labelled.join(sizes, "lang").filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(_GRAIN)) < bound).select("id", "lang").distinct()
+    sample = rows.join(F.broadcast(disk.keep(chosen)), ["id", "lang"], "left_semi")  # about learn_total ids at most
+    sums = disk.keep(sample.select("text", "lang").mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    known = sorted(sums.groupBy("lang").agg(F.sum("n").alias("n")).join(sizes, "lang").collect(), key=lambda r: (-r["rows"], r["lang"]))
+    languages = [r["lang"] for r in known]
     code = codewords(len(languages))
     if not languages:
         return Model([], code, np.zeros((BUCKETS, 1), np.float32), np.ones(1), np.ones(1))
-    sums = sample.select("text", "lang").mapInArrow(_counter(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = np.zeros((len(languages), BUCKETS))
-    got = sums.toPandas()
-    table[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
-    share = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
-    weights, apart = [], []
-    for bit in code.T:
-        yes, no = share[bit > 0], share[bit < 0]
-        w = np.log(yes.mean(axis=0)) - np.log(no.mean(axis=0)) if len(no) and len(yes) else np.zeros(BUCKETS)
-        weights.append(w)
-        # how far the two sides' own n-grams lie apart, as a reliability
-        apart.append(min([np.abs(x @ w) for x in share], default=0.0) if len(no) and len(yes) else 1.0)
-    trust = 0.05 + np.array(apart)
+    weight = 1 / (np.array([r["n"] for r in known], dtype=float) + 0.5 * BUCKETS)  # of one n-gram in its language's share
+    number = {x: i for i, x in enumerate(languages)}
+    shared = spark.sparkContext.broadcast((number, code, weight))
+    found = sums.repartition("bucket").sortWithinPartitions("bucket", "lang").mapInArrow(_sides(shared), "bucket int, sides array<double>").collect()
+    agreed, every = np.zeros((BUCKETS, code.shape[1])), np.zeros((BUCKETS, 1))
+    for r in found:
+        agreed[r["bucket"]], every[r["bucket"]] = r["sides"][:-1], r["sides"][-1]
+    agreed += 0.5 * weight @ code
+    every += 0.5 * weight.sum()
+    yes, no = (code > 0).sum(axis=0), (code < 0).sum(axis=0)
+    split = (yes > 0) & (no > 0)
+    w = np.zeros_like(agreed)
+    w[:, split] = np.log((every + agreed)[:, split] / (2 * yes[split])) - np.log((every - agreed)[:, split] / (2 * no[split]))
+    told = spark.sparkContext.broadcast((number, code, weight, w))
+    least = sums.repartition("lang").sortWithinPartitions("lang", "bucket").mapInArrow(_evidence(told), "least array<double>").collect()
+    # how far the two sides' own n-grams lie apart, as a reliability
+    apart = np.where(split, np.min([r["least"] for r in least], axis=0), 1.0)
+    shared.unpersist()
+    told.unpersist()
+    trust = 0.05 + apart
     # an n-gram is a bigram and a trigram, so its evidence is twice a bucket's mean
-    return Model(languages, code, np.array(weights, dtype=np.float32).T.copy(), trust / trust.mean(), 2 * np.array(apart))
+    return Model(languages, code, w.astype(np.float32), trust / trust.mean(), 2 * apart)
 
 
 def _identifier(model, text: int, wanted: bool):

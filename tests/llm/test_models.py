@@ -76,10 +76,36 @@ def test_long_texts_are_read_a_stretch_at_a_time(spark, monkeypatch):
     assert np.allclose(again, want) and n.tolist() == m.tolist()
 
 
-def test_stray_languages_are_not_learned(spark):
-    rows = [(k, talk("aa", k), "aa") for k in range(60)] + [(100 + k, talk("bb", k), "bb") for k in range(50)] + [(200 + k, talk("cc", k), f"stray{k}") for k in range(40)]
+def test_every_language_of_the_sample_is_learned(spark):
+    rows = [(k, talk("aa", k), "aa") for k in range(60)] + [(100 + k, talk("bb", k), "bb") for k in range(50)] + [(200 + k, talk("cc", k), f"rare{k % 300}") for k in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert langid.fit(docs, languages=2).languages == ["aa", "bb"]
+    learned = {r.lang for r in docs.filter(~langid.held_out("doc_id")).select("lang").distinct().collect()}
+    model = langid.fit(docs)
+    assert set(model.languages) == learned and len(learned) > 290 and model.languages[:2] == ["aa", "bb"]
+    assert {r.lang_pred for r in langid.predict(docs.filter("doc_id < 100"), model).collect()} == {"aa"}
+    fewer = langid.fit(docs, learn_total=40)
+    assert set(fewer.languages) < learned
+
+
+def test_weights_equal_a_plain_sum(spark):
+    rows = [(k, talk(x, k), x) for k in range(90) for x in ("aa", "bb", "cc")]
+    docs = spark.createDataFrame([(i, t, x) for i, (_, t, x) in enumerate(rows)], "doc_id long, text string, lang string").repartition(5)
+    model = langid.fit(docs)
+    table = np.zeros((3, langid.BUCKETS))
+    for r in docs.filter(~langid.held_out("doc_id")).collect():
+        two, three, good = langid._grams(*langid.B.text_arrays(pa.array([r.text], type=pa.large_string())))
+        for g in (two[good], three[good]):
+            table[model.languages.index(r.lang)] += np.bincount(g, minlength=langid.BUCKETS)
+    share = (table + 0.5) / (table.sum(axis=1, keepdims=True) + 0.5 * langid.BUCKETS)
+    want = np.array([np.log(share[bit > 0].mean(axis=0)) - np.log(share[bit < 0].mean(axis=0)) for bit in model.code.T]).T
+    assert np.allclose(model.weights, want, rtol=1e-5)
+    assert np.allclose(model.apart, [2 * min(abs(x @ w) for x in share) for w in want.T])
+    # decoding by agreement equals adding up the loss of every bit
+    margins = np.array([[0.3, -1.2, 2.0][: model.code.shape[1]], [-0.1, 0.0, 0.5][: model.code.shape[1]]])
+    loss = np.logaddexp(0.0, -margins[:, None, :] * model.code[None]) @ model.trust
+    odds = np.exp(loss.min(axis=1, keepdims=True) - loss)
+    best, score, _ = model.decode(margins, np.array([5.0, 9.0]))
+    assert best.tolist() == loss.argmin(axis=1).tolist() and np.allclose(score, (odds / odds.sum(axis=1, keepdims=True)).max(axis=1))
 
 
 def test_languages_without_anything_to_learn(spark):
