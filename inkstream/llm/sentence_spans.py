@@ -125,6 +125,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = batch.column(0).slice(a, b - a).take(pa.array(row))
             spot = (at - rows[row]) << CHECK_BITS | checks_of(words, bounds, at, to)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(spot)], names=["span", "doc", "spot"])
+            del words, bounds, rows, row, at, to, h, again, ids, spot
+        pa.default_memory_pool().release_unused()  # a worker lives on, and what it keeps adds up over stages
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,6 +202,9 @@ def _cutter(ident: int, text: int, columns: list[str], report: bool):
                     size = [len(t) if g and t is not None else n for t, g, n in zip(kept, gone, cells[j].to_pylist())]
                     cells[j] = pa.array(size, type=cells[j].type)
                 yield pa.RecordBatch.from_arrays(cells, names=columns).filter(pa.array(stays))
+                del cells
+            del column, cuts, places, first_checks, held, known, kept, new
+            pa.default_memory_pool().release_unused()
 
     return cut
 
