@@ -32,7 +32,7 @@ def lines(items: DataFrame, page: str | list[str] = "page") -> DataFrame:
 
     pages = ok.groupBy(*page).agg(F.array_sort(F.collect_list(item)).alias("i"))
     placed = pages.select(*page, F.explode(F.arrays_zip("i", F.aggregate("i", start, step)["of"].alias("of"))).alias("z")).select(*page, F.col("z.of").alias("line"), "z.i.*")
-    across = Window.partitionBy(*page, "line").orderBy("x", "down")
+    across = Window.partitionBy(*page, "line").orderBy("x", "down", "font_size", "text")
     reach = F.max(F.col("x") + F.col("width")).over(across.rowsBetween(Window.unboundedPreceding, -1))
     before = F.lag("text").over(across)
     gap = before.rlike(r"\s$") | F.col("text").rlike(r"^\s") | (F.col("x") - reach > F.col("font_size") * WORD_GAP)

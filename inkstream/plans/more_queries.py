@@ -13,7 +13,7 @@ from ..operators import outline as O
 from ..operators import segment as G
 from ..sources import plain as P
 from . import domain as D
-from .queries import _CHAPTERS, _CUES, _DECISIONS, _SECONDS, _TRIM, _cues, _decisions, _kept, query
+from .queries import _CHAPTERS, _CUES, _DECISIONS, _PARTS, _SECONDS, _TRIM, _cues, _decisions, _kept, query
 
 _LINE = r"trim(regexp_replace({0}, '[\s\x{{00A0}}]+', ' ', 'g'))"
 _TITLE = rf"""(t <> '' AND length(t) <= 80 AND len(string_split(t, ' ')) <= 14 AND (regexp_matches(t, '{O.NAMED}') OR regexp_matches(t, '{O.BOOK_PART}') OR ((regexp_matches(t, '{O.ROMAN}') OR regexp_matches(t, '{O.NUMBERED}')) AND len(string_split(t, ' ')) <= 12)
@@ -73,15 +73,22 @@ def voice_chunks(spark, d):
     return N.chunks_for_voice(D.table(spark, d, "documents"), "doc_id", "text", 1200)
 
 
-@query(f"WITH {_CUES} SELECT doc_id, idx, round(start, 6) AS start, round(fin, 6) AS \"end\", regexp_replace(regexp_replace(content, '[\\[\\](){{}}]', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM cues WHERE doc_id NOT IN (SELECT doc_id FROM cues WHERE regexp_replace(content, '[^\\p{{L}}\\p{{N}}]', '', 'g') = '')".replace("{{L}}", "{L}").replace("{{N}}", "{N}"))
+@query(
+    f"""WITH {_CUES}, told AS MATERIALIZED (SELECT *, regexp_replace(content, '[^\\p{{L}}\\p{{N}}]', '', 'g') = '' AS mute FROM cues), whole AS (SELECT *, bool_or(mute) OVER (PARTITION BY doc_id) AS silent FROM told)
+SELECT doc_id, idx, round(start, 6) AS start, round(fin, 6) AS "end", regexp_replace(regexp_replace(content, '[\\[\\](){{}}]', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM whole WHERE NOT silent""".replace("{{L}}", "{L}").replace("{{N}}", "{N}")
+)
 def aligned_cues(spark, d):
     cues = _cues(spark, d).withColumnRenamed("idx", "seq")
     scripts = D.table(spark, d, "documents").select("doc_id", F.col("text").alias("script"))
     return N.aligned(cues, scripts, "doc_id").withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
-@query()
+_CUE_LINES = f"""l AS (SELECT item_id, CASE WHEN len({_PARTS.format("text")}) > 0 THEN {_PARTS.format("text")} ELSE [{_TRIM.format("text")}] END AS p FROM benchmark WHERE {_TRIM.format("text")} <> '')"""
+
+
+@query(f"""WITH {_CUE_LINES} SELECT item_id, CAST(i + 1 AS INT) AS idx, CAST(i AS DOUBLE) AS start, CAST(i + 1 AS DOUBLE) AS "end", p[i + 1] AS text FROM (SELECT item_id, p, unnest(range(len(p))) AS i FROM l)""")
 def corrected_cues(spark, d):
+    """Cues that a recogniser heard in small letters get the script's spelling back, line for line."""
     b = D.table(spark, d, "benchmark")
     words = b.select("item_id", F.posexplode(T.caption_lines(F.col("text"))).alias("seq", "content"))
     cues = words.select("item_id", "seq", F.col("seq").cast("double").alias("start"), (F.col("seq") + 1).cast("double").alias("end"), F.lower("content").alias("content"))
@@ -89,12 +96,19 @@ def corrected_cues(spark, d):
 
 
 def _items(spark, d):
-    return D.table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 12.0).alias("y"), (F.col("l_quantity") * 4.0).alias("x"), F.lit(20.0).alias("width"), (10.0 + F.col("l_discount") * 100).alias("font_size"), F.concat(F.lit("w"), "l_partkey").alias("text")
-    )
-
-
-@query()
+    y = F.floor(F.col("l_linenumber") / 3) * 12.0 + (F.col("l_linenumber") % 3) * 3.0
+    return D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), y.alias("y"), (F.col("l_quantity") * 4.0).alias("x"), F.lit(20.0).alias("width"), (10.0 + F.col("l_discount") * 100).alias("font_size"), F.concat(F.lit("w"), "l_partkey").alias("text"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey AS page, -((l_linenumber // 3) * 12.0 + (l_linenumber % 3) * 3.0)::DOUBLE AS down, (l_quantity * 4.0)::DOUBLE AS x, 20.0::DOUBLE AS width, (10.0 + l_discount * 100)::DOUBLE AS font, 'w' || l_partkey AS text FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY down, x, width, font, text) AS n FROM i),
+f AS (SELECT page, n, x, width, font, text, down, down AS first, greatest(1.0::DOUBLE, font * 0.4::DOUBLE) AS tol, 0 AS line FROM o WHERE n = 1
+  UNION ALL SELECT page, n, x, width, font, text, down, CASE WHEN same THEN first ELSE down END, CASE WHEN same THEN greatest(tol, font * 0.4::DOUBLE) ELSE greatest(1.0::DOUBLE, font * 0.4::DOUBLE) END, CASE WHEN same THEN line ELSE line + 1 END
+  FROM (SELECT o.*, f.first, f.tol, f.line, abs(o.down - f.first) <= f.tol AS same FROM f JOIN o ON o.page = f.page AND o.n = f.n + 1)),
+p AS (SELECT *, row_number() OVER w AS nth, CASE WHEN x - max(x + width) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > font * 0.2::DOUBLE THEN ' ' ELSE '' END || text AS piece FROM f WINDOW w AS (PARTITION BY page, line ORDER BY x, down, font, text)),
+s AS (SELECT page, line, round(font, 1) AS size, sum(length(text)) AS w, min(nth) AS seen FROM p GROUP BY ALL),
+z AS (SELECT page, line, arg_max(size, w * 1000 - seen) AS font_size FROM s GROUP BY ALL)
+SELECT page, CAST(line AS INT) AS line, string_agg(piece, '' ORDER BY nth) AS text, min(x) AS "left", max(x + width) AS "right", arg_min(-down, nth) AS y, any_value(font_size) AS font_size FROM p JOIN z USING (page, line) GROUP BY page, line""")
 def positioned_lines(spark, d):
     return L.lines(_items(spark, d))
 
