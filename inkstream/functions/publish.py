@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .text import ass_escape, ass_time, clamp, fnv1a, tags_stopping, trim
 
 TITLE_CHARS, DESCRIPTION_CHARS, TAGS, TAG_CHARS, ALL_TAGS_CHARS = 100, 5000, 12, 100, 500
@@ -140,6 +141,54 @@ def finished_listing(reply: Column, fallback: Column, keeps_title: bool = False)
     return F.when(~empty, full)
 
 
+#: Letters of titles and captions and the number of hashtags of each platform, and hashtags for any video.
+PLATFORMS = {"tiktok": (100, 2200, 5), "youtube_shorts": (100, 5000, 6), "instagram_reels": (125, 2200, 8), "facebook_reels": (125, 2200, 5)}
+ANY_VIDEO = ["#shorts", "#viral", "#trending", "#fyp", "#video", "#reels", "#creator", "#content"]
+
+
+def _limits(platform: Column) -> Column:
+    known = F.create_map(*[x for name, spec in PLATFORMS.items() for x in (F.lit(name), F.struct(*[F.lit(v).alias(k) for k, v in zip(("title", "caption", "tags"), spec)]))])
+    return F.coalesce(F.try_element_at(known, F.lower(trim(F.coalesce(platform, F.lit(""))))), known["tiktok"])
+
+
+def _cut(c: Column, most: Column) -> Column:
+    t = trim(F.coalesce(c, F.lit("")))
+    return F.when(F.length(t) > most, F.regexp_replace(F.substring(t, F.lit(1), most), r"(?U)\s+$", "")).otherwise(t)
+
+
+def social_metadata(reply: Column, platform: Column) -> Column:
+    """``title, caption, hashtags`` of a JSON reply within a platform's limits; null where it has neither title nor caption.
+
+    Hashtags may be a list or one text; letters, digits and underscores make one, and no two differ in case alone.
+    """
+    at = lambda name: F.coalesce(F.get_json_object(reply, f"$.{name}"), F.lit(""))
+
+    def read(spec: Column) -> Column:
+        raw = at("hashtags")
+        given = F.coalesce(F.from_json(raw, "array<string>"), F.split(raw, r"[\s,]+"))
+        tags = F.filter(F.transform(given, lambda x: F.regexp_replace(F.coalesce(x, F.lit("null")), r"[^\p{L}\p{N}_]", "")), lambda x: x != "")
+        low = F.transform(tags, F.lower)
+        first = F.filter(tags, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+        title, caption = _cut(at("title"), spec["title"]), _cut(at("caption"), spec["caption"])
+        full = F.struct(title.alias("title"), caption.alias("caption"), F.slice(F.transform(first, lambda x: F.concat(F.lit("#"), x)), F.lit(1), spec["tags"]).alias("hashtags"))
+        return F.when((title != "") | (caption != ""), full)
+
+    return let(_limits(platform), read)
+
+
+def social_fallback(subject: Column, script: Column, platform: Column) -> Column:
+    """``title, caption, hashtags`` where no reply is to be had: the subject or the script's first sentence, and the script."""
+
+    def made(spec: Column) -> Column:
+        subject_, script_ = trim(F.coalesce(subject, F.lit(""))), trim(F.coalesce(script, F.lit("")))
+        sentence = trim(F.element_at(F.split(script_, r"[.。!！?？\n]"), 1))
+        title = F.coalesce(F.nullif(subject_, F.lit("")), F.nullif(sentence, F.lit("")), F.lit("Short video"))
+        caption = F.when(script_ != "", _cut(script_, F.greatest(spec["caption"] - 60, F.lit(60)))).otherwise(F.concat(title, F.lit(" — watch to the end and follow for more.")))
+        return F.struct(_cut(title, spec["title"]).alias("title"), _cut(caption, spec["caption"]).alias("caption"), F.slice(F.array(*map(F.lit, ANY_VIDEO)), F.lit(1), spec["tags"]).alias("hashtags"))
+
+    return let(_limits(platform), made)
+
+
 _CUE = "struct<index:double,start:double,end:double,text:string>"
 MANIFEST = f"struct<version:int,chunks:array<struct<index:double,hash:string,file:string,duration:double,codec:string,sampleRate:double,channels:double,cues:array<{_CUE}>>>>"
 

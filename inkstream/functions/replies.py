@@ -86,8 +86,15 @@ def language_of(saved: Column, browser: Column, supported: list[str], default: s
 
 
 def track_code(language: Column) -> Column:
+    """The three-letter code of a language tag; three letters stay, what is unknown is ``und``."""
     codes = F.create_map(*[F.lit(x) for kv in TRACK_CODES.items() for x in kv])
-    return F.coalesce(F.try_element_at(codes, F.substring_index(F.lower(language), "-", 1)), F.lit("und"))
+    tag = F.replace(F.lower(F.trim(F.coalesce(language, F.lit("")))), F.lit("_"), F.lit("-"))
+    return F.when(tag.rlike("^[a-z]{3}$"), tag).otherwise(F.coalesce(F.try_element_at(codes, F.substring_index(tag, "-", 1)), F.lit("und")))
+
+
+def sidecar(video: Column) -> Column:
+    """The caption file beside a video: its name with another extension."""
+    return F.concat(F.regexp_replace(video, r"(?<=[^/])\.[^./]*$", ""), F.lit(".srt"))
 
 
 def terms(c: Column) -> Column:

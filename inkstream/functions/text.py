@@ -149,8 +149,9 @@ def strip_fence(c: Column) -> Column:
 
 def spoken_reply(c: Column) -> Column:
     """A model's reply as a script: no thinking, no marks of emphasis or headings, no bracketed asides."""
-    t = F.regexp_replace(c, r"(?is)<think>.*?</think>|<think>.*$", "")
-    return trim(F.regexp_replace(F.regexp_replace(t, r"[*#]", ""), r"\[[^\n\]]*\]|\([^\n)]*\)", ""))
+    t = trim(F.regexp_replace(c, r"(?is)<think>.*?</think>|<think>.*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[*#]", ""), r"\[[^\n\]]*\]", ""), r"\([^\n)]*\)", "")
+    return F.array_join(F.filter(F.transform(F.split(bare, r"\n{2,}"), trim), lambda x: x != ""), "\n\n")
 
 
 def sentences(c: Column) -> Column:
@@ -159,17 +160,38 @@ def sentences(c: Column) -> Column:
 
 
 def clamp_script(c: Column, words: int) -> Column:
-    """Whole sentences within a budget of words; the first always stays."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("full"))
+    """A script without marks, on one line, in whole sentences within a budget of words; the first always stays, and no budget keeps all."""
+    plain = trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\*", ""), r"(?m)^#+\s+", ""), r"(?U)\s+", " "))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("full"))
 
     def add(s: Column, x: Column) -> Column:
         n = word_count(x)
-        fits = ~s["full"] & ((s["out"] == "") | (s["used"] + n <= words))
-        return F.when(fits, F.struct(F.when(s["out"] == "", x).otherwise(F.concat(s["out"], F.lit(" "), x)).alias("out"), (s["used"] + n).alias("used"), F.lit(False).alias("full"))).otherwise(
-            F.struct(s["out"].alias("out"), s["used"].alias("used"), F.lit(True).alias("full"))
-        )
+        over = s["full"] | (F.size(s["out"]) > 0) & (s["used"] + n > words)
+        taken = F.struct(F.concat(s["out"], F.array(x)).alias("out"), (s["used"] + n).alias("used"), (s["used"] + n >= words).alias("full"))
+        return F.when(over, F.struct(s["out"].alias("out"), s["used"].alias("used"), F.lit(True).alias("full"))).otherwise(taken)
+
+    def cut(text: Column) -> Column:
+        parts = F.filter(F.split(text, r"(?<=[.!?。！？])\s+"), lambda x: x != "")
+        return F.when((word_count(text) <= words) | F.lit(words <= 0), text).otherwise(F.array_join(F.aggregate(parts, start, add)["out"], " "))
+
+    return let(plain, cut)
+
+
+#: Letters of a hook, and bounds of a short piece in seconds and words.
+HOOK_CHARS, SHORT_SECONDS, SHORT_WORDS = 220, (30, 90), 80
+
+
+def first_sentence(c: Column) -> Column:
+    """A text up to its first stop; the text itself where it begins with one."""
+    t = trim(F.coalesce(c, F.lit("")))
+    found = F.regexp_extract(t, r"^[^.!?。！？\n]+[.!?。！？]?", 0)
+    return clamp(F.when(found != "", found).otherwise(t), HOOK_CHARS)
+
 
-    return F.aggregate(sentences(c), start, add)["out"]
+def target_words(seconds: Column, per_minute: Column) -> Column:
+    """Words that a short piece of so many seconds has, at a rate of speech."""
+    held = F.greatest(F.lit(SHORT_SECONDS[0]), F.least(F.lit(SHORT_SECONDS[1]), seconds))
+    return F.greatest(F.lit(SHORT_WORDS).cast("long"), F.floor(held * per_minute / 60 + F.lit(0.5)))
 
 
 def redact(c: Column, *secrets: str) -> Column:

@@ -99,17 +99,59 @@ def not_uploaded(results: Column) -> Column:
     return ~F.coalesce(F.exists(results, lambda r: r["success"] & (F.coalesce(r["video_id"], F.lit("")) != "")), F.lit(False))
 
 
-def backlog(sources: dict[str, DataFrame]) -> DataFrame:
-    """Complete rows with a file and no upload, of all sources in their order: ``source, key, place``."""
-    parts = []
+#: How the requests of a book's own tasks begin, and the error of an upload that was interrupted.
+BOOK_TASKS = ["book-short:", "book-shorts-plan:", "book-ocr:", "book:"]
+INTERRUPTED_UPLOAD = "YouTube upload was interrupted before the process completed"
+
+
+def standalone(request: Column) -> Column:
+    """A task of its own, and not one of a book's."""
+    asked = F.coalesce(request.cast("string"), F.lit(""))
+    return ~F.exists(F.array(*map(F.lit, BOOK_TASKS)), lambda p: F.startswith(asked, p))
+
+
+def in_flight(state: Column) -> Column:
+    return F.coalesce(state.isin("pending", "processing"), F.lit(False))
+
+
+def busy(state: Column, cross_post: Column, upload: Column) -> Column:
+    """A task that makes, posts or uploads something."""
+    return F.coalesce(state == "processing", F.lit(False)) | in_flight(cross_post) | in_flight(upload)
+
+
+def skips_upload(state: Column, results: Column) -> Column:
+    """An upload that is under way or done is not started again."""
+    return in_flight(state) | ~not_uploaded(results)
+
+
+def resumes_upload(state: Column, error: Column, owner_alive: Column, interrupted: str = INTERRUPTED_UPLOAD) -> Column:
+    """An upload whose owner is gone, or that failed by interruption."""
+    return F.when(in_flight(state), ~owner_alive).otherwise(F.coalesce((state == "failed") & (error == interrupted), F.lit(False)))
+
+
+def _order_number(rows: DataFrame, column: str) -> Column:
+    """A number that never falls along a column: times as seconds, texts as their first six bytes."""
+    kind = rows.schema[column].dataType.typeName()
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_timestamp(column)
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.col(column)
+
+
+def backlog(sources: dict[str, DataFrame], orders: dict[str, list[str]] | None = None) -> DataFrame:
+    """Complete rows with a file and no upload, of all sources in their order: ``source, key, place``.
+
+    A source is ordered by ``orders``, or else by ``made_at`` and ``key``.
+    """
+    out = None
     for n, (name, rows) in enumerate(sources.items()):
-        ok = rows.filter((F.col("state") == "complete") & (F.coalesce("file", F.lit("")) != "") & not_uploaded(F.col("uploads")))
-        parts.append(ok.select(F.lit(n).alias("_n"), F.lit(name).alias("source"), "key", "made_at"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    seconds = F.unix_timestamp("made_at") if out.schema["made_at"].dataType.typeName() in ("date", "timestamp", "timestamp_ntz") else F.col("made_at")
-    return numbered(out, ["_n", "source"], seconds, ["made_at", "key"]).orderBy("_n", "place").drop("_n")
+        by = (orders or {}).get(name, ["made_at", "key"])
+        state = F.col("upload_state") if "upload_state" in rows.columns else F.lit(None).cast("string")
+        ok = rows.filter((F.col("state") == "complete") & (F.coalesce("file", F.lit("")) != "") & ~skips_upload(state, F.col("uploads")))
+        own = numbered(ok.withColumns({"_n": F.lit(n), "source": F.lit(name)}), ["source"], _order_number(ok, by[0]), by).select("_n", "source", "key", "place")
+        out = own if out is None else out.unionByName(own)
+    return out.orderBy("_n", "place").drop("_n")
 
 
 def shorts_of_tasks(tasks: DataFrame, shorts: DataFrame) -> DataFrame:

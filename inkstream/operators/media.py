@@ -18,6 +18,14 @@ def fits_aspect(width: Column, height: Column, aspect: str) -> Column:
     return F.lit(True)
 
 
+def matches_aspect(width: Column, height: Column, aspect: Column, upright: Column | None = None) -> Column:
+    """Whether a size is of an aspect (``portrait``, ``landscape``, else square); without a size, what is said about it decides, and nothing about squares."""
+    w, h = (F.coalesce(x.try_cast("long"), F.lit(0)) for x in (width, height))
+    sized = F.when(aspect == "portrait", h > w).when(aspect == "landscape", w > h).otherwise(w == h)
+    said = F.lit(False) if upright is None else F.when(aspect.isin("portrait", "landscape"), upright == (aspect == "portrait"))
+    return F.when((w > 0) & (h > 0), sized).otherwise(F.coalesce(said, F.lit(False)))
+
+
 def first_of_each(items: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key in the given order."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -108,6 +116,14 @@ def search_results(replies: DataFrame, provider: str, width: int, height: int, l
     return rows.select("provider", "term", F.col("v.id").alias("asset"), F.col("v.urls.mp4_download").alias("url"), F.col("v.duration").alias("duration"), F.col("v.max_width").alias("width"), F.col("v.max_height").alias("height"))
 
 
+def routed_results(replies: DataFrame, width: int, height: int, least: float) -> DataFrame:
+    """Search results of replies of all providers; one that is not known is read as the default one's."""
+    named = F.when(F.col("provider").isin("pixabay", "coverr"), F.col("provider")).otherwise("pexels")
+    rows = replies.withColumn("provider", named)
+    pexels, pixabay, coverr = (search_results(rows.filter(F.col("provider") == p), p, width, height, least) for p in ("pexels", "pixabay", "coverr"))
+    return pexels.unionByName(pixabay).unionByName(coverr)
+
+
 def term_counts(texts: DataFrame, key: str, text: str, stop: list[str], least: int = 4, most: int | None = None) -> DataFrame:
     """``key, word, n, rank``: a text's words by count, then alphabet, the first ``most`` of them; counted within the row."""
     parts = F.transform(F.split(F.lower(F.col(text)), r"[^\p{L}']+"), lambda w: F.regexp_replace(w, r"^'+|'+$", ""))

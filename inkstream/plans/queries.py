@@ -400,7 +400,8 @@ def html_blocks(spark, d):
     return H.html_blocks(spread(D.table(spark, d, "pages")))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '[*#]', '', 'g'), '\[[^\n\]]*\]|\([^\n)]*\)', '', 'g') AS x FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS script FROM t""")
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(text, '[*#]', '', 'g'), '\[[^\n\]]*\]', '', 'g'), '\([^\n)]*\)', '', 'g') AS x FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split_regex(x, '\n{{2,}}'), lambda p: {_TRIM.format("p")}), lambda p: p <> ''), chr(10) || chr(10)) AS script FROM t""")
 def reply_scripts(spark, d):
     return D.table(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", T.spoken_reply(F.col("text")).alias("script"))
 

@@ -81,3 +81,20 @@ def test_state_links(spark):
     once = spark.createDataFrame([("s", 10), ("t", 1), ("u", 10)], "state string, expires_at int")
     given, left = K.consumed(once, once.filter("state != 'u'"), F.lit(5))
     assert [r.state for r in given.collect()] == ["s"] and [r.state for r in left.collect()] == ["u"]
+
+
+def test_backlog_of_sources_with_orders_of_their_own(spark):
+    schema = "state string, file string, uploads array<struct<success:boolean,video_id:string>>, key string, made_at int, book_id string, idx int, upload_state string"
+    rows = [("complete", "f", None, f"{b}{i}", 9 - i, b, i, "processing" if (b, i) == ("b", 1) else None) for b in ("b", "a", "ab") for i in (2, 1, 0)]
+    table = spark.createDataFrame(rows, schema)
+    got = [(r.source, r.key, r.place) for r in K.backlog({"shorts": table, "tasks": table}, {"shorts": ["book_id", "idx"]}).collect()]
+    assert got[:8] == [("shorts", k, n + 1) for n, k in enumerate(["a0", "a1", "a2", "ab0", "ab1", "ab2", "b0", "b2"])]
+    assert [k for s, k, _ in got[8:]] == ["a2", "ab2", "b2", "a1", "ab1", "a0", "ab0", "b0"]
+
+
+def test_predicates_of_tasks(spark):
+    say = lambda c: spark.range(1).select(c).first()[0]
+    none = F.lit(None).cast("string")
+    assert [say(K.standalone(F.lit(x))) for x in ("book:1", "book-ocr:1", "bookish", "", None)] == [False, False, True, True, True]
+    assert say(K.busy(none, none, none)) is False and say(K.busy(none, F.lit("pending"), none)) is True
+    assert say(K.resumes_upload(F.lit("pending"), none, F.lit(True))) is False and say(K.resumes_upload(F.lit("failed"), F.lit(K.INTERRUPTED_UPLOAD), F.lit(True))) is True and say(K.resumes_upload(none, none, F.lit(False))) is False

@@ -62,7 +62,7 @@ def test_hashtags_and_tags(spark):
 
 
 def test_replies(spark):
-    assert one(spark, "<think>hm\nhm</think># Title *bold* (aside) [cue]\n\nText", T.spoken_reply) == "Title bold  \n\nText"
+    assert one(spark, "<think>hm\nhm</think># Title *bold* (aside) [cue]\n\nText", T.spoken_reply) == "Title bold\n\nText"
     assert one(spark, "```json\n{}\n```", T.strip_fence) == "{}"
     assert one(spark, "a_b\n***\n  c ", T.script_lines) == "ab\nc"
     assert one(spark, "One two. Three four five! Six?", lambda c: T.clamp_script(c, 5)) == "One two. Three four five!"
@@ -86,3 +86,12 @@ def test_keys_and_names(spark):
 def test_styled_subtitle_parts(spark):
     assert spark.range(1).select(T.ass_time(F.lit(3661.239))).first()[0] == "1:01:01.24"
     assert one(spark, "a{b}\nc", T.ass_escape) == "a\\{b\\}\\Nc"
+
+
+def test_short_scripts_and_hooks(spark):
+    cut = lambda text, n: one(spark, text, lambda c: T.clamp_script(c, n))
+    assert cut("# Head\n*One* two.  Three!\nFour five six.", 4) == "Head One two. Three!" and cut("One two. Three.", 0) == "One two. Three." and cut(" ", 3) == ""
+    assert cut("一 二。 三 四。", 2) == "一 二。" and cut("One two three four. Five.", 2) == "One two three four."
+    assert one(spark, "  What now? More.", T.first_sentence) == "What now?" and one(spark, "...", T.first_sentence) == "..." and len(one(spark, "x" * 400, T.first_sentence)) == 220
+    row = spark.range(1).select(T.target_words(F.lit(10), F.lit(150)), T.target_words(F.lit(200), F.lit(150)), T.target_words(F.lit(61), F.lit(150))).first()
+    assert tuple(row) == (80, 225, 153)
