@@ -287,7 +287,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null and wordless texts have no words, spans or items; items without an
     id or a word are no patterns; repeated rows and rows without an id are
     answered one by one; an empty benchmark hits nothing and empty documents
-    give an empty table.  Texts are searched about a megabyte at a time, a
+    give an empty table; further columns are left, whatever their names.  Texts are searched about a megabyte at a time, a
     longer one alone at some 60 times its bytes.
 
     The benchmark is measured first and dealt by hash into blocks of about

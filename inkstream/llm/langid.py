@@ -270,8 +270,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Null texts and texts without a letter are ``und`` with score 0.  Ties go
     to the language with more rows.  Rows that repeat are answered one by
-    one; if nothing could be learned, everything is ``und``.  Texts of any
-    length are read whole, a stretch at a time.
+    one; if nothing could be learned, everything is ``und``.  An empty table
+    gives an empty one; further columns are left, whatever their names.  Texts
+    of any length are read whole, a stretch at a time.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x bits numbers
@@ -281,6 +282,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have a language, with all their columns."""
+    """The rows of ``docs`` that have a language, with all their columns.
+
+    Null and empty texts and those without a letter have none; repeated rows
+    stay or go together, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_identifier(shared, docs.columns.index(text_col), True), docs.schema)

@@ -346,9 +346,12 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A finding has the family, the paragraph's number, its first and last word
     in the text (end excluded), the probability, the overlap with the family's
     nearest template and whether that confirms it; findings of a paragraph
-    share no word.  Null and wordless texts have no paragraphs; rows that
-    repeat are answered one by one; an empty table gives an empty one.  A very
-    long text is read whole, its units some thousand at a time.
+    share no word.  Of findings that would share one, a confirmed one wins,
+    then that with most in common with its template, then the likelier, then
+    the earlier.  Null and wordless texts have no paragraphs; rows that repeat
+    are answered one by one; an empty table gives an empty one and further
+    columns are left.  A very long text is read whole, its units some thousand
+    at a time.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x families numbers

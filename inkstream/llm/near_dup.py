@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts have empty sets, which link with nothing.
     Every row is returned; rows that repeat a ``doc_id`` each get what their
     own text's class gets.  A null ``doc_id`` has a null component and is
-    kept.  An empty table gives an empty result; other columns are ignored.
+    kept; other ids are integers.  An empty table gives an empty result; other columns are ignored.
     A very long text is worked on alone, at some 60 times its bytes.
     """
     return _judged(docs, id_col, text_col).drop("same")

@@ -115,7 +115,8 @@ def _piecer(path: str, most: int, end: int, keep_ids: bool):
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = TOKENS, end: int = SEPARATOR, keep_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``, of every document.
 
-    A null text is empty and gives one piece that holds the end id alone.
+    A null text is empty and gives one piece that holds the end id alone; an
+    empty table has no pieces, and further columns are left.
     Texts are encoded about a megabyte at a time; a longer one alone, whole,
     for ids do not end at any cut.
     """
@@ -171,8 +172,9 @@ def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int | None = None,
 
     ``documents`` and ``attention`` bound the pieces of a sequence and the sum
     of their squared lengths; left out, tokens alone bind.  Repeated rows are
-    packed one by one and dealt over all shards like others; an empty table
-    gives an empty one.
+    packed one by one and dealt over all shards like others; of pieces that
+    are as long, the smaller id and then the earlier piece is placed first.
+    An empty table gives an empty one; further columns of pieces stay.
     """
     disk = Scratch(pieces.sparkSession)
     pieces = disk.keep(pieces)

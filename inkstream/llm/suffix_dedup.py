@@ -277,7 +277,9 @@ def remove_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: s
     A null text is empty; texts of fewer than ``LENGTH`` bytes lose nothing.
     Rows are texts of their own even where they repeat a ``doc_id``: the
     copies of a text of ``LENGTH`` bytes or more all lose all of it.  Texts
-    are named by 128 bits of their md5, so null and repeated ids do no harm.
+    are named by 128 bits of their md5, so null and repeated ids do no harm;
+    ids are integers.  No occurrence is the first, so there are no ties.  An
+    empty table gives an empty one; further columns are left.
     A very long text is searched for anchors in parts of 4 MB.
     """
     disk = Scratch(docs.sparkSession)

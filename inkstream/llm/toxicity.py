@@ -341,8 +341,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """``doc_id, held_out, score, predicted`` for every row.
 
     Null and empty texts are scored as texts without a match.  Repeated rows
-    are answered one by one; without toxic labels nothing reaches 0.5.  A
-    text of any length is read whole; its words are held once as a list.
+    are answered one by one; without toxic labels nothing reaches 0.5.  An
+    empty table gives an empty one; further columns are left, whatever their
+    names.  A text of any length is read whole; its words are held once as a
+    list.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # terms of the sample, and its spellings beside them

@@ -189,7 +189,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     rows of its own length.  A query is never its own candidate.  Ties go to
     the smaller id; repeated rows are one candidate per row, and a query that
     repeats gets its answer once (one id with several vectors: the best of all
-    of them).  Rows are dealt by hash into shards; every
+    of them).  Ids are integers; an empty table, or one without queries, gives
+    an empty one, and further columns are left.  Rows are dealt by hash into shards; every
     query asks every shard of its length.
     """
     disk = Scratch(vectors.sparkSession)

@@ -181,7 +181,8 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """Response records of fetched pages; a null page is an empty body, a null address has no target.
 
     A record's id depends on page id, address, date and content, so two
-    captures of one address have two ids and equal rows have one.
+    captures of one address have two ids and equal rows have one.  An empty
+    table gives an empty one; further columns are left, whatever their names.
     """
     return pages.select(F.col(id_col).cast("string"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_respond(date), RECORD)
 
@@ -202,7 +203,9 @@ def derive(records: DataFrame) -> DataFrame:
     headers and digests.  Chunks and compression of the body are undone, an
     unknown or unfit character set is read as UTF-8, and bytes that do not
     decode become replacement characters.  Repeated responses give repeated
-    derivatives with equal ids; an empty table gives an empty one.
+    derivatives with equal ids; an empty table gives an empty one, and further
+    columns are left.  A body is held whole, some copies of it at a time: it
+    is one cell of the table.
     """
     return records.filter("warc_type = 'response'").select(*_COLUMNS).mapInArrow(_derive, RECORD)
 
