@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ LEARN_DOCS = 400
 #: Units of these documents that are learned from, at most; chosen by hash of id and place.
 LEARN_UNITS = 2500
 PROBABILITY = 0.5
-#: Shared bigrams over the smaller side's that confirm a finding.
-OVERLAP = 0.6
+#: Shared bigrams over the smaller side's that confirm a finding, if there are so many, or if they are half of what was read.
+OVERLAP, LEAST_SHARED = 0.6, 4
 UNKNOWN = "unknown"
 
 #: Notices and opening sentences of public licences: fixed values.
@@ -76,6 +77,36 @@ NOTICES: dict[str, list[str]] = {
     "CC-BY-SA": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0": ["To the extent possible under law, the author has waived all copyright and related rights; this work is dedicated to the public domain under CC0."],
+    "CC-BY-ND": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA": ["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND": ["This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    ],
+    "CDDL-1.0": ["The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    ],
+    "WTFPL": ["This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar."],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"],
+    "Artistic-2.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0."],
+    "OFL-1.1": ["This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at: http://scripts.sil.org/OFL"],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL (the Licence); you may not use this work except in compliance with the Licence."],
+    "GFDL": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts."],
+    "MS-PL": ["This software is licensed under the Microsoft Public License. If you use the software, you accept this license. If you do not accept the license, do not use the software."],
+    "PSF-2.0": ["This package is distributed under the Python Software Foundation License Version 2."],
+    "ODbL": ["This database is made available under the Open Database License: http://opendatacommons.org/licenses/odbl/1.0/. Any rights in individual contents of the database are licensed under the Database Contents License"],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without permission."],
 }
 #: How licences are called in prose, and phrases that name them: fixed values.
@@ -93,10 +124,39 @@ NAMES: dict[str, list[str]] = {
     "CC-BY-SA": ["CC BY-SA 4.0"],
     "CC-BY-NC": ["CC BY-NC 4.0"],
     "CC0": ["CC0 1.0"],
+    "CC-BY-ND": ["CC BY-ND 4.0"],
+    "CC-BY-NC-SA": ["CC BY-NC-SA 4.0"],
+    "CC-BY-NC-ND": ["CC BY-NC-ND 4.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0"],
+    "CDDL-1.0": ["Common Development and Distribution License"],
+    "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License 1.0"],
+    "WTFPL": ["WTFPL"],
+    "0BSD": ["Zero-Clause BSD license"],
+    "Artistic-2.0": ["Artistic License 2.0"],
+    "OFL-1.1": ["SIL Open Font License 1.1"],
+    "EUPL-1.2": ["European Union Public Licence 1.2"],
+    "GFDL": ["GNU Free Documentation License"],
+    "MS-PL": ["Microsoft Public License"],
+    "PSF-2.0": ["Python Software Foundation License"],
+    "ODbL": ["Open Database License"],
 }
+#: How licences are called where several are offered: fixed values.
+SHORT: dict[str, str] = {
+    "MIT": "MIT", "Apache-2.0": "Apache 2.0|Apache License 2.0|Apache License, Version 2.0|Apache", "BSD": "BSD|BSD 3-Clause", "GPL-2.0": "GPLv2|GPL v2|GPL 2|GPL-2.0", "GPL-3.0": "GPLv3|GPL v3|GPL 3|GPL-3.0", "LGPL": "LGPL|LGPL 2.1",
+    "MPL-2.0": "MPL 2.0|MPL", "EPL-2.0": "EPL 2.0|EPL", "Unlicense": "Unlicense", "Zlib": "zlib", "BSL-1.0": "Boost", "ISC": "ISC", "Artistic-2.0": "Artistic", "CDDL-1.0": "CDDL", "CC0": "CC0", "WTFPL": "WTFPL",
+}
+#: Ways to offer several licences, learned as a class of their own; its findings are told by the names in them.
+CHOICE = "choice"
+CHOICES = ["Dual licensed under {} or {} at your option.", "Licensed under either of {} or {} at your option.", "This project is dual-licensed under {} and {}.", "available under your choice of the {} license or the {} license", "tri-licensed under {}, {}"]
+#: Words that deny what follows within so many words: fixed values.
+DENIALS, DENIAL_WORDS = "not never neither nor isn aren cannot without".split(), 5
 PHRASES = ["Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "distributed under the terms of the {}", "available under the {}"]
 #: The first templates of a family are those that name it.
 TEMPLATES = {f: [p.format(n) for n in NAMES.get(f, []) for p in PHRASES] + own for f, own in NOTICES.items()}
+_OFFERED = [n.split("|")[0] for n in SHORT.values()]
+TEMPLATES[CHOICE] = [p.format(a, _OFFERED[(k + step) % len(_OFFERED)]) for step, p in enumerate(CHOICES, 1) for k, a in enumerate(_OFFERED)]
 
 
 def paragraphs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,9 +241,51 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
     def overlap(self, family: int, words: np.ndarray) -> tuple[float, int]:
-        """The largest share of bigrams that a template has in common with the words, and how many those are."""
+        """The largest share of bigrams that a template has in common with the words, and how many those are.
+
+        A template of few words says nothing within many others: unless it has
+        some bigrams in common, these must be half of the words' own.
+        """
         own = _bigrams(words)
-        return max((len(own & t) / min(len(own), len(t)), len(own & t)) for t in self.templates[family])
+        return max(((common / min(len(own), len(t)), common) for t in self.templates[family] for common in [len(own & t)] if common >= LEAST_SHARED or 2 * common >= len(own)), default=(0.0, 0))
+
+    def denied(self, family: int, own: np.ndarray) -> bool:
+        """Whether a word of denial, itself in no template of the family, stands shortly before what a template has."""
+        no = np.flatnonzero(np.isin(own, _denials()))
+        if not len(no):
+            return False
+        with np.errstate(over="ignore"):
+            pairs = B.mix(own[1:] + own[:-1] * U64(0x9E3779B97F4A7C15))
+        every = set().union(*self.templates[family])
+        known = np.array([int(p) in every for p in pairs], dtype=bool)
+        for i in no.tolist():
+            apart = not (i < len(known) and known[i]) and not (i > 0 and known[i - 1])
+            if apart and known[i + 1 : i + 1 + DENIAL_WORDS].any():
+                return True
+        return False
+
+    def offered(self, words: np.ndarray) -> list[int]:
+        """Families whose short names stand among the words."""
+        out = []
+        for family, names in _offers(self.families):
+            if any(len(n) <= len(words) and (np.lib.stride_tricks.sliding_window_view(words, len(n)) == n).all(axis=1).any() for n in names):
+                out.append(family)
+        return out
+
+
+@lru_cache
+def _denials() -> np.ndarray:
+    return _words_of(" ".join(DENIALS))
+
+
+def _offers(families: list[str]) -> list[tuple[int, list[np.ndarray]]]:
+    known = _offered_names()
+    return [(k, known[f]) for k, f in enumerate(families) if f in known]
+
+
+@lru_cache
+def _offered_names() -> dict[str, list[np.ndarray]]:
+    return {f: [_words_of(n) for n in names.split("|")] for f, names in SHORT.items()}
 
 
 def _features(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -325,14 +427,23 @@ def _scanner(shared):
                     likely = []
                     for u in np.flatnonzero((best != none) & (p.max(axis=1) >= PROBABILITY)).tolist():
                         near, common = model.overlap(int(best[u]), words[at[u] : to[u]])
-                        likely.append((near < OVERLAP, -common, -float(p[u, best[u]]), u, near))
+                        sure = near >= OVERLAP
+                        if model.families[best[u]] == CHOICE:
+                            sure = common >= LEAST_SHARED and len(model.offered(words[at[u] : to[u]])) > 1
+                        # the words before a unit, of the same text, may deny it
+                        sure = sure and not model.denied(int(best[u]), words[max(int(at[u]) - DENIAL_WORDS, int(at[begin[row[u]]])) : to[u]])
+                        likely.append((not sure, -common, -float(p[u, best[u]]), u, near))
                     taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
                     for weak, _, minus, u, near in sorted(likely):
                         own = taken.setdefault((int(row[u]), int(nth[u])), [])
                         if all(to[u] <= x or y <= at[u] for x, y in own):
                             own.append((at[u], to[u]))
                             base = at[begin[row[u]]]
-                            found[row[u]].append({"family": model.families[best[u]], "paragraph": int(nth[u]), "start": int(at[u] - base), "end": int(to[u] - base), "probability": -minus, "overlap": near, "confirmed": not weak})
+                            names = [model.families[best[u]]]
+                            if names == [CHOICE]:  # several licences, each found by its name
+                                names = [model.families[f] for f in model.offered(words[at[u] : to[u]])]
+                            for name in names:
+                                found[row[u]].append({"family": name, "paragraph": int(nth[u]), "start": int(at[u] - base), "end": int(to[u] - base), "probability": -minus, "overlap": near, "confirmed": not weak})
                 for own in found:
                     own.sort(key=lambda x: x["start"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(found, type=kind)], names=["doc_id", "n_paragraphs", "findings"])
@@ -346,7 +457,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A finding has the family, the paragraph's number, its first and last word
     in the text (end excluded), the probability, the overlap with the family's
     nearest template and whether that confirms it; findings of a paragraph
-    share no word.  Of findings that would share one, a confirmed one wins,
+    share no word, but for licences that are offered together.  What is denied
+    ("not licensed under") is not confirmed.  Of findings that would share one, a confirmed one wins,
     then that with most in common with its template, then the likelier, then
     the earlier.  Null and wordless texts have no paragraphs; rows that repeat
     are answered one by one; an empty table gives an empty one and further

@@ -224,12 +224,12 @@ def test_quotation_weighs_less():
 
 def test_licences_are_found_and_confirmed(spark):
     rows = [(k, K.prose(k, 12) + "\n" + K.prose(k + 500, 6)) for k in range(60)]
-    notices = [(100 + k, K.prose(k, 5) + "\n" + t[0] + "\n" + K.prose(k + 9, 5)) for k, t in enumerate(licences.TEMPLATES.values())]
+    notices = [(100 + k, K.prose(k, 5) + "\n" + t[0] + "\n" + K.prose(k + 9, 5)) for k, t in enumerate(licences.TEMPLATES[f] for f in licences.NOTICES)]
     odd = [(300, None), (301, ""), (302, "... !!"), (303, "licensed license licence version"), (None, licences.TEMPLATES["MIT"][0])]
     docs = K.docs(spark, rows + notices + odd)
     got = {r.doc_id: r for r in licences.report(licences.scan(docs, licences.fit(docs))).collect()}
     assert len(got) == len(rows + notices + odd)
-    assert all(got[100 + k].licences == f for k, f in enumerate(licences.TEMPLATES))
+    assert all(got[100 + k].licences == f for k, f in enumerate(licences.NOTICES))
     assert all(got[k].licences == "" for k in range(60)) and got[303].licences == ""
     assert got[300].n_paragraphs == got[301].n_paragraphs == got[302].n_paragraphs == 0
     assert got[None].licences == "MIT"
@@ -279,3 +279,36 @@ def test_paragraph_windows_cover_every_word():
         assert covered.all()
     assert row.tolist()[-1] == 2 and nth[0] == 0 and nth[-1] == 0 and set(nth[row == 0].tolist()) == {0, 1}
     assert any(b - a == 2 and a == 300 for a, b in zip(at, to))  # a line of its own
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("This is not distributed under the terms of the MIT license but is proprietary.", ""),
+        ("We walked home. All rights reserved.", ""),
+        ("All rights reserved.", "Proprietary"),
+        ("Dual licensed under Apache 2.0 or MIT at your option.", "Apache-2.0,MIT"),
+        ("Licensed under either of MIT or Apache License, Version 2.0 at your option.", "Apache-2.0,MIT"),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("Released under the zlib License.", "Zlib"),
+        ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)", "BSL-1.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA"),
+        ("You may not use this file except in compliance with the License. Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache-2.0"),
+        ("The driver never had a licence to drive the old bus.", ""),
+    ],
+)
+def test_families_denials_and_choices(spark, text, want):
+    global _licence_model
+    if "_licence_model" not in globals():
+        _licence_model = licences.fit(K.docs(spark, [(k, K.prose(900 + k, 6)) for k in range(60)]))
+    got = licences.report(licences.scan(K.docs(spark, [(1, text)]), _licence_model)).first()
+    assert got.licences == want
+
+
+def test_every_name_of_a_family_is_found(spark):
+    model = licences.fit(K.docs(spark, [(k, K.prose(900 + k, 6)) for k in range(60)]))
+    rows = [(k, f"Released under the {names[0]}.", family) for k, (family, names) in enumerate(licences.NAMES.items())]
+    got = {r.doc_id: r.licences for r in licences.report(licences.scan(K.docs(spark, [r[:2] for r in rows]), model)).collect()}
+    wrong = [(family, got[k]) for k, _, family in rows if got[k] != family]
+    assert wrong == [] and len(rows) >= 28
