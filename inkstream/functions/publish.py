@@ -190,7 +190,8 @@ def social_fallback(subject: Column, script: Column, platform: Column) -> Column
 
 
 _CUE = "struct<index:double,start:double,end:double,text:string>"
-MANIFEST = f"struct<version:int,chunks:array<struct<index:double,hash:string,file:string,duration:double,codec:string,sampleRate:double,channels:double,cues:array<{_CUE}>>>>"
+CHUNKS = f"array<struct<index:double,hash:string,file:string,duration:double,codec:string,sampleRate:double,channels:double,cues:array<{_CUE}>>>"
+MANIFEST = f"struct<version:int,chunks:{CHUNKS}>"
 
 
 def manifest_chunks(body: Column, version: int = 1) -> Column:

@@ -220,19 +220,21 @@ def finished_listings(spark, d):
     return got.select("p_partkey", F.col("l").isNotNull().alias("told"), "l.title", "l.description", F.when(F.col("l").isNotNull(), F.array_join("l.tags", "|")).alias("tags"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN -1 ELSE CASE o_orderkey % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END END AS sound FROM orders""")
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber - CASE WHEN l_partkey % 11 = 0 THEN 0.5 WHEN l_partkey % 13 = 0 THEN 9 ELSE 1 END AS i, l_partkey % 7 = 0 AS outside, greatest(l_quantity - 5, 0) AS duration, l_suppkey % 9 = 0 AS silent, l_suppkey % 8 = 0 AS endless, l_orderkey % 10 = 0 AS later FROM lineitem)
+SELECT l_orderkey, CASE WHEN any_value(later) THEN -1 ELSE CAST(count(*) FILTER (i >= 0 AND i = floor(i) AND NOT outside AND duration > 0 AND NOT silent AND NOT endless) AS INT) END AS sound, round(coalesce(sum(duration) FILTER (NOT later AND i >= 0 AND i = floor(i) AND NOT outside AND duration > 0 AND NOT silent AND NOT endless), 0), 6)::DOUBLE AS seconds FROM e GROUP BY 1""")
 def manifest_entries(spark, d):
-    cue = '[{"index":1,"start":0.0,"end":1.5,"text":"x"}]'
-    entry = lambda i, file, duration, cues=cue: F.concat(F.lit(f'{{"index":{i},"hash":"h{i}","file":"{file}","duration":{duration},"codec":"mp3","sampleRate":24000,"channels":1,"cues":{cues},"key":'), "o_orderkey", F.lit("}"))
-    body = (
-        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('{"version":1,"chunks":['), entry(0, "a.mp3", 1.5), F.lit(","), entry(1, "b.mp3", 2), F.lit("]}")))
-        .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit('{"version":1,"chunks":['), entry(0, "../a.mp3", 1.5), F.lit(","), entry(1, "b.mp3", 2), F.lit("]}")))
-        .when(F.col("o_orderkey") % 5 == 2, F.concat(F.lit('{"version":1,"chunks":['), entry(0, "a.mp3", 0), F.lit(","), entry(1.5, "b.mp3", 2), F.lit("]}")))
-        .when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit('{"version":1,"chunks":['), entry(0, "a.mp3", 3, '[{"index":1,"start":0.0}]'), F.lit("]}")))
-        .otherwise(F.when(F.col("o_orderkey") % 2 == 0, F.lit('{"version":2,"chunks":[]}')).otherwise(F.lit("not json")))
-    )
-    chunks = P.manifest_chunks(body)
-    return D.table(spark, d, "orders").select("o_orderkey", F.when(chunks.isNotNull(), F.size(chunks)).otherwise(-1).alias("sound"))
+    """Every order's lines as the chunks of a manifest: some with a place that is none, a path, no length, no codec or a cue without an end; every tenth is of another version."""
+    place = F.col("l_linenumber") - F.when(F.col("l_partkey") % 11 == 0, 0.5).when(F.col("l_partkey") % 13 == 0, 9).otherwise(1)
+    file = F.concat(F.when(F.col("l_partkey") % 7 == 0, "../").otherwise(""), F.lit("part-"), "l_partkey", F.lit(".mp3"))
+    cue = F.struct(F.lit(1.0).alias("index"), F.lit(0.0).alias("start"), F.when(F.col("l_suppkey") % 8 > 0, F.col("l_quantity").cast("double")).alias("end"), F.lit("x").alias("text"))
+    chunk = F.struct(
+        place.cast("double").alias("index"), F.md5(F.col("l_partkey").cast("string")).alias("hash"), file.alias("file"), F.greatest(F.col("l_quantity") - 5, F.lit(0)).cast("double").alias("duration"),
+        F.when(F.col("l_suppkey") % 9 > 0, "mp3").alias("codec"), F.lit(24000).alias("sampleRate"), F.lit(1).alias("channels"), F.array(cue).alias("cues"),
+    )
+    books = D.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.struct(F.when(F.col("l_orderkey") % 10 == 0, 2).otherwise(1).alias("version"), F.collect_list(chunk).alias("chunks"))).alias("body"))
+    found = books.select("l_orderkey", P.manifest_chunks(F.col("body")).alias("c"))
+    seconds = F.aggregate(F.coalesce("c", F.expr("cast(array() as " + P.CHUNKS + ")")), F.lit(0.0), lambda s, x: s + x["duration"])
+    return found.select("l_orderkey", F.when(F.col("c").isNotNull(), F.size("c")).otherwise(-1).alias("sound"), F.round(seconds, 6).alias("seconds"))
 
 
 @query("""SELECT p_partkey, p_size % 4 NOT IN (0, 1) AND p_size > 10 AS music, CASE WHEN p_size > 40 THEN 'accept' WHEN p_size % 3 = 0 THEN 'reject' WHEN p_size % 2 = 0 THEN 'reject: recogniser off' ELSE 'recognise' END AS outcome,
