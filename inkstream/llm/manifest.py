@@ -24,7 +24,7 @@ from .store import Scratch
 
 FANOUT = 16
 #: Rows that a window numbers at most in expectation; prefixes of four times as many are divided again.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 #: Digits (of base 16) that one level of a histogram divides by.
 LEVEL_DIGITS = 3
 #: Copies of one row that are numbered in one step.
