@@ -90,15 +90,15 @@ def recognised_words(rows: DataFrame) -> DataFrame:
 def recognised_text(words: DataFrame, key: str = "page_num") -> DataFrame:
     """Words joined by spaces, lines by line breaks, paragraphs and blocks by blank lines."""
     order = ["block_num", "par_num", "line_num", "word_num"]
-    w = Window.partitionBy(key).orderBy(*order)
+    w = Window.partitionBy(key).orderBy(*order, trim(F.col("text")))
     gap = (
         F.when(F.lag("block_num").over(w).isNull(), "")
         .when((F.lag("block_num").over(w) != F.col("block_num")) | (F.lag("par_num").over(w) != F.col("par_num")), "\n\n")
         .when(F.lag("line_num").over(w) != F.col("line_num"), "\n")
         .otherwise(" ")
     )
-    parts = words.withColumn("piece", F.concat(gap, trim(F.col("text"))))
-    got = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "piece"))).alias("p"), F.avg("confidence").alias("confidence"))
+    parts = words.withColumns({"piece": F.concat(gap, trim(F.col("text"))), "nth": F.row_number().over(w)})
+    got = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "piece"))).alias("p"), F.avg("confidence").alias("confidence"))
     return got.select(key, F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"), "confidence")
 
 

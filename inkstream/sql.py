@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from .functions import tables
 from .plans import domain
-from .plans import document_queries, job_queries, more_queries, page_queries, rule_queries, stream_queries, title_queries  # noqa: F401  register further queries
+from .plans import document_queries, job_queries, more_queries, page_queries, rule_queries, stream_queries, text_queries, title_queries  # noqa: F401  register further queries
 from .plans import queries
 
 TABLES = ["customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "part", "pages", "region", "supplier", "benchmark", "conversations"]
