@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import first_of_each, trim
 from ..session import written
 from . import links as K
 from . import outline as O
@@ -65,17 +65,12 @@ def boundaries(reply: Column) -> Column:
     listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.sections", "array<variant>"), F.array().cast("array<variant>"))
     field = lambda e, *names: F.coalesce(*[_texts(e, f"$.{n}") for n in names], F.lit(""))
     read = F.transform(listed, lambda e: F.struct(trim(field(e, "start_block_id", "startBlockId")).alias("start_block"), trim(F.substring(O.one_line(field(e, "title")), 1, TITLE_CHARS)).alias("title")))
-    sections = _first_of(F.filter(read, lambda s: s["start_block"] != ""), lambda s: s["start_block"])
+    sections = first_of_each(F.filter(read, lambda s: s["start_block"] != ""), lambda s: s["start_block"])
     named = F.coalesce(F.try_variant_get(v, "$.skip_block_ids", "array<variant>"), F.try_variant_get(v, "$.skipBlockIds", "array<variant>"), F.array().cast("array<variant>"))
     skips = F.array_distinct(F.filter(F.transform(named, lambda e: trim(F.coalesce(_texts(e, "$"), F.lit("")))), lambda x: x != ""))
     return F.struct(sections.alias("sections"), skips.alias("skips"))
 
 
-def _first_of(items: Column, key) -> Column:
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
-
-
 def normalised(kept: DataFrame, found: DataFrame) -> DataFrame:
     """``book_id, start_block, title``: the starts that are kept blocks, the first of each; every book's first block starts one."""
     s = found.select("book_id", trim(F.col("start_block")).alias("start_block"), trim(F.substring(O.one_line(F.coalesce("title", F.lit(""))), 1, TITLE_CHARS)).alias("title"))
