@@ -12,6 +12,9 @@ PREFERRED = 0.6
 
 
 def measured(blocks: DataFrame, wpm: int = 150) -> DataFrame:
+    """Blocks with ``seconds`` and ``words``; blocks that bring both have been measured, and stay as they are."""
+    if {"seconds", "words"} <= set(blocks.columns):
+        return blocks
     return blocks.withColumns({"seconds": spoken_seconds(F.col("text"), wpm), "words": word_count(F.col("text"))})
 
 
