@@ -98,6 +98,7 @@ def detect_sections(kept: DataFrame, chapters: DataFrame, propose: Proposer, wpm
     case, and what is proposed to be skipped only if it is no chapter's start.
     A book for which any proposal failed has its own headings alone.
     """
+    kept = written(kept)  # the outline and the blocks that sections may start at
     units = written(O.outline(kept, chapters, wpm).withColumn("seconds", F.round("seconds", 6)))
     own_skips = O.skipped(units).distinct()
     own = O.sections(units).join(own_skips, ["book_id", "start_block"], "left_anti")

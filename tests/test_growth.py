@@ -1,10 +1,13 @@
 """Work that has to grow no faster than its input."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from inkstream.functions import text as T
+from inkstream.plans import more_queries, title_queries  # noqa: F401  register queries
+from inkstream.plans import queries as Q
 
 
 def test_hashtags_of_many_words(spark):
@@ -19,3 +22,28 @@ def test_hashtags_of_many_words(spark):
     assert sorted(map(str, got)) == sorted(map(str, [list(first.values()), ["#a", "#B", "#c"], [], None]))
     two = [r.two for r in rows.select(T.hashtags(F.col("text"), 2).alias("two")).collect()]
     assert sorted(map(str, two)) == sorted(map(str, [list(first.values())[:2], ["#a", "#B"], [], None]))
+
+
+def test_seconds_without_lists_of_letters(spark):
+    """The plain form of the rates, on texts of marks, spaces and scripts; letters and words are counted without a list of them."""
+    rng = random.Random(5)
+    signs = [*"ab Z9 01.,?;:!…、？，\n\r\t 　 \u0085中文鿿éßЖ٣Ⅷ😀-'", "3.5", "1,000", "Chapter "]
+    rows = ["".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 2, 5, 9, 40]))) for _ in range(3000)] + ["", " ", "\n", "a \n", None]
+    c = F.col("text")
+    t = T.trim(c)
+    marks = r"(?<![0-9])[.,]|[.,](?![0-9])|[?;:!…、？，。；：！،؛؟\n]"
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    parts = F.size(F.filter(F.split(t, marks), lambda x: x.rlike(r"(?U)\S")))
+    plain = count(r"[\x{4E00}-\x{9FFF}]") / 4.2 + count("[A-Za-z0-9]+") / 2.7 + count(r"[\p{L}\p{N}&&[^A-Za-z0-9\x{4E00}-\x{9FFF}]]") / 4.0 + F.greatest(parts - 1, F.lit(0)) * F.lit(0.35)
+    words = F.when(t == "", 0).otherwise(F.size(F.split(t, r"(?U)\s+")))
+    got = spark.createDataFrame([(x,) for x in rows], "text string").select("text", T.spoken_seconds(c).alias("s"), F.when(t == "", 0.0).otherwise(plain).alias("p"), T.word_count(c).alias("w"), words.alias("q"))
+    assert got.filter("not (round(s, 9) <=> round(p, 9)) or not (w <=> q)").count() == 0
+    made = got.select(T.spoken_seconds(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert made.count("regexp_extract_all") <= 1  # there were three lists, over a text trimmed for each
+
+
+def test_books_are_classified_once(spark):
+    """What follows starts from written blocks; documents come again for the chapters alone."""
+    for name in ("smart_segments", "proposed_sections"):
+        plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode(split(text" not in plan, name  # lines of documents
