@@ -15,6 +15,7 @@ from ..operators import narration as N
 from ..operators import outline as O
 from ..operators import scans as Z
 from ..operators import state as S
+from ..session import spread
 from . import domain as D
 from .queries import _CUES, _DECISIONS, _SEGMENTS, _TRIM, _cues, query
 
@@ -295,7 +296,7 @@ def outline_chunks(spark, d):
 @query(f"""WITH {_CUES} SELECT doc_id, idx, round(start, 6) AS start, round(fin, 6) AS "end" FROM cues""")
 def chunk_cues(spark, d):
     """Half of the recordings come with a voice's cues, the others fall back on their lines' lengths."""
-    scripts = D.table(spark, d, "documents").select("doc_id", F.col("text").alias("script"), (F.length("text") / F.lit(15.0)).alias("duration"))
+    scripts = spread(D.table(spark, d, "documents")).select("doc_id", F.col("text").alias("script"), (F.length("text") / F.lit(15.0)).alias("duration"))
     cues = _cues(spark, d).withColumnRenamed("idx", "seq").withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise("?"))
     return N.chunk_cues(cues, scripts, "doc_id").select("doc_id", "idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 

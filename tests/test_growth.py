@@ -6,7 +6,8 @@ import time
 from pyspark.sql import functions as F
 
 from inkstream.functions import text as T
-from inkstream.plans import more_queries, title_queries  # noqa: F401  register queries
+from inkstream.operators import narration as N
+from inkstream.plans import job_queries, more_queries, title_queries  # noqa: F401  register queries
 from inkstream.plans import queries as Q
 
 
@@ -47,3 +48,34 @@ def test_books_are_classified_once(spark):
     for name in ("smart_segments", "proposed_sections"):
         plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "posexplode(split(text" not in plan, name  # lines of documents
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_and_cues_meet_within_a_row(spark):
+    """Cues are brought together once; there were windows, aggregates and joins of lines with cues, one after another."""
+    rng = random.Random(8)
+    cues, scripts, want = [], [], []
+    for d in range(40):
+        words = ["".join(rng.choice("abé9") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 300))]
+        said = [w if rng.random() < 0.9 else "?!" for w in words]
+        heard = [w for w in said if w != "?!"]
+        cuts = [rng.random() < 0.3 for _ in heard]
+        scripts.append((d, " ".join(w + ("." if c else "") for w, c in zip(heard, cuts)) + (" odd" if d % 5 == 0 else "")))
+        cues += [(d, k, k + 0.0, k + 0.5, w) for k, w in enumerate(said)]
+        lines, at, last = [], [k for k, w in enumerate(said) if w != "?!"], -1
+        for j, k in enumerate(at):
+            if cuts[j] or j == len(at) - 1:
+                part = [i for i in at if last < i <= k]
+                lines.append((d, len(lines) + 1, last + 1.0, k + 0.5, " ".join(said[i] for i in part)))
+                last = k
+        want += [] if d % 5 == 0 else lines
+    c = spark.createDataFrame(cues, "d int, seq int, start double, end double, content string").repartition(3)
+    s = spark.createDataFrame(scripts, "d int, script string")
+    got = N.aligned(c, s, "d")
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 500
+    assert "Window" not in _plan(got)
+    for name in ("aligned_cues", "chunk_cues"):
+        assert "Window" not in _plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001")), name
