@@ -35,14 +35,17 @@ def toc_shaped(text: Column) -> Column:
 
 
 def copyright_notice(text: Column) -> Column:
-    return text.rlike(ISBN) | text.rlike(RIGHTS) | text.rlike(YEAR) | text.rlike(PUBLISHER)
+    # patterns are searched for only where a word of theirs stands
+    small = F.lower(text)
+    has = lambda *words: F.array_contains(F.array(*[F.contains(small, F.lit(w)) for w in words]), True)
+    return (has("isbn") & text.rlike(ISBN)) | (has("all rights") & text.rlike(RIGHTS)) | (has("©", "(c)", "copyright") & text.rlike(YEAR)) | (has("no part of", "printed", "library of", "a cip", "first published") & text.rlike(PUBLISHER))
 
 
 def page_number_shaped(kind: Column, text: Column) -> Column:
     return (kind == "page_number") | ((kind != "heading") & (text != "") & (text.rlike(DIGITS) | text.rlike(ROMAN)))
 
 
-def about_author(titled: Column) -> list[tuple[str, Column]]:
+def about_author(titled: Column, about: Column | None = None) -> list[tuple[str, Column]]:
     """Columns, one after another, that end with ``_about``: whether a block is about the author.
 
     A heading opens a span, a heading as high closes it, and so does the end of
@@ -50,7 +53,8 @@ def about_author(titled: Column) -> list[tuple[str, Column]]:
     All windows are one chapter's, in order.
     """
     so_far = Window.partitionBy("book_id", "chapter_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    head, about, level = F.col("kind") == "heading", F.col("text").rlike(AUTHOR), F.coalesce("level", F.lit(1))
+    head, level = F.col("kind") == "heading", F.coalesce("level", F.lit(1))
+    about = F.col("text").rlike(AUTHOR) if about is None else about
     opened = F.last(F.when(head & about, F.struct("ord", level.alias("level"))), ignorenulls=True).over(so_far)
     closed = F.last(F.when(head & ~about & (level <= F.col("_opened.level")), F.col("ord")), ignorenulls=True).over(so_far)
     inside = F.col("_opened").isNotNull() & F.coalesce(F.col("_closed") < F.col("_opened.ord"), F.lit(True))
@@ -78,34 +82,46 @@ def kept_blocks(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
 def decided(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
     """The blocks with their decisions beside them: ``keep, rule, confidence, source``.
 
-    All that a rule needs to know of other blocks is counted by windows over a
-    book's blocks, so blocks that are dealt by book stay where they are.
+    What a rule asks of a text is answered before anything is sorted, so a text
+    that nobody reads later goes no further.  All that it needs to know of
+    other blocks is counted by windows over a book's blocks, and chapters come
+    as one row for each book, so blocks that are dealt by book stay where they are.
     """
-    text, kind = trim(F.col("text")), F.col("kind")
-    norm = repeat_key(F.col("text"))
-    of_chapter = chapters.select("book_id", "chapter_id", F.col("landmark").alias("_mark"), F.col("title").rlike(AUTHOR).alias("_titled"))
+    text, norm, kind = trim(F.col("text")), repeat_key(F.col("text")), F.col("kind")
+    body = kind != "heading"
     rows = blocks.withColumns({"_t": text, "_n": norm})
-    same = Window.partitionBy("book_id", "_n")
-    chapter = Window.partitionBy("book_id", "chapter_id")
+    t, n = F.col("_t"), F.col("_n")
     rows = rows.withColumns(
         {
-            "_heads": F.size(F.collect_set(F.when((F.length("_t") < HEAD_CHARS) & (F.col("_n") != ""), F.col("chapter_id"))).over(same)),
-            "_times": F.count("*").over(same),
+            "_key": F.when(F.length(n) <= 32, n).otherwise(F.concat(F.length(n), F.lit(":"), F.md5(n))),
+            "_short": (F.length(t) < HEAD_CHARS) & (n != ""),
+            "_long": F.length(n) >= REPEAT_CHARS,
+            "_entry": toc_shaped(t),
+            "_notice": copyright_notice(t),
+            "_digits": t.rlike(DIGITS),
+            "_roman": (t != "") & t.rlike(ROMAN),
+            "_paged": page_number_shaped(kind, t),
+            "_by": ~body & F.col("text").rlike(AUTHOR),
         }
-    )
-    for name, value in about_author(F.lit(False)):
+    ).drop("_t", "_n")
+    same = Window.partitionBy("book_id", "_key")
+    chapter = Window.partitionBy("book_id", "chapter_id")
+    rows = rows.withColumns({"_heads": F.size(F.collect_set(F.when(F.col("_short"), F.col("chapter_id"))).over(same)), "_times": F.count("*").over(same)})
+    for name, value in about_author(F.lit(False), F.col("_by")):
         rows = rows.withColumn(name, value)
     rows = rows.withColumns(
         {
-            "_pages": F.count_if(page_number_shaped(kind, F.col("_t"))).over(chapter),
-            "_toc": F.count_if((kind == "toc_entry") | toc_shaped(F.col("_t"))).over(chapter),
+            "_pages": F.count_if("_paged").over(chapter),
+            "_toc": F.count_if((kind == "toc_entry") | F.col("_entry")).over(chapter),
             "_size": F.count("*").over(chapter),
         }
     )
-    # chapters come last: before, they would deal the blocks anew
-    rows = rows.join(of_chapter, ["book_id", "chapter_id"], "left").withColumn("_about", F.col("_about") | F.coalesce("_titled", F.lit(False)))
-    t, n, mark = F.col("_t"), F.col("_n"), F.col("_mark")
-    body = kind != "heading"
+    told = F.struct("chapter_id", F.col("landmark").alias("mark"), F.col("title").rlike(AUTHOR).alias("titled"))
+    books = chapters.filter(F.col("landmark").isNotNull() | F.col("title").rlike(AUTHOR)).groupBy("book_id").agg(F.collect_list(told).alias("_chapters"))
+    rows = rows.join(books, "book_id", "left")
+    own = F.get(F.filter("_chapters", lambda c: c["chapter_id"] == F.col("chapter_id")), 0)
+    rows = rows.withColumn("_own", own).withColumns({"_mark": F.col("_own.mark"), "_about": F.col("_about") | F.coalesce("_own.titled", F.lit(False))})
+    mark = F.col("_mark")
     declared = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
     rules = [
         (mark == "toc", "landmark_toc", 0.98),
@@ -116,11 +132,11 @@ def decided(blocks: DataFrame, chapters: DataFrame) -> DataFrame:
         (F.col("_about"), "about_the_author", 0.85),
         (mark.isNull() & (F.col("_size") >= TOC_BLOCKS) & (F.col("_toc") / F.col("_size") > TOC_RATIO), "toc_chapter_shape", 0.8),
         (F.col("_heads") >= HEAD_CHAPTERS, "repeated_running_head", 0.8),
-        (copyright_notice(t), "copyright_notice", 0.85),
-        (toc_shaped(t), "toc_entry_shape", 0.75),
-        (body & t.rlike(DIGITS), "page_number", 0.85),
-        (body & (t != "") & t.rlike(ROMAN) & (F.col("_pages") >= 2), "page_number", 0.65),
-        (body & (F.length(n) >= REPEAT_CHARS) & (F.col("_times") >= REPEATS), "boilerplate_repeat", 0.7),
+        (F.col("_notice"), "copyright_notice", 0.85),
+        (F.col("_entry"), "toc_entry_shape", 0.75),
+        (body & F.col("_digits"), "page_number", 0.85),
+        (body & F.col("_roman") & (F.col("_pages") >= 2), "page_number", 0.65),
+        (body & F.col("_long") & (F.col("_times") >= REPEATS), "boilerplate_repeat", 0.7),
     ]
     rule, confidence = F.lit("default_keep"), F.lit(1.0)
     for cond, name, sure in reversed(rules):

@@ -79,3 +79,15 @@ def test_lines_and_cues_meet_within_a_row(spark):
     assert "Window" not in _plan(got)
     for name in ("aligned_cues", "chunk_cues"):
         assert "Window" not in _plan(Q.QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_blocks_are_dealt_by_book_alone(spark):
+    """Chapters too many to broadcast dealt all blocks and their texts anew, to classify them and again for the outline."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = Q._kept(spark, "/root/testdata/sf0.001")[0]
+        dealt = [x for x in _plan(kept).split("\n") if "hashpartitioning" in x]
+        assert dealt and not any("chapter_id#" in x for x in dealt)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
