@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import trim
 
 #: Fixed values of page geometry.
@@ -13,36 +14,55 @@ HEADING_RATIO, HEADING_CHARS, GAP_RATIO, LEADING, INDENT, FONT_CHANGE, LEVELS =
 PAGE_NUMBER = r"(?i)^[\s\-–—\[\](){}|·•.]*(?:pages?\s+|p\.\s*)?(\d{1,4}|(?=[a-z])m{0,4}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))[\s\-–—\[\](){}|·•.]*$"
 
 
+def _line(items: Column, n: Column) -> Column:
+    """A line of its items: their texts from left to right, and the font size that most of its letters have."""
+
+    def told(w: Column, sizes: Column) -> Column:
+        def add(s: Column, v: Column) -> Column:
+            gap = s["text"].rlike(r"\s$") | v["text"].rlike(r"^\s") | (v["x"] - s["reach"] > v["font_size"] * WORD_GAP)
+            return F.struct(F.greatest(s["reach"], v["x"] + v["width"]).alias("reach"), F.concat(s["text"], F.when(gap, " ").otherwise(""), v["text"]).alias("text"))
+
+        zero = F.struct(F.lit(None).cast("double").alias("reach"), F.lit("").alias("text"))
+        letters = lambda z: F.aggregate(F.filter(w, lambda v: F.round(v["font_size"], 1) == z), F.lit(0).cast("long"), lambda s, v: s + F.length(trim(v["text"])))
+        weights = F.transform(F.array_distinct(sizes), lambda z: F.struct(letters(z).alias("w"), (-F.array_position(sizes, z)).alias("seen"), z.alias("size")))
+        return F.struct(
+            n.alias("line"),
+            trim(F.regexp_replace(F.aggregate(w, zero, add)["text"], r"\s+", " ")).alias("text"),
+            F.array_min(F.transform(w, lambda v: v["x"])).alias("left"),
+            F.array_max(F.transform(w, lambda v: v["x"] + v["width"])).alias("right"),
+            (-F.get(w, 0)["down"]).alias("y"),
+            F.array_max(weights)["size"].alias("font_size"),
+        )
+
+    across = F.array_sort(F.transform(items, lambda v: F.struct(v["x"].alias("x"), v["down"].alias("down"), v["font_size"].alias("font_size"), v["text"].alias("text"), v["width"].alias("width"))))
+    return let(across, lambda w: let(F.transform(w, lambda v: F.round(v["font_size"], 1)), lambda sizes: told(w, sizes)))
+
+
 def lines(items: DataFrame, page: str | list[str] = "page") -> DataFrame:
     """``page, line, text, left, right, y, font_size`` from items with ``text, x, y, width, font_size``.
 
     Items go down the page; one that lies within a part of its line's font of
     the line's first item joins it, and the tolerance grows with larger fonts.
+    A page's items are brought together once; its lines are made within its row.
     """
     page = [page] if isinstance(page, str) else page
     ok = items.filter((trim(F.col("text")) != "") & (F.col("font_size") > 0))
     item = F.struct((-F.col("y")).alias("down"), "x", "width", "font_size", "text")
-    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0.0).alias("tol"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("of"))
+    start = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0.0).alias("tol"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("from"))
 
     def step(s: Column, i: Column) -> Column:
         same = s["at"].isNotNull() & (F.abs(i["down"] - s["at"]) <= s["tol"])
-        n = F.when(same, s["n"]).otherwise(s["n"] + 1)
         tol = F.when(same, F.greatest(s["tol"], i["font_size"] * BASELINE)).otherwise(F.greatest(F.lit(1.0), i["font_size"] * BASELINE))
-        return F.struct(F.when(same, s["at"]).otherwise(i["down"]).alias("at"), tol.alias("tol"), n.alias("n"), F.concat(s["of"], F.array(n)).alias("of"))
+        begun = F.when(same, s["from"]).otherwise(F.concat(s["from"], F.array(s["i"])))
+        return F.struct(F.when(same, s["at"]).otherwise(i["down"]).alias("at"), tol.alias("tol"), (s["i"] + 1).alias("i"), begun.alias("from"))
 
     pages = ok.groupBy(*page).agg(F.array_sort(F.collect_list(item)).alias("i"))
-    placed = pages.select(*page, F.explode(F.arrays_zip("i", F.aggregate("i", start, step)["of"].alias("of"))).alias("z")).select(*page, F.col("z.of").alias("line"), "z.i.*")
-    across = Window.partitionBy(*page, "line").orderBy("x", "down", "font_size", "text")
-    reach = F.max(F.col("x") + F.col("width")).over(across.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.lag("text").over(across)
-    gap = before.rlike(r"\s$") | F.col("text").rlike(r"^\s") | (F.col("x") - reach > F.col("font_size") * WORD_GAP)
-    placed = placed.withColumn("piece", F.concat(F.when(gap, " ").otherwise(""), "text")).withColumn("nth", F.row_number().over(across))
-    size = F.round("font_size", 1)
-    weights = placed.groupBy(*page, "line", size.alias("size")).agg(F.sum(F.length(trim(F.col("text")))).alias("w"), F.min("nth").alias("seen"))
-    fonts = weights.groupBy(*page, "line").agg(F.max_by("size", F.struct("w", -F.col("seen"))).alias("font_size"))
-    got = placed.groupBy(*page, "line").agg(F.array_sort(F.collect_list(F.struct("nth", "piece"))).alias("p"), F.min("x").alias("left"), F.max(F.col("x") + F.col("width")).alias("right"), F.min_by(-F.col("down"), "nth").alias("y"))
-    text = trim(F.regexp_replace(F.array_join(F.transform("p", lambda x: x["piece"]), ""), r"\s+", " "))
-    return got.join(fonts, [*page, "line"]).select(*page, "line", text.alias("text"), "left", "right", "y", "font_size")
+
+    def cut(of: Column) -> Column:
+        at = F.aggregate(of, start, step)["from"]
+        return let(at, lambda a: F.transform(a, lambda k, n: _line(F.slice(of, k + 1, F.coalesce(F.get(a, n + 1), F.size(of)) - k), n)))
+
+    return pages.select(*page, F.inline(let(F.col("i"), cut)))
 
 
 def margin_key(c: Column) -> Column:

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from inkstream.functions import text as T
+from inkstream.operators import layout as L
 from inkstream.operators import narration as N
 from inkstream.plans import job_queries, more_queries, title_queries  # noqa: F401  register queries
 from inkstream.plans import queries as Q
@@ -91,3 +92,20 @@ def test_blocks_are_dealt_by_book_alone(spark):
         assert dealt and not any("chapter_id#" in x for x in dealt)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lines_of_a_page_are_made_within_its_row(spark):
+    """A page's items come together once; they were sorted, grouped and joined again for every line."""
+    rng = random.Random(9)
+    items = [(p, -float(y), float(x), 5.0, rng.choice([10.0, 10.0, 12.0]), f"w{x}") for p in range(30) for y in range(0, 90, 30) for x in rng.sample(range(0, 200, 10), 6)]
+    got = L.lines(spark.createDataFrame(items, "page int, y double, x double, width double, font_size double, text string"))
+    plan = _plan(got)
+    assert "Window" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = []
+    for p in range(30):
+        for k, y in enumerate(range(0, 90, 30)):
+            row = sorted((x, f, t) for q, v, x, _, f, t in items if (q, v) == (p, -float(y)))
+            sizes = [f for _, f, _ in row]
+            weight = lambda z, row=row: sum(len(t) for _, f, t in row if f == z)
+            want.append((p, k, " ".join(t for *_, t in row), row[0][0], row[-1][0] + 5, -float(y), max(dict.fromkeys(sizes), key=weight)))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
