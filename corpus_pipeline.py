@@ -10,7 +10,7 @@ from inkstream.session import attach
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter have no language and go."""
+    """Documents without any letter, and those that may as well be in two languages, have no language and go."""
     attach(spark)
     return langid.drop_unidentified(docs, langid.fit(docs))
 

@@ -257,6 +257,8 @@ def _identifier(model, text: int, wanted: bool):
                     ok, names, score, lead = np.zeros(b - a, bool), np.empty(b - a, object), np.zeros(b - a), np.zeros(b - a)
                 names = np.where(ok, names, UNKNOWN)
                 if wanted:
+                    if len(m.languages) > 1:  # two languages that a text may as well be in are none
+                        ok = ok & (lead >= MARGIN)
                     yield batch.slice(a, b - a).filter(pa.array(ok))
                     continue
                 new = [pa.array(names, type=pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(~ok | (lead < MARGIN))]
@@ -284,7 +286,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have a language, with all their columns.
 
-    Null and empty texts and those without a letter have none; repeated rows
+    Null and empty texts, those without a letter and those whose prediction is
+    ambiguous have none; of one known language no text is ambiguous.  Repeated rows
     stay or go together, and an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

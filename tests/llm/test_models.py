@@ -65,6 +65,22 @@ def test_language_mixture_is_ambiguous(spark):
     assert flagged == (got < langid.MARGIN).tolist()
 
 
+def test_texts_of_no_one_language_go(spark):
+    langs = list(SYLLABLES)
+    docs = spark.createDataFrame([(k, talk(langs[k % 3], k), langs[k % 3]) for k in range(90)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        words = talk(langs[k % 3], 500 + k, 4 + k % 5).split() + talk(langs[(k + 1) % 3], 700 + k, 4 + k % 5).split()
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), None))
+    texts = spark.createDataFrame(rows + [(90, "12 34", None), (91, talk("bb", 950), None)], docs.schema)
+    stay = {r.doc_id for r in langid.predict(texts, model).collect() if not r.ambiguous}
+    assert {r.doc_id for r in langid.drop_unidentified(texts, model).collect()} == stay and 91 in stay and len(stay) < 52
+    alone = langid.fit(docs.filter("lang = 'aa'"))  # nothing to be told from
+    assert langid.drop_unidentified(texts, alone).count() == 61
+
+
 def test_long_texts_are_read_a_stretch_at_a_time(spark, monkeypatch):
     langs = list(SYLLABLES)
     docs = spark.createDataFrame([(k, talk(langs[k % 3], k), langs[k % 3]) for k in range(90)], "doc_id long, text string, lang string")
