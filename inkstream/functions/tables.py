@@ -80,21 +80,26 @@ class SrtCues:
     def __init__(self) -> None:
         self.idx, self.cue, self.text, self.number = 0, None, [], None
 
-    def _done(self) -> Iterator[tuple]:
-        if self.cue is not None and self.text:
-            keys, start, end = self.cue
-            yield (*keys, self.idx, start, end, "\n".join(self.text))
+    def _done(self) -> list[tuple]:
+        if self.cue is None or not self.text:
+            return []
+        keys, start, end = self.cue
+        return [(*keys, self.idx, start, end, "\n".join(self.text))]
 
     def eval(self, row) -> Iterator[tuple]:
         *keys, line = row
-        line = (line or "").strip()
-        at = TIMING.search(line)
+        yield from self._line(keys, line or "")
+
+    def _line(self, keys: list, line: str) -> Iterator[tuple]:
+        """What a line gives out: at a timing line, the cue before it."""
+        line = line.strip()
+        at = TIMING.search(line) if "-->" in line else None
         if at:  # the number before it was its own
-            yield from self._done()
+            done = self._done()
             t = [int(x) for x in at.groups()]
             self.idx += 1
             self.cue, self.text, self.number = (keys, _seconds(*t[:4]), _seconds(*t[4:])), [], None
-            return
+            return done
         if self.number is not None:
             self.text.append(self.number)
         self.number = None
@@ -102,6 +107,7 @@ class SrtCues:
             self.number = line
         elif line:
             self.text.append(line)
+        return ()
 
     def terminate(self) -> Iterator[tuple]:
         if self.number is not None:
@@ -109,11 +115,26 @@ class SrtCues:
         yield from self._done()
 
 
+class SrtFiles:
+    """``idx, start, end, text``: cues of whole subtitle files, one to a row, as :class:`SrtCues` reads their lines; files need not be dealt or sorted."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+        return SrtCues.analyze(rows)
+
+    def eval(self, row) -> Iterator[tuple]:
+        *keys, text = row
+        reader = SrtCues()
+        for line in (text or "").split("\n"):
+            yield from reader._line(keys, line)
+        yield from reader.terminate()
+
+
 def _seconds(h: int, m: int, s: int, ms: int) -> float:
     return h * 3600 + m * 60 + s + ms / 1000
 
 
-FUNCTIONS = {"voice_chunks": VoiceChunks, "html_blocks": HtmlBlocks, "srt_cues": SrtCues}
+FUNCTIONS = {"voice_chunks": VoiceChunks, "html_blocks": HtmlBlocks, "srt_cues": SrtCues, "srt_files": SrtFiles}
 
 
 def register(spark: SparkSession) -> list[str]:

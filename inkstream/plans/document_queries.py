@@ -8,7 +8,7 @@ from ..functions import documents as X
 from ..functions import tables as T
 from ..operators import cues as Q
 from . import domain as D
-from .queries import _CUES, _TRIM, _cues, query
+from .queries import _CUES, _TRIM, _cues_in, query
 
 
 def _from_table(spark, rows, call: str):
@@ -20,10 +20,8 @@ def _from_table(spark, rows, call: str):
 @query(rf"""WITH {_CUES}, t AS (SELECT doc_id, idx, floor(start * 1000) / 1000 AS start, floor(fin * 1000) / 1000 AS fin, array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: {_TRIM.format("x")}), lambda x: x <> ''), chr(10)) AS text FROM cues)
 SELECT doc_id, idx, round(start, 3) AS start, round(fin, 3) AS "end", text FROM t WHERE text <> ''""")
 def srt_round_trip(spark, d):
-    """Cues written as subtitle documents and read again, line by line."""
-    docs = Q.to_srt(_cues(spark, d), "doc_id")
-    lines = docs.select("doc_id", F.posexplode(F.split("srt", "\n")).alias("n", "line"))
-    got = _from_table(spark, lines, "srt_cues({} PARTITION BY doc_id ORDER BY n)")
+    """Cues written as subtitle documents and read again, each within its row."""
+    got = _from_table(spark, _cues_in(spark, d).select("doc_id", Q.srt_in(F.col("cues")).alias("srt")), "srt_files({})")
     return got.select("doc_id", "idx", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
 
 

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from inkstream.functions import text as T
+from inkstream.operators import cues as C
 from inkstream.operators import layout as L
 from inkstream.operators import narration as N
 from inkstream.plans import job_queries, more_queries, title_queries  # noqa: F401  register queries
@@ -109,3 +110,18 @@ def test_lines_of_a_page_are_made_within_its_row(spark):
             weight = lambda z, row=row: sum(len(t) for _, f, t in row if f == z)
             want.append((p, k, " ".join(t for *_, t in row), row[0][0], row[-1][0] + 5, -float(y), max(dict.fromkeys(sizes), key=weight)))
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_subtitles_are_read_within_a_row(spark):
+    """Cues were dealt by document to be written, and lines dealt and sorted to be read again."""
+    assert "Exchange hashpartitioning" not in _plan(Q.QUERIES["srt_round_trip"](spark, "/root/testdata/sf0.001"))
+
+
+def test_times_in_batches_equal_times_by_expressions(spark):
+    rng = random.Random(11)
+    texts = [(k, "".join(rng.choice("ab é中😀 .,\n0") for _ in range(rng.choice([1, 4, 30, 900]))), rng.choice([0.0, None, rng.uniform(0, 60)])) for k in range(300)]
+    rows = spark.createDataFrame([*texts, (300, None, 1.0), (301, " \n", 1.0)], "k int, text string, s double").repartition(3)
+    want = rows.filter(T.filled(F.col("text"))).select("k", F.inline(C.proportional_in(F.col("text"), F.col("s"))))
+    assert sorted(map(tuple, C.proportional(rows, "k", "text", "s").collect())) == sorted(map(tuple, want.collect()))
+    plan = _plan(C.proportional(rows, "k", "text", "s"))
+    assert "MapInArrow" in plan and "aggregate(" not in plan  # totals were lists copied number by number

@@ -52,3 +52,10 @@ def test_script_data(spark):
     assert got[0].s.script == "x" and got[0].s.search_terms == ["a", "1"] and str(got[0].s.params) == '{"z":[1]}' and set(got[0].s.more) == {"own"}
     assert got[0].p == {"script": "y", "search_terms": '["a",1,null]', "params": '{"z":[1]}', "own": "5", "new": "1"}
     assert [r.p for r in got[1:]] == [{"a": "1"}, {}, {}] and got[2].s is None
+
+
+def test_cues_of_files_in_rows(spark):
+    T.register(spark)
+    files = spark.createDataFrame([("a", SRT), ("b", SRT), ("c", None), ("d", "no cue")], "file string, srt string").coalesce(1)
+    got = spark.sql("SELECT * FROM srt_files(TABLE({files}))", files=files)
+    assert [tuple(r) for r in got.orderBy("file", "idx").collect()] == [(f, n, s, e, t) for f in ("a", "b") for n, s, e, t in ((1, 1.0, 2.5, "Hello\n12\nworld"), (3, 5.0, 6.0, "Bye\n7"))]
