@@ -117,6 +117,17 @@ def test_subtitles_are_read_within_a_row(spark):
     assert "Exchange hashpartitioning" not in _plan(Q.QUERIES["srt_round_trip"](spark, "/root/testdata/sf0.001"))
 
 
+def test_cues_meet_times_within_a_row(spark):
+    """Times and cues were dealt by document and bucket of seconds, joined and dealt again."""
+    plan = _plan(Q.QUERIES["active_cue"](spark, "/root/testdata/sf0.001"))
+    assert "Exchange hashpartitioning" not in plan and "Join" not in plan
+    cues = [(1, [(1, 0.0, 12.0, "a"), (2, 12.0, 30.0, "b"), (3, 40.0, 41.0, "c")]), (2, []), (3, None)]
+    rows = spark.createDataFrame(cues, "d int, cues array<struct<idx: int, start: double, end: double, content: string>>")
+    times = F.array(*map(F.lit, (0.0, 12.0, 29.9, 35.0, 41.0)))
+    got = rows.select("d", F.inline(C.active_in(F.col("cues"), times)))
+    assert sorted(map(tuple, got.collect())) == [(1, 0.0, 1, "a"), (1, 12.0, 2, "b"), (1, 29.9, 2, "b"), (1, 41.0, 3, "c")]
+
+
 def test_times_in_batches_equal_times_by_expressions(spark):
     rng = random.Random(11)
     texts = [(k, "".join(rng.choice("ab é中😀 .,\n0") for _ in range(rng.choice([1, 4, 30, 900]))), rng.choice([0.0, None, rng.uniform(0, 60)])) for k in range(300)]
