@@ -136,3 +136,29 @@ def test_times_in_batches_equal_times_by_expressions(spark):
     assert sorted(map(tuple, C.proportional(rows, "k", "text", "s").collect())) == sorted(map(tuple, want.collect()))
     plan = _plan(C.proportional(rows, "k", "text", "s"))
     assert "MapInArrow" in plan and "aggregate(" not in plan  # totals were lists copied number by number
+
+
+def test_parts_between_boundaries_are_looked_at_once(spark):
+    """Each part was trimmed for itself; white space goes with the boundaries now, and gives the same parts."""
+    rng = random.Random(12)
+    signs = [*"ab Z9 01.,?;:!…、？，\n\n\r\t 　 \u0085中😀-\x1c", "3.5", "1,000"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 40]))) for _ in range(5000)] + ["", None, " " * 9000, "\n" * 9000, "." * 9000, "a" + " " * 9000 + "b", "1." * 9000]
+    c = F.col("text")
+    plain = F.filter(F.transform(F.split(c, T.BOUNDARY), T.trim), lambda x: x != "")
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select(T.caption_lines(c).alias("got"), plain.alias("want"))
+    assert rows.filter("not (got <=> want)").count() == 0
+    assert "transform(" not in _plan(rows.select("got"))
+
+
+def test_tasks_read_their_share(spark, tmp_path, monkeypatch):
+    """A large table in few row groups was read by as few tasks, and others by tasks of 128 MB."""
+    from inkstream import session
+
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b")) <= 16 << 20
+    monkeypatch.setattr(session, "SPREAD_BYTES", 0)
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    spark.range(5000).coalesce(1).write.parquet(one)
+    spark.range(5000).repartition(8).write.parquet(many)
+    dealt, left = session.spread(spark.read.parquet(one)), session.spread(spark.read.parquet(many))
+    assert "RoundRobinPartitioning" in _plan(dealt) and dealt.count() == 5000
+    assert "RoundRobinPartitioning" not in _plan(left)
