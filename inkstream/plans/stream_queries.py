@@ -12,6 +12,10 @@ from ..streaming.sinks import KeyedTable
 from .queries import query
 
 
+#: Buckets of keys that share their state in a stream.
+BUCKETS = 1024
+
+
 def _stream(path: str, *columns):
     return lambda spark: runs.read_stream(spark, path).select(*columns)
 
@@ -48,7 +52,7 @@ def streamed_cache_hits(spark, d):
     aspect = F.get(F.array(F.lit("portrait"), F.lit("landscape"), F.lit("square")), (F.col("o_orderkey") % 3).cast("int"))
     rows = _stream(f"{d}/orders.parquet", F.col("o_custkey").alias("key"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderkey").alias("seq"), aspect.alias("aspect"), F.col("o_orderpriority").alias("term"), found.alias("found"))
     # files come in no order of time, so nothing is late
-    return runs.emitted(spark, lambda s: stateful.search_cache(rows(s), keep_hours=2400, late="36500 days")).select("key", "ts", "seq", "hit")
+    return runs.emitted(spark, lambda s: stateful.search_cache(rows(s), keep_hours=2400, late="36500 days", buckets=BUCKETS)).select("key", "ts", "seq", "hit")
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id AS key, ts, epoch_us(ts) / 1e6::DOUBLE AS sec, (value % 100) / 100.0::DOUBLE AS value FROM events WHERE value IS NOT NULL),

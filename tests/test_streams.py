@@ -161,3 +161,19 @@ def test_expired_entries_leave_the_state(spark, tmp_path):
     settled(stateful.search_cache(stream_of(spark, rows, schema, tmp_path, 4), keep_hours=30), tmp_path)
     held = spark.read.format("statestore").option("stateVarName", "entry").load(str(tmp_path / "ck"))
     assert [r.key.key for r in held.select("key").collect()] == ["new"]
+
+
+def test_search_cache_of_keys_that_share_their_state(spark, tmp_path):
+    """Every key cost a frame, an output batch and four calls; a bucket's keys share them, in any number of micro-batches."""
+    rng, rows = random.Random(13), []
+    for n in range(1200):
+        items = [{"url": f"u{n}.{i}", "width": rng.choice([9, 16]), "height": 12} for i in range(rng.randrange(3))]
+        rows.append((rng.choice(["é", "b", *map(str, range(30))]), T0 + dt.timedelta(hours=n // 4), n, rng.choice(["portrait", "landscape", "square", None]), rng.choice(["Sea", None]), None if rng.random() < 0.1 else json.dumps(items)))
+    schema = "key string, ts timestamp, seq long, aspect string, term string, found string"
+    stream = stateful.search_cache(stream_of(spark, rows, schema, tmp_path, 4), keep_hours=30, buckets=5)
+    got = both(settled(stream, tmp_path), stateful.search_cache_so_far(spark.createDataFrame(rows, schema), keep_hours=30))
+    assert 20 < sum(r.hit for r in got) < 1000
+    held = spark.read.format("statestore").option("stateVarName", "entries").load(str(tmp_path / "ck"))
+    last = T0 + dt.timedelta(hours=299)
+    ends = [r.e.expires for r in held.select(F.col("list_element").alias("e")).collect()]
+    assert 0 < len(ends) and min(ends) / 1000 > (last - dt.timedelta(hours=1)).replace(tzinfo=dt.UTC).timestamp()
